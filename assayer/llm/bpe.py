@@ -20,6 +20,8 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,10 @@ from .common import slices, two_columns
 #: The pattern that splits text before the merges.
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Chunks that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+#: Chunks, and pre-tokens, that a worker remembers.
+REMEMBERED = 400_000
+
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def byte_letters() -> dict[str, int]:
@@ -45,19 +49,20 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class Chunks(dict):
-    """Ids of chunks as packed little-endian integers, computed when first asked for."""
+class Remembered(dict):
+    """Ids of strings as packed little-endian integers, computed when first asked for.
+
+    The first ``REMEMBERED`` short strings are kept: frequent ones come early.
+    """
 
-    def __init__(self, coder: ByteBPE, lead: str):
+    def __init__(self, compute):
         super().__init__()
-        self.coder, self.lead = coder, lead
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.coder.pretokenised(self.lead + chunk)
-        if len(chunk) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = ids
+        self.compute = compute
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.compute(key)
+        if len(self) < REMEMBERED and len(key) <= 64:
+            self[key] = ids
         return ids
 
 
@@ -71,10 +76,12 @@ class ByteBPE:
         vocab = {raw(t): i for t, i in spec["model"]["vocab"].items()}
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.single = [vocab.get(bytes([b])) for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank: dict[int, int] = {}  # by left << 32 | right
+        self.made: list[int] = []  # by rank
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = map(raw, pair.split(" ") if isinstance(pair, str) else pair)
-            self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
+            self.rank[vocab[left] << 32 | vocab[right]] = rank
+            self.made.append(vocab[left + right])
         inside = np.zeros((256, 256), bool)
         for token in vocab:
             for a, b in zip(token, token[1:]):
@@ -86,43 +93,45 @@ class ByteBPE:
         self.pattern = regex.compile(PRETOKENS)
         self.unsafe = re.compile(r"\s (?:\s|$)")
         self.splitter = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.bare, self.spaced = Chunks(self, ""), Chunks(self, " ")
+        self.bare = Remembered(self.pretokenised)
+        self.spaced = Remembered(lambda chunk: self.pretokenised(" " + chunk))
+        self.token = Remembered(self.cut)
 
     def merged(self, fragment: bytes) -> list[int]:
         """Ids of one fragment: the lowest rank is merged first, from the left."""
         ids = [self.single[b] for b in fragment]
-        if len(ids) > 48:
+        if len(ids) > 64:
             return self.merged_long(ids)
-        merges, none = self.merges, (1 << 60, 0)
-        while len(ids) > 1:
-            best, at, to = 1 << 60, -1, 0
-            for k in range(len(ids) - 1):
-                rank, new = merges.get((ids[k], ids[k + 1]), none)
-                if rank < best:
-                    best, at, to = rank, k, new
-            if at < 0:
-                break
-            ids[at : at + 2] = [to]
+        get, none = self.rank.get, 1 << 60
+        ranks = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks and (low := min(ranks)) < none:
+            k = ranks.index(low)
+            ids[k : k + 2] = [self.made[low]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = get(ids[k - 1] << 32 | ids[k], none)
+            if k < len(ranks):
+                ranks[k] = get(ids[k] << 32 | ids[k + 1], none)
         return ids
 
     def merged_long(self, ids: list[int]) -> list[int]:
         """The same through a heap: n log n steps for n bytes without a cut."""
-        n, merges = len(ids), self.merges
+        n, get = len(ids), self.rank.get
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap: list[tuple[int, int, int, int, int]] = []
+        heap: list[tuple[int, int, int, int]] = []
 
         def offer(a: int, b: int) -> None:
-            if a >= 0 and b >= 0 and (m := merges.get((ids[a], ids[b]))):
-                heapq.heappush(heap, (m[0], a, ids[a], ids[b], m[1]))
+            if a >= 0 and b >= 0 and (rank := get(ids[a] << 32 | ids[b])) is not None:
+                heapq.heappush(heap, (rank, a, ids[a], ids[b]))
 
         for k in range(n - 1):
             offer(k, k + 1)
         while heap:
-            _, a, x, y, new = heapq.heappop(heap)
+            rank, a, x, y = heapq.heappop(heap)
             b = right[a]
             if ids[a] != x or b < 0 or ids[b] != y:
                 continue
-            ids[a], ids[b] = new, -1
+            ids[a], ids[b] = self.made[rank], -1
             right[a] = right[b]
             if right[a] >= 0:
                 left[right[a]] = a
@@ -130,17 +139,19 @@ class ByteBPE:
             offer(a, right[a])
         return [i for i in ids if i >= 0]
 
+    def cut(self, token: str) -> bytes:
+        """Ids of a pre-token: its fragments between certain cuts, encoded one by one."""
+        b, inside, out, start = token.encode(), self.inside, [], 0
+        for k, pair in enumerate(zip(b, b[1:]), 1):
+            if not inside[pair[0]][pair[1]]:
+                out += self.merged(b[start:k])
+                start = k
+        out += self.merged(b[start:] if start else b)
+        return array("I", out).tobytes() if LITTLE else np.array(out, "<u4").tobytes()
+
     def pretokenised(self, text: str) -> bytes:
         """Ids of a text whose ends are borders of pre-tokens."""
-        out: list[int] = []
-        for token in self.pattern.findall(text):
-            b, start = token.encode(), 0
-            for k in range(1, len(b)):
-                if not self.inside[b[k - 1]][b[k]]:
-                    out += self.merged(b[start:k])
-                    start = k
-            out += self.merged(b[start:])
-        return np.array(out, "<u4").tobytes()
+        return b"".join(map(self.token.__getitem__, self.pattern.findall(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
