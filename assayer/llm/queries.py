@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate
+from . import bpe, decontaminate, langid, quality, secrets, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.query,
         "op2_bpe": bpe.query,
+        "op6_quality": quality.query,
+        "op7_toxicity": toxicity.query,
+        "op8_simhash": simhash.query,
+        "op9_secrets": secrets.query,
+        "op10_langid": langid.query,
     }
 
 
