@@ -36,7 +36,7 @@ from .common import slices, two_columns
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Chunks, and pre-tokens, that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
