@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, hmm, langid, quality, secrets, simhash, toxicity
+from . import bpe, decontaminate, hmm, langid, quality, repeats, secrets, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.query,
         "op2_bpe": bpe.query,
+        "op4_repeats": repeats.query,
         "op5_hmm": hmm.query,
         "op6_quality": quality.query,
         "op7_toxicity": toxicity.query,
