@@ -50,11 +50,11 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Pieces of the incoming batches of about ``SLICE_BYTES``, with their texts as UTF-8 bytes."""
     for batch in batches:
         at = 0
-        text = batch.column(batch.schema.get_field_index("text"))
+        text = batch.column(batch.schema.get_field_index(text_col))
         while at < batch.num_rows:
             n = max(1, min(batch.num_rows - at, 2048))
             piece = text.slice(at, n)

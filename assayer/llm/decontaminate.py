@@ -118,16 +118,20 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _scanners: dict[tuple[int, int], Scanner] = {}
 
 
+def _scanner(shipped, key: tuple[int, int]) -> Scanner:
+    """One scanner for each worker process and block of items."""
+    if key not in _scanners:
+        _scanners.clear()
+        _scanners[key] = Scanner(shipped.value, key[1])
+    return _scanners[key]
+
+
 def _scan(df: DataFrame, items: list[tuple[str, str | None]], window: int) -> DataFrame:
-    spark = df.sparkSession
-    shipped = spark.sparkContext.broadcast(items)
+    shipped = df.sparkSession.sparkContext.broadcast(items)
     key = (shipped._jbroadcast.id(), window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scanners:
-            _scanners.clear()
-            _scanners[key] = Scanner(shipped.value, window)
-        scanner = _scanners[key]
+        scanner = _scanner(shipped, key)
         for batch, texts in slices(batches):
             rows = [scanner.scan(t) for t in texts]
             spans = pa.array([[{"start": a, "end": b} for a, b in r[1]] for r in rows], _SPANS)
@@ -136,6 +140,16 @@ def _scan(df: DataFrame, items: list[tuple[str, str | None]], window: int) -> Da
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_words long, hit_spans array<struct<start:long,end:long>>, item_ids array<string>")
 
 
+def _blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+    """The items in blocks whose texts have at most about ``block_bytes``; one block if all fit."""
+    wanted = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(item_text).cast("string").alias("text"))
+    size = wanted.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 32)).first()[0] or 0
+    blocks = -(-2 * size // block_bytes) if size > block_bytes else 1
+    for k in range(blocks):
+        part = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
+        yield [(r[0], r[1]) for r in part.collect()]
+
+
 def _unite(df: DataFrame) -> DataFrame:
     """Hits of one document from several blocks as one row."""
 
@@ -156,14 +170,8 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     item, if that is longer).
     """
     df = two_columns(docs, id_col, text_col)
-    wanted = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(item_text).cast("string").alias("text"))
-    size = wanted.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 32)).first()[0] or 0
-    blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
-    scans = []
-    for k in range(blocks):
-        part = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        scans.append(_scan(df, [(r[0], r[1]) for r in part.collect()], window))
-    if blocks == 1:
+    scans = [_scan(df, block, window) for block in _blocks(items, item_id, item_text, block_bytes)]
+    if len(scans) == 1:
         return scans[0]
     union = scans[0]
     for s in scans[1:]:
@@ -177,6 +185,29 @@ def judged(scanned: DataFrame, percent: int = 5) -> DataFrame:
     return scanned.withColumn("n_hit", n_hit).withColumn("n_items", F.size("item_ids").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
 
 
+def clean(docs: DataFrame, items: DataFrame, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns.
+
+    With one block of items the rows are filtered where they are; with more, hits are
+    united by a key of id and text first.
+    """
+    blocks = list(_blocks(items, item_id, item_text, block_bytes))
+    if len(blocks) == 1:
+        shipped = docs.sparkSession.sparkContext.broadcast(blocks[0])
+        key = (shipped._jbroadcast.id(), window)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scanner = _scanner(shipped, key)
+            for batch, texts in slices(batches, text_col):
+                hits = [(n, sum(b - a for a, b in spans)) for n, spans, _ in map(scanner.scan, texts)]
+                yield batch.filter(pa.array([not h or 100 * h < percent * n for n, h in hits], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+    keyed = docs.withColumn("_text_key", F.xxhash64(id_col, text_col))
+    bad = judged(scan(keyed, items, "_text_key", text_col, item_id, item_text, window, block_bytes), percent).filter("contaminated")
+    return keyed.join(bad.select(F.col("doc_id").alias("_text_key")).distinct(), "_text_key", "left_anti").select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     rows = judged(scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", F.array_sort("item_ids")).cast("binary"), 256).alias("items_sha256"), "contaminated")

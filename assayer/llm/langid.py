@@ -164,6 +164,22 @@ def predict(docs: DataFrame, fitted: dict, id_col: str = "doc_id", text_col: str
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
+def kept(docs: DataFrame, fitted: dict, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of at least ``least``."""
+    shipped = docs.sparkSession.sparkContext.broadcast(fitted)
+    key = shipped._jbroadcast.id()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _scorers:
+            _scorers.clear()
+            _scorers[key] = Scorer(shipped.value)
+        for batch, texts in slices(batches, text_col):
+            langs, scores = _scorers[key].predict(texts)
+            yield batch.filter(pa.array([lang != "und" and s >= least for lang, s in zip(langs, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))

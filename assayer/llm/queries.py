@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, hmm, langid, quality, repeats, secrets, simhash, toxicity
+from . import bpe, decontaminate, hmm, langid, licenses, quality, repeats, secrets, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.query,
         "op2_bpe": bpe.query,
+        "op3_licenses": licenses.query,
         "op4_repeats": repeats.query,
         "op5_hmm": hmm.query,
         "op6_quality": quality.query,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.SQL}
+    return {"op1_decontaminate": decontaminate.SQL, "op3_licenses": licenses.SQL}
