@@ -112,6 +112,11 @@ def keyed(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(of)
 
 
+def differing(a: np.ndarray, b) -> np.ndarray:
+    """Number of differing bits; numpy would count those of the absolute value of a signed number."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def edges_of(group: np.ndarray, most: int) -> tuple[list[int], list[int]]:
     """For a group of distinct fingerprints: each member of a component, and its smallest member."""
     left = np.sort(group)
@@ -120,7 +125,7 @@ def edges_of(group: np.ndarray, most: int) -> tuple[list[int], list[int]]:
         first, left = left[0], left[1:]
         queue, reached = [first], [first]
         while queue and len(left):
-            near = np.bitwise_count(left ^ queue.pop()) <= most
+            near = differing(left, queue.pop()) <= most
             if near.any():
                 new = left[near].tolist()
                 queue.extend(left[near])
@@ -154,7 +159,7 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
             starts = np.concatenate([[0], ends])
             sizes = np.diff(np.concatenate([starts, [len(key)]]))
             two = starts[sizes == 2]
-            near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= most if len(two) else np.zeros(0, bool)
+            near = differing(fp[two], fp[two + 1]) <= most
             a, b = fp[two[near]], fp[two[near] + 1]
             member, root = [np.maximum(a, b)], [np.minimum(a, b)]
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
