@@ -19,7 +19,7 @@ def _state(field: str, w, weight: bool) -> Column:
 
 
 def progressive_fill(items: DataFrame, rows: DataFrame, keys: list[str], order: list[str], fields: list[str], weight: str = "weight_kg") -> DataFrame:
-    """Rows with their outcome: created, updated, noop or ambiguous, and the state after each.
+    """Rows with their outcome: created, updated, noop or ambiguous, and the state after each (none if ambiguous).
 
     The existing item stands before the rows of its key.  A row updates if any field's
     state differs with it from without it.
@@ -37,7 +37,7 @@ def progressive_fill(items: DataFrame, rows: DataFrame, keys: list[str], order:
         out = out.withColumn(f"after_{f}", _state(f, upto, f == weight))
     out = out.filter("_kind = 1").join(count, keys, "left")
     outcome = F.when(F.col("_items") > 1, "ambiguous").when(F.col("_n") == 1, "created").when(F.col("_changed"), "updated").otherwise("noop")
-    return out.select(*keys, *order, outcome.alias("outcome"), *(f"after_{f}" for f in fields))
+    return out.select(*keys, *order, outcome.alias("outcome"), *(F.when(outcome != "ambiguous", F.col(f"after_{f}")).alias(f"after_{f}") for f in fields))
 
 
 def repaired_units(items: DataFrame, chosen: Column, factor: float = 1000.0) -> DataFrame:

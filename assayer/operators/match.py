@@ -67,7 +67,7 @@ def repair_candidates(rows: DataFrame, items: DataFrame, fields: list[str]) -> D
     pairs = row.join(item, ["group_id", "_model"]).filter(agree).withColumn("_tier", F.when(full, 0).otherwise(1))
     best = pairs.withColumn("_least", F.min("_tier").over(Window.partitionBy("row_no"))).filter("_tier = _least")
     hits = best.groupBy("row_no").agg(F.count_distinct("item_no").alias("n"), F.min("item_no").alias("item_no"))
-    return rows.select("row_no").join(hits, "row_no", "left").select("row_no", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("item_no")).alias("item_no"))
+    return rows.select("row_no").distinct().join(hits, "row_no", "left").select("row_no", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("item_no")).alias("item_no"))
 
 
 def one_product_per_family(products: DataFrame, keys: list[str]) -> DataFrame:

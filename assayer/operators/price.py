@@ -28,8 +28,10 @@ def spot_pivot(spot: DataFrame, key: str = "key", value: str = "price_oz") -> Da
 
 def unit_price(oz, gram=None) -> Column:
     """Price of a gram: from the ounce, else the given gram price, else nothing."""
-    own = F.when(C._c(oz) > 0, C._c(oz) / C.OUNCE_PRICED)
-    return F.coalesce(own, F.when(C._c(gram) > 0, C._c(gram)) if gram is not None else None, F.lit(0.0)) if gram is not None else F.coalesce(own, F.lit(0.0))
+    prices = [F.when(C._c(oz) > 0, C._c(oz) / C.OUNCE_PRICED)]
+    if gram is not None:
+        prices.append(F.when(C._c(gram) > 0, C._c(gram)))
+    return F.coalesce(*prices, F.lit(0.0))
 
 
 def item_price(weight, pt, pd, rh, pt_oz, pd_oz, rh_oz, rate) -> Column:
@@ -105,9 +107,9 @@ def complete_snapshots(quotes: DataFrame, snapshot: str, key: str = "key", price
     return quotes.groupBy(snapshot).agg((good == len(METALS)).alias("complete"))
 
 
-def last_known(snapshots: DataFrame, at: str, value: str, key: str, ttl_seconds: int = 86_400) -> DataFrame:
+def last_known(snapshots: DataFrame, at: str, value: str, key: str, ttl_seconds: int = 86_400, tie: str | None = None) -> DataFrame:
     """Failed snapshots (null value) take the last good one, if it is young enough (S2, batch form)."""
-    w = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(key).orderBy(at, *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, 0)
     good = F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("at"), F.col(value).alias("v")))
     kept = F.last(good, ignorenulls=True).over(w)
     age = F.unix_timestamp(at) - F.unix_timestamp(kept["at"])
