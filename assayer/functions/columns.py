@@ -50,8 +50,7 @@ def number_cell(c) -> Column:
 
 def clean_text(c) -> Column:
     """Squished text; null if blank, a formula (=) or an error (#)."""
-    s = squish(c)
-    return F.when((s != "") & ~s.rlike("^[=#]"), s)
+    return F.nullif(F.regexp_replace(squish(c), "(?s)^[=#].*$", ""), F.lit(""))
 
 
 def sanitize(c, precision: int, scale: int) -> Column:
@@ -138,7 +137,7 @@ def slug(c) -> Column:
     """Lower-case slug; null if nothing or only a number is left."""
     s = F.translate(F.lower(trim(c)), "_ ", "--")
     s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9\-]+", ""), "-+", "-"), "^-|-$", "")
-    return F.when((s != "") & ~s.rlike(NUMBER), s)
+    return F.nullif(F.regexp_replace(s, NUMBER, ""), F.lit(""))
 
 
 def url_path(c) -> Column:
