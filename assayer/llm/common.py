@@ -50,16 +50,16 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Pieces of the incoming batches of about ``SLICE_BYTES``, with their texts as UTF-8 bytes."""
+def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Pieces of the incoming batches of about ``size`` bytes, with their texts as UTF-8 bytes."""
     for batch in batches:
         at = 0
         text = batch.column(batch.schema.get_field_index(text_col))
         while at < batch.num_rows:
             n = max(1, min(batch.num_rows - at, 2048))
             piece = text.slice(at, n)
-            if n > 1 and piece.nbytes > SLICE_BYTES:
-                n = max(1, int(n * SLICE_BYTES / piece.nbytes))
+            if n > 1 and piece.nbytes > size:
+                n = max(1, int(n * size / piece.nbytes))
                 piece = text.slice(at, n)
             yield batch.slice(at, n), piece.cast(pa.binary()).to_pylist()
             at += n
