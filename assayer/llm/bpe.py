@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, two_columns
+from .common import held, slices, two_columns
 
 #: The pattern that splits text before the merges.
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -166,15 +166,9 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode(errors="replace")
 
 
-_coders: dict[int, ByteBPE] = {}
-
-
 def _coder(shipped) -> ByteBPE:
     """One coder for each worker process and vocabulary."""
-    if shipped.id not in _coders:
-        _coders.clear()
-        _coders[shipped.id] = ByteBPE(shipped.value)
-    return _coders[shipped.id]
+    return held(("bpe", shipped.id), lambda: ByteBPE(shipped.value))
 
 
 class _Shipped:

@@ -68,3 +68,15 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text", size: int
 def crc_mod(id_col: str, modulus: int):
     """crc32 of the id written as text, modulo ``modulus``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(modulus)
+
+
+_held: dict = {}
+
+
+def held(key, make):
+    """One large object for each worker process: another key's object goes first, so that
+    workers that serve several operators do not add up their tables."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table, two_columns
+from .common import held, slices, table, two_columns
 
 WINDOW = 13
 
@@ -115,15 +115,11 @@ def united(spans) -> list[tuple[int, int]]:
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_scanners: dict[tuple[int, int], Scanner] = {}
 
 
 def _scanner(shipped, key: tuple[int, int]) -> Scanner:
     """One scanner for each worker process and block of items."""
-    if key not in _scanners:
-        _scanners.clear()
-        _scanners[key] = Scanner(shipped.value, key[1])
-    return _scanners[key]
+    return held(("scanner", *key), lambda: Scanner(shipped.value, key[1]))
 
 
 def _scan(df: DataFrame, items: list[tuple[str, str | None]], window: int) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_mod, slices, table
+from .common import crc_mod, held, saved, slices, table
 
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTH = 0.1
@@ -57,29 +57,33 @@ def fit(docs: DataFrame, sample_rows: int = 20_000, keep: int = 30_000, lang_col
         rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * sample_rows / total))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, Counter] = {}
-
-        def told():
-            for lang, by_word in seen.items():
+        seen: Counter = Counter()
+        for batch, texts in slices(batches):
+            for t, lang in zip(texts, batch.column(batch.schema.get_field_index("lang")).to_pylist()):
+                for w, c in Counter(words(t)).items():
+                    seen[lang, w] += c
+            if len(seen) > 100_000:
+                yield told(seen)
+                seen = Counter()
+        yield told(seen)
+
+    def told(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1].decode() for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "gram", "c"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
                 out: Counter = Counter()
-                for w, c in by_word.items():
-                    word = w.decode()
-                    out[0, word] += c
+                for r in batch.slice(at, 2_000).to_pylist():
                     for n in ORDERS:
-                        for g in grams(word, n):
-                            out[n, g] += c
+                        for g in grams(r["gram"], n):
+                            out[r["lang"], n, g] += r["c"]
                 keys = list(out)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys]), pa.array([out[k] for k in keys], pa.int64())], ["lang", "n", "gram", "c"])
-            seen.clear()
-
-        for batch, texts in slices(batches):
-            for t, lang in zip(texts, batch.column(batch.schema.get_field_index("lang")).to_pylist()):
-                seen.setdefault(lang, Counter()).update(words(t))
-            if sum(map(len, seen.values())) > 200_000:
-                yield from told()
-        yield from told()
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(out.values()), pa.int64())], ["lang", "n", "gram", "c"])
 
-    counts = rows.mapInArrow(count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+    by_word = saved(rows.mapInArrow(count, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c")))
+    by_gram = by_word.mapInArrow(split, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+    counts = saved(by_word.select("lang", F.lit(0).alias("n"), "gram", "c").unionByName(by_gram))
     first = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram")
     totals = {(r["lang"], r["n"]): (r["c"], r["v"]) for r in counts.groupBy("lang", "n").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}
     kept = counts.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= keep).select("lang", "n", "gram", "c").toArrow()
@@ -143,9 +147,6 @@ class Scorer(dict):
         return langs, scores
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def predict(docs: DataFrame, fitted: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the columns of ``docs`` but the text, lang_pred, score."""
     spark = docs.sparkSession
@@ -154,11 +155,9 @@ def predict(docs: DataFrame, fitted: dict, id_col: str = "doc_id", text_col: str
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(shipped.value)
+        scorer = held(("langid", key), lambda: Scorer(shipped.value))
         for batch, texts in slices(batches):
-            langs, scores = _scorers[key].predict(texts)
+            langs, scores = scorer.predict(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
@@ -170,11 +169,9 @@ def kept(docs: DataFrame, fitted: dict, least: float = 0.5, text_col: str = "tex
     key = shipped._jbroadcast.id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(shipped.value)
+        scorer = held(("langid", key), lambda: Scorer(shipped.value))
         for batch, texts in slices(batches, text_col):
-            langs, scores = _scorers[key].predict(texts)
+            langs, scores = scorer.predict(texts)
             yield batch.filter(pa.array([lang != "und" and s >= least for lang, s in zip(langs, scores)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
