@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.SQL, "op3_licenses": licenses.SQL}
+    return {"op1_decontaminate": decontaminate.SQL, "op3_licenses": licenses.SQL, "op4_repeats": repeats.SQL}
