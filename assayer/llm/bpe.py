@@ -36,7 +36,7 @@ from .common import held, slices, two_columns
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Chunks, and pre-tokens, that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
@@ -87,9 +87,7 @@ class ByteBPE:
             for a, b in zip(token, token[1:]):
                 inside[a, b] = True
         self.inside = [row.tobytes() for row in inside]
-        self.bytes_of = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
-        for token, i in [*vocab.items(), *((t.encode(), i) for t, i in self.special.items())]:
-            self.bytes_of[i] = token
+        self.bytes_of = token_bytes(file)
         self.pattern = regex.compile(PRETOKENS)
         self.unsafe = re.compile(r"\s (?:\s|$)")
         self.splitter = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -162,8 +160,27 @@ class ByteBPE:
         first, *rest = text.split(" ")
         return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
 
+    def forget(self) -> None:
+        for memory in (self.bare, self.spaced, self.token):
+            memory.clear()
+
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode(errors="replace")
+        return decoded(self.bytes_of, ids)
+
+
+def decoded(bytes_of: list[bytes], ids: bytes) -> str:
+    return b"".join(map(bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode(errors="replace")
+
+
+def token_bytes(file: bytes) -> list[bytes]:
+    """The bytes of every id: all that decoding needs."""
+    spec = json.loads(file)
+    letter = byte_letters()
+    tokens = {i: bytes(letter[c] for c in t) for t, i in spec["model"]["vocab"].items()} | {a["id"]: a["content"].encode() for a in spec["added_tokens"]}
+    out = [b""] * (max(tokens) + 1)
+    for i, t in tokens.items():
+        out[i] = t
+    return out
 
 
 def _coder(shipped) -> ByteBPE:
@@ -194,9 +211,12 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shipped)
-        for batch, texts in slices(batches):
-            ids = [coder.encode(t.decode()) if t else b"" for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        try:
+            for batch, texts in slices(batches):
+                ids = [coder.encode(t.decode()) if t else b"" for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        finally:
+            coder.forget()  # an idle worker keeps no memory of a task
 
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
 
@@ -207,12 +227,12 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     df = encoded.select("doc_id", "n_tokens", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shipped)
+        bytes_of = held(("bytes", shipped.id), lambda: token_bytes(shipped.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                decoded = [coder.decode(i) if i else "" for i in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+                texts = [decoded(bytes_of, i) if i else "" for i in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary, decoded string")
 

@@ -49,7 +49,7 @@ def has_letter(text: bytes) -> bool:
     return len(text) != len(text.translate(None, _ASCII_LETTERS)) or any(c.isalpha() for c in text.decode(errors="replace"))
 
 
-def fit(docs: DataFrame, sample_rows: int = 20_000, keep: int = 30_000, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict:
+def fit(docs: DataFrame, sample_rows: int = 20_000, keep: int = 15_000, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Counts by language of the most frequent words (order 0) and n-grams."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     total = rows.select("lang").count()
@@ -94,14 +94,18 @@ def model(rows: list[dict], totals: dict) -> dict:
     """Log frequencies: langs, and for each order the vectors by word or n-gram."""
     langs = sorted({lang for lang, _ in totals})
     at = {lang: k for k, lang in enumerate(langs)}
-    vectors: dict[int, dict[str, np.ndarray]] = {n: {} for n in (0, *ORDERS)}
-    for r in rows:
-        vectors[r["n"]].setdefault(r["gram"], np.zeros(len(langs)))[at[r["lang"]]] = r["c"]
-    for n, by_gram in vectors.items():
+    tables = {}
+    for n in (0, *ORDERS):
+        row: dict[str, int] = {}
+        own = [r for r in rows if r["n"] == n]
+        for r in own:
+            row.setdefault(r["gram"], len(row))
+        counts = np.zeros((len(row), len(langs)))
+        for r in own:
+            counts[row[r["gram"]], at[r["lang"]]] = r["c"]
         size = np.array([(lambda c, v: c + SMOOTH * (v + 1))(*totals.get((lang, n), (0, 0))) for lang in langs])
-        for g, c in by_gram.items():
-            by_gram[g] = np.log((c + SMOOTH) / size)
-    return {"langs": langs, "vectors": vectors}
+        tables[n] = (row, np.log((counts + SMOOTH) / size))
+    return {"langs": langs, "tables": tables}
 
 
 class Scorer(dict):
@@ -109,16 +113,18 @@ class Scorer(dict):
 
     def __init__(self, fitted: dict):
         super().__init__()
-        self.langs, self.vectors = fitted["langs"], fitted["vectors"]
+        self.langs, self.tables = fitted["langs"], fitted["tables"]
         self.matrix = np.zeros((1 << 16, max(1, len(self.langs))))
 
     def vector(self, word: str) -> np.ndarray:
-        if (v := self.vectors[0].get(word)) is not None:
-            return v
+        row, values = self.tables[0]
+        if (k := row.get(word)) is not None:
+            return values[k]
         for n in ORDERS:
-            known = [v for g in grams(word, n) if (v := self.vectors[n].get(g)) is not None]
+            row, values = self.tables[n]
+            known = [k for g in grams(word, n) if (k := row.get(g)) is not None]
             if known:
-                return sum(known) / len(known)
+                return values[known].sum(0) / len(known)
         return np.zeros(len(self.langs))
 
     def __missing__(self, word: bytes) -> int:
@@ -130,7 +136,7 @@ class Scorer(dict):
         return k
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         langs, scores = [], []
         for t in texts:
