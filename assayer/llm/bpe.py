@@ -237,6 +237,24 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary, decoded string")
 
 
+def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` in one pass, so that a task has one Python worker, not two."""
+    df = two_columns(docs, id_col, text_col)
+    shipped = _Shipped(docs.sparkSession, vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(shipped)
+        try:
+            for batch, texts in slices(batches):
+                ids = [coder.encode(t.decode()) if t else b"" for t in texts]
+                back = [coder.decode(i) if i else "" for i in ids]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+        finally:
+            coder.forget()
+
+    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary, decoded string")
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -245,6 +263,5 @@ def default_vocabulary() -> str:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
-    path = default_vocabulary()
-    both = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
+    both = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_vocabulary())
     return both.select("doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -68,6 +68,8 @@ def test_bpe_equals_the_library(spark, docs):
         ids = library.encode(t or "", add_special_tokens=False).ids
         assert np.frombuffer(got[k].ids, "<u4").tolist() == ids
         assert got[k].n_tokens == len(ids) and got[k].decoded == library.decode(ids, skip_special_tokens=False) == (t or "")
+    both = bpe.decode(bpe.encode(docs, path), path)
+    assert sorted(both.collect(), key=str) == sorted(bpe.round_trip(docs, path).collect(), key=str)
     r, coder = random.Random(1), bpe.ByteBPE(open(path, "rb").read())
     for _ in range(2000):
         t = "".join(r.choice([" ", "  ", "\n", "a", "The", "'s", "'", "!", "é", "漢", "1", "　", "\x1c", "😀", "zq"]) for _ in range(r.randint(0, 25)))
