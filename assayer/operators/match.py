@@ -60,13 +60,27 @@ def repair_candidates(rows: DataFrame, items: DataFrame, fields: list[str]) -> D
 
     Rows with details fall back to agreement without them (C6).
     """
-    item = items.select("group_id", F.upper("model").alias("_model"), F.col("row_no").alias("item_no"), *(F.col(f).alias(f"_{f}") for f in [*fields, "details"]))
-    row = rows.select("group_id", F.upper("model").alias("_model"), "row_no", *fields, "details")
-    agree = reduce(lambda a, f: a & (F.col(f).isNull() | F.coalesce(F.col(f) == F.col(f"_{f}"), F.lit(False))), fields, F.lit(True))
-    full = F.col("details").isNull() | F.coalesce(F.col("details") == F.col("_details"), F.lit(False))
-    pairs = row.join(item, ["group_id", "_model"]).filter(agree).withColumn("_tier", F.when(full, 0).otherwise(1))
-    best = pairs.withColumn("_least", F.min("_tier").over(Window.partitionBy("row_no"))).filter("_tier = _least")
-    hits = best.groupBy("row_no").agg(F.count_distinct("item_no").alias("n"), F.min("item_no").alias("item_no"))
+    # items are counted once for every set of fields that a row may have, so that no pairs are made
+    used = [*fields, "details"]
+    lookup = lambda mask, names: [F.when(mask.bitwiseAND(1 << k) != 0, F.col(f)).alias(n) for k, (f, n) in enumerate(zip(used, names))]
+    keys = ["_mask", *(f"_{f}" for f in used)]
+    mask = F.explode(F.sequence(F.lit(0), F.lit((1 << len(used)) - 1))).alias("_mask")
+    item = items.select("group_id", F.upper("model").alias("_model"), F.col("row_no").alias("item_no"), *used, mask)
+    whole = reduce(lambda a, kf: a & ((F.col("_mask").bitwiseAND(1 << kf[0]) == 0) | F.col(kf[1]).isNotNull()), enumerate(used), F.lit(True))
+    known = item.filter(whole).select("group_id", "_model", "item_no", "_mask", *lookup(F.col("_mask"), keys[1:]))
+    counted = known.groupBy("group_id", "_model", *keys).agg(F.count_distinct("item_no").alias("n"), F.min("item_no").alias("item_no"))
+    has = reduce(lambda a, kf: a + F.when(F.col(kf[1]).isNotNull(), 1 << kf[0]).otherwise(0), enumerate(fields), F.lit(0))
+    tiers = F.when(F.col("details").isNull(), F.array(F.struct(F.lit(0).alias("t"), has.alias("m")))).otherwise(F.array(F.struct(F.lit(0).alias("t"), (has + (1 << len(fields))).alias("m")), F.struct(F.lit(1).alias("t"), has.alias("m"))))
+    row = rows.withColumn("_rows", F.count("*").over(Window.partitionBy("row_no"))).select("group_id", F.upper("model").alias("_model"), "row_no", "_rows", *used, F.explode(tiers).alias("_at"))
+    row = row.select("row_no", "_rows", F.col("group_id").alias("_g"), F.col("_model").alias("_m"), F.col("_at.t").alias("_tier"), F.col("_at.m").alias("_row_mask"), *lookup(F.col("_at.m"), [f"_row_{f}" for f in used]))
+    same = (F.col("_g") == F.col("group_id")) & (F.col("_m") == F.col("_model")) & (F.col("_row_mask") == F.col("_mask"))
+    for f in used:
+        same = same & F.col(f"_row_{f}").eqNullSafe(F.col(f"_{f}"))
+    best = row.filter("_rows = 1").join(counted, same).groupBy("row_no").agg(F.min(F.struct("_tier", "n", "item_no")).alias("b"))
+    # rows that share a number name the items of all of them, so their matches are counted together
+    shared = row.filter("_rows > 1").join(known, same).withColumn("_least", F.min("_tier").over(Window.partitionBy("row_no"))).filter("_tier = _least")
+    shared = shared.groupBy("row_no").agg(F.count_distinct("item_no").alias("n"), F.min("item_no").alias("item_no"))
+    hits = best.select("row_no", F.col("b.n").alias("n"), F.col("b.item_no").alias("item_no")).unionByName(shared)
     return rows.select("row_no").distinct().join(hits, "row_no", "left").select("row_no", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("item_no")).alias("item_no"))
 
 

@@ -707,7 +707,7 @@ def j6_repair_from_feed(t: Tables) -> DataFrame:
 @query("")
 def j4_repair_items(t: Tables) -> DataFrame:
     """Counters of repairs; the candidates and collisions have SQL of their own above."""
-    return jobs.repair_items(t.items.filter("source = 'A'"), t.items.filter("source IS NULL AND row_no % 5 = 1"), ["weight_kg", "pt_ppm", "shape_code"])["report"]
+    return jobs.repair_items(t.items.filter("source = 'A'"), t.items.filter("source IS NULL"), ["weight_kg", "pt_ppm", "shape_code"])["report"]
 
 
 @query("""WITH u AS (SELECT user_id, lang FROM users u WHERE is_active AND NOT EXISTS (SELECT 1 FROM roles r WHERE r.user_id = u.user_id AND role = 'admin') AND EXISTS (SELECT 1 FROM roles r WHERE r.user_id = u.user_id AND role = 'app_user'))
@@ -740,3 +740,96 @@ def s1_latest_complete(t: Tables) -> DataFrame:
 @query("SELECT row_no, round(coalesce(pt_ppm, 0) / 1000, 6) AS score FROM items WHERE group_id = 'g4' ORDER BY score DESC, row_no LIMIT 50", "items")
 def f7_score_order(t: Tables) -> DataFrame:
     return t.items.filter("group_id = 'g4'").select("row_no", F.round(F.coalesce("pt_ppm", F.lit(0.0)) / 1000, 6).alias("score")).orderBy(F.desc("score"), "row_no").limit(50)
+
+
+# The same operators over whole tables, with sides split by columns.  The queries above of these names keep the id
+# ranges of their SQL; here the SQL is given anew without them.
+def _without(name: str, *cuts: tuple[str, str]) -> str:
+    """The SQL of a registered query with its cuts replaced; it has the tables already."""
+    sql = SQL[name]
+    for old, new in cuts:
+        if old not in sql:
+            raise ValueError(f"{name} has no {old}")
+        sql = sql.replace(old, new)
+    return sql
+
+
+@query(_without("b18_b22_image_issues", (" AND media_id BETWEEN 3000 AND 300000", "")))
+def b18_b22_image_issues_whole(t: Tables) -> DataFrame:
+    m = t.media.select("media_id", "item_id", F.when(F.col("media_id") % 2 == 0, "original").otherwise("thumb").alias("variant"), F.concat(F.lit("x+pixel_"), F.when(F.col("media_id") % 3 == 0, "mask").otherwise("none")).alias("method"), ((F.col("media_id") % 50) / 100).cast("string").alias("score"))
+    return m.filter(Q.image_issue("variant", "method", "score")).join(t.items.filter(Q.priceable()).select("item_id"), "item_id", "left_semi").select("media_id")
+
+
+@query(_without("c6_repair_candidates", (" AND row_no % 5 = 1", "")))
+def c6_repair_candidates_whole(t: Tables) -> DataFrame:
+    return match.repair_candidates(t.items.filter("source IS NULL"), t.items.filter("source = 'A'"), ["weight_kg", "pt_ppm", "shape_code"])
+
+
+@query(f"""WITH f AS (SELECT row_no, item_id, source, {FP} AS h FROM items), l AS (SELECT row_no, item_id AS url, h FROM f WHERE source IS NULL), r AS (SELECT concat('i', CAST(row_no + (row_no % 2) AS VARCHAR)) AS url, h, item_id AS id FROM f WHERE source IS NOT NULL),
+m AS (SELECT row_no, 0 AS tier, id FROM l JOIN r USING (url) UNION ALL SELECT l.row_no, 1, id FROM l JOIN r ON l.h = r.h),
+b AS (SELECT row_no, id FROM m QUALIFY tier = min(tier) OVER (PARTITION BY row_no))
+SELECT l.row_no, count(DISTINCT id) AS n, CASE WHEN count(DISTINCT id) = 1 THEN min(id) END AS id FROM l LEFT JOIN b ON b.row_no = l.row_no GROUP BY l.row_no""", "items")
+def c8_c9_c13_tiered_lookup_whole(t: Tables) -> DataFrame:
+    hashed = t.items.withColumn("h", C.fingerprint("group_id", "serial_code", *FIGURES))
+    left = hashed.filter("source IS NULL").select("row_no", F.col("item_id").alias("url"), "h")
+    right = hashed.filter("source IS NOT NULL").select(F.concat(F.lit("i"), (F.col("row_no") + F.col("row_no") % 2).cast("string")).alias("url"), "h", F.col("item_id").alias("id"))
+    return match.tiered(left, right, "row_no", [("url", "url"), ("h", "h")], "id")
+
+
+def _every_wanted(t: Tables) -> DataFrame:
+    serial = F.concat(F.lit("ALT"), (F.col("row_no") % 90).cast("string"))
+    return t.items.select(F.concat_ws("|", "group_id", serial).alias("wanted_id"), "group_id", serial.alias("serial")).distinct()
+
+
+@query(_without("c14_family_join", (" WHERE row_no % 50 = 1", "")))
+def c14_family_join_whole(t: Tables) -> DataFrame:
+    hits = match.family_join(t.items, t.codes, _every_wanted(t))
+    return hits.groupBy("wanted_id").agg(F.count("*").alias("n"), F.min("item_id").alias("first_item"))
+
+
+@query(_without("c15_g5_cross_group_join", (" WHERE row_no % 50 = 1", ""), (" WHERE group_id IN ('g1', 'g2')", "")))
+def c15_g5_cross_group_join_whole(t: Tables) -> DataFrame:
+    return match.family_join(t.items, t.codes, _every_wanted(t).drop("group_id"), None).groupBy("wanted_id").agg(F.count("*").alias("n"))
+
+
+@query(_without("c18_c19_propagate", (" WHERE group_id = 'g5'", ""), (" AND media_id <= 30000", "")))
+def c18_c19_propagate_whole(t: Tables) -> DataFrame:
+    own = t.items.select("item_id", C.normalize_serial("serial_code").alias("key"))
+    keys = own.unionByName(t.codes.join(t.items.select("item_id"), "item_id", "left_semi").select("item_id", C.normalize_serial("code").alias("key"))).filter("key <> ''").distinct()
+    media = t.media.filter("flag = 'R'").join(keys, "item_id")
+    # a code's first source is enough, as the first wins
+    first = media.groupBy("key").agg(F.min(F.struct("media_id", "item_id")).alias("s")).select("s.media_id", "s.item_id", "key")
+    return match.propagate(first, keys).join(media.select("item_id").distinct(), "item_id", "left_anti")
+
+
+@query("""WITH r AS (SELECT row_no AS id, concat(group_id, shape_code) AS hash FROM items WHERE shape_code IS NOT NULL AND source IS NULL) SELECT id FROM r WHERE id IN (SELECT row_no FROM items WHERE model = 'Model 2') AND id NOT IN (SELECT row_no FROM items WHERE pd_ppm IS NULL) AND hash NOT IN (SELECT concat(group_id, shape_code) FROM items WHERE shape_code IS NOT NULL AND source IS NOT NULL AND weight_kg > 400)""", "items")
+def c26_unprocessed_whole(t: Tables) -> DataFrame:
+    hashed = t.items.withColumn("hash", F.concat("group_id", "shape_code"))
+    none = F.lit(None)
+    done = t.items.filter("pd_ppm IS NULL").select(F.col("row_no").alias("id"), none.cast("string").alias("hash")).unionByName(hashed.filter("source IS NOT NULL AND weight_kg > 400").select(none.cast("long").alias("id"), "hash"))
+    return match.unprocessed(hashed.filter("hash IS NOT NULL AND source IS NULL").select(F.col("row_no").alias("id"), "hash"), done, t.items.filter("model = 'Model 2'").select(F.col("row_no").alias("id"))).select("id")
+
+
+@query(_without("e12_exact_preference", (" WHERE row_no % 13 = 0", "")))
+def e12_exact_preference_whole(t: Tables) -> DataFrame:
+    kt = lambda n: F.concat(F.lit("KT"), (F.col("row_no") % n).cast("string"))
+    h = t.items.select(F.concat("group_id", (F.col("row_no") % 4).cast("string")).alias("wanted_id"), kt(4).alias("serial"), kt(9).alias("primary_serial")).distinct()
+    return match.exact_preference(h).select("wanted_id", "primary_serial")
+
+
+@query(_without("e10_j3_progressive_fill", ("SELECT group_id,", "SELECT source, group_id,"), ("WHERE row_no % 10 = 1", "WHERE source = 'A'"), ("WHERE row_no % 10 > 4", "WHERE source IS DISTINCT FROM 'A'")))
+def e10_j3_progressive_fill_whole(t: Tables) -> DataFrame:
+    some = t.items.withColumn("serial", C.normalize_serial("serial_code")).filter(F.col("serial").startswith("KT"))
+    old = F.coalesce(F.col("source") == "A", F.lit(False))
+    return enrich.progressive_fill(some.filter(old), some.filter(~old), ["group_id", "serial"], ["row_no", "tie"], ["weight_kg", "pt_ppm", "shape_code"])
+
+
+@query(_without("e13_h33_newest_notes", (" AND group_id = 'g3' ORDER BY position LIMIT 100", "")))
+def e13_h33_newest_notes_whole(t: Tables) -> DataFrame:
+    """Positions over the whole table: the rows of newer days, then the place within the day."""
+    some = t.items.filter("pt_ppm IS NOT NULL AND pd_ppm IS NOT NULL AND rh_ppm IS NOT NULL")
+    days = some.groupBy("created_at").agg(F.count("*").alias("n"))  # one row a day
+    newer = days.select(F.col("created_at").alias("_day"), (F.sum("n").over(Window.orderBy(F.desc("created_at"))) - F.col("n")).alias("newer"))
+    within = F.row_number().over(Window.partitionBy("created_at").orderBy("item_id")) - 1
+    placed = some.withColumn("within", within).join(F.broadcast(newer), F.col("created_at").eqNullSafe(F.col("_day")))
+    return placed.select("item_id", (F.col("newer") + F.col("within")).alias("position"), C.change_text("pt_ppm", "pd_ppm", "rh_ppm").alias("body"))
