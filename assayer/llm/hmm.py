@@ -9,9 +9,8 @@ words and one unknown word of each symbol sum to one.
 
 Training.  Baum-Welch: every task adds up the expected counts of its documents, Spark
 adds up the tasks', and the driver normalises: its tables have states x symbols
-cells, whatever the input.  A few rounds over at most ``warm_rows`` documents (by a hash
-of the id) find a start; then ``rounds`` rounds cover all training documents.  Expected
-counts are taken over stretches of ``STRETCH`` tokens; the score is the exact forward
+cells, whatever the input.  Each of the ``rounds`` rounds covers all training documents, at
+every size of input, with exact messages over whole documents; the score is the exact forward
 recursion, scaled at every token, over the whole document.
 
 Counts of rare words never leave Spark: they are joined by word and added up by document.
@@ -35,7 +34,8 @@ from .common import crc_mod, held, saved, slices, table
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 RARE = 64
-STRETCH = 64
+#: Tokens whose messages are held at one time, about; a longer sequence is one group.
+TOKENS = 1 << 19
 END = ""
 
 
@@ -114,6 +114,19 @@ def encoded(docs: DataFrame, words: list[str], c: list[int]) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, symbols binary, rare array<struct<word:string,n:int>>")
 
 
+def _groups(rows: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Sequences (shortest first) in groups of about ``TOKENS`` tokens of similar length, longest first in each."""
+    some, size = [], 0
+    for s in rows:
+        if some and size + len(s) > TOKENS:
+            yield some[::-1]
+            some, size = [], 0
+        some.append(s)
+        size += len(s)
+    if some:
+        yield some[::-1]
+
+
 class Model:
     """start (states), move (states, states), emit (symbols, states)."""
 
@@ -135,46 +148,51 @@ class Model:
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
     def expected(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expected counts of the sequences' stretches, many at once, and their log likelihood."""
+        """Expected counts of whole sequences, many at once, and their log likelihood."""
         k = len(self.start)
-        parts = [(s[a : a + STRETCH], a == 0) for s in rows for a in range(0, len(s), STRETCH)]
-        parts.sort(key=lambda p: -len(p[0]))
         start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros_like(self.emit), 0.0
-        for at in range(0, len(parts), 2048):
-            some = parts[at : at + 2048]
-            size = np.array([len(p[0]) for p in some])
+        rows = sorted((s for s in rows if len(s)), key=len)
+        one = np.ones(k)
+        for some in _groups(rows):
+            # tokens stand by their place in the sequence, longest sequence first
+            size = np.array([len(s) for s in some])
             t = int(size[0])
-            sym = np.zeros((t, len(some)), np.int64)
-            for j, (s, _) in enumerate(some):
-                sym[: len(s), j] = s
-            live = [int((size > i).sum()) for i in range(t)]
-            b = self.emit[sym]
-            alpha = np.empty((t, len(some), k))
-            scale = np.ones((t, len(some)))
-            opening = np.array([p[1] for p in some])
-            even = np.full(k, 1 / k)
-            a = np.where(opening[:, None], self.start, even) * b[0]
-            for i in range(t):
-                n = live[i]
-                if i:
-                    a = (alpha[i - 1, :n] @ self.move) * b[i, :n]
-                z = a.sum(1)
-                scale[i, :n] = z
-                alpha[i, :n] = a / z[:, None]
+            live = len(some) - np.searchsorted(size[::-1], np.arange(t), "right")
+            off = np.cumsum(live) - live
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            sym = np.empty(len(place), np.int64)
+            sym[off[place] + np.repeat(np.arange(len(some)), size)] = np.concatenate(some)
+            b, scale = self.emit[sym], np.empty(len(sym))
+            alpha = np.empty_like(b)
+            live, off = live.tolist(), off.tolist()
+            before = 0
+            for o, n in zip(off, live):
+                a = alpha[o : o + n]
+                if o:
+                    np.matmul(alpha[before : before + n], self.move, out=a)
+                    a *= b[o : o + n]
+                else:
+                    np.multiply(self.start, b[:n], out=a)
+                z = np.matmul(a, one, out=scale[o : o + n])
+                a /= z[:, None]
+                before = o
             total += float(np.log(scale).sum())
-            beta = np.ones((len(some), k))
-            gammas = np.zeros((t, len(some), k))
+            b /= scale[:, None]
+            beta, back_move = np.ones((len(some), k)), np.ascontiguousarray(self.move.T)
+            pairs = np.zeros((k, k))
             for i in range(t - 1, -1, -1):
-                n = live[i]
-                gammas[i, :n] = alpha[i, :n] * beta[:n]
+                o, n = off[i], live[i]
+                now = beta[:n]
+                alpha[o : o + n] *= now
                 if i:
-                    back = b[i, :n] * beta[:n] / scale[i, :n, None]
-                    move += (alpha[i - 1, :n].T @ back) * self.move
-                    beta[:n] = back @ self.move.T
-            start += gammas[0][opening].sum(0)
-            flat = sym.ravel()
+                    back = b[o : o + n]
+                    back *= now
+                    pairs += alpha[off[i - 1] : off[i - 1] + n].T @ back
+                    np.matmul(back, back_move, out=now)
+            move += pairs * self.move
+            start += alpha[: live[0]].sum(0)
             for s in range(k):
-                emit[:, s] += np.bincount(flat, gammas[:, :, s].ravel(), len(emit))
+                emit[:, s] += np.bincount(sym, alpha[:, s], len(emit))
         return start, move, emit, total
 
     def log10(self, rows: list[np.ndarray]) -> np.ndarray:
@@ -210,9 +228,8 @@ def baum_welch(sequences: DataFrame, model: Model, weight: np.ndarray) -> tuple[
         m, sums = shipped.value, None
         for batch in batches:
             rows = [np.frombuffer(s, np.uint16) for s in batch.column(0).to_pylist()]
-            for at in range(0, len(rows), 1024):
-                new = m.expected(rows[at : at + 1024])
-                sums = new if sums is None else tuple(a + b for a, b in zip(sums, new))
+            new = m.expected(rows)
+            sums = new if sums is None else tuple(a + b for a, b in zip(sums, new))
         if sums is not None:
             start, move, emit, total = sums
             used = np.flatnonzero(emit.any(1))
@@ -233,7 +250,7 @@ def baum_welch(sequences: DataFrame, model: Model, weight: np.ndarray) -> tuple[
     return Model.normalised(values[keys == -1][0], move, emit, weight), float(values[keys == -2][0][0])
 
 
-def score(docs: DataFrame, held_out, frequent: int = 60_000, states: int = 8, warm_rows: int = 2_000, warm_rounds: int = 12, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, held_out, frequent: int = 60_000, states: int = 8, rounds: int = 14) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``held_out`` is a condition on doc_id; the model learns from the other rows.
@@ -261,17 +278,10 @@ def score(docs: DataFrame, held_out, frequent: int = 60_000, states: int = 8, wa
     weight = np.concatenate([symbols.c, np.zeros(symbols.first_rare - len(words)), rare_n]) + 0.5
     weight = weight / weight.sum()
 
-    known = saved(encoded(rows, words, top_c).withColumn("row", F.monotonically_increasing_id()))
+    # sorted by length, so that a task's sequences of similar length stand together
+    known = saved(encoded(rows, words, top_c).withColumn("row", F.monotonically_increasing_id()).sortWithinPartitions(F.octet_length("symbols")))
     train = known.filter("NOT held_out")
     model = Model.first(states, weight)
-    n_train = train.select("held_out").count()
-    if n_train > warm_rows:
-        warm = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * warm_rows / n_train))
-    else:
-        warm = train
-    warm = saved(warm.select("symbols"))
-    for _ in range(warm_rounds if total else 0):
-        model, _ = baum_welch(warm, model, weight)
     for _ in range(rounds if total else 0):
         model, _ = baum_welch(train, model, weight)
 

@@ -142,6 +142,37 @@ def test_hmm_recursions():
     assert hmm.Model(norm(start, 0), norm(move, 1), norm(emit, 0)).log10(seqs).sum() >= before
 
 
+def test_hmm_counts_cross_every_border():
+    """Expected counts of long sequences equal those of one plain recursion over the whole sequence."""
+    r = np.random.default_rng(4)
+    norm = lambda a, axis: a / a.sum(axis, keepdims=True)
+    m = hmm.Model(norm(r.random(3), 0), norm(r.random((3, 3)), 1), norm(r.random((4, 3)), 0))
+    seqs = [r.integers(0, 4, n).astype(np.uint16) for n in (1, 200, 64, 65, 130, 200)]
+    start, move, emit, total = np.zeros(3), np.zeros((3, 3)), np.zeros((4, 3)), 0.0
+    for s in seqs:
+        alpha, beta = [m.start * m.emit[s[0]]], [np.ones(3)]
+        for x in s[1:]:
+            alpha.append((alpha[-1] @ m.move) * m.emit[x])
+        for x in s[:0:-1]:
+            beta.insert(0, m.move @ (m.emit[x] * beta[0]))
+        p = alpha[-1].sum()
+        total += math.log(p)
+        start += alpha[0] * beta[0] / p
+        for i, x in enumerate(s):
+            emit[x] += alpha[i] * beta[i] / p
+            if i:
+                move += np.outer(alpha[i - 1], m.emit[x] * beta[i]) * m.move / p
+    for got, want in zip(m.expected(seqs), (start, move, emit, total)):
+        assert got == pytest.approx(want)
+
+
+def test_hmm_every_round_takes_all_documents(spark, monkeypatch):
+    seen, plain = [], hmm.baum_welch
+    monkeypatch.setattr(hmm, "baum_welch", lambda sequences, *a: (seen.append(sequences.count()), plain(sequences, *a))[1])
+    hmm.score(frame(spark, [f"a{k % 7} b c" for k in range(2500)]), F.lit(False), frequent=20, states=2)
+    assert seen == [2500] * 14
+
+
 def test_quality_figures_and_viterbi(spark):
     r = random.Random(0)
     field = quality.Field(np.array([[0, r.uniform(-1, 1)] for _ in range(quality.N_FEATURES)]), np.array([[0.3, -0.2], [-0.1, 0.4]]))
