@@ -255,6 +255,7 @@ def score(docs: DataFrame, held_out, frequent: int = 60_000, states: int = 8, ro
 
     ``held_out`` is a condition on doc_id; the model learns from the other rows.
     """
+    spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     c = saved(counts(rows.filter("NOT held_out")))
     whole = c.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -284,6 +285,7 @@ def score(docs: DataFrame, held_out, frequent: int = 60_000, states: int = 8, ro
     model = Model.first(states, weight)
     for _ in range(rounds if total else 0):
         model, _ = baum_welch(train, model, weight)
+        spark.sparkContext._jvm.System.gc()  # lets Spark delete the round's shuffle files
 
     # rare words: counts come by word, sums go back by document
     pairs = known.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("tf"))
