@@ -10,25 +10,25 @@ bytes (a block that no pattern holds lets the search skip almost a whole pattern
 buckets by the hash of the patterns' last block, and compares the patterns of a
 bucket directly.  The tables of at most ``block_bytes`` of item text are broadcast at
 a time; a larger benchmark is searched in several such blocks, each against all
-documents, and the hits are united by document.
+documents, and the hits are united by the row's number, which is written once before.
 
 Null texts have no words.  Items without words have no window.  Items with equal
 text are reported each under its own id; an item whose id is null is reported as
-``null``.  Repeated documents are separate rows only while one block is enough, so
-ids should be unique beyond it.
+``null``.  Every document is a row of its own, whatever its id and the number of blocks.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, slices, table, two_columns
+from .common import held, saved, slices, table, two_columns
 
 WINDOW = 13
 
@@ -166,13 +166,18 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     item, if that is longer).
     """
     df = two_columns(docs, id_col, text_col)
-    scans = [_scan(df, block, window) for block in _blocks(items, item_id, item_text, block_bytes)]
-    if len(scans) == 1:
-        return scans[0]
-    union = scans[0]
-    for s in scans[1:]:
-        union = union.unionByName(s)
-    return _unite(union)
+    blocks = _blocks(items, item_id, item_text, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _scan(df, first, window)
+    # ids may be null or repeat, so blocks meet by a number of the row that is written once
+    numbered = saved(df.withColumn("_row", F.monotonically_increasing_id()))
+    texts = numbered.select(F.col("_row").alias("doc_id"), "text")
+    union = _scan(texts, first, window)
+    for block in chain([second], blocks):
+        union = union.unionByName(_scan(texts, block, window))
+    united_rows = _unite(union).withColumnRenamed("doc_id", "_row")
+    return numbered.select("_row", "doc_id").join(united_rows, "_row").drop("_row")
 
 
 def judged(scanned: DataFrame, percent: int = 5) -> DataFrame:

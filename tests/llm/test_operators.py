@@ -58,6 +58,14 @@ def test_decontaminate_brute_force(spark, docs):
     assert not any(r.n_items for r in decontaminate.judged(decontaminate.scan(docs, items.limit(0))).collect())
 
 
+def test_decontaminate_blocks_keep_rows_of_equal_and_null_ids(spark):
+    texts = [PASSAGE, "nothing here", PASSAGE + " and more words", PASSAGE, PASSAGE, "other text", None]
+    some = spark.createDataFrame(list(zip([None, None, None, 4, 4, 4, 5], texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(10, PASSAGE), (9, "nothing"), (3, PASSAGE)], "item_id long, text string")
+    one, several = (sorted(map(str, decontaminate.judged(decontaminate.scan(some, items, block_bytes=n)).collect())) for n in (1 << 20, 100))
+    assert len(one) == len(texts) and several == one
+
+
 def test_bpe_equals_the_library(spark, docs):
     from tokenizers import Tokenizer
 
