@@ -7,7 +7,7 @@ the base rules (50 words at least, at most half of them in repeated 3-word windo
 
 The field is trained here, on at most ``sample_rows`` labelled rows (chosen by a hash of
 the id) whose lines inherit the quality label of their document; only the features
-of those lines, at most ``max_lines`` a document, reach the driver.  Without labels of both kinds
+of those lines reach the driver.  Without labels of both kinds
 every line is content.  Null texts have no words and are not kept.  A line is a
 maximal run without a line feed; words are separated by the bytes 0x09-0x0D and 0x20.
 """
@@ -110,42 +110,57 @@ def trained(docs: list[tuple[int, list[list[int]]]], steps: int = 60, l2: float
     if labels != {0, 1}:
         return Field(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
     docs = sorted(docs, key=lambda d: -len(d[1]))
-    n, longest = len(docs), len(docs[0][1])
-    x = np.zeros((longest, n, N_FEATURES), np.float32)
-    size = np.array([len(f) for _, f in docs])
-    y = np.array([d[0] for d in docs])
-    for k, (_, found) in enumerate(docs):
-        for i, f in enumerate(found):
-            x[i, k, f] = 1
-    live = np.arange(longest)[:, None] < size[None]
-    c = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
-    c /= (c * size).sum()
+    every_size = np.array([len(f) for _, f in docs])
+    y_all = np.array([d[0] for d in docs])
+    weights = np.where(y_all == 1, 0.5 / (y_all == 1).sum(), 0.5 / (y_all == 0).sum())
+    weights /= (weights * every_size).sum()
+    groups = []  # chains of similar length, so that padding at most doubles them
+    at = 0
+    while at < len(docs):
+        to = int(np.searchsorted(-every_size, -(every_size[at] // 2), "left"))
+        to = max(to, at + 1)
+        some, size, y = docs[at:to], every_size[at:to], y_all[at:to]
+        n, longest = len(some), int(size[0])
+        cell = np.array([i * n + k for k, (_, found) in enumerate(some) for i, f in enumerate(found) for _ in f], np.int64)
+        feature = np.array([v for _, found in some for f in found for v in f], np.int64)
+        groups.append((n, longest, size, y, weights[at:to], cell, feature))
+        at = to
     emit, move = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
     m_emit, m_move = np.zeros_like(emit), np.zeros_like(move)
-    for step in range(steps):
-        e = x @ emit
-        alpha = np.zeros((longest, n, 2))
-        beta = np.zeros((longest, n, 2))
-        alpha[0] = e[0]
-        for i in range(1, longest):
-            alpha[i] = np.logaddexp(alpha[i - 1, :, :1] + move[0], alpha[i - 1, :, 1:] + move[1]) + e[i]
-        for i in range(longest - 2, -1, -1):
-            after = beta[i + 1] + e[i + 1]
-            beta[i] = np.where(live[i + 1][:, None], np.logaddexp(after[:, :1] + move[:, 0], after[:, 1:] + move[:, 1]), 0)
-        z = np.logaddexp(*alpha[size - 1, np.arange(n)].T)
-        gamma = np.exp(np.minimum(alpha + beta - z[None, :, None], 0)) * live[..., None]
-        truth = np.stack([1 - y, y], 1)[None] * live[..., None]
-        g_emit = np.einsum("inf,inl->fl", x, ((truth - gamma) * c[None, :, None]).astype(np.float32)) - l2 * emit
-        pair = alpha[:-1, :, :, None] + move + (e + beta)[1:, :, None, :] - z[None, :, None, None]
-        pair = np.exp(np.minimum(pair, 0)) * live[1:, :, None, None]
-        both = np.stack([truth[1:, :, 0], truth[1:, :, 1]], -1)
-        g_move = (np.einsum("inl,inm->lm", both * c[None, :, None], both) - np.einsum("inlm,n->lm", pair, c)) - l2 * move
+    for _ in range(steps):
+        g_emit, g_move = -l2 * emit, -l2 * move
+        for group in groups:
+            add_emit, add_move = _gradient(emit, move, *group)
+            g_emit, g_move = g_emit + add_emit, g_move + add_move
         m_emit, m_move = 0.9 * m_emit + g_emit, 0.9 * m_move + g_move
         emit, move = emit + m_emit, move + 0.3 * m_move
     return Field(emit, move)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3_000, max_lines: int = 60) -> Field:
+def _gradient(emit, move, n, longest, size, y, c, cell, feature) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of chains, padded to the longest; ``cell`` is the place of each ``feature``."""
+    live = np.arange(longest)[:, None] < size[None]
+    e = np.stack([np.bincount(cell, emit[feature, k], longest * n) for k in range(2)], 1).reshape(longest, n, 2)
+    alpha = np.zeros((longest, n, 2))
+    beta = np.zeros((longest, n, 2))
+    alpha[0] = e[0]
+    for i in range(1, longest):
+        alpha[i] = np.logaddexp(alpha[i - 1, :, :1] + move[0], alpha[i - 1, :, 1:] + move[1]) + e[i]
+    for i in range(longest - 2, -1, -1):
+        after = beta[i + 1] + e[i + 1]
+        beta[i] = np.where(live[i + 1][:, None], np.logaddexp(after[:, :1] + move[:, 0], after[:, 1:] + move[:, 1]), 0)
+    z = np.logaddexp(*alpha[size - 1, np.arange(n)].T)
+    gamma = np.exp(np.minimum(alpha + beta - z[None, :, None], 0)) * live[..., None]
+    truth = np.stack([1 - y, y], 1)[None] * live[..., None]
+    rest = ((truth - gamma) * c[None, :, None]).reshape(-1, 2)
+    g_emit = np.stack([np.bincount(feature, rest[cell, k], N_FEATURES) for k in range(2)], 1)
+    pair = alpha[:-1, :, :, None] + move + (e + beta)[1:, :, None, :] - z[None, :, None, None]
+    pair = np.exp(np.minimum(pair, 0)) * live[1:, :, None, None]
+    both = np.stack([truth[1:, :, 0], truth[1:, :, 1]], -1)
+    return g_emit, np.einsum("inl,inm->lm", both * c[None, :, None], both) - np.einsum("inlm,n->lm", pair, c)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3_000) -> Field:
     known = labels.filter("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y")).filter("y IN (0, 1)")
     totals = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     below = F.lit(0)
@@ -157,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3_000, max_lines:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            found = [lines(t)[0][:max_lines] if t else [] for t in texts]
+            found = [lines(t)[0] if t else [] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["y", "f"])
 
     got = rows.mapInArrow(run, "y int, f array<array<int>>").filter(F.size("f") > 0).toArrow().to_pylist()

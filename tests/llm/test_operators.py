@@ -201,6 +201,17 @@ def test_quality_figures_and_viterbi(spark):
         assert got[k].base_failed == failed and got[k].kept == (not failed)
 
 
+def test_quality_trains_on_whole_documents(spark, monkeypatch):
+    """Lines after the 60th reach the training, and long chains are trained with short ones."""
+    seen, plain = [], quality.trained
+    monkeypatch.setattr(quality, "trained", lambda docs: (seen.extend(docs), plain(docs))[1])
+    texts = ["word one\n" * 10, "a # b\n" * 200, "two words here\n" * 90, "# #\n" * 3]
+    labels = spark.createDataFrame([(k, k % 2 == 0 and 1 or 0) for k in range(4)], "doc_id long, quality long")
+    field = quality.fit(frame(spark, texts), labels)
+    assert sorted(len(f) for _, f in seen) == [3, 10, 90, 200]
+    assert np.isfinite(field.emit).all() and field.emit.any()
+
+
 def test_models_on_held_out_rows(spark, sf_dir):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
