@@ -5,11 +5,11 @@ word falls back to its character 5-grams (with marks at its ends), or 4-grams if
 5-gram of it was seen, and so on down to single characters.  A text's score is the
 posterior of the best language over the sum of all its words.
 
-The model is fitted on at most ``sample_rows`` labelled rows (chosen by a hash of the
-id) and holds at most ``keep`` words and n-grams per language and order, so its size
-does not depend on the data.  All texts are scored whole.
+The model is fitted on about ``sample_rows`` labelled rows at most (chosen by a hash of the
+id), each whole, and holds every word and n-gram of them.  All texts are scored whole.
 
-Null texts and texts without a letter give ``und`` with score 0.  Words that share
+Null texts and texts without a letter give ``und`` with score 0.  Repeated rows are counted and
+scored each for itself; columns other than id, text and language are not read.  Words that share
 nothing with the model say nothing; a text of such words gets the first language in
 alphabetical order with an even score.  With no labelled row every text is ``und``.
 """
@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import crc_mod, held, saved, slices, table
 
@@ -49,8 +48,8 @@ def has_letter(text: bytes) -> bool:
     return len(text) != len(text.translate(None, _ASCII_LETTERS)) or any(c.isalpha() for c in text.decode(errors="replace"))
 
 
-def fit(docs: DataFrame, sample_rows: int = 20_000, keep: int = 15_000, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """Counts by language of the most frequent words (order 0) and n-grams."""
+def fit(docs: DataFrame, sample_rows: int = 20_000, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict:
+    """Counts by language of the words (order 0) and n-grams of the sampled rows."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     total = rows.select("lang").count()
     if total > sample_rows:
@@ -84,27 +83,25 @@ def fit(docs: DataFrame, sample_rows: int = 20_000, keep: int = 15_000, lang_col
     by_word = saved(rows.mapInArrow(count, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c")))
     by_gram = by_word.mapInArrow(split, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     counts = saved(by_word.select("lang", F.lit(0).alias("n"), "gram", "c").unionByName(by_gram))
-    first = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram")
     totals = {(r["lang"], r["n"]): (r["c"], r["v"]) for r in counts.groupBy("lang", "n").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}
-    kept = counts.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= keep).select("lang", "n", "gram", "c").toArrow()
-    return model(kept.to_pylist(), totals)
+    # a row for each word or n-gram of the sample, with its counts in the order of the languages
+    langs = sorted({lang for lang, _ in totals})
+    if not langs:
+        return {"langs": [], "tables": {}}
+    wide = counts.groupBy("n", "gram").agg(*(F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("c"))), F.lit(0)).alias(f"c{k}") for k, lang in enumerate(langs)))
+    return model(wide.toArrow(), langs, totals)
 
 
-def model(rows: list[dict], totals: dict) -> dict:
-    """Log frequencies: langs, and for each order the vectors by word or n-gram."""
-    langs = sorted({lang for lang, _ in totals})
-    at = {lang: k for k, lang in enumerate(langs)}
+def model(rows: pa.Table, langs: list[str], totals: dict) -> dict:
+    """Log frequencies: langs, and for each order the words or n-grams (joined by line feeds, which none holds) with their vectors."""
+    n_of = rows.column("n").to_numpy() if rows.num_rows else np.zeros(0, np.int64)
     tables = {}
     for n in (0, *ORDERS):
-        row: dict[str, int] = {}
-        own = [r for r in rows if r["n"] == n]
-        for r in own:
-            row.setdefault(r["gram"], len(row))
-        counts = np.zeros((len(row), len(langs)))
-        for r in own:
-            counts[row[r["gram"]], at[r["lang"]]] = r["c"]
+        own = np.flatnonzero(n_of == n)
+        part = rows.take(pa.array(own))
+        counts = np.stack([part.column(f"c{k}").to_numpy() for k in range(len(langs))], 1) if len(own) else np.zeros((0, len(langs)))
         size = np.array([(lambda c, v: c + SMOOTH * (v + 1))(*totals.get((lang, n), (0, 0))) for lang in langs])
-        tables[n] = (row, np.log((counts + SMOOTH) / size))
+        tables[n] = ("\n".join(part.column("gram").to_pylist()), np.log((counts + SMOOTH) / size).astype(np.float32))
     return {"langs": langs, "tables": tables}
 
 
@@ -113,7 +110,8 @@ class Scorer(dict):
 
     def __init__(self, fitted: dict):
         super().__init__()
-        self.langs, self.tables = fitted["langs"], fitted["tables"]
+        self.langs = fitted["langs"]
+        self.tables = {n: ({g: k for k, g in enumerate(grams_.split("\n"))} if len(values) else {}, values) for n, (grams_, values) in fitted["tables"].items()}
         self.matrix = np.zeros((1 << 16, max(1, len(self.langs))))
 
     def vector(self, word: str) -> np.ndarray:
@@ -145,8 +143,10 @@ class Scorer(dict):
                 scores.append(0.0)
                 continue
             w = words(t)
-            ids = np.fromiter(map(self.__getitem__, w), np.int64, len(w))
-            total = self.matrix[ids].sum(0)
+            total = np.zeros(len(self.langs))
+            for at in range(0, len(w), 1 << 16):
+                ids = [self[x] for x in w[at : at + (1 << 16)]]
+                total += self.matrix[ids].sum(0)
             best = int(total.argmax())
             langs.append(self.langs[best])
             scores.append(1.0 / math.fsum(np.exp(total - total[best])))
