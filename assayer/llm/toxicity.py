@@ -1,16 +1,18 @@
 """Toxicity by a character n-gram linear classifier with naive Bayes scaling.
 
 Features are hashed n-grams of code points (A-Z in lower case), counted once for each
-text.  The log-count ratio r = log((p / |p|) / (q / |q|)) of a feature, with p and q
-the smoothed numbers of toxic and other training texts that hold it, scales the
-feature; a logistic regression is then fitted on the scaled features that say most
-(by the chi-squared statistic of the two-by-two table).
-
-Training uses at most ``sample_rows`` labelled rows of each label (chosen by a hash of the id and
-weighted back to their share); the model has at most ``n_features`` features.  All
-texts are scored whole.  Null and empty texts get the score of a text without
-features.  If a document has several labels the highest counts; null labels do not.
-Without labels every score is 0.
+text: 2^20 slots for each order.  With p and q the numbers of toxic and other training texts
+that hold a feature, its log-count ratio r = log((p + a) / (n1 + a) / ((q + b) / (n0 + b))) scales
+it; a and b are ``smoothing`` pseudo-texts shared out as the labels are, so that the ratio of rare
+features is near 0.  A logistic regression is then fitted on all scaled features that
+``least`` texts hold at least, by L-BFGS: Spark tasks add up loss and gradient, the driver
+holds vectors of one number a slot.
+
+Training uses at most about ``sample_rows`` labelled rows of each label (chosen by a hash of the id
+and weighted back to their share), each whole.  All texts are scored whole.  Null and empty
+texts get the score of a text without features.  If a document has several labels the
+highest counts; null labels do not.  Without labels every score is 0.  Repeated rows are rows
+of their own; columns other than id, text and label are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices, table
+from .common import crc_mod, saved, slices, table
 
 ORDERS = (4, 6)
 BITS = 20
@@ -31,7 +33,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def slots(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: the number of the text, and the slot, of every n-gram."""
+    """For each order: the number of the text, and the slot of the order, of every n-gram."""
     sizes, points = [], []
     for t in texts:
         p = np.frombuffer(((t or b"").translate(_LOWER).decode(errors="replace") + "\0" * max(ORDERS)).encode("utf-32-le", "replace"), "<u4")
@@ -47,20 +49,15 @@ def slots(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             h ^= code[k : k + len(h)]
         h *= _ODD
         fits = room[: len(h)] >= max(ORDERS) + n
-        yield of[: len(h)][fits], (h[fits] >> np.uint64(64 - BITS)).astype(np.int64) | (ORDERS.index(n) << BITS)
+        yield of[: len(h)][fits], (h[fits] >> np.uint64(64 - BITS)).astype(np.uint32)
 
 
-def pairs(texts: list[bytes | None], table_of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, slot), or (text, feature) of the slots that ``table_of`` maps to a feature."""
-    found = []
-    for of, slot in slots(texts):
-        if table_of is not None:
-            feature = table_of[slot]
-            hit = np.flatnonzero(feature >= 0)
-            of, slot = of[hit], feature[hit].astype(np.int64)
-        found.append(of.astype(np.int64) << 32 | slot)
-    each = np.unique(np.concatenate(found))
-    return each >> 32, each & 0xFFFFFFFF
+def pairs(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order the distinct (text, slot), sorted; at most 2048 texts."""
+    for k, (of, slot) in enumerate(slots(texts)):
+        each = np.sort((of.astype(np.uint32) << np.uint32(BITS)) | slot)
+        each = each[np.append(True, each[1:] != each[:-1])] if len(each) else each
+        yield each >> np.uint32(BITS), (each & np.uint32((1 << BITS) - 1)) | np.uint32(k << BITS)
 
 
 def sampled(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[DataFrame, dict[int, float]]:
@@ -76,74 +73,132 @@ def sampled(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[DataF
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "y"), {y: 1 / s for y, s in share.items()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, n_features: int = 3_000) -> dict:
+SLOTS = len(ORDERS) << BITS
+#: Tasks that hold the training sample; it is bounded, so they are too.
+PARTS = 8
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, least: int = 3, smoothing: float = 100.0, steps: int = 20, l2: float = 1e-4) -> dict:
     rows, weight = sampled(docs, labels, sample_rows)
+    none = np.zeros(SLOTS, np.float32)
     if not weight:
-        return {"features": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": -np.inf}
+        return {"weights": none, "bias": -np.inf}
+    held = saved(_held(rows.repartition(PARTS)))
+    p, q, n1, n0 = _counts(held)
+    if not n1 or not n0:
+        return {"weights": none, "bias": np.inf if n1 else -np.inf}
+    kept = np.flatnonzero(p + q >= least)
+    a, b = smoothing * n1 / (n1 + n0), smoothing * n0 / (n1 + n0)
+    ratio = np.log(((p[kept] + a) / (n1 + a)) / ((q[kept] + b) / (n0 + b)))
+    c = {y: w / (n1 * weight.get(1, 0.0) + n0 * weight.get(0, 0.0)) for y, w in weight.items()}
+    start = np.zeros(len(kept) + 1)  # the last is the bias
+    start[-1] = np.log(n1 * weight[1] / (n0 * weight[0]))
+    w = minimised(lambda w: loss(held, kept, ratio, c, l2, w), start, steps)
+    none[kept] = w[:-1] * ratio
+    return {"weights": none, "bias": float(w[-1])}
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    """(y, f): label and slots of the training rows."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, len(ORDERS) << BITS), np.int64)
-        n = [0, 0]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            y = np.array(batch.column(1).to_pylist())
-            of, slot = pairs(texts)
-            for label in (0, 1):
-                held[label] += np.bincount(slot[y[of] == label], minlength=held.shape[1])
-                n[label] += int((y == label).sum())
-        used = np.flatnonzero(held.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int64()), pa.array([n[1], *held[1][used].tolist()], pa.int64()), pa.array([n[0], *held[0][used].tolist()], pa.int64())], ["slot", "p", "q"])
+            own: list[list[bytes]] = [[] for _ in texts]
+            for of, slot in pairs(texts):
+                for k, part in enumerate(np.split(slot, np.searchsorted(of, np.arange(1, len(texts))))):
+                    own[k].append(part.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([b"".join(x) for x in own], pa.binary())], ["y", "f"])
 
-    counts = rows.mapInArrow(count, "slot long, p long, q long").groupBy("slot").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    ends = counts.filter("slot = -1").first()
-    n1, n0 = (ends["p"], ends["q"]) if ends else (0, 0)
-    if not n1 or not n0:
-        return {"features": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": np.inf if n1 else -np.inf}
-    chi = F.expr(f"pow(p * {float(n0)}D - q * {float(n1)}D, 2) / ((p + q) * ({float(n0 + n1)}D - p - q) + 1)")
-    best = counts.filter("slot >= 0 AND p + q >= 3").orderBy(F.desc(chi), "slot").limit(n_features).toPandas()
-    features = best["slot"].to_numpy(np.int64)
-    p, q = best["p"].to_numpy(float) + 1, best["q"].to_numpy(float) + 1
-    ratio = np.log((p / (n1 + 2)) / (q / (n0 + 2)))
-    found = _held(rows, features)
-    return trained(features, ratio, found, weight)
+    return rows.mapInArrow(run, "y int, f binary")
 
 
-def _table_of(features: np.ndarray) -> np.ndarray:
-    t = np.full(len(ORDERS) << BITS, -1, np.int32)
-    t[features] = np.arange(len(features))
-    return t
+def _groups(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Labels, number of the row of each slot, slots: rows with about ``size`` slots at a time."""
+    for batch in batches:
+        labels, found = batch.column(0).to_numpy(), [np.frombuffer(f, np.uint32) for f in batch.column(1).to_pylist()]
+        sizes = np.array([len(f) for f in found])
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(found):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield labels[at:to], np.repeat(np.arange(to - at), sizes[at:to]), np.concatenate(found[at:to])
+            at = to
 
 
-def _held(rows: DataFrame, features: np.ndarray) -> list:
-    """Label and features of the training rows, at most 2 * sample_rows of n_features."""
+def _counts(held: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Training texts with each slot, and texts in all, by label: a row for each of the ``PARTS`` files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _table_of(features)
-        for batch, texts in slices(batches):
-            of, f = pairs(texts, t)
-            each = np.split(f.astype(np.int32), np.searchsorted(of, np.arange(1, len(texts))))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x.tobytes() for x in each], pa.binary())], ["y", "f"])
-
-    return [(r["y"], np.frombuffer(r["f"], np.int32)) for r in rows.mapInArrow(run, "y int, f binary").toLocalIterator()]
-
-
-def trained(features: np.ndarray, ratio: np.ndarray, found: list, weight: dict[int, float], steps: int = 250, rate: float = 0.05, l2: float = 1e-5) -> dict:
-    """Logistic regression on the scaled features: full gradients, steps scaled for each weight by its past gradients."""
-    y = np.array([r[0] for r in found], float)
-    size = np.array([len(r[1]) for r in found])
-    of, f = np.repeat(np.arange(len(found)), size), np.concatenate([r[1] for r in found])
-    c = np.array([weight.get(int(v), 1.0) for v in y])
-    c /= c.sum()
-    x = ratio[f]
-    w = np.zeros(len(ratio) + 1)  # the last is the bias
-    w[-1] = np.log((c @ y + 1e-9) / (c @ (1 - y) + 1e-9))
-    mean, square = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, steps + 1):
-        z = np.clip(np.bincount(of, x * w[f], len(found)) + w[-1], -30, 30)
-        e = c * (1 / (1 + np.exp(-z)) - y)
-        g = np.append(np.bincount(f, x * e[of], len(ratio)) + l2 * w[:-1], e.sum())
-        mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
-        w -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
-    return {"features": features, "weights": w[:-1] * ratio, "bias": float(w[-1])}
+        sums, n = np.zeros((2, SLOTS), np.int32), [0, 0]
+        for y, of, slot in _groups(batches):
+            for label in (0, 1):
+                sums[label] += np.bincount(slot[y[of] == label], minlength=SLOTS).astype(np.int32)
+                n[label] += int((y == label).sum())
+        if any(n):
+            yield pa.RecordBatch.from_arrays([pa.array([n[1]]), pa.array([n[0]]), pa.array([sums[1].tobytes()]), pa.array([sums[0].tobytes()])], ["n1", "n0", "p", "q"])
+
+    p, q, n1, n0 = np.zeros(SLOTS), np.zeros(SLOTS), 0, 0
+    for r in held.mapInArrow(run, "n1 long, n0 long, p binary, q binary").toLocalIterator():
+        p, q, n1, n0 = p + np.frombuffer(r["p"], np.int32), q + np.frombuffer(r["q"], np.int32), n1 + r["n1"], n0 + r["n0"]
+    return p, q, n1, n0
+
+
+def loss(held: DataFrame, kept: np.ndarray, ratio: np.ndarray, c: dict[int, float], l2: float, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """Weighted log loss with its gradient, added up over the tasks."""
+    dense = np.zeros(SLOTS, np.float32)
+    dense[kept] = w[:-1] * ratio
+    shipped = held.sparkSession.sparkContext.broadcast((dense, float(w[-1])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense, bias = shipped.value
+        value, g, g_bias, some = 0.0, np.zeros(SLOTS), 0.0, False
+        for y, of, slot in _groups(batches):
+            z = np.bincount(of, dense[slot], len(y)) + bias
+            signed = np.where(y == 1, z, -z)
+            share = np.where(y == 1, c.get(1, 0.0), c.get(0, 0.0))
+            value += float(share @ np.logaddexp(0, -signed))
+            e = share * np.where(y == 1, -1.0, 1.0) / (1 + np.exp(np.clip(signed, -50, 50)))
+            g += np.bincount(slot, e[of], SLOTS)
+            g_bias += float(e.sum())
+            some = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([g_bias]), pa.array([g.astype(np.float32).tobytes()])], ["value", "bias", "g"])
+
+    value, g, g_bias = l2 / 2 * float(w[:-1] @ w[:-1]), np.zeros(SLOTS), 0.0
+    for r in held.mapInArrow(run, "value double, bias double, g binary").toArrow().to_pylist():
+        value, g, g_bias = value + r["value"], g + np.frombuffer(r["g"], np.float32), g_bias + r["bias"]
+    shipped.destroy()
+    return value, np.append(g[kept] * ratio + l2 * w[:-1], g_bias)
+
+
+def minimised(f, w: np.ndarray, steps: int, memory: int = 5, least_gain: float = 1e-3) -> np.ndarray:
+    """L-BFGS with halved steps; stops when a step gains less than this share of the value."""
+    value, g = f(w)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        d, factors = -g, []
+        for s, y, r in reversed(past):
+            factors.append(r * (s @ d))
+            d = d - factors[-1] * y
+        d = d * (1 / (past[-1][2] * (past[-1][1] @ past[-1][1])) if past else 1 / max(1e-12, float(np.abs(g).sum())))
+        for (s, y, r), k in zip(past, reversed(factors)):
+            d = d + (k - r * (y @ d)) * s
+        slope, t = float(g @ d), 1.0
+        while True:
+            after, g_after = f(w + t * d)
+            if after <= value + 1e-4 * t * slope or t < 1e-3:
+                break
+            t /= 2
+        if after > value:
+            break
+        s, y = t * d, g_after - g
+        if s @ y > 1e-12:
+            past = [*past, (s, y, 1 / float(s @ y))][-memory:]
+        gain = value - after
+        w, value, g = w + s, after, g_after
+        if gain < least_gain * value:
+            break
+    return w
 
 
 def score(docs: DataFrame, fitted: dict) -> DataFrame:
@@ -153,10 +208,8 @@ def score(docs: DataFrame, fitted: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        t = _table_of(m["features"])
         for batch, texts in slices(batches):
-            of, f = pairs(texts, t)
-            z = np.bincount(of, m["weights"][f], len(texts)) + m["bias"]
+            z = sum((np.bincount(of, m["weights"][slot], len(texts)) for of, slot in pairs(texts)), np.full(len(texts), m["bias"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))), pa.float64())], ["doc_id", "score"])
 
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, score double")
