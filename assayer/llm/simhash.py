@@ -5,29 +5,39 @@ the text's 3-word shingles, repeats included, have it.  Two fingerprints are lin
 if they differ in at most three bits.
 
 Candidates.  The fingerprint is cut into four segments of 16 bits.  If two differ in at
-most three bits, some segment is equal in both and some other differs in at most
-one bit.  A segment, padded to 23 bits, is decoded with the perfect (23, 12) Golay
-code: every 23-bit word lies within distance 3 of just one codeword.  Its keys are
-the index of that codeword and, if the distance is 3, the indexes of the five
+most three bits, some segment i is equal in both and the next one (i + 1 modulo 4) differs
+in at most one bit: else every equal segment would be followed by two errors or more, and
+every other one holds an error.  A segment, padded to 23 bits, is decoded with the
+perfect (23, 12) Golay code: every 23-bit word lies within distance 3 of just one codeword.
+Its keys are the index of that codeword and, if the distance is 3, the indexes of the five
 codewords at distance 4: words that differ in one bit always share a key.  (If x decodes
 to c and y does not, y is at distance 4 from c, and so at distance 3 from its own
-codeword, and c is among its keys.)  A key of a fingerprint is an equal segment, its
-number, another segment's number and one of its codeword indexes.
+codeword, and c is among its keys.)  A key of a fingerprint is segment i, its
+number, and one of the codeword indexes of the next segment.
 
 Join and verify.  Distinct fingerprints meet by key; in each group a search from
 neighbour to neighbour compares only with those not yet reached, so that a dense
-group costs about as much as it has members, and gives one edge to the root for each member
-instead of all pairs.  The edges of all groups join to components by alternating
-large-star and small-star steps over Spark joins, with a written table after
-each.  No link between different fingerprints is lost.
+group costs about as much as it has members, and gives one edge for each member
+instead of all pairs.  A group of more than ``most_group`` members is never held: its members are
+dealt anew by a codeword index of one of the two other segments as well.  At most
+one of these holds two of the three errors, so linked members still meet.  The edges
+of all groups join to components by alternating large-star and small-star steps over
+Spark joins, with a written table after each.  No link between different fingerprints is
+lost.
+
+``near_groups`` finds texts whose 5-word shingles have a similarity of 0.8 or more.  A few
+changed words change a share of the shingles five times as large, so candidates come from
+``spaces`` independent fingerprints of the set of words, linked as above; each link
+is then verified by a second signature, the 256-bit SimHash of the set of 5-word shingles.
 
 Null, empty and blank texts have fingerprint zero, linked like any other.  Null ids
 are left out of the smallest id of a component; a component without any id has a
-null component.  Repeated rows stay repeated.
+null component.  Repeated rows stay repeated.  Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -96,19 +106,43 @@ def golay_keys() -> np.ndarray:
     return keys
 
 
-def keyed(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of fingerprints, and the fingerprint of each."""
-    table_of = golay_keys()
+PAIRS = [(i, (i + 1) % 4) for i in range(4)]
+
+
+def segments(fps: np.ndarray) -> list[np.ndarray]:
     u = fps.view(np.uint64)
-    segment = [(u >> np.uint64(16 * k)).astype(np.int64) & 0xFFFF for k in range(4)]
+    return [(u >> np.uint64(16 * k)).astype(np.int64) & 0xFFFF for k in range(4)]
+
+
+def keyed(fps: np.ndarray, space: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of fingerprints, and the position of the fingerprint of each; ``space`` keeps kinds of fingerprints apart."""
+    table_of, parts = golay_keys(), segments(fps)
+    space = np.broadcast_to(np.asarray(space, np.int64), len(fps))
     keys, of = [], []
-    for i in range(4):
-        for j in range(4):
-            if i != j:
-                near = table_of[segment[j]].astype(np.int64)
-                row, column = np.nonzero(near >= 0)
-                keys.append(((i * 4 + j) << 28) | (segment[i][row] << 12) | near[row, column])
-                of.append(fps[row])
+    for i, j in PAIRS:
+        near = table_of[parts[j]].astype(np.int64)
+        row, column = np.nonzero(near >= 0)
+        keys.append(((space[row] * 4 + i) << 28) | (parts[i][row] << 12) | near[row, column])
+        of.append(row)
+    return np.concatenate(keys), np.concatenate(of)
+
+
+def rekeyed(key: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Finer keys for members of large groups: the key with a codeword index of one of the two segments it does not use.
+
+    Equal finer keys of different keys cost a comparison, no more.
+    """
+    table_of, parts = golay_keys(), np.stack(segments(fps))
+    first = (key >> 28) & 3
+    keys, of = [], []
+    for step in (2, 3):
+        other = (first + step) % 4
+        near = table_of[parts[other, np.arange(len(fps))]].astype(np.int64)
+        row, column = np.nonzero(near >= 0)
+        mixed = key[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ((near[row, column] << 2) | step).astype(np.uint64)
+        mixed ^= mixed >> np.uint64(32)
+        keys.append((mixed * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64))
+        of.append(row)
     return np.concatenate(keys), np.concatenate(of)
 
 
@@ -117,73 +151,124 @@ def differing(a: np.ndarray, b) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def edges_of(group: np.ndarray, most: int) -> tuple[list[int], list[int]]:
-    """For a group of distinct fingerprints: each member of a component, and its smallest member."""
-    left = np.sort(group)
-    member, root = [], []
+def edges_of(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For a group of fingerprints: positions of each member that a search reaches, and of the member it is reached from."""
+    left = np.argsort(fps, kind="stable")
+    member, source = [], []
     while len(left) > 1:
-        first, left = left[0], left[1:]
-        queue, reached = [first], [first]
+        queue, left = [left[0]], left[1:]
         while queue and len(left):
-            near = differing(left, queue.pop()) <= most
+            at = queue.pop()
+            near = differing(fps[left], fps[at]) <= most
             if near.any():
-                new = left[near].tolist()
-                queue.extend(left[near])
-                reached.extend(new)
+                new = left[near]
+                queue.extend(new.tolist())
+                member.append(new)
+                source.append(np.full(len(new), at))
                 left = left[~near]
-        if len(reached) > 1:
-            low = int(min(reached))
-            for r in reached:
-                if int(r) != low:
-                    member.append(int(r))
-                    root.append(low)
-    return member, root
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *member]), np.concatenate([none, *source])
+
+
+_MET = "key long, fp long, a long, b long"
+
+
+def _meet(most: int, most_group: int | None):
+    """Groups of rows (key, fp, node), sorted by key: edges between nodes; members of too large groups come back with their key."""
+
+    def told(key, fp, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), pa.array(a), pa.array(b)], ["key", "fp", "a", "b"])
 
+    def linked(key, fp, node):
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+        sizes = np.diff(np.append(starts, len(key)))
+        two = starts[sizes == 2]
+        near = two[differing(fp[two], fp[two + 1]) <= most]
+        member, source = [node[near]], [node[near + 1]]
+        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            m, r = edges_of(fp[s : s + n], most)
+            member.append(node[s + m])
+            source.append(node[s + r])
+        m, r = np.concatenate(member), np.concatenate(source)
+        each = np.unique(np.stack([np.maximum(m, r), np.minimum(m, r)], 1)[m != r], axis=0)
+        none = pa.nulls(len(each), pa.int64())
+        return told(none, none, each[:, 0], each[:, 1])
 
-def links(distinct: DataFrame, most: int = 3) -> DataFrame:
-    """Edges (a, b) that join the distinct fingerprints ``fp`` as all links do; a > b."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64)] * 3
+        large = None  # the key whose members go on
+        for batch in batches:
+            rows = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns)]
+            if not len(rows[0]):
+                continue
+            if large is not None:
+                n = int(np.searchsorted(rows[0], large, "right"))
+                if n:
+                    yield told(rows[0][:n], rows[1][:n], rows[2][:n], pa.nulls(n, pa.int64()))
+                    rows = [r[n:] for r in rows]
+                if not len(rows[0]):
+                    rest = rows
+                    continue
+                large = None
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            if last:
+                yield from whole(*(r[:last] for r in rows))
+            rest = [r[last:] for r in rows]
+            if most_group and len(rest[0]) > most_group:
+                large = rest[0][0]
+                yield told(rest[0], rest[1], rest[2], pa.nulls(len(rest[0]), pa.int64()))
+                rest = [r[:0] for r in rest]
+        if len(rest[0]):
+            yield from whole(*rest)
+
+    def whole(key, fp, node):
+        if most_group:
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+            sizes = np.diff(np.append(starts, len(key)))
+            over = np.repeat(sizes > most_group, sizes)
+            if over.any():
+                yield told(key[over], fp[over], node[over], pa.nulls(int(over.sum()), pa.int64()))
+                key, fp, node = key[~over], fp[~over], node[~over]
+        if len(key):
+            yield linked(key, fp, node)
+
+    return run
+
+
+def links(distinct: DataFrame, most: int = 3, most_group: int = 4096) -> DataFrame:
+    """Edges (a, b), a > b, that join the nodes of distinct fingerprints as all links of a space do.
+
+    ``distinct`` has fp, and may have space (a small number; fingerprints of different spaces
+    are never linked) and node (the fingerprint itself if it is missing).
+    """
     if not 0 <= most <= 3:
         raise ValueError("segments and code allow at most three differing bits")
+    space = F.col("space").cast("long") if "space" in distinct.columns else F.lit(0).cast("long")
+    node = F.col("node") if "node" in distinct.columns else F.col("fp")
+    rows = distinct.select(space.alias("space"), F.col("fp").alias("fp"), node.alias("node"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                key, fp = keyed(batch.column(0).slice(at, 4096).to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp)], ["key", "fp"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_key, rest_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def grouped(key, fp):
-            ends = np.flatnonzero(np.diff(key)) + 1
-            starts = np.concatenate([[0], ends])
-            sizes = np.diff(np.concatenate([starts, [len(key)]]))
-            two = starts[sizes == 2]
-            near = differing(fp[two], fp[two + 1]) <= most
-            a, b = fp[two[near]], fp[two[near] + 1]
-            member, root = [np.maximum(a, b)], [np.minimum(a, b)]
-            for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                m, r = edges_of(fp[s : s + n], most)
-                member.append(np.array(m, np.int64))
-                root.append(np.array(r, np.int64))
-            each = np.unique(np.stack([np.concatenate(member), np.concatenate(root)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(each[:, 0]), pa.array(each[:, 1])], ["a", "b"])
+                s, f, n = (c.to_numpy() for c in batch.slice(at, 4096).columns)
+                key, of = keyed(f, s)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(f[of]), pa.array(n[of])], ["key", "fp", "node"])
 
+    def respread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = np.concatenate([rest_key, batch.column(0).to_numpy()])
-            fp = np.concatenate([rest_fp, batch.column(1).to_numpy()])
-            if not len(key):
-                continue
-            last = int(np.searchsorted(key, key[-1]))
-            rest_key, rest_fp = key[last:], fp[last:]
-            if last:
-                yield grouped(key[:last], fp[:last])
-        if len(rest_key):
-            yield grouped(rest_key, rest_fp)
+            for at in range(0, batch.num_rows, 4096):
+                k, f, n = (c.to_numpy() for c in batch.slice(at, 4096).columns)
+                key, of = rekeyed(k, f)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(f[of]), pa.array(n[of])], ["key", "fp", "node"])
 
-    keys = distinct.select("fp").mapInArrow(spread, "key long, fp long")
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
+    met = lambda keys, size: keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(most, size), _MET)
+    first = saved(met(rows.mapInArrow(spread, "key long, fp long, node long"), most_group).distinct())
+    edges, large = first.filter("key IS NULL").select("a", "b"), first.filter("key IS NOT NULL")
+    if not large.isEmpty():
+        finer = large.select("key", "fp", F.col("a").alias("node")).mapInArrow(respread, "key long, fp long, node long")
+        edges = edges.unionByName(met(finer, None).select("a", "b"))
+    return edges.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -214,7 +299,7 @@ def clustered(prints: DataFrame, most: int = 3) -> DataFrame:
     """The rows of ``fingerprints`` with component_id, the smallest doc_id that links reach."""
     prints = saved(prints)
     least = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    stars = saved(components(links(least, most)))
+    stars = saved(components(links(least.select("fp"), most)))
     named = least.join(stars, least["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = stars.select("node", "root").unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
@@ -224,6 +309,83 @@ def clustered(prints: DataFrame, most: int = 3) -> DataFrame:
     return prints.join(each, "fp")
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
+
+
+class Signer:
+    """Signatures of texts: SimHashes of the set of words and of the set of shingles; words are hashed once and remembered."""
+
+    def __init__(self, words: int, spaces: int, more: int):
+        self.words, self.spaces, self.more = words, spaces, more
+        self.known: dict[bytes, int] = {}
+
+    def sums(self, h: np.ndarray, n: int) -> np.ndarray:
+        """``n`` fingerprints of a set of hashes."""
+        ones = np.zeros((n, 64), np.int64)
+        for at in range(0, len(h), 1 << 13):
+            y = h[None, at : at + (1 << 13)] * _ODD[:n, None]
+            y ^= y >> np.uint64(31)
+            y *= _MIX
+            y ^= y >> np.uint64(29)
+            ones += np.unpackbits(y.astype("<u8").view(np.uint8).reshape(n, -1, 8), axis=2, bitorder="little").sum(1, dtype=np.int64)
+        return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<i8").reshape(n)
+
+    def sign(self, text: bytes | None) -> np.ndarray:
+        w = text.translate(_LOWER).split() if text else []
+        if not w:
+            return np.zeros(self.spaces + self.more, np.int64)
+        if len(self.known) > 300_000:
+            self.known.clear()
+        known = self.known
+        for x in set(w):
+            if x not in known:
+                known[x] = xxhash.xxh64_intdigest(x, 42)
+        h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
+        k = min(self.words, len(w))
+        n = len(w) - k + 1
+        shingles = np.zeros(n, np.uint64)
+        for i in range(k):
+            shingles = (shingles ^ h[i : i + n]) * _MIX
+            shingles ^= shingles >> np.uint64(32)
+        return np.concatenate([self.sums(np.unique(h), self.spaces), self.sums(np.unique(shingles), self.more)])
+
+
+def most_bits(similarity: float, bits: int) -> int:
+    """Differing bits that sets of this Jaccard similarity have at most, in nine cases of ten."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + 1.3 * math.sqrt(bits * p * (1 - p)))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, spaces: int = 6, more: int = 4) -> DataFrame:
+    """(least, component_id), one row for each signature that occurs: the smallest id that has it, and that of its group."""
+    df = two_columns(docs, id_col, text_col)
+    kind = df.schema["doc_id"].dataType.simpleString()
+    fps, rest = [f"w{k}" for k in range(spaces)], [f"v{k}" for k in range(more)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(words, spaces, more)
+        for batch, texts in slices(batches):
+            each = np.array([signer.sign(t) for t in texts], np.int64).reshape(-1, spaces + more)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in each.T)], ["doc_id", *fps, *rest])
+
+    signed = df.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in [*fps, *rest]))
+    nodes = saved(signed.groupBy(*fps, *rest).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    spread = F.explode(F.array(*(F.struct(F.lit(k).alias("space"), F.col(c).alias("fp")) for k, c in enumerate(fps)))).alias("s")
+    spaced = nodes.select("node", spread).select("s.space", "s.fp", "node")
+    first = saved(spaced.groupBy("space", "fp").agg(F.min("node").alias("node"), F.max("node").alias("_last")))
+    # nodes with an equal fingerprint are candidates of the first of them
+    shared = first.filter("node < _last").select("space", "fp", F.col("node").alias("b"))
+    equal = spaced.join(shared, ["space", "fp"]).filter("node > b").select(F.col("node").alias("a"), "b")
+    candidates = links(first.select("space", "fp", "node")).unionByName(equal).distinct()
+    sides = [nodes.select(F.col("node").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in rest)) for s in ("a", "b")]
+    bits = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in rest), F.lit(0))
+    edges = candidates.join(sides[0], "a").join(sides[1], "b").filter(bits <= most_bits(similarity, 64 * more)).select("a", "b")
+    stars = saved(components(edges))
+    named = nodes.select("node", "least").join(stars, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+    return named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("least", "component_id")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     rows = clustered(fingerprints(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
