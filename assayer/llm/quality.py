@@ -5,11 +5,19 @@ field labels the lines as content or boilerplate, decoded by Viterbi.  A text is
 if lines labelled content hold at least ``min_share`` of its words, and if it passes
 the base rules (50 words at least, at most half of them in repeated 3-word windows).
 
-The field is trained here, on at most ``sample_rows`` labelled rows (chosen by a hash of
-the id) whose lines inherit the quality label of their document; only the features
-of those lines reach the driver.  Without labels of both kinds
-every line is content.  Null texts have no words and are not kept.  A line is a
-maximal run without a line feed; words are separated by the bytes 0x09-0x0D and 0x20.
+The field is trained here, on about ``sample_rows`` labelled rows at most (chosen by a hash of
+the id), each whole; only the features and hashes of those lines reach the driver.  Labels are
+of documents, so those of lines are found by expectation maximisation: at first the
+lines of a document have its label, but for lines that stand in several documents between
+different neighbours, which are boilerplate.  After each training the lines take the labels that the
+field gives them, as long as most words of a document of good quality stay content and
+most of a bad one boilerplate.  Half of the training sequences are spliced: a run of lines of a
+document of the other kind is set among the lines, with its own labels, so that the
+field learns where boilerplate begins and ends inside a text.
+
+Without labels of both kinds every line is content.  Null texts have no words and are not kept.  A
+line is a maximal run without a line feed; words are separated by the bytes 0x09-0x0D and
+0x20.  Repeated rows are judged each for itself; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,28 +113,81 @@ class Field:
         return [*out, label][::-1] if found else []
 
 
-def trained(docs: list[tuple[int, list[list[int]]]], steps: int = 60, l2: float = 1e-3) -> Field:
-    """Maximum likelihood by gradient ascent over all chains at once (forward and backward by position)."""
-    labels = {y for y, _ in docs}
-    if labels != {0, 1}:
+#: A line is boilerplate at first if it stands between so many different neighbours.
+CONTEXTS = 5
+Doc = tuple[int, list[list[int]], list[int], list[int]]  # label, features, words and hashes of the lines
+
+
+def first_labels(docs: list[Doc]) -> list[list[int]]:
+    """The document's label for its lines, but 0 for lines that recur between different neighbours."""
+    around: dict[int, set] = {}
+    for _, _, _, hashes in docs:
+        for k, h in enumerate(hashes):
+            seen = around.setdefault(h, set())
+            if len(seen) < CONTEXTS:
+                seen.add((hashes[k - 1] if k else None, hashes[k + 1] if k + 1 < len(hashes) else None))
+    return [[0 if len(around[h]) >= CONTEXTS else y for h in hashes] for y, _, _, hashes in docs]
+
+
+def within_bag(doc: Doc, new: list[int], old: list[int]) -> list[int]:
+    """The new labels if most words then still have the label of the document, else the old ones."""
+    y, _, words, _ = doc
+    own = sum(n for n, label in zip(words, new) if label == y)
+    return new if 2 * own > sum(words) else old
+
+
+def spliced(docs: list[Doc], labels: list[list[int]], seed: int = 0) -> list[tuple[int, list[int], list[list[int]]]]:
+    """Training sequences (label of the document, labels of the lines, features): every other one holds a run of lines of the other kind."""
+    r = np.random.default_rng(seed)
+    by_kind = [[k for k, d in enumerate(docs) if d[0] == y] for y in (0, 1)]
+    out = []
+    for k, (y, found, _, _) in enumerate(docs):
+        own, other = labels[k], by_kind[1 - y]
+        if k % 2 and other:
+            give = int(other[r.integers(len(other))])
+            size = int(r.integers(1, 2 + min(8, len(docs[give][1]) - 1)))
+            start, at = int(r.integers(len(docs[give][1]) - size + 1)), int(r.integers(len(own) + 1))
+            own = own[:at] + labels[give][start : start + size] + own[at:]
+            found = found[:at] + docs[give][1][start : start + size] + found[at:]
+        out.append((y, own, found))
+    return out
+
+
+def trained(docs: list[Doc], rounds: int = 3) -> Field:
+    """Alternates training on the labels of the lines and labelling the lines by the field."""
+    docs = [d for d in docs if d[1]]
+    if {d[0] for d in docs} != {0, 1}:
         return Field(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
-    docs = sorted(docs, key=lambda d: -len(d[1]))
-    every_size = np.array([len(f) for _, f in docs])
-    y_all = np.array([d[0] for d in docs])
+    first = labels = first_labels(docs)
+    field = None
+    for k in range(rounds):
+        field = maximised(spliced(docs, labels, k), field)
+        labels = [within_bag(d, field.viterbi(d[1]), old) for d, old in zip(docs, first)]
+    return field
+
+
+def maximised(chains: list[tuple[int, list[int], list[list[int]]]], start: Field | None, steps: int = 50, l2: float = 1e-3) -> Field:
+    """Maximum likelihood by gradient ascent over all chains at once (forward and backward by position)."""
+    chains = sorted(chains, key=lambda d: -len(d[2]))
+    every_size = np.array([len(f) for _, _, f in chains])
+    y_all = np.array([d[0] for d in chains])
     weights = np.where(y_all == 1, 0.5 / (y_all == 1).sum(), 0.5 / (y_all == 0).sum())
     weights /= (weights * every_size).sum()
     groups = []  # chains of similar length, so that padding at most doubles them
     at = 0
-    while at < len(docs):
+    while at < len(chains):
         to = int(np.searchsorted(-every_size, -(every_size[at] // 2), "left"))
         to = max(to, at + 1)
-        some, size, y = docs[at:to], every_size[at:to], y_all[at:to]
+        some, size = chains[at:to], every_size[at:to]
         n, longest = len(some), int(size[0])
-        cell = np.array([i * n + k for k, (_, found) in enumerate(some) for i, f in enumerate(found) for _ in f], np.int64)
-        feature = np.array([v for _, found in some for f in found for v in f], np.int64)
+        cell = np.array([i * n + k for k, (_, _, found) in enumerate(some) for i, f in enumerate(found) for _ in f], np.int64)
+        feature = np.array([v for _, _, found in some for f in found for v in f], np.int64)
+        y = np.zeros((longest, n), np.int8)
+        for k, (_, own, _) in enumerate(some):
+            y[: len(own), k] = own
         groups.append((n, longest, size, y, weights[at:to], cell, feature))
         at = to
-    emit, move = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
+    emit, move = (np.zeros((N_FEATURES, 2)), np.zeros((2, 2))) if start is None else (start.emit.copy(), start.move.copy())
     m_emit, m_move = np.zeros_like(emit), np.zeros_like(move)
     for _ in range(steps):
         g_emit, g_move = -l2 * emit, -l2 * move
@@ -138,7 +200,7 @@ def trained(docs: list[tuple[int, list[list[int]]]], steps: int = 60, l2: float
 
 
 def _gradient(emit, move, n, longest, size, y, c, cell, feature) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient of chains, padded to the longest; ``cell`` is the place of each ``feature``."""
+    """Gradient of chains with labels ``y`` by position, padded to the longest; ``cell`` is the place of each ``feature``."""
     live = np.arange(longest)[:, None] < size[None]
     e = np.stack([np.bincount(cell, emit[feature, k], longest * n) for k in range(2)], 1).reshape(longest, n, 2)
     alpha = np.zeros((longest, n, 2))
@@ -151,13 +213,13 @@ def _gradient(emit, move, n, longest, size, y, c, cell, feature) -> tuple[np.nda
         beta[i] = np.where(live[i + 1][:, None], np.logaddexp(after[:, :1] + move[:, 0], after[:, 1:] + move[:, 1]), 0)
     z = np.logaddexp(*alpha[size - 1, np.arange(n)].T)
     gamma = np.exp(np.minimum(alpha + beta - z[None, :, None], 0)) * live[..., None]
-    truth = np.stack([1 - y, y], 1)[None] * live[..., None]
+    truth = np.stack([1 - y, y], -1) * live[..., None]
     rest = ((truth - gamma) * c[None, :, None]).reshape(-1, 2)
     g_emit = np.stack([np.bincount(feature, rest[cell, k], N_FEATURES) for k in range(2)], 1)
     pair = alpha[:-1, :, :, None] + move + (e + beta)[1:, :, None, :] - z[None, :, None, None]
     pair = np.exp(np.minimum(pair, 0)) * live[1:, :, None, None]
-    both = np.stack([truth[1:, :, 0], truth[1:, :, 1]], -1)
-    return g_emit, np.einsum("inl,inm->lm", both * c[None, :, None], both) - np.einsum("inlm,n->lm", pair, c)
+    both = truth[:-1, :, :, None] * truth[1:, :, None, :]
+    return g_emit, np.einsum("inlm,n->lm", both - pair, c)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3_000) -> Field:
@@ -172,11 +234,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3_000) -> Field:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            found = [lines(t)[0] if t else [] for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["y", "f"])
+            each = [lines(t) if t else ([], [], 0) for t in texts]
+            hashes = [[xxhash.xxh64_intdigest(line.strip(SPACES)) >> 1 for line in t.split(b"\n") if line.split()] if t else [] for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([e[0] for e in each], pa.list_(pa.list_(pa.int32()))), pa.array([e[1] for e in each], pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], ["y", "f", "n", "h"])
 
-    got = rows.mapInArrow(run, "y int, f array<array<int>>").filter(F.size("f") > 0).toArrow().to_pylist()
-    return trained([(r["y"], r["f"]) for r in got])
+    got = rows.mapInArrow(run, "y int, f array<array<int>>, n array<int>, h array<long>").filter(F.size("f") > 0).toArrow().to_pylist()
+    got.sort(key=lambda r: (r["h"], r["y"]))  # the same order whatever the tasks were
+    return trained([(r["y"], r["f"], r["n"], r["h"]) for r in got])
 
 
 def judge(text: bytes | None, field: Field, min_share: float) -> tuple:
