@@ -145,7 +145,7 @@ def spliced(docs: list[Doc], labels: list[list[int]], seed: int = 0) -> list[tup
         own, other = labels[k], by_kind[1 - y]
         if k % 2 and other:
             give = int(other[r.integers(len(other))])
-            size = int(r.integers(1, 2 + min(8, len(docs[give][1]) - 1)))
+            size = int(min(r.geometric(0.4), len(docs[give][1])))
             start, at = int(r.integers(len(docs[give][1]) - size + 1)), int(r.integers(len(own) + 1))
             own = own[:at] + labels[give][start : start + size] + own[at:]
             found = found[:at] + docs[give][1][start : start + size] + found[at:]
@@ -166,7 +166,7 @@ def trained(docs: list[Doc], rounds: int = 3) -> Field:
     return field
 
 
-def maximised(chains: list[tuple[int, list[int], list[list[int]]]], start: Field | None, steps: int = 50, l2: float = 1e-3) -> Field:
+def maximised(chains: list[tuple[int, list[int], list[list[int]]]], start: Field | None, steps: int = 120, l2: float = 1e-4) -> Field:
     """Maximum likelihood by gradient ascent over all chains at once (forward and backward by position)."""
     chains = sorted(chains, key=lambda d: -len(d[2]))
     every_size = np.array([len(f) for _, _, f in chains])
