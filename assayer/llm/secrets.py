@@ -4,19 +4,29 @@ Base patterns (leftmost non-overlapping matches of each, failing ones dropped):
 assign (a key word, a sign, a value of 6 or more characters), access (AKIA and capitals
 or digits, 20 or more) and hex (24 or more digits in lower case).
 
-The battery looks at every other run of 20 or more characters of base-64 alphabets
-that mixes digits with letters.  An encoding is inferred from the characters; over its
-alphabet a chi-squared test of uniform use, a runs test around the middle of the alphabet and a
-serial-correlation test at lag one are made, and p = min(1, 3 * least p).  Random
-strings have p spread evenly, others have p near 0.  For each class of encoding and
-length, the number of random strings is estimated from the half with p > 0.5; a string is
-reported if p reaches the least threshold at which the share of other strings
-above it is estimated to be at most ``fdr``.  The histogram behind the thresholds
-covers all rows and has a fixed number of cells.
-
-Offsets count code points, ends are exclusive.  Null texts count as empty.  Rows are
-handled one by one but for the histogram; extra columns are kept as they are, names
-beginning with ``_secret`` excepted.
+The battery looks at every other run of ``LEAST`` or more base-64 characters, that is every
+maximal run that no base span touches.  Its encoding is the smallest alphabet that holds it.
+
+Randomness: over that alphabet a chi-squared test of uniform use, a runs test around the middle of
+the alphabet and a serial-correlation test at lag one are made, and p = min(1, 3 * least p).
+A run with p < ``REJECTED`` is not random and is never reported: repeated alphabets, counters,
+words with a pattern.
+
+False discoveries: the null of a run is that it is ordinary text (a word, a name, a path, a
+number), whose characters repeat more often than random ones.  For each encoding ``COLLIDE`` has
+the probability that two characters of ordinary strings are equal.  The chi-squared
+statistic of ordinary text of n characters then has a mean that lies (n - 1) (k c - 1) above that of
+random strings, so that q, the probability of a statistic as small as the one found, falls with
+the length: a short run cannot be told from a word, a long one can.  The q of all runs
+of all lengths and encodings are pooled, and the Benjamini-Hochberg rule sets the threshold at
+which at most ``fdr`` of the reported runs are expected to be ordinary text.  It works on
+a histogram of q with a fixed number of cells over all rows, and takes the upper end of a cell
+for all in it.  Classes with few runs need no rule of their own, since the null is not estimated
+from them.
+
+Offsets count code points, ends are exclusive.  Null and empty texts have no spans.  Rows are
+handled one by one but for the histogram, repeated rows too; extra columns are kept as they are, names
+beginning with ``_secret`` excepted: these are replaced.
 """
 
 from __future__ import annotations
@@ -35,19 +45,30 @@ PATTERNS = {
 #: The same for kinds whose matches have the least length as a condition of their own.
 SEARCHED = {"assign": PATTERNS["assign"], "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 KINDS = ["assign", "access", "hex", "random"]
-TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+LEAST = 16
+TOKEN = rf"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}"
 
+_D, _U = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Alphabets in the order in which they are tried, with their pattern.
 ALPHABETS = {
-    "digits": "0123456789",
-    "hex": "0123456789abcdef",
-    "HEX": "0123456789ABCDEF",
-    "upper": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-    "lower": "0123456789abcdefghijklmnopqrstuvwxyz",
-    "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
-    "base64": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/",
+    "digits": (_D, "0-9"),
+    "hex": (_D + "abcdef", "0-9a-f"),
+    "HEX": (_D + "ABCDEF", "0-9A-F"),
+    "lower": (_U.lower(), "a-z"),
+    "upper": (_U, "A-Z"),
+    "base36": (_D + _U.lower(), "0-9a-z"),
+    "BASE36": (_D + _U, "0-9A-Z"),
+    "letters": (_U + _U.lower(), "A-Za-z"),
+    "base62": (_D + _U + _U.lower(), "0-9A-Za-z"),
+    "base64": (_D + _U + _U.lower() + "+/", "0-9A-Za-z+/"),
 }
-LENGTHS = (20, 28, 36, 48, 64, 128)
-BINS = 50
+#: How often two characters of ordinary strings of an encoding are equal (prose: 0.065 and more).
+COLLIDE = {"digits": 0.15, "hex": 0.11, "HEX": 0.11, "lower": 0.065, "upper": 0.065, "base36": 0.06, "BASE36": 0.06, "letters": 0.06, "base62": 0.055, "base64": 0.055}
+#: The share of equal triples of characters, relative to the square of the share of equal pairs (prose: 1.3).
+TRIPLES = 1.3
+REJECTED = 0.01
+#: Cells of the histogram of q: tenths of a power of ten.
+CELLS = 150
 _OPEN, _CLOSE, _PLAIN = "", "", ""
 _STEP = 256
 
@@ -101,16 +122,17 @@ def _upper_tail(z: Column) -> Column:
 
 def encoding(value: Column) -> Column:
     out = F.lit("base64")
-    for name, kind in (("base62", "A-Za-z0-9"), ("lower", "a-z0-9"), ("upper", "A-Z0-9"), ("HEX", "A-F0-9"), ("hex", "a-f0-9"), ("digits", "0-9")):
+    for name, (_, kind) in reversed(ALPHABETS.items()):
         out = F.when(value.rlike(f"^[{kind}]+$"), F.lit(name)).otherwise(out)
     return out
 
 
 def battery(value: Column) -> Column:
-    """(encoding, n, p) of a string of base-64 characters."""
+    """(encoding, n, p, q) of a string of base-64 characters: p that it is random, q that it is ordinary text."""
     body = F.translate(F.rtrim(F.translate(value, "=", " ")), "-_", "+/")
     name = encoding(body)
-    alphabet = F.element_at(F.create_map(*(F.lit(x) for kv in ALPHABETS.items() for x in kv)), name)
+    alphabet = F.element_at(F.create_map(*(F.lit(x) for k, (letters, _) in ALPHABETS.items() for x in (k, letters))), name)
+    collide = F.element_at(F.create_map(*(F.lit(x) for kv in COLLIDE.items() for x in kv)), name)
 
     def tested(s):
         n, k, codes = s["n"].cast("double"), s["k"], s["codes"]
@@ -129,21 +151,25 @@ def battery(value: Column) -> Column:
         v = F.aggregate(codes, F.lit(0.0), lambda a, c: a + (c - m) * (c - m))
         lagged = F.aggregate(steps, F.lit(0.0), lambda a, t: a + (t["a"] - m) * (t["b"] - m))
         p_serial = F.when(v > 0, 2 * _upper_tail(F.abs((lagged / v) + 1 / n) * F.sqrt(n))).otherwise(F.lit(0.0))
-        return F.struct(s["name"].alias("encoding"), s["n"].alias("n"), F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)).alias("p"))
+        # ordinary text: mean and variance of the number of equal pairs, scaled as chi-squared is
+        c = s["collide"]
+        above = (n - 1) * (k * c - 1)
+        spread = k / n * F.sqrt(4 * n * (n - 1) * (n - 2) * (TRIPLES - 1) * c * c + 2 * n * (n - 1) * (c - c * c))
+        q = _upper_tail((k - 1 + above - chi) / spread)
+        return F.struct(s["name"].alias("encoding"), s["n"].alias("n"), F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)).alias("p"), q.alias("q"))
 
     def coded(s):
         codes = F.transform(F.sequence(F.lit(1), F.length(s["body"])), lambda k: F.instr(s["alphabet"], F.substring(s["body"], k, F.lit(1))) - 1)
-        return F.struct(s["name"].alias("name"), F.length(s["body"]).alias("n"), F.length(s["alphabet"]).alias("k"), codes.alias("codes"))
+        return F.struct(s["name"].alias("name"), F.length(s["body"]).alias("n"), F.length(s["alphabet"]).alias("k"), s["collide"].alias("collide"), codes.alias("codes"))
 
-    first = F.array(F.struct(name.alias("name"), body.alias("body"), alphabet.alias("alphabet")))
+    first = F.array(F.struct(name.alias("name"), body.alias("body"), alphabet.alias("alphabet"), collide.alias("collide")))
     return F.transform(F.transform(first, coded), tested)[0]
 
 
-def _class(c: Column) -> tuple[Column, Column]:
-    size = F.lit(0)
-    for k, least in enumerate(LENGTHS):
-        size = F.when(c["n"] >= least, F.lit(k)).otherwise(size)
-    return F.concat_ws(":", c["encoding"], size.cast("string")), F.least(F.floor(c["p"] * BINS), F.lit(BINS - 1)).cast("int")
+def cell(test: Column) -> Column:
+    """Cell of the histogram: the least power of ten (in tenths) that q does not exceed; the first one if the run is not random."""
+    power = F.floor(-10 * F.log10(F.greatest(test["q"], F.lit(1e-300))))
+    return F.when(test["p"] < REJECTED, 0).otherwise(F.least(F.greatest(power, F.lit(0)), F.lit(CELLS - 1))).cast("int")
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -152,38 +178,30 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     base = F.concat(spans(text, "assign", SEARCHED["assign"], 6), spans(text, "access", SEARCHED["access"]), spans(text, "hex", SEARCHED["hex"]))
     tokens = F.when(text.rlike(TOKEN), spans(text, "random", TOKEN))
     df = docs.withColumn("_secret_base", F.array_sort(base)).withColumn("_secret_tokens", F.coalesce(tokens, F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")))
-    mixed = F.filter("_secret_tokens", lambda t: t["value"].rlike("[0-9]") & t["value"].rlike("[A-Za-z]"))
-    tested = F.transform(mixed, lambda t: F.struct(t["start"].alias("start"), t["rank"].alias("rank"), t["end"].alias("end"), t["kind"].alias("kind"), battery(t["value"]).alias("test")))
+    other = F.filter("_secret_tokens", lambda t: ~F.exists("_secret_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    tested = F.transform(other, lambda t: F.struct(t["start"].alias("start"), t["rank"].alias("rank"), t["end"].alias("end"), t["kind"].alias("kind"), battery(t["value"]).alias("test")))
     bare = F.transform("_secret_base", lambda t: F.struct(t["start"].alias("start"), t["rank"].alias("rank"), t["end"].alias("end"), t["kind"].alias("kind")))
     return df.withColumn("_secret_tested", tested).withColumn("_secret_base", bare).drop("_secret_tokens")
 
 
-def thresholds(scanned: DataFrame, fdr: float = 0.1) -> dict[str, float]:
-    """The least p to report, by class of encoding and length: from at most classes * BINS counts."""
-    c = F.col("c.test")
-    name, cell = _class(c)
-    counts = scanned.select(F.explode("_secret_tested").alias("c")).select(name.alias("name"), cell.alias("cell")).groupBy("name", "cell").count().collect()
-    by_class: dict[str, list[int]] = {}
+def threshold(scanned: DataFrame, fdr: float = 0.1) -> int | None:
+    """The first cell to report, by Benjamini and Hochberg over the runs of all rows; none if nothing can be reported."""
+    at = cell(F.col("c.test"))
+    counts = scanned.select(F.explode("_secret_tested").alias("c")).select(at.alias("cell")).groupBy("cell").count().collect()  # CELLS rows at most
+    bins = [0] * CELLS
     for r in counts:
-        by_class.setdefault(r["name"], [0] * BINS)[r["cell"]] += r["count"]
-    out = {}
-    for key, bins in by_class.items():
-        random = min(2 * sum(bins[BINS // 2 :]), sum(bins))
-        for k in range(1, BINS):
-            above = sum(bins[k:])
-            if above and max(0.0, above - random * (1 - k / BINS)) / above <= fdr:
-                out[key] = k / BINS
-                break
-    return out
-
-
-def found(scanned: DataFrame, least: dict[str, float]) -> DataFrame:
-    """``scanned`` with _secrets: all spans in order, reported candidates of the battery among them."""
-    if least:
-        by_class = F.create_map(*(x for k, v in sorted(least.items()) for x in (F.lit(k), F.lit(v))))
-        random = F.filter("_secret_tested", lambda t: F.coalesce(t["test"]["p"] >= F.element_at(by_class, _class(t["test"])[0]), F.lit(False)))
-    else:
-        random = F.filter("_secret_tested", lambda t: F.lit(False))
+        bins[r["cell"]] += r["count"]
+    total, above, first = sum(bins), 0, None
+    for k in range(CELLS - 1, 0, -1):
+        above += bins[k]
+        if above and total * 10 ** (-k / 10) <= fdr * above:
+            first = k
+    return first
+
+
+def found(scanned: DataFrame, first: int | None) -> DataFrame:
+    """``scanned`` with _secrets: all spans in order, the runs from cell ``first`` on among them."""
+    random = F.filter("_secret_tested", lambda t: cell(t["test"]) >= first if first is not None else F.lit(False))
     plain = F.transform(random, lambda t: F.struct(t["start"].alias("start"), t["rank"].alias("rank"), t["end"].alias("end"), t["kind"].alias("kind")))
     return scanned.withColumn("_secrets", F.array_sort(F.concat("_secret_base", plain)))
 
@@ -215,6 +233,6 @@ def _listed(column: str) -> Column:
 
 def query(spark, sf_dir: str) -> DataFrame:
     scanned = saved(scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
-    rows = found(scanned, thresholds(scanned))
+    rows = found(scanned, threshold(scanned))
     n = lambda kind: F.size(F.filter("_secret_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return rows.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(_listed("_secret_base").cast("binary"), 256).alias("base_sha256"), _listed("_secrets").alias("spans"))
