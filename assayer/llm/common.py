@@ -27,15 +27,27 @@ def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
+    """A new folder below ``spark.checkpoint.dir``, in one folder of this application.
+
+    Only a local master, as in tests, gets a folder of its own where the setting is missing; on a cluster
+    that is an error, since executors do not share local folders.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = made.get() if made.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="assayer-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/assayer-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/assayer-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def released(spark: SparkSession) -> None:
+    """Deletes all tables that ``saved`` has written in this application; results that read them are no longer of use."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark)).getParent()
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def saved(df: DataFrame) -> DataFrame:

@@ -189,8 +189,8 @@ def judged(scanned: DataFrame, percent: int = 5) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns.
 
-    With one block of items the rows are filtered where they are; with more, hits are
-    united by a key of id and text first.
+    With one block of items the rows are filtered where they are; with more, they are written
+    once with a row number, by which the hits of the blocks are united.
     """
     blocks = list(_blocks(items, item_id, item_text, block_bytes))
     if len(blocks) == 1:
@@ -204,9 +204,10 @@ def clean(docs: DataFrame, items: DataFrame, percent: int = 5, id_col: str = "do
                 yield batch.filter(pa.array([not h or 100 * h < percent * n for n, h in hits], pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)
-    keyed = docs.withColumn("_text_key", F.xxhash64(id_col, text_col))
-    bad = judged(scan(keyed, items, "_text_key", text_col, item_id, item_text, window, block_bytes), percent).filter("contaminated")
-    return keyed.join(bad.select(F.col("doc_id").alias("_text_key")).distinct(), "_text_key", "left_anti").select(*docs.columns)
+    names = [f"c{k}" for k in range(len(docs.columns))]  # so that no column clashes with the number
+    keyed = saved(docs.toDF(*names).withColumn("number", F.monotonically_increasing_id()))
+    bad = judged(scan(keyed, items, "number", names[docs.columns.index(text_col)], item_id, item_text, window, block_bytes), percent).filter("contaminated")
+    return keyed.join(bad.select(F.col("doc_id").alias("number")), "number", "left_anti").select(*names).toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
