@@ -1,13 +1,17 @@
 """Licence scans by sentence rules.  DataFrame functions only.
 
-A text is cut into sentences (at line ends, and after . ! ? ; : before white space), each
-sentence is normalised (A-Z in lower case, everything but a-z and 0-9 to one space) and looked
-up among known licence sentences.  The identifiers found, in order, are then matched
+Lines are freed of comment marks, bullets and list numbers at their start.  Blank lines end a
+paragraph; within it sentences end after . ! ? ; : before white space, or go on over line ends,
+as texts are wrapped.  A sentence is normalised (A-Z in lower case, everything but a-z and
+0-9 to one space, names in fixed phrases to a placeholder) and looked up among known licence
+sentences.  If it is none, the parts of it on each line are looked up, since short notices often stand
+on a line without a full stop around them.  The identifiers found, in order, are then matched
 against the licence rules in their order: a rule is a sequence of identifiers that must
 follow each other, with no other known sentence between; sentences that a rule has
-used are not used again.
+used are not used again.  So a family's long rules stand before its short ones.
 
-Null and empty texts have no sentences.  Each row is judged alone; extra columns stay behind.
+Null and empty texts have no sentences.  Each row is judged alone, repeated rows alike; extra
+columns stay behind.  A text of any length is one row in memory.
 """
 
 from __future__ import annotations
@@ -17,80 +21,204 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Known sentences in normal form, by identifier.
+#: Names in fixed phrases that differ from text to text: pattern and form, tried in order on normalised sentences.
+PLACEHOLDERS = [
+    (r"^neither the names? of .+ nor the names of (its|their|any|the) contributors may be used", "neither the name of x nor the names of its contributors may be used"),
+    (r"^this software is provided by .+ as is and any express", "this software is provided by x as is and any express"),
+    (r"^in no event shall .+ be liable for any direct indirect", "in no event shall x be liable for any direct indirect"),
+    (r"^in no event shall .+ be liable for any claim damages", "in no event shall x be liable for any claim damages"),
+    (r"^in no event shall .+ be liable for any special direct", "in no event shall x be liable for any special direct"),
+    (r"^(the software|software) is provided as is and .+ disclaims all warranties", "the software is provided as is and x disclaims all warranties"),
+    (r"^[a-z0-9 ]+ is free software$", "this program is free software"),
+    (r"^[a-z0-9 ]+ is distributed in the hope that it will be useful but", "this program is distributed in the hope that it will be useful but"),
+    (r"^(released|licensed|distributed|available|provided|published|made available) under (the |a )?(terms of )?(the )?", "licensed under the "),
+    (r"^(this|the) (work|file|software|project|program|code|library|source code|document|text|page|content) is (released|licensed|distributed|available|provided|published|made available) under (the |a )?(terms of )?(the )?", "licensed under the "),
+]
+#: What every sentence that a placeholder changes matches, begins with or holds; the others are spared the patterns.
+_MAY_CHANGE = r"^(neither the name|this software is provided|in no event shall|the software is provided|software is provided|(this|the) [a-z]+( code)? is [a-z]+( available)? under|(released|licensed|distributed|available|provided|published|made available) under)"
+_MAY_HOLD = (" is free software", " is distributed in the hope that it will be useful but")
+
+_SHORT = {
+    "apache-short": ["apache license version 2 0", "apache license 2 0", "apache 2 0 license"],
+    "mit-short": ["mit license"],
+    "bsd-short": ["bsd license"],
+    "bsd2-short": ["bsd 2 clause license", "2 clause bsd license", "simplified bsd license"],
+    "bsd3-short": ["bsd 3 clause license", "3 clause bsd license", "new bsd license"],
+    "isc-short": ["isc license"],
+    "zlib-short": ["zlib license"],
+    "boost-short": ["boost software license version 1 0"],
+    "mpl2-short": ["mozilla public license version 2 0", "mozilla public license v 2 0"],
+    "epl2-short": ["eclipse public license version 2 0", "eclipse public license v 2 0"],
+    "gpl2-short": ["gnu general public license version 2", "gnu gpl version 2", "gpl version 2"],
+    "gpl3-short": ["gnu general public license version 3", "gnu gpl version 3", "gpl version 3"],
+    "lgpl21-short": ["gnu lesser general public license version 2 1", "lgpl version 2 1"],
+    "lgpl3-short": ["gnu lesser general public license version 3", "lgpl version 3"],
+    "agpl3-short": ["gnu affero general public license version 3", "agpl version 3"],
+    "cc-by-short": ["cc by 4 0", "creative commons attribution 4 0 international license"],
+    "cc-by-sa-short": ["cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"],
+    "cc-by-nc-short": ["cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"],
+    "cc-by-nd-short": ["cc by nd 4 0", "creative commons attribution noderivatives 4 0 international license"],
+}
+
+#: Known sentences in normal form, by identifier.
 SENTENCES = {
-    "apache-short": ["licensed under the apache license version 2 0", "released under the apache license version 2 0", "this work is licensed under the apache license version 2 0"],
+    **{name: [f"licensed under the {form}" for form in forms] for name, forms in _SHORT.items()},
     "apache-notice": ["licensed under the apache license version 2 0 the license"],
     "apache-compliance": ["you may not use this file except in compliance with the license"],
-    "apache-copy": ["you may obtain a copy of the license at"],
+    "apache-copy": ["you may obtain a copy of the license at", "you may obtain a copy of the license at http www apache org licenses license 2 0", "you may obtain a copy of the license at https www apache org licenses license 2 0"],
     "apache-as-is": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
-    "mit-short": ["released under the mit license", "licensed under the mit license", "this work is licensed under the mit license"],
-    "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"],
+    "apache-see": ["see the license for the specific language governing permissions and limitations under the license"],
+    "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"],
     "mit-notice": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
-    "mit-as-is": ["the software is provided as is without warranty of any kind express or implied"],
-    "bsd-short": ["released under the bsd license", "licensed under the bsd license", "this work is licensed under the bsd license"],
+    "mit-as-is": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "the software is provided as is without warranty of any kind express or implied"],
+    "mit-liability": ["in no event shall x be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"],
     "bsd-grant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "bsd-source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
     "bsd-binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
-    "gpl3-short": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "released under the gnu general public license version 3"],
-    "gpl-grant": ["this program is free software"],
-    "gpl-redistribute": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
-    "cc-by-short": ["licensed under cc by 4 0", "released under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
-    "cc-by-nc-short": ["licensed under cc by nc 4 0", "released under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
+    "bsd-endorse": ["neither the name of x nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd-advertising": ["all advertising materials mentioning features or use of this software must display the following acknowledgement"],
+    "bsd-as-is": ["this software is provided by x as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"],
+    "bsd-liability": ["in no event shall x be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services"],
+    "isc-grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "isc-as-is": ["the software is provided as is and x disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"],
+    "isc-liability": ["in no event shall x be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"],
+    "bsd0-grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "gpl-free": ["this program is free software"],
+    "gpl-terms": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
+    "lgpl-terms": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"],
+    "gnu-v2": ["either version 2 of the license or at your option any later version"],
+    "gnu-v21": ["either version 2 1 of the license or at your option any later version"],
+    "gnu-v3": ["either version 3 of the license or at your option any later version"],
+    "gpl2-grant": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation"],
+    "gpl3-grant": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "lgpl21-grant": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version", "you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
+    "lgpl3-grant": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "agpl3-grant": ["you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "gpl-warranty": ["this program is distributed in the hope that it will be useful but without any warranty"],
+    "mpl2-notice": ["this source code form is subject to the terms of the mozilla public license v 2 0", "this source code form is subject to the terms of the mozilla public license v"],
+    "mpl2-copy": ["if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at https"],
+    "unlicense-domain": ["this is free and unencumbered software released into the public domain"],
+    "unlicense-anyone": ["anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
+    "zlib-as-is": ["this software is provided as is without any express or implied warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"],
+    "zlib-liability": ["in no event will the authors be held liable for any damages arising from the use of this software"],
+    "zlib-grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "boost-grant": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"],
+    "epl2-notice": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0", "this program and the accompanying materials are made available under the terms of the eclipse public license v2 0 which accompanies this distribution"],
+    "wtfpl": ["you just do what the fuck you want to", "do what the fuck you want to public license"],
+    "cc0": ["to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "this work is dedicated to the public domain under cc0 1 0"],
     "reserved": ["all rights reserved"],
 }
 
 #: Rules in order: licence, class, sequence of identifiers.
 RULES = [
-    ("Apache-2.0", "permissive", ["apache-notice", "apache-compliance", "apache-copy", "apache-as-is"]),
+    ("Apache-2.0", "permissive", ["apache-notice", "apache-compliance", "apache-copy", "apache-as-is", "apache-see"]),
+    ("Apache-2.0", "permissive", ["apache-notice", "apache-compliance", "apache-copy"]),
     ("Apache-2.0", "permissive", ["apache-notice", "apache-compliance"]),
+    ("MIT", "permissive", ["mit-grant", "mit-notice", "mit-as-is", "mit-liability"]),
     ("MIT", "permissive", ["mit-grant", "mit-notice", "mit-as-is"]),
     ("MIT", "permissive", ["mit-grant", "mit-notice"]),
+    ("BSD-4-Clause", "permissive", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising"]),
+    ("BSD-3-Clause", "permissive", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-2-Clause", "permissive", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is"]),
     ("BSD", "permissive", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("BSD", "permissive", ["bsd-grant", "bsd-source"]),
-    ("GPL-3.0", "copyleft", ["gpl-grant", "gpl-redistribute"]),
+    ("ISC", "permissive", ["isc-grant", "isc-as-is", "isc-liability"]),
+    ("ISC", "permissive", ["isc-grant", "isc-as-is"]),
+    ("0BSD", "permissive", ["bsd0-grant", "isc-as-is"]),
+    ("GPL-2.0", "copyleft", ["gpl-free", "gpl2-grant"]),
+    ("GPL-2.0", "copyleft", ["gpl-free", "gpl-terms", "gnu-v2"]),
+    ("GPL-3.0", "copyleft", ["gpl-free", "gpl-terms", "gnu-v3"]),
+    ("LGPL-2.1", "copyleft", ["gpl-free", "lgpl-terms", "gnu-v21"]),
+    ("LGPL-3.0", "copyleft", ["gpl-free", "lgpl-terms", "gnu-v3"]),
+    ("GPL-3.0", "copyleft", ["gpl-free", "gpl3-grant"]),
+    ("LGPL-2.1", "copyleft", ["gpl-free", "lgpl21-grant"]),
+    ("LGPL-3.0", "copyleft", ["gpl-free", "lgpl3-grant"]),
+    ("AGPL-3.0", "copyleft", ["gpl-free", "agpl3-grant"]),
+    ("MPL-2.0", "copyleft", ["mpl2-notice", "mpl2-copy"]),
+    ("MPL-2.0", "copyleft", ["mpl2-notice"]),
+    ("Unlicense", "permissive", ["unlicense-domain", "unlicense-anyone"]),
+    ("Zlib", "permissive", ["zlib-as-is", "zlib-liability", "zlib-grant"]),
+    ("Zlib", "permissive", ["zlib-as-is", "zlib-grant"]),
+    ("BSL-1.0", "permissive", ["boost-grant"]),
+    ("EPL-2.0", "copyleft", ["epl2-notice"]),
+    ("WTFPL", "permissive", ["wtfpl"]),
+    ("CC0-1.0", "permissive", ["cc0"]),
     ("Apache-2.0", "permissive", ["apache-short"]),
     ("Apache-2.0", "permissive", ["apache-notice"]),
     ("MIT", "permissive", ["mit-short"]),
+    ("BSD-2-Clause", "permissive", ["bsd2-short"]),
+    ("BSD-3-Clause", "permissive", ["bsd3-short"]),
     ("BSD", "permissive", ["bsd-short"]),
+    ("ISC", "permissive", ["isc-short"]),
+    ("Zlib", "permissive", ["zlib-short"]),
+    ("BSL-1.0", "permissive", ["boost-short"]),
+    ("MPL-2.0", "copyleft", ["mpl2-short"]),
+    ("EPL-2.0", "copyleft", ["epl2-short"]),
+    ("GPL-2.0", "copyleft", ["gpl2-short"]),
     ("GPL-3.0", "copyleft", ["gpl3-short"]),
-    ("CC-BY-4.0", "permissive", ["cc-by-short"]),
+    ("LGPL-2.1", "copyleft", ["lgpl21-short"]),
+    ("LGPL-3.0", "copyleft", ["lgpl3-short"]),
+    ("AGPL-3.0", "copyleft", ["agpl3-short"]),
+    ("CC-BY-SA-4.0", "copyleft", ["cc-by-sa-short"]),
     ("CC-BY-NC-4.0", "restricted", ["cc-by-nc-short"]),
+    ("CC-BY-ND-4.0", "restricted", ["cc-by-nd-short"]),
+    ("CC-BY-4.0", "permissive", ["cc-by-short"]),
     ("Proprietary", "restricted", ["reserved"]),
 ]
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_STOP = "\x01"
+#: White space, comment marks, then a bullet or list number, at the start of a line.
+_MARKS = r"(^|\n)[ \t]*(?:(?://+|/\*+|\*+/?|#+|;+|--+|<!--|%+|>+)[ \t]*)*(?:(?:[-*]|\(?[0-9]{1,2}[.)]|\(?[a-z]\))[ \t]+)?"
+_BLANK = r"\n[ \t]*\n[ \t\n]*"
+_END = r"([.!?;:])[ \t\n]+"
+
+
+def _plain(s: Column) -> Column:
+    return F.trim(F.lower(F.regexp_replace(s, "[^A-Za-z0-9]+", " ")))
+
+
+def _canonical(s: Column) -> Column:
+    out = s
+    for pattern, form in PLACEHOLDERS:
+        out = F.regexp_replace(out, pattern, form)
+    return F.when(s.rlike(_MAY_CHANGE) | s.contains(_MAY_HOLD[0]) | s.contains(_MAY_HOLD[1]), out).otherwise(s)
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences that are not empty."""
-    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "([.!?;:])[ \\t\\r]+", "$1\n"), "\n")
-    plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.translate(s, _UPPER, _LOWER), "[^a-z0-9]+", " ")))
-    return F.filter(plain, lambda s: s != "")
+    """Array of (whole, parts): each sentence in normal form, and its lines if there are several; empty ones left out."""
+    clean = F.when(text.contains("\r") | text.contains(_STOP), F.translate(text, "\r" + _STOP, "\n ")).otherwise(F.coalesce(text, F.lit("")))
+    lines = F.regexp_replace(clean, _MARKS, "$1")
+    cut = F.split(F.regexp_replace(F.regexp_replace(lines, _BLANK, _STOP), _END, "$1" + _STOP), _STOP)
+    none = F.array().cast("array<string>")
+    each = F.transform(cut, lambda s: F.struct(_plain(s).alias("whole"), F.when(s.contains("\n"), F.transform(F.split(s, "\n"), _plain)).otherwise(none).alias("parts")))
+    return F.transform(F.filter(each, lambda s: s["whole"] != ""), lambda s: F.struct(_canonical(s["whole"]).alias("whole"), F.transform(s["parts"], _canonical).alias("parts")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, list[str]] = SENTENCES, rules=RULES) -> DataFrame:
     """One row per document: doc_id, n_sentences, sentence_ids, licenses, classes (arrays)."""
     by_text = F.create_map(*(F.lit(x) for name, forms in known.items() for form in forms for x in (form, name)))
+    forms = [form for of in known.values() for form in of]
     df = docs.select(F.col(id_col).alias("doc_id"), sentences(F.col(text_col).cast("string")).alias("s"))
-    found = F.filter(F.transform("s", lambda s: F.element_at(by_text, s)), lambda k: k.isNotNull())
+    parts = lambda s: F.transform(F.filter(s["parts"], lambda p: p.isin(forms)), lambda p: F.element_at(by_text, p))
+    found = F.flatten(F.transform("s", lambda s: F.when(s["whole"].isin(forms), F.array(F.element_at(by_text, s["whole"]))).otherwise(parts(s))))
     df = df.select("doc_id", F.size("s").cast("long").alias("n_sentences"), found.alias("sentence_ids"))
-    df = df.withColumn("_rest", F.concat(F.lit("|"), F.array_join(F.transform("sentence_ids", lambda k: F.concat(k, F.lit("|"))), "|")))
-    hits = []
-    for n, (name, kind, ids) in enumerate(rules):
-        # every identifier stands as |id| so that neighbours do not share a bar
-        form = "|" + "||".join(ids) + "|"
-        hit = F.col("_rest").contains(form)
-        df = df.withColumn(f"_hit{n}", F.when(hit, F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"))))
-        df = df.withColumn("_rest", F.replace("_rest", F.lit(form), F.lit("#")))
-        hits.append(f"_hit{n}")
-    all_hits = F.filter(F.array(*hits), lambda h: h.isNotNull())
+    # every identifier stands as |id| so that neighbours do not share a bar
+    rest = F.concat(F.lit("|"), F.array_join(F.transform("sentence_ids", lambda k: F.concat(k, F.lit("|"))), "|"))
+    ordered = F.array(*(F.struct(F.lit("|" + "||".join(ids) + "|").alias("form"), F.lit(name).alias("name"), F.lit(kind).alias("kind")) for name, kind, ids in rules))
+    none = F.array().cast("array<struct<name:string,kind:string>>")
+
+    def applied(acc, r):
+        hit = F.struct(F.replace(acc["rest"], r["form"], F.lit("#")).alias("rest"), F.concat(acc["hits"], F.array(F.struct(r["name"], r["kind"]))).alias("hits"))
+        return F.when(acc["rest"].contains(r["form"]), hit).otherwise(acc)
+
+    hits = F.aggregate(ordered, F.struct(rest.alias("rest"), none.alias("hits")), applied)["hits"]
+    df = df.withColumn("_hits", F.when(F.size("sentence_ids") > 0, hits).otherwise(none))
     return df.select(
         "doc_id",
         "n_sentences",
         "sentence_ids",
-        F.array_sort(F.array_distinct(F.transform(all_hits, lambda h: h["name"]))).alias("licenses"),
-        F.array_sort(F.array_distinct(F.transform(all_hits, lambda h: h["kind"]))).alias("classes"),
+        F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h["name"]))).alias("licenses"),
+        F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h["kind"]))).alias("classes"),
     )
 
 
@@ -114,11 +242,19 @@ def _sql() -> str:
         form = "|" + "||".join(ids) + "|"
         steps.append(f"r{n} AS (SELECT *, contains(rest{n}, '{form}') AS h{n}, replace(rest{n}, '{form}', '#') AS rest{n + 1} FROM {'base' if not n else f'r{n - 1}'})")
     pick = lambda k: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN h{n} THEN '{r[k]}' END" for n, r in enumerate(RULES)) + "], lambda x: x IS NOT NULL))), ',')"
+    plain = lambda x: f"trim(lower(regexp_replace({x}, '[^A-Za-z0-9]+', ' ', 'g')))"
+    canonical = "v"
+    for pattern, form in PLACEHOLDERS:
+        canonical = f"regexp_replace({canonical}, '{pattern}', '{form}')"
     return rf"""
-WITH known(s, k) AS (VALUES {known}),
-d AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)),
-      lambda s: trim(regexp_replace(translate(s, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') AS s FROM documents),
-f AS (SELECT doc_id, list(k ORDER BY p) AS ids FROM (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS p FROM d) JOIN known USING (s) GROUP BY doc_id),
+WITH known(v, k) AS (VALUES {known}),
+l AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), chr(13) || chr(1), chr(10) || ' '), '{_MARKS}', '\1', 'g') AS t FROM documents),
+d AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(t, '{_BLANK}', chr(1), 'g'), '{_END}', '\1' || chr(1), 'g'), chr(1)), lambda s: {plain("s")} <> '') AS s FROM l),
+e AS (SELECT doc_id, p, s, {plain("s")} AS v FROM (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS p FROM d)),
+w AS (SELECT doc_id, p, s, k FROM (SELECT doc_id, p, s, {canonical} AS v FROM e) LEFT JOIN known USING (v)),
+q AS (SELECT doc_id, p, j, {canonical} AS v FROM (SELECT doc_id, p, j, {plain("x")} AS v FROM (SELECT doc_id, p, unnest(string_split(s, chr(10))) AS x, generate_subscripts(string_split(s, chr(10)), 1) AS j FROM w WHERE k IS NULL AND contains(s, chr(10))))),
+a AS (SELECT doc_id, p, 0 AS j, k FROM w WHERE k IS NOT NULL UNION ALL SELECT doc_id, p, j, k FROM q JOIN known USING (v)),
+f AS (SELECT doc_id, list(k ORDER BY p, j) AS ids FROM a GROUP BY doc_id),
 base AS (SELECT d.doc_id, CAST(len(s) AS BIGINT) AS n_sentences, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_known,
          coalesce(array_to_string(ids, ','), '') AS sentence_ids,
          coalesce('|' || array_to_string(list_transform(ids, lambda k: k || '|'), '|'), '|') AS rest0 FROM d LEFT JOIN f USING (doc_id)),
