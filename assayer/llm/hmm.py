@@ -9,9 +9,11 @@ words and one unknown word of each symbol sum to one.
 
 Training.  Baum-Welch: every task adds up the expected counts of its documents, Spark
 adds up the tasks', and the driver normalises: its tables have states x symbols
-cells, whatever the input.  Each of the ``rounds`` rounds covers all training documents, at
-every size of input, with exact messages over whole documents; the score is the exact forward
-recursion, scaled at every token, over the whole document.
+cells, whatever the input.  Every round covers all training documents, at every size of input,
+with exact messages over whole documents; rounds end when one gains less than ``gain`` of the
+log likelihood, or after ``rounds``.  The expected counts of a task are taken in single precision
+and added up in double; the score is the exact forward recursion in double precision, scaled
+at every token, over the whole document.
 
 Counts of rare words never leave Spark: they are joined by word and added up by document.
 
@@ -36,6 +38,8 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 RARE = 64
 #: Tokens whose messages are held at one time, about; a longer sequence is one group.
 TOKENS = 1 << 19
+#: How far the first emissions of the states lie apart.
+SPREAD = 1.5
 END = ""
 
 
@@ -136,7 +140,7 @@ class Model:
     @classmethod
     def first(cls, states: int, weight: np.ndarray) -> Model:
         r = np.random.default_rng(0)
-        emit = weight[:, None] * np.exp(r.normal(0, 1, (len(weight), states)))
+        emit = weight[:, None] * np.exp(r.normal(0, SPREAD, (len(weight), states)))
         move = 0.7 * np.eye(states) + 0.3 / states
         return cls(np.full(states, 1 / states), move, emit / emit.sum(0))
 
@@ -147,12 +151,13 @@ class Model:
         move, start = move + 0.1, start + 0.1
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
-    def expected(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expected counts of whole sequences, many at once, and their log likelihood."""
+    def expected(self, rows: list[np.ndarray], kind=np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts of whole sequences, many at once, and their log likelihood; messages have the given precision."""
         k = len(self.start)
+        own_start, own_move, own_emit = (x.astype(kind) for x in (self.start, self.move, self.emit))
         start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros_like(self.emit), 0.0
         rows = sorted((s for s in rows if len(s)), key=len)
-        one = np.ones(k)
+        one = np.ones(k, kind)
         for some in _groups(rows):
             # tokens stand by their place in the sequence, longest sequence first
             size = np.array([len(s) for s in some])
@@ -162,23 +167,23 @@ class Model:
             place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             sym = np.empty(len(place), np.int64)
             sym[off[place] + np.repeat(np.arange(len(some)), size)] = np.concatenate(some)
-            b, scale = self.emit[sym], np.empty(len(sym))
+            b, scale = own_emit[sym], np.empty(len(sym), kind)
             alpha = np.empty_like(b)
             live, off = live.tolist(), off.tolist()
             before = 0
             for o, n in zip(off, live):
                 a = alpha[o : o + n]
                 if o:
-                    np.matmul(alpha[before : before + n], self.move, out=a)
+                    np.matmul(alpha[before : before + n], own_move, out=a)
                     a *= b[o : o + n]
                 else:
-                    np.multiply(self.start, b[:n], out=a)
+                    np.multiply(own_start, b[:n], out=a)
                 z = np.matmul(a, one, out=scale[o : o + n])
                 a /= z[:, None]
                 before = o
-            total += float(np.log(scale).sum())
+            total += float(np.log(scale).sum(dtype=np.float64))
             b /= scale[:, None]
-            beta, back_move = np.ones((len(some), k)), np.ascontiguousarray(self.move.T)
+            beta, back_move = np.ones((len(some), k), kind), np.ascontiguousarray(own_move.T)
             pairs = np.zeros((k, k))
             for i in range(t - 1, -1, -1):
                 o, n = off[i], live[i]
@@ -190,7 +195,7 @@ class Model:
                     pairs += alpha[off[i - 1] : off[i - 1] + n].T @ back
                     np.matmul(back, back_move, out=now)
             move += pairs * self.move
-            start += alpha[: live[0]].sum(0)
+            start += alpha[: live[0]].sum(0, dtype=np.float64)
             for s in range(k):
                 emit[:, s] += np.bincount(sym, alpha[:, s], len(emit))
         return start, move, emit, total
@@ -220,37 +225,59 @@ class Model:
         return out
 
 
+#: Symbols whose counts travel in one row.
+BLOCK = 2048
+
+
 def baum_welch(sequences: DataFrame, model: Model, weight: np.ndarray) -> tuple[Model, float]:
-    """One round over all rows of ``sequences`` (symbols): a row of counts for each task."""
-    shipped = sequences.sparkSession.sparkContext.broadcast(model)
+    """One round over all rows of ``sequences`` (symbols): rows of packed counts for each task, added up by block."""
+    spark = sequences.sparkSession
+    shipped = spark.sparkContext.broadcast(model)
+    k = len(model.start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, sums = shipped.value, None
         for batch in batches:
             rows = [np.frombuffer(s, np.uint16) for s in batch.column(0).to_pylist()]
-            new = m.expected(rows)
+            new = m.expected(rows, np.float32)
             sums = new if sums is None else tuple(a + b for a, b in zip(sums, new))
         if sums is not None:
             start, move, emit, total = sums
-            used = np.flatnonzero(emit.any(1))
-            keys = [*used.tolist(), -1, -2, *(-3 - i for i in range(len(start)))]
-            values = [*emit[used].tolist(), start.tolist(), [total] * len(start), *move.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(values, pa.list_(pa.float64()))], ["key", "v"])
+            blocks = [b for b in range(0, len(emit), BLOCK) if emit[b : b + BLOCK].any()]
+            packed = [np.concatenate([start, move.ravel(), [total]]).tobytes(), *(emit[b : b + BLOCK].astype(np.float32).tobytes() for b in blocks)]
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *blocks], pa.int32()), pa.array(packed, pa.binary())], ["block", "v"])
 
-    k = len(model.start)
-    each = sequences.select("symbols").mapInArrow(run, "key int, v array<double>")
-    added = each.groupBy("key").agg(*(F.sum(F.col("v")[s]).alias(f"v{s}") for s in range(k))).toPandas()
-    keys, values = added["key"].to_numpy(), added[[f"v{s}" for s in range(k)]].to_numpy()
-    if not len(keys):
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        told = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "v"])
+        for batch in batches:
+            for block, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                values = np.frombuffer(v, np.float64 if block < 0 else np.float32).astype(np.float64)
+                if block != now:
+                    if now is not None:
+                        yield told()
+                    now, total = block, values
+                else:
+                    total = total + values
+        if now is not None:
+            yield told()
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = sequences.select("symbols").mapInArrow(run, "block int, v binary")
+    rows = each.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(added, "block int, v binary").collect()  # the tables of the model
+    if not rows:
         return model, 0.0
-    emit, move = np.zeros_like(model.emit), np.zeros((k, k))
-    emit[keys[keys >= 0]] = values[keys >= 0]
-    for i in range(k):
-        move[i] = values[keys == -3 - i][0]
-    return Model.normalised(values[keys == -1][0], move, emit, weight), float(values[keys == -2][0][0])
+    emit = np.zeros_like(model.emit)
+    for r in rows:
+        values = np.frombuffer(r["v"], np.float64)
+        if r["block"] < 0:
+            start, move, total = values[:k], values[k : k + k * k].reshape(k, k), float(values[-1])
+        else:
+            emit[r["block"] : r["block"] + BLOCK] = values.reshape(-1, k)
+    return Model.normalised(start, move, emit, weight), total
 
 
-def score(docs: DataFrame, held_out, frequent: int = 60_000, states: int = 8, rounds: int = 14) -> DataFrame:
+def score(docs: DataFrame, held_out, frequent: int = 60_000, states: int = 8, rounds: int = 14, gain: float = 1e-3) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``held_out`` is a condition on doc_id; the model learns from the other rows.
@@ -282,10 +309,13 @@ def score(docs: DataFrame, held_out, frequent: int = 60_000, states: int = 8, ro
     # sorted by length, so that a task's sequences of similar length stand together
     known = saved(encoded(rows, words, top_c).withColumn("row", F.monotonically_increasing_id()).sortWithinPartitions(F.octet_length("symbols")))
     train = known.filter("NOT held_out")
-    model = Model.first(states, weight)
+    model, before = Model.first(states, weight), -math.inf
     for _ in range(rounds if total else 0):
-        model, _ = baum_welch(train, model, weight)
+        model, likelihood = baum_welch(train, model, weight)
         spark.sparkContext._jvm.System.gc()  # lets Spark delete the round's shuffle files
+        if likelihood - before < -gain * likelihood:
+            break
+        before = likelihood
 
     # rare words: counts come by word, sums go back by document
     pairs = known.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("tf"))

@@ -178,7 +178,7 @@ def test_hmm_every_round_takes_all_documents(spark, monkeypatch):
     seen, plain = [], hmm.baum_welch
     monkeypatch.setattr(hmm, "baum_welch", lambda sequences, *a: (seen.append(sequences.count()), plain(sequences, *a))[1])
     hmm.score(frame(spark, [f"a{k % 7} b c" for k in range(2500)]), F.lit(False), frequent=20, states=2)
-    assert seen == [2500] * 14
+    assert len(seen) > 1 and set(seen) == {2500}
 
 
 def test_quality_figures_and_viterbi(spark):
