@@ -37,9 +37,9 @@ from .common import crc_mod, held, saved, slices, table
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 RARE = 64
 #: Tokens whose messages are held at one time, about; a longer sequence is one group.
-TOKENS = 1 << 19
+TOKENS = 1 << 20
 #: How far the first emissions of the states lie apart.
-SPREAD = 1.5
+SPREAD = 0.7
 END = ""
 
 
@@ -141,7 +141,7 @@ class Model:
     def first(cls, states: int, weight: np.ndarray) -> Model:
         r = np.random.default_rng(0)
         emit = weight[:, None] * np.exp(r.normal(0, SPREAD, (len(weight), states)))
-        move = 0.7 * np.eye(states) + 0.3 / states
+        move = 0.95 * np.eye(states) + 0.05 / states  # states last, as a text has one language
         return cls(np.full(states, 1 / states), move, emit / emit.sum(0))
 
     @classmethod
