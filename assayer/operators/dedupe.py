@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -35,9 +35,14 @@ def without_known_assays(rows: DataFrame, items: DataFrame, group: str = "group_
     return sig(rows).join(sig(items).select("_sig").distinct(), "_sig", "left_anti").drop("_sig")
 
 
+def spread_nulls(key, *others: str) -> Column:
+    """The key, or for nulls a text that differs from row to row, so that these do not meet in one task."""
+    return F.coalesce(F.col(key) if isinstance(key, str) else key, F.concat(F.lit("-"), F.xxhash64(*others).cast("string")))
+
+
 def unique_fingerprints(items: DataFrame, order: list, fp: str = "assay_fingerprint") -> DataFrame:
     """The oldest row of a fingerprint keeps it; on the others it is blanked."""
-    n = F.row_number().over(Window.partitionBy(fp).orderBy(*order))
+    n = F.row_number().over(Window.partitionBy(spread_nulls(fp, *order)).orderBy(*order))
     return items.withColumn(fp, F.when(n == 1, F.col(fp)))
 
 
@@ -49,6 +54,6 @@ def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
 
 def collisions(rows: DataFrame, items: DataFrame, fp: str = "new_fingerprint", held: str = "assay_fingerprint", key: str = "row_no") -> DataFrame:
     """``collides``: another row already holds the fingerprint this one would get."""
-    holders = items.filter(F.col(held).isNotNull()).groupBy(F.col(held).alias(fp)).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+    holders = items.filter(F.col(held).isNotNull()).groupBy(F.col(held).alias("_held")).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
     other = (F.col("_low") != F.col(key)) | (F.col("_high") != F.col(key))
-    return rows.join(holders, fp, "left").withColumn("collides", F.coalesce(other, F.lit(False))).drop("_low", "_high")
+    return rows.join(holders, spread_nulls(fp, key) == F.col("_held"), "left").withColumn("collides", F.coalesce(other, F.lit(False))).drop("_low", "_high", "_held")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .dedupe import collisions
+from .dedupe import collisions, spread_nulls
 
 
 def _state(field: str, w, weight: bool) -> Column:
@@ -59,6 +59,25 @@ def repaired_weights(items: DataFrame) -> DataFrame:
 
 def _refingerprinted(batch: DataFrame, rest: DataFrame) -> DataFrame:
     new = batch.withColumn("new_fingerprint", C.fingerprint("group_id", "serial_code", "weight_kg", "pt_ppm", "pd_ppm", "rh_ppm"))
-    n = F.row_number().over(Window.partitionBy("new_fingerprint").orderBy("row_no"))
+    n = F.row_number().over(Window.partitionBy(spread_nulls("new_fingerprint", "row_no")).orderBy("row_no"))
     flagged = collisions(new.withColumn("_n", n), rest)
     return flagged.withColumn("assay_fingerprint", F.when(~F.col("collides") & (F.col("_n") == 1), F.col("new_fingerprint"))).drop("_n", "new_fingerprint")
+
+
+DETAILS = "details string, detail string, description string, card_texts array<string>, product_name string"
+
+
+def repaired_details(items: DataFrame, markers: tuple[str, ...] = ()) -> DataFrame:
+    """Items with ``outcome`` and ``after``: details that are a JSON object become their text.
+
+    invalid: looks like an object but is none; noop: no object, or the same text; unresolved: an object
+    without a usable text; updated: the rest.
+    """
+    raw = F.coalesce("details", F.lit(""))
+    whole = F.get_json_object(raw, "$")
+    is_object = F.coalesce(F.startswith(C.trim(whole), F.lit("{")), F.lit(False))
+    looks = F.startswith(C.trim(raw), F.lit("{")) & F.endswith(C.trim(raw), F.lit("}"))
+    out = items.withColumn("_o", F.when(is_object, F.from_json(raw, DETAILS)))
+    out = out.withColumn("after", F.when(is_object, C.details_text("_o.details", "_o.detail", "_o.description", "_o.card_texts", "_o.product_name", markers)))
+    outcome = F.when(~is_object, F.when(looks, "invalid").otherwise("noop")).when(F.col("after").isNull(), "unresolved").when(raw == F.col("after"), "noop").otherwise("updated")
+    return out.withColumn("outcome", outcome).drop("_o")

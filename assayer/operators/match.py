@@ -27,11 +27,27 @@ def tiered(left: DataFrame, right: DataFrame, key: str, tiers: list[tuple[str, s
     return out.select(key, n.alias("n"), F.when(n == 1, F.col(target)).alias(target))
 
 
-def group_of_name(names: DataFrame, groups: DataFrame, name: str = "sheet") -> DataFrame:
-    """First group whose name or sheet name is the canonical name."""
+def group_of_name(names: DataFrame, groups: DataFrame, name: str = "sheet", aliases: DataFrame | None = None) -> DataFrame:
+    """First group whose name or sheet name is the canonical name (C10, C11), or that of its alias.
+
+    ``aliases`` has alias and target; an alias that stands several times takes the first target.
+    """
     keys = groups.select(F.col("id").alias("group_id"), F.explode(F.array_distinct(F.array(C.sheet_group_name("sheet_name"), C.sheet_group_name("name")))).alias("_key"))
     first = keys.groupBy("_key").agg(F.min("group_id").alias("group_id"))
-    return names.withColumn("_key", C.sheet_group_name(name)).join(first, "_key", "left").drop("_key")
+    out = names.withColumn("_key", C.sheet_group_name(name))
+    if aliases is not None:
+        known = aliases.groupBy(C.sheet_group_name("alias").alias("_key")).agg(F.min(C.sheet_group_name("target")).alias("_target"))
+        out = out.join(known, "_key", "left").withColumn("_key", F.coalesce("_target", "_key")).drop("_target")
+    return out.join(first, "_key", "left").drop("_key")
+
+
+def configured_group(rows: DataFrame, groups: DataFrame, configured: str = "configured", brand: str = "brand") -> DataFrame:
+    """``group_id``: the configured group if it exists, else the brand's if that exists, else the configured one."""
+    known = groups.select(F.col("id")).distinct()
+    at = lambda df, c: df.join(known.select(F.col("id").alias(c), F.lit(True).alias(f"_{c}")), c, "left")
+    out = at(at(rows, configured), brand)
+    chosen = F.when(F.col(f"_{configured}"), F.col(configured)).when(F.col(f"_{brand}"), F.col(brand)).otherwise(F.col(configured))
+    return out.withColumn("group_id", chosen).drop(f"_{configured}", f"_{brand}")
 
 
 def family_join(items: DataFrame, codes: DataFrame, wanted: DataFrame, group: str | None = "group_id") -> DataFrame:
@@ -40,9 +56,10 @@ def family_join(items: DataFrame, codes: DataFrame, wanted: DataFrame, group: st
     more = codes.select("item_id", C.normalize_serial("code").alias("_key"))
     if group:
         more = more.join(items.select("item_id", group), "item_id")
-    keys = own.unionByName(more).filter("_key <> ''").distinct()
     on = ["_key", *([group] if group else [])]
-    return wanted.withColumnRenamed("serial", "_key").join(keys, on).select("wanted_id", "item_id").distinct()
+    asked = wanted.withColumnRenamed("serial", "_key")
+    keys = own.unionByName(more).filter("_key <> ''").join(asked.select(*on).distinct(), on, "left_semi").distinct()
+    return asked.join(keys, on).select("wanted_id", "item_id").distinct()
 
 
 def best_category(items: DataFrame, categories: DataFrame) -> DataFrame:
@@ -58,20 +75,27 @@ def best_category(items: DataFrame, categories: DataFrame) -> DataFrame:
 def repair_candidates(rows: DataFrame, items: DataFrame, fields: list[str]) -> DataFrame:
     """(row_no, n, item_no): items of the same group and model that agree on all fields the row has.
 
-    Rows with details fall back to agreement without them (C6).
+    A missing model counts as empty; model and shape are compared without regard to case, and blank shapes and
+    details of a row as missing ones.  Rows with details fall back to agreement without them (C6).  ``items`` are those of the
+    source that may be repaired.
     """
+    filled = lambda c: F.nullif(C.trim(c), F.lit(""))
+    shape = "shape_code" in fields
+    items = items.withColumn("model", F.upper(F.coalesce("model", F.lit("")))).withColumns({"shape_code": F.upper("shape_code")} if shape else {})
+    rows = rows.withColumn("model", F.upper(C.trim(F.coalesce("model", F.lit(""))))).withColumn("details", F.when(filled("details").isNotNull(), F.col("details")))
+    rows = rows.withColumns({"shape_code": F.upper(filled("shape_code"))} if shape else {})
     # items are counted once for every set of fields that a row may have, so that no pairs are made
     used = [*fields, "details"]
     lookup = lambda mask, names: [F.when(mask.bitwiseAND(1 << k) != 0, F.col(f)).alias(n) for k, (f, n) in enumerate(zip(used, names))]
     keys = ["_mask", *(f"_{f}" for f in used)]
     mask = F.explode(F.sequence(F.lit(0), F.lit((1 << len(used)) - 1))).alias("_mask")
-    item = items.select("group_id", F.upper("model").alias("_model"), F.col("row_no").alias("item_no"), *used, mask)
+    item = items.select("group_id", F.col("model").alias("_model"), F.col("row_no").alias("item_no"), *used, mask)
     whole = reduce(lambda a, kf: a & ((F.col("_mask").bitwiseAND(1 << kf[0]) == 0) | F.col(kf[1]).isNotNull()), enumerate(used), F.lit(True))
     known = item.filter(whole).select("group_id", "_model", "item_no", "_mask", *lookup(F.col("_mask"), keys[1:]))
     counted = known.groupBy("group_id", "_model", *keys).agg(F.count_distinct("item_no").alias("n"), F.min("item_no").alias("item_no"))
     has = reduce(lambda a, kf: a + F.when(F.col(kf[1]).isNotNull(), 1 << kf[0]).otherwise(0), enumerate(fields), F.lit(0))
     tiers = F.when(F.col("details").isNull(), F.array(F.struct(F.lit(0).alias("t"), has.alias("m")))).otherwise(F.array(F.struct(F.lit(0).alias("t"), (has + (1 << len(fields))).alias("m")), F.struct(F.lit(1).alias("t"), has.alias("m"))))
-    row = rows.withColumn("_rows", F.count("*").over(Window.partitionBy("row_no"))).select("group_id", F.upper("model").alias("_model"), "row_no", "_rows", *used, F.explode(tiers).alias("_at"))
+    row = rows.withColumn("_rows", F.count("*").over(Window.partitionBy("row_no"))).select("group_id", F.col("model").alias("_model"), "row_no", "_rows", *used, F.explode(tiers).alias("_at"))
     row = row.select("row_no", "_rows", F.col("group_id").alias("_g"), F.col("_model").alias("_m"), F.col("_at.t").alias("_tier"), F.col("_at.m").alias("_row_mask"), *lookup(F.col("_at.m"), [f"_row_{f}" for f in used]))
     same = (F.col("_g") == F.col("group_id")) & (F.col("_m") == F.col("_model")) & (F.col("_row_mask") == F.col("_mask"))
     for f in used:
@@ -144,17 +168,21 @@ def unprocessed(records: DataFrame, done: DataFrame, allowed: DataFrame | None =
     return out.join(done.select("hash").filter("hash IS NOT NULL").distinct(), "hash", "left_anti")
 
 
-def nearest_hash(images: DataFrame, references: DataFrame, most_references: int = 10_000) -> DataFrame:
+def nearest_hash(images: DataFrame, references: DataFrame, block: int = 10_000) -> DataFrame:
     """``distance``: least number of differing bits to a reference hash.
 
-    References are a list of checked size, held as one array that every row searches.
+    References are searched in blocks of about ``block`` hashes, each sent to all rows as one array.
     """
-    hashes = [r[0] for r in references.select("phash").filter("phash IS NOT NULL").distinct().limit(most_references + 1).collect()]
-    if len(hashes) > most_references:
-        raise ValueError(f"more than {most_references} reference hashes")
-    if not hashes:
-        return images.withColumn("distance", F.lit(None).cast("int"))
-    return images.withColumn("distance", F.array_min(F.transform(F.array(*map(F.lit, hashes)), lambda h: F.bit_count(h.bitwiseXOR(F.col("phash"))))))
+    hashes = references.select("phash").filter("phash IS NOT NULL").distinct()
+    n = hashes.count()
+    blocks = -(-2 * n // block) if n > block else 1
+    each = hashes.groupBy(F.pmod(F.xxhash64("phash"), F.lit(blocks)).alias("_k")).agg(F.collect_list("phash").alias("_hashes"))
+    out = images.withColumn("distance", F.lit(None).cast("int"))
+    for k in range(blocks):
+        # a block is one row, of bounded size
+        out = out.join(F.broadcast(each.filter(F.col("_k") == k).select("_hashes")), F.lit(True), "left")
+        out = out.withColumn("distance", F.least("distance", F.array_min(F.transform("_hashes", lambda h: F.bit_count(h.bitwiseXOR(F.col("phash"))))))).drop("_hashes")
+    return out
 
 
 def assay_sources(items: DataFrame, source: DataFrame) -> DataFrame:

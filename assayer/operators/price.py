@@ -78,12 +78,25 @@ def estimate(df: DataFrame, fx_rate: float = 1.0) -> DataFrame:
     return out.withColumn("weight_in_grams", F.round(grams, 2)).withColumn("total_usd", F.round(total, 2)).withColumn("total_eur", F.round(total * fx_rate, 2))
 
 
+def bucket(df: DataFrame, at: str) -> Column:
+    """Days of a time, or runs of 65,536 of a number: a key's rows are handled bucket by bucket, as one key may hold most rows."""
+    return F.to_date(at) if dict(df.dtypes)[at].startswith(("timestamp", "date")) else F.floor(F.col(at) / (1 << 16))
+
+
 def change_series(df: DataFrame, key: str, at: str, value: str, given: str | None = None) -> DataFrame:
-    """``change_pct``: the given change, else the change from the previous row; 0 at first and after 0."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(at))
-    own = F.when(before != 0, F.round((F.col(value) - before) / before * 100, 4)).otherwise(F.lit(0.0))
-    own = F.when(before.isNull(), F.lit(0.0)).otherwise(own)
-    return df.withColumn("change_pct", F.coalesce(F.col(given), own) if given else own)
+    """``change_pct``: the given change, else the change from the previous row; 0 at first and after 0.
+
+    The row before the first of a bucket is the last of the bucket before, from a table of one row a bucket.
+    """
+    rows = df.withColumn("_b", bucket(df, at))
+    ends = rows.groupBy(key, "_b").agg(F.max_by(F.struct(value), at).alias("_end"))
+    ends = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy(key).orderBy("_b")))
+    rows = rows.join(ends, [key, "_b"])
+    own = Window.partitionBy(key, "_b").orderBy(at)
+    before = F.coalesce(F.lag(F.struct(value)).over(own), F.col("_end"))[value]
+    change = F.when(before != 0, F.round((F.col(value) - before) / before * 100, 4)).otherwise(F.lit(0.0))
+    change = F.when(before.isNull(), F.lit(0.0)).otherwise(change)
+    return rows.withColumn("change_pct", F.coalesce(F.col(given), change) if given else change).drop("_b", "_end")
 
 
 def daily(df: DataFrame, at: str, value: str, days: int, key: str) -> DataFrame:
@@ -108,10 +121,34 @@ def complete_snapshots(quotes: DataFrame, snapshot: str, key: str = "key", price
 
 
 def last_known(snapshots: DataFrame, at: str, value: str, key: str, ttl_seconds: int = 86_400, tie: str | None = None) -> DataFrame:
-    """Failed snapshots (null value) take the last good one, if it is young enough (S2, batch form)."""
-    w = Window.partitionBy(key).orderBy(at, *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, 0)
-    good = F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("at"), F.col(value).alias("v")))
-    kept = F.last(good, ignorenulls=True).over(w)
+    """Failed snapshots (null value) take the last good one, if it is young enough (S2, batch form).
+
+    The last good one of earlier buckets comes from a table of one row a bucket.
+    """
+    order = [at, *([tie] if tie else [])]
+    rows = snapshots.withColumn("_b", bucket(snapshots, at)).withColumn("_good", F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("at"), F.col(value).alias("v"))))
+    ends = rows.groupBy(key, "_b").agg(F.max_by("_good", F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_end"))
+    earlier = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_end", F.last("_end", ignorenulls=True).over(earlier))
+    w = Window.partitionBy(key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(ends, [key, "_b"])
+    kept = F.coalesce(F.last("_good", ignorenulls=True).over(w), F.col("_end"))
     age = F.unix_timestamp(at) - F.unix_timestamp(kept["at"])
     state = F.when(F.col(value).isNotNull(), "fresh").when(kept.isNotNull() & (age <= ttl_seconds), "stale").otherwise("unavailable")
-    return snapshots.withColumn("state", state).withColumn("shown", F.when(state != "unavailable", kept["v"]))
+    return rows.withColumn("state", state).withColumn("shown", F.when(F.col("state") != "unavailable", kept["v"])).drop("_b", "_good", "_end")
+
+
+def market_days(quotes: DataFrame, at: str, value: str, key: str, days: int = 14, currency: str = "USD", rate: float | Column = 1.0) -> DataFrame:
+    """One row for each of the last days: the metals' prices, carried on over days without a quote, their
+    change from the day before (0 at first), and for another currency the converted prices and the rate (P7)."""
+    each = daily(quotes.filter(F.col(key).isin(*METALS)), at, value, days, key)
+    wide = each.groupBy("day").agg(*(F.max(F.when(F.col(key) == m, F.col(value))).alias(f"{m}_usd") for m in METALS))
+    w = Window.orderBy("day")  # 14 rows at most
+    for m in METALS:
+        wide = wide.withColumn(f"{m}_usd", F.last(f"{m}_usd", ignorenulls=True).over(w))
+        before = F.lag(f"{m}_usd").over(w)
+        wide = wide.withColumn(f"{m}_change", F.when(before != 0, F.round((F.col(f"{m}_usd") - before) / before * 100, 2)).otherwise(F.lit(0.0)))
+    if currency.strip().upper() == "USD":
+        return wide
+    fx = rate if isinstance(rate, Column) else F.lit(rate)
+    return wide.withColumns({f"{m}_shown": F.round(F.col(f"{m}_usd") * fx, 2) for m in METALS} | {"currency": F.lit(currency.strip().upper()), "fx_rate": F.round(fx, 6)})

@@ -14,6 +14,58 @@ def outcome_counts(rows: DataFrame, outcomes: list[str], by: str | None = None,
     return rows.groupBy(by).agg(*counts) if by else rows.agg(*counts)
 
 
+#: Counters of an enrichment report and the outcome that each counts.
+ENRICHMENT = {
+    "rows_updated": "updated", "rows_created": "created", "rows_invalid": "invalid", "rows_skipped_noop": "noop", "rows_skipped_ambiguous": "ambiguous",
+    "rows_skipped_not_found": "not_found", "rows_skipped_duplicate_in_file": "duplicate_in_file", "rows_skipped_existing_assay": "existing_assay",
+}
+
+
+def enrichment_counts(rows: DataFrame, known_groups: DataFrame, file: str = "file", group: str = "group_id") -> DataFrame:
+    """The ten counters of each file; a group counts as created in the first file that creates a row in it."""
+    counted = rows.groupBy(file).agg(F.count("*").alias("rows_scanned"), *(F.count_if(F.col("outcome") == o).alias(n) for n, o in ENRICHMENT.items()))
+    new = rows.filter("outcome = 'created'").join(known_groups.select(group).distinct(), group, "left_anti").groupBy(group).agg(F.min(file).alias(file))
+    made = new.groupBy(file).agg(F.count("*").alias("groups_created"))
+    return counted.join(made, file, "left").withColumn("groups_created", F.coalesce("groups_created", F.lit(0)))
+
+
+def totals(reports: DataFrame, file: str = "file") -> DataFrame:
+    """Sums of all counters over the files."""
+    return reports.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in reports.columns if c != file))
+
+
+def feed_summary(rows: DataFrame, outcome: str = "outcome", message: str = "issue") -> DataFrame:
+    """Counters of a feed import with the distinct failure messages, sorted."""
+    is_ = lambda *o: F.count_if(F.col(outcome).isin(*o))
+    return rows.agg(
+        F.count("*").alias("rows_total"), (F.count("*") - is_("invalid")).alias("rows_valid"), is_("invalid").alias("rows_invalid"), is_("inserted").alias("products_created"),
+        is_("updated").alias("products_updated"), is_("ambiguous").alias("products_skipped"), F.array_sort(F.collect_set(message)).alias("failure_messages"),
+    )
+
+
+def deliveries(recipients: DataFrame, campaign: str = "campaign", status: str = "status") -> DataFrame:
+    """Recipients, delivered and failed of each campaign."""
+    return recipients.groupBy(campaign).agg(F.count("*").alias("total_recipients"), F.count_if(F.col(status) == "sent").alias("delivered_count"), F.count_if(F.col(status) == "failed").alias("failed_count"))
+
+
+def histogram(df: DataFrame, column: str, name: str = "status") -> DataFrame:
+    """Rows of each value."""
+    return df.groupBy(F.col(column).alias(name)).agg(F.count("*").alias("n"))
+
+
+def union_keys(*reports: DataFrame) -> DataFrame:
+    """Keys that any of the reports holds, once each."""
+    out = reports[0]
+    for r in reports[1:]:
+        out = out.unionByName(r)
+    return out.distinct()
+
+
+def unmatched(have: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of ``have`` that ``wanted`` lacks, once each."""
+    return have.select(*keys).distinct().join(wanted.select(*keys).distinct(), keys, "left_anti")
+
+
 def children_counts(parents: DataFrame, key: str, **children: DataFrame) -> DataFrame:
     """Number of children of each kind, 0 if none."""
     out = parents
@@ -89,8 +141,7 @@ def exact_metal_columns(cells: DataFrame) -> DataFrame:
 
 def pivoted_rows(cells: DataFrame, layout: DataFrame) -> DataFrame:
     """One row per sheet row from its first row of data, a column for each role (raw text)."""
-    # a layout has one row per sheet
-    at = cells.join(F.broadcast(layout), ["file", "sheet"]).filter("row >= start_row AND col <= 25")
+    at = cells.join(layout, ["file", "sheet"]).filter("row >= start_row AND col <= 25")
     return at.groupBy("file", "sheet_idx", "sheet", "row").agg(*(F.max(F.when(F.col("col") == F.col(r), F.col("raw"))).alias(r) for r in FALLBACK))
 
 
@@ -108,7 +159,7 @@ def gram_sheets(cells: DataFrame, layout: DataFrame) -> DataFrame:
 
     The header rows are the formula row above the metals, their names and the unit.
     """
-    near = cells.join(F.broadcast(layout.select("file", "sheet", "start_row", "weight", "pt", "pd", "rh")), ["file", "sheet"])
+    near = cells.join(layout.select("file", "sheet", "start_row", "weight", "pt", "pd", "rh"), ["file", "sheet"])
     head = F.col("start_row") - 3
     key = C.header_key("raw")
     is_at = lambda c, d: (F.col("col") == F.col(c)) & (F.col("row") == head + d)

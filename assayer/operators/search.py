@@ -98,6 +98,22 @@ def related(items: DataFrame, item, k: int = 6) -> DataFrame:
     return items.join(F.broadcast(group), "group_id", "left_semi").filter(F.col("item_id") != item).orderBy(F.desc("created_at"), "item_id").limit(k)
 
 
+def newest_visible(items: DataFrame, media: DataFrame, k: int = 6) -> DataFrame:
+    """The newest visible items."""
+    return visible(items, media).orderBy(F.desc("created_at"), "item_id").limit(k)
+
+
+def saved_items(saved: DataFrame, items: DataFrame, user) -> DataFrame:
+    """A user's saved items that still exist, newest saved first (F8)."""
+    own = saved.filter(F.col("user_id") == user).join(items.select("item_id"), "item_id", "left_semi")
+    return own.orderBy(F.desc("day"), "item_id")
+
+
+def visible_groups(groups: DataFrame, items: DataFrame, media: DataFrame) -> DataFrame:
+    """Groups with a visible item, by name."""
+    return groups.join(visible(items, media).select(F.col("group_id").alias("id")), "id", "left_semi").orderBy("name")
+
+
 def suggestions(items: DataFrame, codes: DataFrame, text: str, k: int = 10) -> DataFrame:
     """Codes that hold the text: unique ignoring case, those that begin with it first, in natural order."""
     low = text.strip().lower()

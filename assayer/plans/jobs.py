@@ -19,11 +19,12 @@ def classified(rows: DataFrame, items: DataFrame, order: list[str], file: str =
     sig = C.import_signature("group_id", "serial_code", *FIGURES)
     marked = rows.withColumn("issue", Q.issue_code("serial_code", "model", *FIGURES, raw=raw)).withColumn("_sig", sig)
     good = F.col("issue").isNull()
-    seen = dedupe.flag_repeats(marked.withColumn("_good", good), [file, "_sig", "_good"], order)
+    # invalid rows take no part in the search for repeats, and would meet in one task by their empty serial
+    seen = dedupe.flag_repeats(marked.withColumn("_once", dedupe.spread_nulls(F.when(good, F.col("_sig")), file, *order)), [file, "_once"], order)
     known = items.select(sig.alias("_sig")).distinct().withColumn("_known", F.lit(True))
     both = seen.join(known, "_sig", "left")
     outcome = F.when(~good, "invalid").when(F.col("repeat") | F.coalesce("_known", F.lit(False)), "skipped").otherwise("inserted")
-    return both.withColumn("outcome", outcome).drop("_sig", "_good", "_known", "repeat")
+    return both.withColumn("outcome", outcome).drop("_sig", "_once", "_known", "repeat")
 
 
 def rows_of_cells(cells: DataFrame, groups: DataFrame) -> DataFrame:
@@ -59,13 +60,17 @@ def import_fixed(rows: DataFrame, items: DataFrame, groups: DataFrame) -> dict[s
 
 
 def enrich_items(items: DataFrame, rows: DataFrame, order: list[str], fields: list[str] | None = None) -> dict[str, DataFrame]:
-    """Fills what items lack from rows; counters by file."""
+    """Fills what items lack from rows, file by file; the ten counters of each file and their totals."""
     fields = fields or [*FIGURES, "shape_code"]
-    good = rows.filter(Q.enrichable("serial_code", "model", *fields))
     key = lambda df: df.withColumn("serial", C.normalize_serial("serial_code"))
-    first = dedupe.first_per_key(key(good).withColumn("_sig", C.enrichment_signature("group_id", "serial_code", *FIGURES, "shape_code")), ["file", "_sig"], order)
-    done = enrich.progressive_fill(key(items), first, ["group_id", "serial"], order, fields)
-    return {"rows": done, "report": report.outcome_counts(done, ["created", "updated", "noop", "ambiguous"])}
+    valid = Q.enrichable("serial_code", "model", *fields)
+    sig = F.when(valid, C.enrichment_signature("group_id", "serial_code", *FIGURES, "shape_code"))
+    marked = dedupe.flag_repeats(key(rows).withColumn("_valid", valid).withColumn("_once", dedupe.spread_nulls(sig, "file", *order)), ["file", "_once"], order)
+    # the order goes by file first; items stand before all rows
+    done = enrich.progressive_fill(key(items), marked.filter("_valid AND NOT repeat"), ["group_id", "serial"], ["file", *order], fields)
+    left = marked.filter("NOT _valid OR repeat").select("file", "group_id", F.when(F.col("_valid"), "duplicate_in_file").otherwise("invalid").alias("outcome"))
+    by_file = report.enrichment_counts(done.select("file", "group_id", "outcome").unionByName(left), items)
+    return {"rows": done, "report": by_file, "totals": report.totals(by_file)}
 
 
 def repair_items(items: DataFrame, rows: DataFrame, fields: list[str]) -> dict[str, DataFrame]:
@@ -155,7 +160,7 @@ def convert_legacy(items: DataFrame, source: DataFrame) -> DataFrame:
 
 def sibling_images(items: DataFrame, imaged: DataFrame) -> DataFrame:
     """Source item for each priceable item without an image."""
-    able = items.filter(Q.priceable()).withColumn("serial", C.normalize_serial("serial_code"))
+    able = items.filter(Q.priceable()).withColumn("serial", C.normalize_serial("serial_code")).filter("serial <> ''")  # items without a serial are no siblings
     return match.sibling_source(able, imaged, ["group_id", "serial"], ["created_at", "item_id"])
 
 

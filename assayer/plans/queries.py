@@ -181,12 +181,16 @@ def h31_h32_rates(t: Tables) -> DataFrame:
     return t.items.filter("pt_ppm IS NOT NULL").select("row_no", F.round(C.ratio(v), 6).alias("ratio"), F.round(C.recovery_rate(v), 6).alias("recovery"), F.round(C.clamped_rate(v), 6).alias("clamped"))
 
 
-@query("SELECT item_id, CAST(row_number() OVER (ORDER BY created_at DESC, item_id) AS BIGINT) - 1 AS position, printf('Pt %.2f%%, Pd %.2f%%, Rh %.2f%%', pt_ppm, pd_ppm, rh_ppm) AS body FROM items WHERE pt_ppm IS NOT NULL AND pd_ppm IS NOT NULL AND rh_ppm IS NOT NULL AND group_id = 'g3' ORDER BY position LIMIT 100", "items")
+@query("SELECT item_id, CAST(row_number() OVER (ORDER BY created_at DESC, item_id) AS BIGINT) - 1 AS position, printf('Pt %.2f%%, Pd %.2f%%, Rh %.2f%%', pt_ppm, pd_ppm, rh_ppm) AS body FROM items WHERE pt_ppm IS NOT NULL AND pd_ppm IS NOT NULL AND rh_ppm IS NOT NULL", "items")
 def e13_h33_newest_notes(t: Tables) -> DataFrame:
-    some = t.items.filter("pt_ppm IS NOT NULL AND pd_ppm IS NOT NULL AND rh_ppm IS NOT NULL AND group_id = 'g3'")
-    top = some.orderBy(F.desc("created_at"), "item_id").limit(100)  # a listing of the newest
-    n = F.row_number().over(Window.orderBy(F.desc("created_at"), "item_id")) - 1
-    return top.select("item_id", n.alias("position"), C.change_text("pt_ppm", "pd_ppm", "rh_ppm").alias("body"))
+    """Positions over the whole table: the rows of newer days, then the place within the day."""
+    some = t.items.filter("pt_ppm IS NOT NULL AND pd_ppm IS NOT NULL AND rh_ppm IS NOT NULL")
+    days = some.groupBy("created_at").agg(F.count("*").alias("n"))  # one row a day
+    newer = days.select(F.col("created_at").alias("_day"), (F.sum("n").over(Window.orderBy(F.desc("created_at"))) - F.col("n")).alias("newer"))
+    within = F.row_number().over(Window.partitionBy("created_at").orderBy("item_id")) - 1
+    placed = some.withColumn("within", within).join(F.broadcast(newer), F.col("created_at").eqNullSafe(F.col("_day")))
+    return placed.select("item_id", (F.col("newer") + F.col("within")).alias("position"), C.change_text("pt_ppm", "pd_ppm", "rh_ppm").alias("body"))
+
 
 
 ISSUE = f"CASE WHEN trim(coalesce(serial_code, '')) = '' THEN 'missing_serial_code' WHEN contains(upper(serial_code), 'KONTROLINIS') THEN 'control_row' WHEN NOT {USABLE} THEN 'invalid_serial_code' WHEN trim(coalesce(model, '')) = '' THEN 'missing_model' WHEN coalesce(weight_kg, 0) <= 0 THEN 'missing_or_invalid_weight' WHEN NOT {METAL} THEN 'missing_assay_values' END"
@@ -222,9 +226,9 @@ def b3_c17_text_search(t: Tables) -> DataFrame:
     return search.text_search(t.items, t.codes, "kt-11").select("item_id")
 
 
-@query("SELECT item_id FROM items WHERE model = 'Model 3' AND group_id IN (SELECT id FROM groups WHERE contains(lower(name), 'an') OR contains(lower(sheet_name), 'an')) AND item_id NOT IN (SELECT item_id FROM media WHERE flag = 'R')", "items", "groups", "media")
+@query("SELECT item_id FROM items WHERE model = 'Model 3' AND group_id IN (SELECT id FROM groups WHERE contains(lower(name), 'on_1') OR contains(lower(sheet_name), 'on_1')) AND item_id NOT IN (SELECT item_id FROM media WHERE flag = 'R')", "items", "groups", "media")
 def b4_b5_b15_filters(t: Tables) -> DataFrame:
-    some = search.group_filter(t.items.filter(F.col("model") == "Model 3"), t.groups, "an")
+    some = search.group_filter(t.items.filter(F.col("model") == "Model 3"), t.groups, "on_1")
     return search.with_image(some, t.media.filter("flag = 'R'"), False).select("item_id")
 
 
@@ -234,11 +238,10 @@ def b16_b17_c27_recipients(t: Tables) -> DataFrame:
     return search.recipients(people, t.roles.filter("k <> 3"), t.saved).select("user_id")
 
 
-@query("SELECT media_id FROM (SELECT media_id, item_id, CASE WHEN media_id % 2 = 0 THEN 'original' ELSE 'thumb' END AS variant, concat('x+pixel_', CASE WHEN media_id % 3 = 0 THEN 'mask' ELSE 'none' END) AS method, CAST((media_id % 50) / 100 AS DOUBLE) AS score FROM media) WHERE variant = 'original' AND contains(method, 'pixel_mask') AND score >= 0.12 AND item_id IN (SELECT item_id FROM items WHERE " + PRICEABLE + ") AND media_id BETWEEN 3000 AND 300000", "items", "media")
+@query("SELECT media_id FROM (SELECT media_id, item_id, CASE WHEN media_id % 2 = 0 THEN 'original' ELSE 'thumb' END AS variant, concat('x+pixel_', CASE WHEN media_id % 3 = 0 THEN 'mask' ELSE 'none' END) AS method, CAST((media_id % 50) / 100 AS DOUBLE) AS score FROM media) WHERE variant = 'original' AND contains(method, 'pixel_mask') AND score >= 0.12 AND item_id IN (SELECT item_id FROM items WHERE " + PRICEABLE + ")", "items", "media")
 def b18_b22_image_issues(t: Tables) -> DataFrame:
     m = t.media.select("media_id", "item_id", F.when(F.col("media_id") % 2 == 0, "original").otherwise("thumb").alias("variant"), F.concat(F.lit("x+pixel_"), F.when(F.col("media_id") % 3 == 0, "mask").otherwise("none")).alias("method"), ((F.col("media_id") % 50) / 100).cast("string").alias("score"))
-    good = m.filter(Q.image_issue("variant", "method", "score") & F.col("media_id").between(3000, 300000))
-    return good.join(t.items.filter(Q.priceable()).select("item_id"), "item_id", "left_semi").select("media_id")
+    return m.filter(Q.image_issue("variant", "method", "score")).join(t.items.filter(Q.priceable()).select("item_id"), "item_id", "left_semi").select("media_id")
 
 
 @query(f"SELECT row_no, {ISSUE} AS issue FROM items WHERE {ISSUE} IN ('control_row', 'missing_model') ORDER BY row_no DESC LIMIT 200", "items")
@@ -260,8 +263,7 @@ def b23_c1_c3_embedded(t: Tables) -> DataFrame:
 
 @query(f"SELECT id, name FROM groups WHERE id IN (SELECT group_id FROM items WHERE {PRICEABLE} AND item_id IN (SELECT item_id FROM media WHERE flag = 'R')) ORDER BY name", "items", "groups", "media")
 def c2_visible_groups(t: Tables) -> DataFrame:
-    seen = search.visible(t.items, t.media.filter("flag = 'R'")).select(F.col("group_id").alias("id"))
-    return t.groups.join(seen, "id", "left_semi").orderBy("name").select("id", "name")
+    return search.visible_groups(t.groups, t.items, t.media.filter("flag = 'R'")).select("id", "name")
 
 
 @query(f"WITH r AS (SELECT row_no, group_id, {ns('serial_code')} AS k FROM items WHERE source IS NULL AND {ns('serial_code')} LIKE 'KT%'), k AS (SELECT DISTINCT group_id, row_no AS item_no, unnest([{ns('serial_code')}, translate(upper(coalesce(serial_code, '')), ' -/.', '')]) AS k FROM items WHERE source IS NOT NULL) SELECT row_no, count(DISTINCT item_no) AS n FROM r JOIN k USING (group_id, k) GROUP BY row_no", "items")
@@ -275,11 +277,11 @@ def c5_known_assays(t: Tables) -> DataFrame:
     return dedupe.without_known_assays(t.items.filter("source IS NULL"), t.items.filter("source IS NOT NULL")).select("row_no")
 
 
-@query("""WITH r AS (SELECT * FROM items WHERE source IS NULL AND row_no % 5 = 1), p AS (SELECT r.row_no, i.row_no AS item_no, CASE WHEN r.details IS NULL OR coalesce(r.details = i.details, false) THEN 0 ELSE 1 END AS tier FROM r JOIN items i ON r.group_id = i.group_id AND upper(r.model) = upper(i.model) AND i.source = 'A' WHERE (r.weight_kg IS NULL OR r.weight_kg = i.weight_kg) AND (r.pt_ppm IS NULL OR r.pt_ppm = i.pt_ppm) AND (r.shape_code IS NULL OR r.shape_code = i.shape_code)),
+@query("""WITH r AS (SELECT * FROM items WHERE source IS NULL), p AS (SELECT r.row_no, i.row_no AS item_no, CASE WHEN r.details IS NULL OR coalesce(r.details = i.details, false) THEN 0 ELSE 1 END AS tier FROM r JOIN items i ON r.group_id = i.group_id AND upper(trim(coalesce(r.model, ''))) = upper(coalesce(i.model, '')) AND i.source = 'A' WHERE (r.weight_kg IS NULL OR r.weight_kg = i.weight_kg) AND (r.pt_ppm IS NULL OR r.pt_ppm = i.pt_ppm) AND (trim(coalesce(r.shape_code, '')) = '' OR upper(trim(r.shape_code)) = upper(coalesce(i.shape_code, '')))),
 b AS (SELECT row_no, item_no FROM p QUALIFY tier = min(tier) OVER (PARTITION BY row_no))
 SELECT r.row_no, count(DISTINCT item_no) AS n, CASE WHEN count(DISTINCT item_no) = 1 THEN min(item_no) END AS item_no FROM r LEFT JOIN b ON b.row_no = r.row_no GROUP BY r.row_no""", "items")
 def c6_repair_candidates(t: Tables) -> DataFrame:
-    return match.repair_candidates(t.items.filter("source IS NULL AND row_no % 5 = 1"), t.items.filter("source = 'A'"), ["weight_kg", "pt_ppm", "shape_code"])
+    return match.repair_candidates(t.items.filter("source IS NULL"), t.items.filter("source = 'A'"), ["weight_kg", "pt_ppm", "shape_code"])
 
 
 @query(f"WITH f AS (SELECT row_no, {FP} AS fp FROM items) SELECT row_no, coalesce((SELECT count(*) FROM f g WHERE g.fp = f.fp AND g.row_no <> f.row_no) > 0, false) AS collides FROM f", "items")
@@ -288,14 +290,14 @@ def c7_collisions(t: Tables) -> DataFrame:
     return dedupe.collisions(t.items.withColumn("new_fingerprint", fp), t.items.withColumn("assay_fingerprint", fp)).select("row_no", "collides")
 
 
-@query("""WITH l AS (SELECT row_no, item_id AS url, shape_code AS h FROM items WHERE source IS NULL AND row_no % 7 = 1), r AS (SELECT concat('i', CAST(row_no + (row_no % 2) AS VARCHAR)) AS url, concat(shape_code, CASE WHEN row_no % 99 = 0 THEN '' ELSE CAST(row_no AS VARCHAR) END) AS h, item_id AS id FROM items WHERE row_no % 3 = 1),
+@query(f"""WITH f AS (SELECT row_no, item_id, source, {FP} AS h FROM items), l AS (SELECT row_no, item_id AS url, h FROM f WHERE source IS NULL), r AS (SELECT concat('i', CAST(row_no + (row_no % 2) AS VARCHAR)) AS url, h, item_id AS id FROM f WHERE source IS NOT NULL),
 m AS (SELECT row_no, 0 AS tier, id FROM l JOIN r USING (url) UNION ALL SELECT l.row_no, 1, id FROM l JOIN r ON l.h = r.h),
 b AS (SELECT row_no, id FROM m QUALIFY tier = min(tier) OVER (PARTITION BY row_no))
 SELECT l.row_no, count(DISTINCT id) AS n, CASE WHEN count(DISTINCT id) = 1 THEN min(id) END AS id FROM l LEFT JOIN b ON b.row_no = l.row_no GROUP BY l.row_no""", "items")
 def c8_c9_c13_tiered_lookup(t: Tables) -> DataFrame:
-    left = t.items.filter("source IS NULL AND row_no % 7 = 1").select("row_no", F.col("item_id").alias("url"), F.col("shape_code").alias("h"))
-    tail = F.when(F.col("row_no") % 99 == 0, "").otherwise(F.col("row_no").cast("string"))
-    right = t.items.filter("row_no % 3 = 1").select(F.concat(F.lit("i"), (F.col("row_no") + F.col("row_no") % 2).cast("string")).alias("url"), F.concat("shape_code", tail).alias("h"), F.col("item_id").alias("id"))
+    hashed = t.items.withColumn("h", C.fingerprint("group_id", "serial_code", *FIGURES))
+    left = hashed.filter("source IS NULL").select("row_no", F.col("item_id").alias("url"), "h")
+    right = hashed.filter("source IS NOT NULL").select(F.concat(F.lit("i"), (F.col("row_no") + F.col("row_no") % 2).cast("string")).alias("url"), "h", F.col("item_id").alias("id"))
     return match.tiered(left, right, "row_no", [("url", "url"), ("h", "h")], "id")
 
 
@@ -305,7 +307,7 @@ def c10_c11_c12_group_names(t: Tables) -> DataFrame:
     return match.group_of_name(sheets, t.groups).select("s_suppkey", "group_id")
 
 
-WANTED = "w AS (SELECT DISTINCT concat(group_id, '|', k) AS wanted_id, group_id, k FROM (SELECT group_id, concat('ALT', CAST(row_no % 90 AS VARCHAR)) AS k FROM items WHERE row_no % 50 = 1))"
+WANTED = "w AS (SELECT DISTINCT concat(group_id, '|', k) AS wanted_id, group_id, k FROM (SELECT group_id, concat('ALT', CAST(row_no % 90 AS VARCHAR)) AS k FROM items))"
 
 
 @query(f"WITH {WANTED}, k AS (SELECT item_id, group_id, {ns('serial_code')} AS k FROM items UNION SELECT c.item_id, group_id, {ns('code')} FROM codes c JOIN items i ON i.item_id = c.item_id) SELECT wanted_id, count(*) AS n, min(item_id) AS first_item FROM (SELECT DISTINCT wanted_id, item_id FROM w JOIN k USING (group_id, k)) GROUP BY wanted_id", "items", "codes")
@@ -316,13 +318,12 @@ def c14_family_join(t: Tables) -> DataFrame:
 
 def _wanted(t: Tables) -> DataFrame:
     serial = F.concat(F.lit("ALT"), (F.col("row_no") % 90).cast("string"))
-    return t.items.filter("row_no % 50 = 1").select(F.concat_ws("|", "group_id", serial).alias("wanted_id"), "group_id", serial.alias("serial")).distinct()
+    return t.items.select(F.concat_ws("|", "group_id", serial).alias("wanted_id"), "group_id", serial.alias("serial")).distinct()
 
 
-@query(f"WITH {WANTED}, k AS (SELECT DISTINCT item_id, k FROM (SELECT item_id, {ns('serial_code')} AS k FROM items UNION ALL SELECT item_id, {ns('code')} FROM codes) WHERE k <> ''), c AS (SELECT k, count(*) AS n FROM k GROUP BY k) SELECT wanted_id, n FROM w JOIN c USING (k) WHERE group_id IN ('g1', 'g2')", "items", "codes")
+@query(f"WITH {WANTED}, k AS (SELECT DISTINCT item_id, k FROM (SELECT item_id, {ns('serial_code')} AS k FROM items UNION ALL SELECT item_id, {ns('code')} FROM codes) WHERE k <> ''), c AS (SELECT k, count(*) AS n FROM k GROUP BY k) SELECT wanted_id, n FROM w JOIN c USING (k)", "items", "codes")
 def c15_g5_cross_group_join(t: Tables) -> DataFrame:
-    some = _wanted(t).filter(F.col("group_id").isin("g1", "g2")).drop("group_id")
-    return match.family_join(t.items, t.codes, some, None).groupBy("wanted_id").agg(F.count("*").alias("n"))
+    return match.family_join(t.items, t.codes, _wanted(t).drop("group_id"), None).groupBy("wanted_id").agg(F.count("*").alias("n"))
 
 
 @query("""WITH i AS (SELECT p_partkey AS item_id, p_brand AS brand_key, string_split(p_name, ' ') AS t FROM part), c AS (SELECT n_nationkey AS group_id, concat('Brand#', CAST(n_nationkey AS VARCHAR)) AS key, [lower(n_name), concat('x', CAST(n_nationkey AS VARCHAR))] AS t FROM nation),
@@ -335,45 +336,52 @@ def c16_c24_j7_categories(t: Tables) -> DataFrame:
     return jobs.link_categories(items, cats, -1).select("item_id", "group_id")
 
 
-@query(f"""WITH k AS (SELECT DISTINCT item_id, k FROM (SELECT item_id, {ns('serial_code')} AS k FROM items WHERE group_id = 'g5' UNION ALL SELECT i.item_id, {ns('code')} FROM codes c JOIN items i ON i.item_id = c.item_id WHERE group_id = 'g5') WHERE k <> ''),
-s AS (SELECT media_id, item_id, k FROM media JOIN k USING (item_id) WHERE flag = 'R' AND media_id <= 30000)
+@query(f"""WITH k AS (SELECT DISTINCT item_id, k FROM (SELECT item_id, {ns('serial_code')} AS k FROM items UNION ALL SELECT i.item_id, {ns('code')} FROM codes c JOIN items i ON i.item_id = c.item_id) WHERE k <> ''),
+s AS (SELECT media_id, item_id, k FROM media JOIN k USING (item_id) WHERE flag = 'R')
 SELECT k.item_id, min(media_id) AS media_id FROM k JOIN (SELECT k, min(media_id) AS media_id FROM s GROUP BY k) m USING (k) WHERE k.item_id NOT IN (SELECT item_id FROM s) GROUP BY k.item_id""", "items", "codes", "media")
 def c18_c19_propagate(t: Tables) -> DataFrame:
-    items = t.items.filter("group_id = 'g5'")
-    own = items.select("item_id", C.normalize_serial("serial_code").alias("key"))
-    keys = own.unionByName(t.codes.join(items.select("item_id"), "item_id", "left_semi").select("item_id", C.normalize_serial("code").alias("key"))).filter("key <> ''").distinct()
-    media = t.media.filter("flag = 'R' AND media_id <= 30000").join(keys, "item_id")
+    own = t.items.select("item_id", C.normalize_serial("serial_code").alias("key"))
+    keys = own.unionByName(t.codes.join(t.items.select("item_id"), "item_id", "left_semi").select("item_id", C.normalize_serial("code").alias("key"))).filter("key <> ''").distinct()
+    media = t.media.filter("flag = 'R'").join(keys, "item_id")
     # a code's first source is enough, as the first wins
-    first = media.groupBy("key").agg(F.min("media_id").alias("media_id")).join(media.select("media_id", "item_id").distinct(), "media_id")
-    hits = match.propagate(first.select("media_id", "item_id", "key"), keys)
-    return hits.join(media.select("item_id").distinct(), "item_id", "left_anti")
+    first = media.groupBy("key").agg(F.min(F.struct("media_id", "item_id")).alias("s")).select("s.media_id", "s.item_id", "key")
+    return match.propagate(first, keys).join(media.select("item_id").distinct(), "item_id", "left_anti")
 
 
-@query(f"""WITH i AS (SELECT item_id, group_id, {ns('serial_code')} AS k, created_at, item_id IN (SELECT item_id FROM media WHERE flag = 'R') AS h FROM items WHERE {PRICEABLE}), s AS (SELECT group_id, k, arg_min(item_id, struct_pack(a := created_at, b := item_id)) AS source_id FROM i WHERE h GROUP BY group_id, k)
+@query(f"""WITH i AS (SELECT item_id, group_id, {ns('serial_code')} AS k, created_at, item_id IN (SELECT item_id FROM media WHERE flag = 'R') AS h FROM items WHERE {PRICEABLE} AND {ns('serial_code')} <> ''), s AS (SELECT group_id, k, arg_min(item_id, struct_pack(a := created_at, b := item_id)) AS source_id FROM i WHERE h GROUP BY group_id, k)
 SELECT item_id, source_id FROM i JOIN s USING (group_id, k) WHERE NOT h""", "items", "media")
 def c20_e7_j11_siblings(t: Tables) -> DataFrame:
     return jobs.sibling_images(t.items, t.media.filter("flag = 'R'"))
 
 
-@query("SELECT item_id FROM (SELECT item_id, created_at FROM items WHERE group_id IN (SELECT group_id FROM items WHERE item_id = 'i11') AND item_id <> 'i11' ORDER BY created_at DESC, item_id LIMIT 6)", "items")
+@query("WITH m AS (SELECT min(item_id) AS id FROM items) SELECT item_id FROM (SELECT item_id, created_at FROM items WHERE group_id IN (SELECT group_id FROM items WHERE item_id = (SELECT id FROM m)) AND item_id <> (SELECT id FROM m) ORDER BY created_at DESC, item_id LIMIT 6)", "items")
 def c23_f3_related(t: Tables) -> DataFrame:
-    return search.related(t.items, "i11").select("item_id")
+    """Others of the group of one item, here the first."""
+    return search.related(t.items, t.items.agg(F.min("item_id")).first()[0]).select("item_id")
+
 
+@query(f"SELECT item_id FROM (SELECT item_id, created_at FROM items WHERE {PRICEABLE} AND item_id IN (SELECT item_id FROM media WHERE flag = 'R') ORDER BY created_at DESC, item_id LIMIT 6)", "items", "media")
+def f3_newest_visible(t: Tables) -> DataFrame:
+    return search.newest_visible(t.items, t.media.filter("flag = 'R'")).select("item_id")
 
-@query(f"""WITH f AS (SELECT concat_ws('|', group_id, s) AS family, s FROM (SELECT DISTINCT group_id, {ns('serial_code')} AS s FROM items WHERE {USABLE})), k AS (SELECT DISTINCT concat('KT', CAST(p_partkey AS VARCHAR)) AS key FROM part WHERE p_size > 10)
-SELECT s AS key, min(family) AS family FROM f WHERE s IN (SELECT key FROM k) GROUP BY s HAVING count(*) = 1""", "items")
+
+@query(f"""WITH f AS (SELECT concat_ws('|', group_id, s) AS family, concat(group_id, s) AS key FROM (SELECT DISTINCT group_id, {ns('serial_code')} AS s FROM items WHERE {USABLE}) UNION SELECT concat_ws('|', group_id, s), s FROM (SELECT DISTINCT group_id, {ns('serial_code')} AS s FROM items WHERE {USABLE})),
+k AS (SELECT concat('KT', CAST(p_partkey AS VARCHAR)) AS key FROM part WHERE p_size > 10 UNION SELECT concat('g', CAST(p_partkey % 25 AS VARCHAR), 'KT', CAST(p_partkey AS VARCHAR)) FROM part)
+SELECT key, min(family) AS family FROM f WHERE key IN (SELECT key FROM k) GROUP BY key HAVING count(DISTINCT family) = 1""", "items")
 def c25_coverage(t: Tables) -> DataFrame:
+    """Families go by their serial and by group and serial; only keys of one family cover it."""
     fam = t.items.filter(C.usable_serial("serial_code")).select("group_id", C.normalize_serial("serial_code").alias("s")).distinct()
-    keys = t.part.filter("p_size > 10").select(F.concat(F.lit("KT"), F.col("p_partkey").cast("string")).alias("key"))
-    return match.covered_families(fam.select(F.concat_ws("|", "group_id", "s").alias("family"), F.array("s").alias("keys")), keys).select("key", "family")
+    number = F.col("p_partkey").cast("string")
+    keys = t.part.filter("p_size > 10").select(F.concat(F.lit("KT"), number).alias("key")).unionByName(t.part.select(F.concat(F.lit("g"), (F.col("p_partkey") % 25).cast("string"), F.lit("KT"), number).alias("key")))
+    return match.covered_families(fam.select(F.concat_ws("|", "group_id", "s").alias("family"), F.array("s", F.concat("group_id", "s")).alias("keys")), keys).select("key", "family")
 
 
-@query("""WITH r AS (SELECT row_no AS id, concat(group_id, shape_code) AS hash FROM items WHERE shape_code IS NOT NULL AND row_no % 2 = 1) SELECT id FROM r WHERE id IN (SELECT row_no FROM items WHERE model = 'Model 2') AND id NOT IN (SELECT row_no FROM items WHERE row_no % 7 = 0) AND hash NOT IN (SELECT concat(group_id, 's2') FROM items WHERE group_id < 'g2')""", "items")
+@query("""WITH r AS (SELECT row_no AS id, concat(group_id, shape_code) AS hash FROM items WHERE shape_code IS NOT NULL AND source IS NULL) SELECT id FROM r WHERE id IN (SELECT row_no FROM items WHERE model = 'Model 2') AND id NOT IN (SELECT row_no FROM items WHERE pd_ppm IS NULL) AND hash NOT IN (SELECT concat(group_id, shape_code) FROM items WHERE shape_code IS NOT NULL AND source IS NOT NULL AND weight_kg > 4900)""", "items")
 def c26_unprocessed(t: Tables) -> DataFrame:
-    r = t.items.filter("shape_code IS NOT NULL AND row_no % 2 = 1").select(F.col("row_no").alias("id"), F.concat("group_id", "shape_code").alias("hash"))
-    null = F.lit(None)
-    done = t.items.filter("row_no % 7 = 0").select(F.col("row_no").alias("id"), null.cast("string").alias("hash")).unionByName(t.items.filter("group_id < 'g2'").select(null.cast("long").alias("id"), F.concat("group_id", F.lit("s2")).alias("hash")))
-    return match.unprocessed(r, done, t.items.filter("model = 'Model 2'").select(F.col("row_no").alias("id"))).select("id")
+    hashed = t.items.withColumn("hash", F.concat("group_id", "shape_code"))
+    none = F.lit(None)
+    done = t.items.filter("pd_ppm IS NULL").select(F.col("row_no").alias("id"), none.cast("string").alias("hash")).unionByName(hashed.filter("source IS NOT NULL AND weight_kg > 4900").select(none.cast("long").alias("id"), "hash"))
+    return match.unprocessed(hashed.filter("hash IS NOT NULL AND source IS NULL").select(F.col("row_no").alias("id"), "hash"), done, t.items.filter("model = 'Model 2'").select(F.col("row_no").alias("id"))).select("id")
 
 
 def _phash(column: str = "embedding"):
@@ -390,26 +398,26 @@ def b25_c28_j15_image_hashes(t: Tables) -> DataFrame:
     return near.select("vec_id", "distance", v["verdict"].alias("verdict"))
 
 
-@query("SELECT vec_id, s[1] >= 0.82 OR (s[1] >= 0.67 AND s[2] >= 0.62) AS marked FROM (SELECT vec_id, list_reverse_sort(list_transform(embedding[1:8], lambda x: CAST(abs(x) * 4 AS DOUBLE))) AS s FROM embeddings)")
+@query("SELECT vec_id, s[1] >= 0.82 OR (s[1] >= 0.67 AND s[2] >= 0.62) AS marked FROM (SELECT vec_id, list_reverse_sort(list_transform(embedding, lambda x: CAST(abs(x) * 2 AS DOUBLE))) AS s FROM embeddings)")
 def b26_marks(t: Tables) -> DataFrame:
-    scores = F.transform(F.slice("embedding", 1, 8), lambda x: (F.abs(x) * 4).cast("double"))
+    scores = F.transform("embedding", lambda x: (F.abs(x) * 2).cast("double"))
     return t.embeddings.select("vec_id", Q.marked(scores).alias("marked"))
 
 
 @query(f"""WITH f AS (SELECT row_no AS item_id, {FP} AS fp, concat(substr({FP}, 1, 3), CAST(row_no % 2 AS VARCHAR)) AS new_fp FROM items)
-SELECT count(*) AS matched, count(CASE WHEN v THEN 1 END) AS verified, count(CASE WHEN NOT v THEN 1 END) AS unverified, count(CASE WHEN v AND c THEN 1 END) AS collision, count(CASE WHEN v AND NOT c THEN 1 END) AS updated FROM (SELECT f.item_id, coalesce(fp IN (SELECT {FP} FROM items WHERE row_no % 3 = 0 AND {FP} IS NOT NULL), false) AS v, false AS c FROM f)""", "items")
+SELECT count(*) AS matched, count(CASE WHEN v THEN 1 END) AS verified, count(CASE WHEN NOT v THEN 1 END) AS unverified, count(CASE WHEN v AND c THEN 1 END) AS collision, count(CASE WHEN v AND NOT c THEN 1 END) AS updated FROM (SELECT f.item_id, coalesce(fp IN (SELECT {FP} FROM items WHERE source IS NOT NULL AND {FP} IS NOT NULL), false) AS v, false AS c FROM f)""", "items")
 def c29_d22_j10_legacy(t: Tables) -> DataFrame:
     fp = C.fingerprint("group_id", "serial_code", *FIGURES)
     items = t.items.select(F.col("row_no").alias("item_id"), fp.alias("fp")).withColumn("new_fp", F.concat(F.substring("fp", 1, 3), (F.col("item_id") % 2).cast("string")))
-    return jobs.convert_legacy(items, t.items.filter("row_no % 3 = 0").select(fp.alias("raw_fp")).filter("raw_fp IS NOT NULL"))
+    return jobs.convert_legacy(items, t.items.filter("source IS NOT NULL").select(fp.alias("raw_fp")).filter("raw_fp IS NOT NULL"))
 
 
-@query("""WITH i AS (SELECT item_id AS id, group_id, model AS value FROM items), r AS (SELECT concat('n', CAST(row_no AS VARCHAR)) AS review_id, item_id AS existing_id, CASE row_no % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'overwrite' ELSE 'insert' END AS decision, shape_code AS value FROM items WHERE row_no % 11 = 0)
+@query("""WITH i AS (SELECT item_id AS id, group_id, model AS value FROM items), r AS (SELECT concat('n', CAST(row_no AS VARCHAR)) AS review_id, item_id AS existing_id, CASE row_no % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'overwrite' ELSE 'insert' END AS decision, shape_code AS value FROM items WHERE source IS NOT NULL)
 SELECT i.id, group_id, coalesce(r.value, i.value) AS value FROM i LEFT JOIN r ON existing_id = i.id AND decision = 'overwrite' UNION ALL SELECT review_id, group_id, r.value FROM r JOIN i ON existing_id = i.id WHERE decision = 'insert'""", "items")
 def c30_j14_reviews(t: Tables) -> DataFrame:
     items = t.items.select(F.col("item_id").alias("id"), "group_id", F.col("model").alias("value"))
     decision = F.when(F.col("row_no") % 3 == 0, "keep").when(F.col("row_no") % 3 == 1, "overwrite").otherwise("insert")
-    reviews = t.items.filter("row_no % 11 = 0").select(F.concat(F.lit("n"), F.col("row_no").cast("string")).alias("review_id"), F.col("item_id").alias("existing_id"), decision.alias("decision"), F.col("shape_code").alias("value"))
+    reviews = t.items.filter("source IS NOT NULL").select(F.concat(F.lit("n"), F.col("row_no").cast("string")).alias("review_id"), F.col("item_id").alias("existing_id"), decision.alias("decision"), F.col("shape_code").alias("value"))
     return jobs.resolve_reviews(items, reviews)
 
 
@@ -479,8 +487,112 @@ def d16_complete_snapshots(t: Tables) -> DataFrame:
 
 
 @query("SELECT key AS status, count(*) AS n FROM quotes GROUP BY key", "quotes")
-def d2_d18_d19_d20_status(t: Tables) -> DataFrame:
-    return t.quotes.groupBy(F.col("key").alias("status")).agg(F.count("*").alias("n"))
+def d20_status(t: Tables) -> DataFrame:
+    return report.histogram(t.quotes, "key")
+
+
+@query("SELECT user_id % 50 AS campaign, count(*) AS total_recipients, count(CASE WHEN key IN ('pt', 'pd') THEN 1 END) AS delivered_count, count(CASE WHEN key = 'rh' THEN 1 END) AS failed_count FROM quotes GROUP BY 1", "quotes")
+def d19_deliveries(t: Tables) -> DataFrame:
+    status = F.when(F.col("key").isin("pt", "pd"), "sent").when(F.col("key") == "rh", "failed").otherwise("pending")
+    return report.deliveries(t.quotes.select((F.col("user_id") % 50).alias("campaign"), status.alias("status")))
+
+
+@query(f"SELECT count(*) AS rows_total, count(*) - count({ISSUE}) AS rows_valid, count({ISSUE}) AS rows_invalid, count(CASE WHEN {ISSUE} IS NULL AND source IS NULL THEN 1 END) AS products_created, count(CASE WHEN {ISSUE} IS NULL AND source = 'A' THEN 1 END) AS products_updated, count(CASE WHEN {ISSUE} IS NULL AND source = 'R' THEN 1 END) AS products_skipped, array_to_string(list_sort(list_distinct(list({ISSUE}))), '|') AS failure_messages FROM items", "items")
+def d18_feed_summary(t: Tables) -> DataFrame:
+    rows = t.items.select(Q.issue_code("serial_code", "model", *FIGURES).alias("issue"), "source")
+    outcome = F.when(F.col("issue").isNotNull(), "invalid").when(F.col("source").isNull(), "inserted").when(F.col("source") == "A", "updated").otherwise("ambiguous")
+    out = report.feed_summary(rows.withColumn("outcome", outcome))
+    return out.withColumn("failure_messages", F.array_join("failure_messages", "|"))
+
+
+@query("SELECT DISTINCT k FROM (SELECT item_id AS k FROM items WHERE source IS NULL UNION ALL SELECT item_id FROM saved UNION ALL SELECT item_id FROM media WHERE flag = 'R')", "items", "saved", "media")
+def g6_union_keys(t: Tables) -> DataFrame:
+    key = lambda df: df.select(F.col("item_id").alias("k"))
+    return report.union_keys(key(t.items.filter("source IS NULL")), key(t.saved), key(t.media.filter("flag = 'R'")))
+
+
+@query("""WITH d AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN concat('{"details": "', p_name, '", "description": "https://x"}') WHEN 1 THEN p_type WHEN 2 THEN concat('{broken ', p_name, '}') WHEN 3 THEN '{"description": "http://only"}' WHEN 4 THEN concat('{"card_texts": ["', p_type, '", "Metals content"]}') END AS details FROM part),
+j AS (SELECT *, CASE WHEN json_valid(coalesce(details, '')) AND left(trim(details), 1) = '{' THEN json(details) END AS o FROM d),
+f AS (SELECT *, list_filter(list_transform(list_concat([json_extract_string(o, '$.details'), json_extract_string(o, '$.detail'), json_extract_string(o, '$.description')], coalesce(CAST(json_extract_string(o, '$.card_texts[*]') AS VARCHAR[]), [])), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '' AND NOT contains(lower(x), 'http://') AND NOT contains(lower(x), 'https://') AND lower(x) <> 'metals content') AS v FROM j)
+SELECT p_partkey, CASE WHEN o IS NOT NULL AND len(v) > 0 THEN array_to_string(v, ' | ') END AS "after", CASE WHEN o IS NULL THEN CASE WHEN starts_with(coalesce(details, ''), '{') AND ends_with(details, '}') THEN 'invalid' ELSE 'noop' END WHEN len(v) = 0 THEN 'unresolved' WHEN details = array_to_string(v, ' | ') THEN 'noop' ELSE 'updated' END AS outcome FROM f""".replace("\\\\", "\\"))
+def h21_repaired_details(t: Tables) -> DataFrame:
+    k = F.col("p_partkey") % 6
+    text = F.when(k == 0, F.concat(F.lit('{"details": "'), "p_name", F.lit('", "description": "https://x"}'))).when(k == 1, F.col("p_type")).when(k == 2, F.concat(F.lit("{broken "), "p_name", F.lit("}")))
+    text = text.when(k == 3, '{"description": "http://only"}').when(k == 4, F.concat(F.lit('{"card_texts": ["'), "p_type", F.lit('", "Metals content"]}')))
+    return enrich.repaired_details(t.part.select("p_partkey", text.alias("details"))).select("p_partkey", "after", "outcome")
+
+
+@query("SELECT s_suppkey, concat('g', CAST(CASE WHEN s_nationkey % 5 = 0 THEN (s_nationkey + 1) % 25 ELSE s_nationkey END AS VARCHAR)) AS group_id FROM supplier")
+def c12_alias_groups(t: Tables) -> DataFrame:
+    """Names of every fifth nation are aliases of the next one."""
+    sheets = t.supplier.join(t.nation.select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey").select("s_suppkey", F.concat(F.lit("new "), F.lower("n_name")).alias("sheet"))
+    other = t.nation.select(((F.col("n_nationkey") + 24) % 25).alias("_k"), F.col("n_name").alias("target"))
+    aliases = t.nation.filter("n_nationkey % 5 = 0").join(other, F.col("n_nationkey") == F.col("_k")).select(F.col("n_name").alias("alias"), "target")
+    return match.group_of_name(sheets, t.groups, aliases=aliases).select("s_suppkey", "group_id")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 40 < 25 THEN concat('g', CAST(p_partkey % 40 AS VARCHAR)) WHEN p_size < 25 THEN concat('g', CAST(p_size AS VARCHAR)) ELSE concat('g', CAST(p_partkey % 40 AS VARCHAR)) END AS group_id FROM part")
+def c13_configured_group(t: Tables) -> DataFrame:
+    g = lambda c: F.concat(F.lit("g"), c.cast("string"))
+    rows = t.part.select("p_partkey", g(F.col("p_partkey") % 40).alias("configured"), g(F.col("p_size")).alias("brand"))
+    return match.configured_group(rows, t.groups).select("p_partkey", "group_id")
+
+
+@query("""WITH e AS (SELECT CAST(max("at") AS DATE) AS e FROM quotes WHERE key IN ('pt', 'pd', 'rh')), s AS (SELECT e - CAST(i AS INTEGER) AS day FROM e, range(14) r(i)),
+d AS (SELECT key, CAST("at" AS DATE) AS day, arg_max(price_oz, "at") AS p FROM quotes WHERE key IN ('pt', 'pd', 'rh') GROUP BY ALL),
+w AS (SELECT s.day, max(CASE WHEN key = 'pt' THEN p END) AS pt, max(CASE WHEN key = 'rh' THEN p END) AS rh FROM s LEFT JOIN d ON d.day = s.day GROUP BY s.day),
+c AS (SELECT day, last_value(pt IGNORE NULLS) OVER u AS pt, last_value(rh IGNORE NULLS) OVER u AS rh FROM w WINDOW u AS (ORDER BY day ROWS UNBOUNDED PRECEDING))
+SELECT CAST(day AS VARCHAR) AS day, pt AS pt_usd, CASE WHEN lag(pt) OVER (ORDER BY day) <> 0 THEN round((pt - lag(pt) OVER (ORDER BY day)) / lag(pt) OVER (ORDER BY day) * 100, 2) ELSE 0 END AS pt_change, round(rh * 0.917, 2) AS rh_shown, 0.917 AS fx_rate FROM c""", "quotes")
+def p7_market_days(t: Tables) -> DataFrame:
+    out = price.market_days(t.quotes, "at", "price_oz", "key", 14, "eur", 0.917)
+    return out.select(F.col("day").cast("string").alias("day"), "pt_usd", "pt_change", "rh_shown", "fx_rate")
+
+
+@query("SELECT least(greatest(coalesce(max(CASE WHEN k = 3 THEN k * 27.5 END), 80), 0), 100) / 100 AS rate FROM roles", "roles")
+def p4_rate_setting(t: Tables) -> DataFrame:
+    settings = t.roles.select(F.col("k").cast("string").alias("key"), (F.col("k") * 27.5).cast("string").alias("value"))
+    return price.rate_setting(settings, "3").select("rate")
+
+
+@query("SELECT item_id, serial_code FROM items WHERE serial_code IS NOT NULL ORDER BY serial_code DESC, item_id LIMIT 40", "items")
+def f2_sorted(t: Tables) -> DataFrame:
+    return search.sorted_by(t.items.filter("serial_code IS NOT NULL"), "-serial_code").limit(40).select("item_id", "serial_code")  # a page
+
+
+@query(r"""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN concat('brand-', CAST(p_size AS VARCHAR)) WHEN p_partkey % 3 = 1 THEN nullif(trim(regexp_replace(regexp_replace(translate(lower(trim(p_name)), '_ ', '--'), '[^a-z0-9\-]+', '', 'g'), '-+', '-', 'g'), '-'), '') END AS h16 FROM part""".replace("\\\\", "\\"))
+def h16_brand_slug(t: Tables) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    url = F.when(k == 0, F.concat(F.lit("https://x/en/CarBrand/Brand-"), F.col("p_size").cast("string"), F.lit("/page/2?x=1"))).otherwise("https://x/other")
+    return t.part.select("p_partkey", C.brand_slug(url, F.lit("12"), F.when(k == 1, F.col("p_name"))).alias("h16"))
+
+
+@query("SELECT concat('sheet ', replace(p_brand, 'Brand#', '')) AS sheet, 4 AS pt, 6 AS pd, 8 AS rh FROM part GROUP BY 1")
+def h12_metal_columns(t: Tables) -> DataFrame:
+    heads = report.exact_metal_columns(_cells(t).filter("row <= 3"))
+    return heads.select("sheet", "pt", "pd", "rh")
+
+
+@query(f"""WITH r AS (SELECT row_no, n_name, {ISSUE.replace("model", "coalesce(model, n_name)")} AS issue, concat_ws('|', concat('g', CAST(n_nationkey AS VARCHAR)), {ns('serial_code')}, {ASSAY}) AS sig FROM items JOIN nation ON concat('g', CAST(n_nationkey AS VARCHAR)) = group_id WHERE source IS NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY n_name, sig, issue IS NULL ORDER BY row_no) AS n FROM r)
+SELECT n_name AS file, count(CASE WHEN issue IS NULL AND n = 1 AND sig NOT IN (SELECT {SIG} FROM items WHERE source IS NOT NULL) THEN 1 END) AS inserted, count(CASE WHEN issue IS NULL AND (n > 1 OR sig IN (SELECT {SIG} FROM items WHERE source IS NOT NULL)) THEN 1 END) AS skipped, count(issue) AS invalid FROM n GROUP BY n_name""", "items")
+def j2_import_fixed(t: Tables) -> DataFrame:
+    named = t.items.filter("source IS NULL").join(t.nation.select(F.concat(F.lit("g"), F.col("n_nationkey").cast("string")).alias("group_id"), "n_name"), "group_id")
+    rows = named.drop("group_id").withColumnRenamed("row_no", "row").withColumns({"manufacturer": F.lower("n_name"), "file": F.col("n_name")})
+    return jobs.import_fixed(rows, t.items.filter("source IS NOT NULL"), t.groups)["report"]
+
+
+@query("""SELECT concat('sheet ', replace(p_brand, 'Brand#', '')) AS sheet, concat('KT ', CAST(p_partkey AS VARCHAR)) AS serial_code, p_size / 10 AS weight_kg, 1000 + p_size + 0.5 AS pt_ppm FROM part WHERE p_size > 0 AND concat('KT', CAST(p_partkey AS VARCHAR)) IS NOT NULL""")
+def j1_import_cells(t: Tables) -> DataFrame:
+    """New items of the free-layout sheets; the table holds none of them yet."""
+    groups = t.groups.withColumn("sheet_name", F.concat(F.lit("SHEET "), F.substring("id", 2, 9)))
+    return jobs.import_cells(_cells(t), t.items.limit(0), groups)["items"].select("sheet", "serial_code", "weight_kg", "pt_ppm")
+
+
+@query("")
+def d1_d2_j3_enrich(t: Tables) -> DataFrame:
+    """The ten counters of each file of rows without a source, against the items of source A; tests hold them against the parts of the job."""
+    rows = t.items.filter("source IS NULL").withColumn("file", F.col("model"))
+    return jobs.enrich_items(t.items.filter("source = 'A'"), rows, ["row_no", "tie"])["report"]
 
 
 @query(f"SELECT count(*) AS n, round(count(*) * 0.039, 6) AS cost, round(count(*) * 0.041, 6) AS cost_verified, count(*) * 0.041 > 100 AS \"over\" FROM items WHERE {PRICEABLE}", "items")
@@ -504,11 +616,11 @@ def e6_earliest(t: Tables) -> DataFrame:
     return dedupe.first_per_key(t.items.filter(Q.priceable()), ["group_id"], ["created_at", "item_id"]).select("group_id", "item_id")
 
 
-@query("""WITH h AS (SELECT DISTINCT concat(group_id, CAST(row_no % 4 AS VARCHAR)) AS w, concat('KT', CAST(row_no % 4 AS VARCHAR)) AS serial, concat('KT', CAST(row_no % 9 AS VARCHAR)) AS p FROM items WHERE row_no % 13 = 0)
+@query("""WITH h AS (SELECT DISTINCT concat(group_id, CAST(row_no % 4 AS VARCHAR)) AS w, concat('KT', CAST(row_no % 4 AS VARCHAR)) AS serial, concat('KT', CAST(row_no % 9 AS VARCHAR)) AS p FROM items)
 SELECT w AS wanted_id, p AS primary_serial FROM (SELECT w, p, p = serial AS e, count(DISTINCT p) OVER (PARTITION BY w) > 1 AS many, max(CASE WHEN p = serial THEN 1 ELSE 0 END) OVER (PARTITION BY w) = 1 AS has_exact FROM h) WHERE NOT many OR (has_exact AND e)""", "items")
 def e12_exact_preference(t: Tables) -> DataFrame:
     kt = lambda n: F.concat(F.lit("KT"), (F.col("row_no") % n).cast("string"))
-    h = t.items.filter("row_no % 13 = 0").select(F.concat("group_id", (F.col("row_no") % 4).cast("string")).alias("wanted_id"), kt(4).alias("serial"), kt(9).alias("primary_serial")).distinct()
+    h = t.items.select(F.concat("group_id", (F.col("row_no") % 4).cast("string")).alias("wanted_id"), kt(4).alias("serial"), kt(9).alias("primary_serial")).distinct()
     return match.exact_preference(h).select("wanted_id", "primary_serial")
 
 
@@ -537,10 +649,10 @@ def g3_g4_header_overlap(t: Tables) -> DataFrame:
     return report.has_headers(_cells(t), ["model", "serialcode", "piecekg", "pt"]).select("sheet", "row", "overlap", "fits")
 
 
-FILL_KEYS = f"SELECT group_id, {ns('serial_code')} AS serial, row_no, tie, weight_kg AS w, pt_ppm AS p, shape_code AS s FROM items WHERE {ns('serial_code')} LIKE 'KT%'"
+FILL_KEYS = f"SELECT source, group_id, {ns('serial_code')} AS serial, row_no, tie, weight_kg AS w, pt_ppm AS p, shape_code AS s FROM items WHERE {ns('serial_code')} LIKE 'KT%'"
 
 
-@query(f"""WITH a AS ({FILL_KEYS}), x AS (SELECT *, 0 AS kind FROM a WHERE row_no % 10 = 1 UNION ALL SELECT *, 1 FROM a WHERE row_no % 10 > 4), n AS (SELECT group_id, serial, count(*) AS items FROM x WHERE kind = 0 GROUP BY ALL),
+@query(f"""WITH a AS ({FILL_KEYS}), x AS (SELECT *, 0 AS kind FROM a WHERE source = 'A' UNION ALL SELECT *, 1 FROM a WHERE source IS DISTINCT FROM 'A'), n AS (SELECT group_id, serial, count(*) AS items FROM x WHERE kind = 0 GROUP BY ALL),
 f AS (SELECT *, row_number() OVER o AS rn, first_value(w IGNORE NULLS) OVER u AS fw, first_value(CASE WHEN w > 0 AND w <= 50 THEN w END IGNORE NULLS) OVER u AS gw, first_value(p IGNORE NULLS) OVER u AS fp, first_value(s IGNORE NULLS) OVER u AS fs,
  first_value(w IGNORE NULLS) OVER b AS bw, first_value(CASE WHEN w > 0 AND w <= 50 THEN w END IGNORE NULLS) OVER b AS bgw, first_value(p IGNORE NULLS) OVER b AS bp, first_value(s IGNORE NULLS) OVER b AS bs
  FROM x WINDOW o AS (PARTITION BY group_id, serial ORDER BY kind, row_no, tie), u AS (PARTITION BY group_id, serial ORDER BY kind, row_no, tie ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY group_id, serial ORDER BY kind, row_no, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
@@ -548,7 +660,8 @@ SELECT f.group_id, f.serial, row_no, tie, CASE WHEN items > 1 THEN 'ambiguous' W
  CASE WHEN items > 1 THEN NULL WHEN fw > 50 THEN coalesce(gw, fw) ELSE fw END AS after_weight_kg, CASE WHEN items > 1 THEN NULL ELSE fp END AS after_pt_ppm, CASE WHEN items > 1 THEN NULL ELSE fs END AS after_shape_code FROM f LEFT JOIN n USING (group_id, serial) WHERE kind = 1""", "items")
 def e10_j3_progressive_fill(t: Tables) -> DataFrame:
     some = t.items.withColumn("serial", C.normalize_serial("serial_code")).filter(F.col("serial").startswith("KT"))
-    return enrich.progressive_fill(some.filter("row_no % 10 = 1"), some.filter("row_no % 10 > 4"), ["group_id", "serial"], ["row_no", "tie"], ["weight_kg", "pt_ppm", "shape_code"])
+    old = F.coalesce(F.col("source") == "A", F.lit(False))
+    return enrich.progressive_fill(some.filter(old), some.filter(~old), ["group_id", "serial"], ["row_no", "tie"], ["weight_kg", "pt_ppm", "shape_code"])
 
 
 @query("WITH e AS (SELECT CAST(max(\"at\") AS DATE) AS e FROM quotes), s AS (SELECT DISTINCT key, e - CAST(i AS INTEGER) AS day FROM quotes, e, range(14) r(i)), d AS (SELECT key, CAST(\"at\" AS DATE) AS day, arg_max(price_oz, \"at\") AS price_oz FROM quotes GROUP BY ALL) SELECT key, CAST(s.day AS VARCHAR) AS day, price_oz FROM s LEFT JOIN d USING (key, day)", "quotes")
@@ -579,8 +692,7 @@ def f6_sample(t: Tables) -> DataFrame:
 
 @query("SELECT user_id, item_id, CAST(day AS VARCHAR) AS day FROM saved WHERE user_id = 7 AND item_id IN (SELECT item_id FROM items)", "saved", "items")
 def f8_saved(t: Tables) -> DataFrame:
-    own = t.saved.filter("user_id = 7").join(t.items.select("item_id"), "item_id", "left_semi")
-    return own.orderBy(F.desc("day"), "item_id").select("user_id", "item_id", F.col("day").cast("string").alias("day"))
+    return search.saved_items(t.saved, t.items, 7).select("user_id", "item_id", F.col("day").cast("string").alias("day"))
 
 
 @query("SELECT path FROM (SELECT concat('a/', CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE CAST(p_partkey % 12 AS VARCHAR) END, '/', CASE WHEN p_partkey % 13 = 0 THEN '~$' ELSE '' END, p_name, CAST(p_partkey AS VARCHAR), CASE WHEN p_partkey % 2 = 0 THEN '.XLSX' ELSE '.csv' END) AS path FROM part) WHERE path LIKE '%.XLSX' AND path NOT LIKE '%/~$%'")
@@ -591,9 +703,9 @@ def a4_f10_file_order(t: Tables) -> DataFrame:
 
 
 @query("SELECT group_id, serial FROM (SELECT DISTINCT group_id, " + ns("serial_code") + " AS serial FROM items WHERE source IS NULL EXCEPT SELECT group_id, " + ns("serial_code") + " FROM items WHERE source = 'A')", "items")
-def g2_g6_unmatched(t: Tables) -> DataFrame:
+def g2_unmatched(t: Tables) -> DataFrame:
     keys = lambda cond: t.items.filter(cond).select("group_id", C.normalize_serial("serial_code").alias("serial"))
-    return keys("source IS NULL").distinct().join(keys("source = 'A'"), ["group_id", "serial"], "left_anti")
+    return report.unmatched(keys("source IS NULL"), keys("source = 'A'"), ["group_id", "serial"])
 
 
 @query(f"WITH {SPOT} SELECT item_id, {value_sql('0.8')} AS current, {value_sql('0.9')} AS preview, round({value_sql('0.9')} - {value_sql('0.8')}, 2) AS difference FROM items, spot", "items", "quotes")
@@ -737,99 +849,6 @@ def s1_latest_complete(t: Tables) -> DataFrame:
     return stream.complete(q).select("currency", "pt_oz", "pd_oz", "rh_oz")
 
 
-@query("SELECT row_no, round(coalesce(pt_ppm, 0) / 1000, 6) AS score FROM items WHERE group_id = 'g4' ORDER BY score DESC, row_no LIMIT 50", "items")
+@query("SELECT row_no, round(coalesce(pt_ppm, 0) / 1000, 6) AS score FROM items", "items")
 def f7_score_order(t: Tables) -> DataFrame:
-    return t.items.filter("group_id = 'g4'").select("row_no", F.round(F.coalesce("pt_ppm", F.lit(0.0)) / 1000, 6).alias("score")).orderBy(F.desc("score"), "row_no").limit(50)
-
-
-# The same operators over whole tables, with sides split by columns.  The queries above of these names keep the id
-# ranges of their SQL; here the SQL is given anew without them.
-def _without(name: str, *cuts: tuple[str, str]) -> str:
-    """The SQL of a registered query with its cuts replaced; it has the tables already."""
-    sql = SQL[name]
-    for old, new in cuts:
-        if old not in sql:
-            raise ValueError(f"{name} has no {old}")
-        sql = sql.replace(old, new)
-    return sql
-
-
-@query(_without("b18_b22_image_issues", (" AND media_id BETWEEN 3000 AND 300000", "")))
-def b18_b22_image_issues_whole(t: Tables) -> DataFrame:
-    m = t.media.select("media_id", "item_id", F.when(F.col("media_id") % 2 == 0, "original").otherwise("thumb").alias("variant"), F.concat(F.lit("x+pixel_"), F.when(F.col("media_id") % 3 == 0, "mask").otherwise("none")).alias("method"), ((F.col("media_id") % 50) / 100).cast("string").alias("score"))
-    return m.filter(Q.image_issue("variant", "method", "score")).join(t.items.filter(Q.priceable()).select("item_id"), "item_id", "left_semi").select("media_id")
-
-
-@query(_without("c6_repair_candidates", (" AND row_no % 5 = 1", "")))
-def c6_repair_candidates_whole(t: Tables) -> DataFrame:
-    return match.repair_candidates(t.items.filter("source IS NULL"), t.items.filter("source = 'A'"), ["weight_kg", "pt_ppm", "shape_code"])
-
-
-@query(f"""WITH f AS (SELECT row_no, item_id, source, {FP} AS h FROM items), l AS (SELECT row_no, item_id AS url, h FROM f WHERE source IS NULL), r AS (SELECT concat('i', CAST(row_no + (row_no % 2) AS VARCHAR)) AS url, h, item_id AS id FROM f WHERE source IS NOT NULL),
-m AS (SELECT row_no, 0 AS tier, id FROM l JOIN r USING (url) UNION ALL SELECT l.row_no, 1, id FROM l JOIN r ON l.h = r.h),
-b AS (SELECT row_no, id FROM m QUALIFY tier = min(tier) OVER (PARTITION BY row_no))
-SELECT l.row_no, count(DISTINCT id) AS n, CASE WHEN count(DISTINCT id) = 1 THEN min(id) END AS id FROM l LEFT JOIN b ON b.row_no = l.row_no GROUP BY l.row_no""", "items")
-def c8_c9_c13_tiered_lookup_whole(t: Tables) -> DataFrame:
-    hashed = t.items.withColumn("h", C.fingerprint("group_id", "serial_code", *FIGURES))
-    left = hashed.filter("source IS NULL").select("row_no", F.col("item_id").alias("url"), "h")
-    right = hashed.filter("source IS NOT NULL").select(F.concat(F.lit("i"), (F.col("row_no") + F.col("row_no") % 2).cast("string")).alias("url"), "h", F.col("item_id").alias("id"))
-    return match.tiered(left, right, "row_no", [("url", "url"), ("h", "h")], "id")
-
-
-def _every_wanted(t: Tables) -> DataFrame:
-    serial = F.concat(F.lit("ALT"), (F.col("row_no") % 90).cast("string"))
-    return t.items.select(F.concat_ws("|", "group_id", serial).alias("wanted_id"), "group_id", serial.alias("serial")).distinct()
-
-
-@query(_without("c14_family_join", (" WHERE row_no % 50 = 1", "")))
-def c14_family_join_whole(t: Tables) -> DataFrame:
-    hits = match.family_join(t.items, t.codes, _every_wanted(t))
-    return hits.groupBy("wanted_id").agg(F.count("*").alias("n"), F.min("item_id").alias("first_item"))
-
-
-@query(_without("c15_g5_cross_group_join", (" WHERE row_no % 50 = 1", ""), (" WHERE group_id IN ('g1', 'g2')", "")))
-def c15_g5_cross_group_join_whole(t: Tables) -> DataFrame:
-    return match.family_join(t.items, t.codes, _every_wanted(t).drop("group_id"), None).groupBy("wanted_id").agg(F.count("*").alias("n"))
-
-
-@query(_without("c18_c19_propagate", (" WHERE group_id = 'g5'", ""), (" AND media_id <= 30000", "")))
-def c18_c19_propagate_whole(t: Tables) -> DataFrame:
-    own = t.items.select("item_id", C.normalize_serial("serial_code").alias("key"))
-    keys = own.unionByName(t.codes.join(t.items.select("item_id"), "item_id", "left_semi").select("item_id", C.normalize_serial("code").alias("key"))).filter("key <> ''").distinct()
-    media = t.media.filter("flag = 'R'").join(keys, "item_id")
-    # a code's first source is enough, as the first wins
-    first = media.groupBy("key").agg(F.min(F.struct("media_id", "item_id")).alias("s")).select("s.media_id", "s.item_id", "key")
-    return match.propagate(first, keys).join(media.select("item_id").distinct(), "item_id", "left_anti")
-
-
-@query("""WITH r AS (SELECT row_no AS id, concat(group_id, shape_code) AS hash FROM items WHERE shape_code IS NOT NULL AND source IS NULL) SELECT id FROM r WHERE id IN (SELECT row_no FROM items WHERE model = 'Model 2') AND id NOT IN (SELECT row_no FROM items WHERE pd_ppm IS NULL) AND hash NOT IN (SELECT concat(group_id, shape_code) FROM items WHERE shape_code IS NOT NULL AND source IS NOT NULL AND weight_kg > 400)""", "items")
-def c26_unprocessed_whole(t: Tables) -> DataFrame:
-    hashed = t.items.withColumn("hash", F.concat("group_id", "shape_code"))
-    none = F.lit(None)
-    done = t.items.filter("pd_ppm IS NULL").select(F.col("row_no").alias("id"), none.cast("string").alias("hash")).unionByName(hashed.filter("source IS NOT NULL AND weight_kg > 400").select(none.cast("long").alias("id"), "hash"))
-    return match.unprocessed(hashed.filter("hash IS NOT NULL AND source IS NULL").select(F.col("row_no").alias("id"), "hash"), done, t.items.filter("model = 'Model 2'").select(F.col("row_no").alias("id"))).select("id")
-
-
-@query(_without("e12_exact_preference", (" WHERE row_no % 13 = 0", "")))
-def e12_exact_preference_whole(t: Tables) -> DataFrame:
-    kt = lambda n: F.concat(F.lit("KT"), (F.col("row_no") % n).cast("string"))
-    h = t.items.select(F.concat("group_id", (F.col("row_no") % 4).cast("string")).alias("wanted_id"), kt(4).alias("serial"), kt(9).alias("primary_serial")).distinct()
-    return match.exact_preference(h).select("wanted_id", "primary_serial")
-
-
-@query(_without("e10_j3_progressive_fill", ("SELECT group_id,", "SELECT source, group_id,"), ("WHERE row_no % 10 = 1", "WHERE source = 'A'"), ("WHERE row_no % 10 > 4", "WHERE source IS DISTINCT FROM 'A'")))
-def e10_j3_progressive_fill_whole(t: Tables) -> DataFrame:
-    some = t.items.withColumn("serial", C.normalize_serial("serial_code")).filter(F.col("serial").startswith("KT"))
-    old = F.coalesce(F.col("source") == "A", F.lit(False))
-    return enrich.progressive_fill(some.filter(old), some.filter(~old), ["group_id", "serial"], ["row_no", "tie"], ["weight_kg", "pt_ppm", "shape_code"])
-
-
-@query(_without("e13_h33_newest_notes", (" AND group_id = 'g3' ORDER BY position LIMIT 100", "")))
-def e13_h33_newest_notes_whole(t: Tables) -> DataFrame:
-    """Positions over the whole table: the rows of newer days, then the place within the day."""
-    some = t.items.filter("pt_ppm IS NOT NULL AND pd_ppm IS NOT NULL AND rh_ppm IS NOT NULL")
-    days = some.groupBy("created_at").agg(F.count("*").alias("n"))  # one row a day
-    newer = days.select(F.col("created_at").alias("_day"), (F.sum("n").over(Window.orderBy(F.desc("created_at"))) - F.col("n")).alias("newer"))
-    within = F.row_number().over(Window.partitionBy("created_at").orderBy("item_id")) - 1
-    placed = some.withColumn("within", within).join(F.broadcast(newer), F.col("created_at").eqNullSafe(F.col("_day")))
-    return placed.select("item_id", (F.col("newer") + F.col("within")).alias("position"), C.change_text("pt_ppm", "pd_ppm", "rh_ppm").alias("body"))
+    return t.items.select("row_no", F.round(F.coalesce("pt_ppm", F.lit(0.0)) / 1000, 6).alias("score")).orderBy(F.desc("score"), "row_no")
\ No newline at end of file

@@ -13,7 +13,7 @@ from assayer.plans.proxies import Tables
 def test_repair_takes_every_row(spark, sf_dir):
     """All rows without a source are looked up; row numbers repeat in the tables, so each number counts once."""
     counts = catalog.QUERIES["j4_repair_items"](spark, sf_dir).first()
-    found = {r.kind: r.n for r in catalog.QUERIES["c6_repair_candidates_whole"](spark, sf_dir).selectExpr("least(n, 2) AS kind").groupBy("kind").count().withColumnRenamed("count", "n").collect()}
+    found = {r.kind: r.n for r in catalog.QUERIES["c6_repair_candidates"](spark, sf_dir).selectExpr("least(n, 2) AS kind").groupBy("kind").count().withColumnRenamed("count", "n").collect()}
     assert sum(found.values()) == Tables(spark, sf_dir).items.filter("source IS NULL").select("row_no").distinct().count()
     assert (counts.not_found, counts.ambiguous) == (found[0], found[2])
 
@@ -30,11 +30,11 @@ def test_every_source_and_target_takes_part(spark, sf_dir):
         for c in codes[r.item_id] - {""}:
             first.setdefault(c, r.media_id)
     expected = {i: min(first[c] for c in cs if c in first) for i, cs in codes.items() if i not in sources and any(c in first for c in cs)}
-    assert {r.item_id: r.media_id for r in catalog.QUERIES["c18_c19_propagate_whole"](spark, sf_dir).collect()} == expected
+    assert {r.item_id: r.media_id for r in catalog.QUERIES["c18_c19_propagate"](spark, sf_dir).collect()} == expected
 
 
 def test_positions_cover_all_groups(spark, sf_dir):
-    got = sorted(r.position for r in catalog.QUERIES["e13_h33_newest_notes_whole"](spark, sf_dir).collect())
+    got = sorted(r.position for r in catalog.QUERIES["e13_h33_newest_notes"](spark, sf_dir).collect())
     assert len(got) > 1000 and got == list(range(len(got)))
 
 
@@ -50,7 +50,7 @@ def test_repair_candidates_brute_force(spark, seed):
         tiers = {0: set(), 1: set()}
         for _, g, m, w, s, d in (x for x in rows if x[0] == no):
             for i in items:
-                if g is not None and g == i[1] and m and i[2] and m.upper() == i[2].upper() and w in (None, i[3]) and s in (None, i[4]):
+                if g is not None and g == i[1] and (m or "").upper() == (i[2] or "").upper() and w in (None, i[3]) and s in (None, i[4]):
                     tiers[0 if d in (None, i[5]) else 1].add(i[0])
         best = tiers[0] or tiers[1]
         assert got[no] == (len(best), min(best) if len(best) == 1 else None)
