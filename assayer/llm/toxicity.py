@@ -93,7 +93,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, least: int
     c = {y: w / (n1 * weight.get(1, 0.0) + n0 * weight.get(0, 0.0)) for y, w in weight.items()}
     start = np.zeros(len(kept) + 1)  # the last is the bias
     start[-1] = np.log(n1 * weight[1] / (n0 * weight[0]))
-    w = minimised(lambda w: loss(held, kept, ratio, c, l2, w), start, steps)
+    # the place of each slot among the kept ones is sent once, so that the vectors of a step are short
+    place = np.full(SLOTS, len(kept), np.int32)
+    place[kept] = np.arange(len(kept))
+    del p, q
+    shipped = docs.sparkSession.sparkContext.broadcast(place)
+    w = minimised(lambda w: loss(held, shipped, ratio, c, l2, w), start, steps)
+    shipped.destroy()
     none[kept] = w[:-1] * ratio
     return {"weights": none, "bias": float(w[-1])}
 
@@ -143,35 +149,38 @@ def _counts(held: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     return p, q, n1, n0
 
 
-def loss(held: DataFrame, kept: np.ndarray, ratio: np.ndarray, c: dict[int, float], l2: float, w: np.ndarray) -> tuple[float, np.ndarray]:
-    """Weighted log loss with its gradient, added up over the tasks."""
-    dense = np.zeros(SLOTS, np.float32)
-    dense[kept] = w[:-1] * ratio
-    shipped = held.sparkSession.sparkContext.broadcast((dense, float(w[-1])))
+def loss(held: DataFrame, place, ratio: np.ndarray, c: dict[int, float], l2: float, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """Weighted log loss with its gradient, added up over the tasks; ``place`` is a broadcast of the features of all slots."""
+    size = len(ratio)
+    # slots that are not kept have a feature of their own at the end, with weight 0
+    shipped = held.sparkSession.sparkContext.broadcast((np.append(w[:-1] * ratio, 0).astype(np.float32), float(w[-1])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense, bias = shipped.value
-        value, g, g_bias, some = 0.0, np.zeros(SLOTS), 0.0, False
+        (weights, bias), feature_of = shipped.value, place.value
+        value, g, g_bias, some = 0.0, np.zeros(size + 1), 0.0, False
         for y, of, slot in _groups(batches):
-            z = np.bincount(of, dense[slot], len(y)) + bias
+            feature = feature_of[slot]
+            z = np.bincount(of, weights[feature], len(y)) + bias
             signed = np.where(y == 1, z, -z)
             share = np.where(y == 1, c.get(1, 0.0), c.get(0, 0.0))
             value += float(share @ np.logaddexp(0, -signed))
             e = share * np.where(y == 1, -1.0, 1.0) / (1 + np.exp(np.clip(signed, -50, 50)))
-            g += np.bincount(slot, e[of], SLOTS)
+            g += np.bincount(feature, e[of], size + 1)
             g_bias += float(e.sum())
             some = True
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([g_bias]), pa.array([g.astype(np.float32).tobytes()])], ["value", "bias", "g"])
+            yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([g_bias]), pa.array([g[:-1].astype(np.float32).tobytes()])], ["value", "bias", "g"])
 
-    value, g, g_bias = l2 / 2 * float(w[:-1] @ w[:-1]), np.zeros(SLOTS), 0.0
-    for r in held.mapInArrow(run, "value double, bias double, g binary").toArrow().to_pylist():
-        value, g, g_bias = value + r["value"], g + np.frombuffer(r["g"], np.float32), g_bias + r["bias"]
+    value, g, g_bias = l2 / 2 * float(w[:-1] @ w[:-1]), np.zeros(size), 0.0
+    for r in held.mapInArrow(run, "value double, bias double, g binary").collect():
+        value, g_bias = value + r["value"], g_bias + r["bias"]
+        g += np.frombuffer(r["g"], np.float32)
     shipped.destroy()
-    return value, np.append(g[kept] * ratio + l2 * w[:-1], g_bias)
+    held.sparkSession.sparkContext._jvm.System.gc()  # lets go of the vectors of the step
+    return value, np.append(g * ratio + l2 * w[:-1], g_bias)
 
 
-def minimised(f, w: np.ndarray, steps: int, memory: int = 5, least_gain: float = 1e-3) -> np.ndarray:
+def minimised(f, w: np.ndarray, steps: int, memory: int = 4, least_gain: float = 1e-3) -> np.ndarray:
     """L-BFGS with halved steps; stops when a step gains less than this share of the value."""
     value, g = f(w)
     past: list[tuple[np.ndarray, np.ndarray, float]] = []
@@ -193,7 +202,7 @@ def minimised(f, w: np.ndarray, steps: int, memory: int = 5, least_gain: float =
             break
         s, y = t * d, g_after - g
         if s @ y > 1e-12:
-            past = [*past, (s, y, 1 / float(s @ y))][-memory:]
+            past = [*past, (s.astype(np.float32), y.astype(np.float32), 1 / float(s @ y))][-memory:]
         gain = value - after
         w, value, g = w + s, after, g_after
         if gain < least_gain * value:
