@@ -28,6 +28,8 @@ from .common import crc_mod, saved, slices, table
 
 ORDERS = (4, 6)
 BITS = 20
+#: Bytes of text whose n-grams a task holds at one time.
+PIECE_BYTES = 2 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -108,7 +110,7 @@ def _held(rows: DataFrame) -> DataFrame:
     """(y, f): label and slots of the training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, size=PIECE_BYTES):
             own: list[list[bytes]] = [[] for _ in texts]
             for of, slot in pairs(texts):
                 for k, part in enumerate(np.split(slot, np.searchsorted(of, np.arange(1, len(texts))))):
@@ -217,7 +219,7 @@ def score(docs: DataFrame, fitted: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, size=PIECE_BYTES):
             z = sum((np.bincount(of, m["weights"][slot], len(texts)) for of, slot in pairs(texts)), np.full(len(texts), m["bias"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))), pa.float64())], ["doc_id", "score"])
 
