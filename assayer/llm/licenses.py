@@ -186,7 +186,7 @@ def _canonical(s: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Array of (whole, parts): each sentence in normal form, and its lines if there are several; empty ones left out."""
-    clean = F.when(text.contains("\r") | text.contains(_STOP), F.translate(text, "\r" + _STOP, "\n ")).otherwise(F.coalesce(text, F.lit("")))
+    clean = F.when(text.contains("\r") | text.contains(_STOP), F.translate(text, "\r" + _STOP, "  ")).otherwise(F.coalesce(text, F.lit("")))
     lines = F.regexp_replace(clean, _MARKS, "$1")
     cut = F.split(F.regexp_replace(F.regexp_replace(lines, _BLANK, _STOP), _END, "$1" + _STOP), _STOP)
     none = F.array().cast("array<string>")
@@ -248,7 +248,7 @@ def _sql() -> str:
         canonical = f"regexp_replace({canonical}, '{pattern}', '{form}')"
     return rf"""
 WITH known(v, k) AS (VALUES {known}),
-l AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), chr(13) || chr(1), chr(10) || ' '), '{_MARKS}', '\1', 'g') AS t FROM documents),
+l AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), chr(13) || chr(1), '  '), '{_MARKS}', '\1', 'g') AS t FROM documents),
 d AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(t, '{_BLANK}', chr(1), 'g'), '{_END}', '\1' || chr(1), 'g'), chr(1)), lambda s: {plain("s")} <> '') AS s FROM l),
 e AS (SELECT doc_id, p, s, {plain("s")} AS v FROM (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS p FROM d)),
 w AS (SELECT doc_id, p, s, k FROM (SELECT doc_id, p, s, {canonical} AS v FROM e) LEFT JOIN known USING (v)),

@@ -91,6 +91,100 @@ def test_licenses(spark):
     assert got[4].classes == ["permissive", "restricted"] and got[0].n_sentences == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+%s
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+ENDORSE = """
+3. Neither the name of the Example Foundation nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GNU = """{0} is free software{1} you can redistribute it and/or modify
+it under the terms of the GNU {2}General Public License as published by
+the Free Software Foundation{3} either version {4} of the License, or
+(at your option) any later version.
+
+{0} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
+OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
+"""
+
+
+def test_licenses_of_whole_texts(spark):
+    cases = [
+        (MIT, "MIT"), (BSD % "", "BSD-2-Clause"), (BSD % ENDORSE, "BSD-3-Clause"), (APACHE, "Apache-2.0"), (MPL, "MPL-2.0"), (ISC, "ISC"),
+        (GNU.format("This program", ";", "", ";", "2"), "GPL-2.0"), (GNU.format("Foo", ":", "", ",", "3"), "GPL-3.0"),
+        (GNU.format("This library", ";", "Lesser ", ";", "2.1"), "LGPL-2.1"), (GNU.format("This program", ":", "Affero ", ",", "3"), "AGPL-3.0"),
+    ]
+    texts = [form(t) for t, _ in cases for form in (str, lambda t: "\n".join(f" * {x}".rstrip() for x in t.split("\n")), lambda t: "\r\n".join(f"// {x}" for x in t.split("\n")), lambda t: "Some prose before\n\n" + t + "\n\nand after" * 3000)]
+    got = rows(licenses.scan(frame(spark, [*texts, MIT, MIT])))
+    for k in range(len(texts)):
+        assert cases[k // 4][1] in got[k].licenses, (cases[k // 4][1], k % 4, got[k])
+    assert got[len(texts)].licenses == got[len(texts) + 1].licenses == ["MIT"]
+    assert licenses.scan(frame(spark, [])).count() == 0
+
+
 def test_suffix_array():
     r = random.Random(3)
     for _ in range(3000):
@@ -204,14 +298,45 @@ def test_quality_figures_and_viterbi(spark):
 def test_quality_trains_on_whole_documents(spark, monkeypatch):
     """Lines after the 60th reach the training, and long chains are trained with short ones."""
     seen, plain = [], quality.trained
-    monkeypatch.setattr(quality, "trained", lambda docs: (seen.extend(docs), plain(docs))[1])
+    monkeypatch.setattr(quality, "trained", lambda docs: (seen.extend(docs), plain(docs))[1])  # (label, features, words, hashes)
     texts = ["word one\n" * 10, "a # b\n" * 200, "two words here\n" * 90, "# #\n" * 3]
     labels = spark.createDataFrame([(k, k % 2 == 0 and 1 or 0) for k in range(4)], "doc_id long, quality long")
     field = quality.fit(frame(spark, texts), labels)
-    assert sorted(len(f) for _, f in seen) == [3, 10, 90, 200]
+    assert sorted(len(d[1]) for d in seen) == [3, 10, 90, 200]
     assert np.isfinite(field.emit).all() and field.emit.any()
 
 
+def test_quality_finds_planted_lines(spark):
+    """Boilerplate lines set into good documents get label 0, and the documents stay."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    field = quality.fit(docs, labels)
+    r = random.Random(3)
+    known = docs.join(labels, "doc_id").filter("text IS NOT NULL").orderBy("doc_id").select("text", "quality").collect()
+    junk = [x[:200] for t, q in known if q == 0 for x in t.split("\n") if len(x.split()) > 3 and (x.count("!!") > 3 or sum(x.count(m) for m in "*$%&#") > 9)]
+    planted = found = wrong = content = kept = texts = 0
+    for t, q in known:
+        lines = [(x, 1) for x in t.split("\n") if x.split()]
+        if q != 1 or len(lines) < 6:
+            continue
+        for _ in range(2):
+            lines.insert(r.randint(0, len(lines)), (r.choice(junk), 0))
+        *_, ok, share, got = quality.judge("\n".join(x for x, _ in lines).encode(), field, 0.5)
+        planted, found = planted + 2, found + sum(not g for (_, y), g in zip(lines, got) if not y)
+        content, wrong = content + len(lines) - 2, wrong + sum(not g for (_, y), g in zip(lines, got) if y)
+        kept, texts = kept + ok, texts + 1
+    assert texts > 50 and found >= 0.9 * planted and wrong <= 0.1 * content and kept >= 0.95 * texts, (texts, found / planted, wrong / content, kept)
+
+
+def test_quality_bag_and_splices():
+    doc = (1, [[1], [2], [3]], [5, 4, 3], [7, 8, 9])
+    assert quality.within_bag(doc, [1, 0, 1], [1, 1, 1]) == [1, 0, 1] and quality.within_bag(doc, [0, 0, 1], [1, 1, 1]) == [1, 1, 1]
+    again = [(1, [[0]] * 3, [2] * 3, [k, 99, 100 + k]) for k in range(quality.CONTEXTS)]
+    assert quality.first_labels(again) == [[1, 0, 1]] * quality.CONTEXTS
+    chains = quality.spliced([doc, (0, [[4], [5]], [1, 1], [1, 2])], [[1, 1, 1], [0, 0]])
+    assert all(len(own) == len(found) for _, own, found in chains) and len(chains[1][1]) > 2 and {0, 1} <= set(chains[1][1])
+
+
 def test_models_on_held_out_rows(spark, sf_dir):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -220,8 +345,53 @@ def test_models_on_held_out_rows(spark, sf_dir):
     tox = toxicity.query(spark, d).join(labels, "doc_id").collect()
     mean = lambda y: np.mean([r.score for r in tox if r.toxic == y])
     assert mean(1) > mean(0) and all(0 <= r.score <= 1 for r in tox)
-    kept = quality.query(spark, d).join(labels, "doc_id").filter("NOT base_failed").collect()
-    assert np.mean([r.kept for r in kept if r.quality == 1]) > 0.95
+    held = [r for r in tox if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) for r in tox)
+    assert sum(r.predicted for r in held if r.toxic == 0) <= 0.05 * len(held)
+    judged = quality.query(spark, d).join(labels, "doc_id").filter("NOT base_failed").collect()
+    assert np.mean([r.kept for r in judged if r.quality == 1]) > 0.95
+    assert np.mean([r.kept for r in judged if r.quality == 0] or [0]) < 0.2
+
+
+def test_toxicity_brute_force(spark):
+    """Features, counts, loss and gradient against plain Python."""
+    texts = ["you are BAD bad", "bad you", "fine words here", "fine day é", None, "words so bad"]
+    y = [1, 1, 0, 0, 0, 1]
+
+    def slots(t):
+        t = (t or "").translate({k: k + 32 for k in range(65, 91)}) + "\0" * max(toxicity.ORDERS)
+        out = set()
+        for k, n in enumerate(toxicity.ORDERS):
+            for at in range(len(t) - max(toxicity.ORDERS) - n + 1):
+                h = n
+                for ch in t[at : at + n]:
+                    h = (h * 0x9E3779B97F4A7C15 % (1 << 64)) ^ (ord(ch) + 1)
+                out.add(((h * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - toxicity.BITS)) | (k << toxicity.BITS))
+        return out
+
+    rows = spark.createDataFrame(list(zip(texts, y)), "text string, y int")
+    held = toxicity._held(rows)
+    assert sorted((r.y, tuple(sorted(np.frombuffer(r.f, np.uint32).tolist()))) for r in held.collect()) == sorted((v, tuple(sorted(slots(t)))) for t, v in zip(texts, y))
+    p, q, n1, n0 = toxicity._counts(held)
+    assert (n1, n0) == (3, 3) and all(p[s] == sum(s in slots(t) for t, v in zip(texts, y) if v) for s in slots(texts[0]))
+    kept = np.flatnonzero(p + q >= 1)
+    place = np.full(toxicity.SLOTS, len(kept), np.int32)
+    place[kept] = np.arange(len(kept))
+    r = np.random.default_rng(1)
+    ratio, w, c = r.normal(size=len(kept)), r.normal(size=len(kept) + 1), {1: 0.2, 0: 0.1}
+
+    def plain(w):
+        z = [sum(w[place[s]] * ratio[place[s]] for s in slots(t)) + w[-1] for t in texts]
+        return sum(c[v] * math.log1p(math.exp(-x if v else x)) for x, v in zip(z, y)) + 0.01 / 2 * float(w[:-1] @ w[:-1])
+
+    value, g = toxicity.loss(held, spark.sparkContext.broadcast(place), ratio, c, 0.01, w)
+    assert value == pytest.approx(plain(w), rel=1e-5)
+    for k in [0, len(kept) // 2, len(kept)]:
+        step = np.zeros_like(w)
+        step[k] = 1e-4
+        assert g[k] == pytest.approx((plain(w + step) - plain(w - step)) / 2e-4, abs=1e-4)
+    best = toxicity.minimised(lambda x: (float((x - 3) @ (x - 3)), 2 * (x - 3)), np.zeros(5), 20)
+    assert best == pytest.approx(np.full(5, 3.0), abs=1e-2)
 
 
 def test_models_on_odd_rows(spark, docs):
@@ -234,10 +404,33 @@ def test_models_on_odd_rows(spark, docs):
         assert len(got) == len(TEXTS) and got[0].lang_pred == got[1].lang_pred == got[2].lang_pred == "und"
 
 
-def test_langid_backoff():
-    fitted = langid.model([{"lang": "a", "n": 0, "gram": "foo", "c": 3}, {"lang": "b", "n": 2, "gram": "zz", "c": 5}], {("a", 0): (3, 1), ("b", 0): (1, 1), ("a", 2): (1, 1), ("b", 2): (9, 4)})
-    s = langid.Scorer(fitted)
-    assert s.predict([b"foo", b"fuzzy", b"12 34", None])[0] == ["a", "b", "und", "und"]
+def test_langid_brute_force(spark):
+    """Every word and n-gram of the sample is in the model; scores equal a plain back-off."""
+    texts = ["foo bar foo", "zz zap foo", "bar zaz", "foo", None, "", "12 34", "Zap unseen foox", "qq"]
+    langs = ["a", "b", "b", "a", "a", "b", "a", None, None]
+    docs = frame(spark, texts, lang=langs)
+    got = rows(langid.predict(docs, langid.fit(docs)))
+    c = {n: {lang: Counter() for lang in "ab"} for n in (0, *langid.ORDERS)}
+    for t, lang in zip(texts, langs):
+        for w in re.findall("[a-z]+", (t or "").lower()) if lang else []:
+            c[0][lang][w] += 1
+            for n in langid.ORDERS:
+                c[n][lang].update(langid.grams(w, n))
+    log = lambda n, g, lang: math.log((c[n][lang][g] + 0.1) / (sum(c[n][lang].values()) + 0.1 * (len(c[n][lang]) + 1)))
+    for k, t in enumerate(texts):
+        total = dict.fromkeys("ab", 0.0)
+        for w in re.findall("[a-z]+", (t or "").lower()):
+            for n in (0, *langid.ORDERS):
+                known = [g for g in ([w] if n == 0 else langid.grams(w, n)) if any(g in c[n][x] for x in "ab")]
+                if known:
+                    for lang in "ab":
+                        total[lang] += sum(log(n, g, lang) for g in known) / len(known)
+                    break
+        if not re.search("[a-z]", (t or "").lower()):
+            assert (got[k].lang_pred, got[k].score) == ("und", 0.0)
+            continue
+        best = max("ab", key=lambda x: (total[x], x == "a"))
+        assert got[k].lang_pred == best and got[k].score == pytest.approx(1 / sum(math.exp(total[x] - total[best]) for x in "ab"), rel=1e-4)
 
 
 def test_simhash_links_and_components(spark):
@@ -270,6 +463,58 @@ def test_simhash_links_and_components(spark):
     assert got == {ids[k]: least[find(k)] for k in range(len(prints))} | {None: 5, 5: 5}
 
 
+def test_simhash_segment_pairs_hold_every_pattern():
+    """Up to three errors over four segments: some equal segment is followed by one with one error at most."""
+    for e in np.ndindex(4, 4, 4, 4):
+        if sum(e) <= 3:
+            assert any(e[i] == 0 and e[j] <= 1 for i, j in simhash.PAIRS)
+            assert all(min(e[(i + 2) % 4], e[(i + 3) % 4]) <= 1 for i in range(4))
+
+
+def test_simhash_large_groups_are_dealt_anew(spark):
+    """Groups cut at two members give the same components as whole ones."""
+    r = random.Random(9)
+    base = [r.getrandbits(64) for _ in range(3)]
+    prints = {b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 4))) for b in base for _ in range(60)}
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in prints], "fp long")
+
+    def parts(edges):
+        root = {r.fp: r.fp for r in df.collect()}
+        find = lambda x: x if root[x] == x else find(root[x])
+        for e in edges.collect():
+            root[find(e.a)] = find(e.b)
+        out = {}
+        for x in root:
+            out.setdefault(find(x), set()).add(x)
+        return sorted(map(sorted, out.values()))
+
+    assert parts(simhash.links(df, most_group=2)) == parts(simhash.links(df))
+
+
+def test_near_groups(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts, group = [None, "", "  "], [0, 0, 0]
+    for k in range(30):
+        w = [word() for _ in range(200)]
+        texts.append(" ".join(w))
+        group.append(len(texts) - 1)
+        for _ in range(2):
+            v = list(w)
+            v[r.randrange(200)] = word()
+            v[r.randrange(200)] = word()
+            texts.append(" ".join(v))
+            group.append(group[-1])
+        texts.append(" ".join(w[:60] + [word() for _ in range(140)]))
+        group.append(len(texts) - 1)
+    got = [(x.least, x.component_id) for x in simhash.near_groups(frame(spark, texts)).collect()]
+    kept = {a for a, b in got if a == b}
+    near = [k for k in range(len(texts)) if group[k] != k]
+    assert sum(k not in kept for k in near) >= 0.9 * len(near)
+    assert all(k in kept for k in range(len(texts)) if group[k] == k)
+    assert simhash.near_groups(frame(spark, [])).count() == 0
+
+
 def test_simhash_fingerprint(spark, docs):
     import xxhash
 
@@ -286,7 +531,7 @@ SECRET_TEXTS = [None, "", "password=abc token: 'x1y2z3w4' secret=token:abcdefgh
 
 def test_secrets_brute_force(spark):
     scanned = secrets.scan(frame(spark, SECRET_TEXTS))
-    got = rows(secrets.found(scanned, {}))
+    got = rows(secrets.found(scanned, None))
     assign = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     for k, t in enumerate(SECRET_TEXTS):
         t = t or ""
@@ -295,17 +540,54 @@ def test_secrets_brute_force(spark):
         spans += [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
         spans.sort(key=lambda s: (s[1], secrets.KINDS.index(s[0])))
         assert [(s.kind, s.start, s.end) for s in got[k]["_secrets"]] == spans, k
-    texts = rows(secrets.redacted(secrets.found(scanned, {})))
+    texts = rows(secrets.redacted(secrets.found(scanned, None)))
     assert texts[5].text == " [SECRET]" and texts[0].text is None and texts[4].text == "x [SECRET] y 0123"
 
 
 def test_secret_battery(spark):
+    """p and q against plain Python, the threshold against Benjamini and Hochberg on the cells, planted strings and look-alikes."""
     r = random.Random(7)
-    random_hex = ["".join(r.choice("0123456789abcdef") for _ in range(48)) for _ in range(200)]
-    plain = ["ab12" * 12] * 50
-    df = spark.createDataFrame([(t,) for t in random_hex + plain], "v string").select("v", secrets.battery(F.col("v")).alias("t")).collect()
-    p = [r.t.p for r in df]
-    assert 0.6 < np.mean(np.array(p[:200]) > 0.2) and max(p[200:]) < 0.01
-    assert {r.t.encoding for r in df} == {"hex"}
-    found = secrets.thresholds(secrets.scan(frame(spark, [f"x {t} y" for t in random_hex + plain])))
-    assert found and all(0 < v < 1 for v in found.values())
+    pick = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    b62 = secrets.ALPHABETS["base62"][0]
+    keys = [pick(b62, 40) for _ in range(60)] + [pick(b62 + "+/", 44) for _ in range(30)] + [pick("0123456789ABCDEF", 64) for _ in range(30)]
+    names = "get set user account number value list index string parse file system config manager service handler request local share python package".split()
+    alike = ["/".join(r.choice(names) for _ in range(6)) for _ in range(100)] + ["".join(r.choice(names).title() for _ in range(6)) for _ in range(100)]
+    alike += ["0123456789ABCDEF" * 2, b62[:36], "AB12" * 12] * 10 + [pick("0123456789", 16) for _ in range(60)]
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+
+    def plain(v):
+        body = v.rstrip("=").replace("-", "+").replace("_", "/")
+        name = next(n for n, (letters, _) in secrets.ALPHABETS.items() if set(body) <= set(letters))
+        letters = secrets.ALPHABETS[name][0]
+        x, k, n, c = [letters.index(ch) for ch in body], len(letters), len(body), secrets.COLLIDE[name]
+        chi = sum(m * m for m in Counter(x).values()) * k / n - n
+        w = 2 / (9 * (k - 1))
+        p_chi = tail(((max(chi, 1e-9) / (k - 1)) ** (1 / 3) - (1 - w)) / math.sqrt(w))
+        high = sum(2 * a >= k for a in x)
+        runs = 1 + sum((2 * a >= k) != (2 * b >= k) for a, b in zip(x, x[1:]))
+        mean = 1 + 2 * high * (n - high) / n
+        var = (mean - 1) * (mean - 2) / (n - 1)
+        p_runs = 2 * tail(abs(runs - mean) / math.sqrt(var)) if var > 0 else 0.0
+        m = sum(x) / n
+        v2 = sum((a - m) ** 2 for a in x)
+        p_serial = 2 * tail(abs(sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / v2 + 1 / n) * math.sqrt(n)) if v2 else 0.0
+        spread = k / n * math.sqrt(4 * n * (n - 1) * (n - 2) * 0.3 * c * c + 2 * n * (n - 1) * (c - c * c))
+        return name, min(1.0, 3 * min(p_chi, p_runs, p_serial)), tail((k - 1 + (n - 1) * (k * c - 1) - chi) / spread)
+
+    texts = [f"x {t} y" for t in keys + alike]
+    scanned = secrets.scan(frame(spark, texts)).cache()
+    first = secrets.threshold(scanned)
+    got = rows(secrets.found(scanned, first))
+    cells = []
+    for k, t in enumerate(keys + alike):
+        test = got[k]["_secret_tested"]
+        assert len(test) == 1 and (test[0].start, test[0].end) == (2, 2 + len(t))
+        name, p, q = plain(t)
+        assert test[0].test.encoding == name and test[0].test.p == pytest.approx(p, abs=1e-5) and test[0].test.q == pytest.approx(q, abs=1e-6)
+        cells.append(0 if test[0].test.p < secrets.REJECTED else min(max(math.floor(-10 * math.log10(max(test[0].test.q, 1e-300))), 0), secrets.CELLS - 1))
+    assert first == min(k for k in range(1, secrets.CELLS) if any(c >= k for c in cells) and len(cells) * 10 ** (-k / 10) <= 0.1 * sum(c >= k for c in cells))
+    reported = [any(s.kind == "random" for s in got[k]["_secrets"]) for k in range(len(texts))]
+    assert [c >= first for c in cells] == reported
+    assert sum(reported[: len(keys)]) >= 0.85 * len(keys) and sum(reported[len(keys) :]) <= 0.1 * sum(reported)
+    inside = rows(secrets.scan(frame(spark, ["token = " + keys[0], None, ""])))
+    assert not any(inside[k]["_secret_tested"] for k in range(3)) and secrets.threshold(secrets.scan(frame(spark, []))) is None
