@@ -197,6 +197,7 @@ def test_repeats_brute_force(spark):
     long = "".join(r.choice("abcde ") for _ in range(400))
     texts = [None, "", "short", long, long, long[:60], long[50:99] + "é" + long[100:149], long[100:150] + "x" + long[200:260], "é" * 40, "é" * 60, "q" * 49, "q" * 300]
     texts += ["".join(r.choice(["ab" * 20, "c", long[7:70], "é" * 26]) for _ in range(8)) for _ in range(25)]
+    texts += ["".join(r.choice("xyz") for _ in range(12)) + long[300:330] + "".join(r.choice("xyz") for _ in range(12)) + "-" * r.randint(50, 400) for _ in range(40)]
     df = frame(spark, texts)
     seen, expected = set(), {}
     for k, t in enumerate(texts):
@@ -208,8 +209,9 @@ def test_repeats_brute_force(spark):
                 covered[p : p + 50] = b"\1" * 50
         seen |= set(grams)
         expected[k] = (len(b), bytes(x for x, c in zip(b, covered) if not c), sum(1 for q, c in enumerate(covered) if c and not (q and covered[q - 1])))
-    for most in (1 << 20, 0):
-        got = rows(repeats.remove(df, most_live=most))
+    plans = [{}, {"most_live": 0, "most_rows": -1}, {"hot_bytes": 0}]  # plans for small lists, for long ones, for frequent minimizers
+    for plan in plans:
+        got = rows(repeats.remove(df, **plan))
         assert {k: (v.n_bytes, bytes(v.kept), len(v.removed)) for k, v in got.items()} == expected
     assert repeats.remove(df.limit(0)).count() == 0
 
