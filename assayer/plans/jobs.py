@@ -135,21 +135,80 @@ def audit(items: DataFrame, products: DataFrame) -> dict[str, DataFrame]:
     return {"unmatched": unmatched, "ambiguous_feed": report.ambiguous(keys, "key", "product_url"), "counts": report.families(items)}
 
 
-def image_candidates(items: DataFrame, codes: DataFrame, products: DataFrame) -> dict[str, DataFrame]:
-    """One image for each priceable item reached by a family of a product, with the funnel's counters."""
-    good = products.filter(~Q.rejected_image("image_url"))
-    fam = good.select("product_url", "image_url", "image_count", "group_id", F.explode("families").alias("serial"))
-    one = match.one_product_per_family(fam, ["group_id", "serial"])
-    wanted = one.select(F.concat_ws("|", "group_id", "serial").alias("wanted_id"), "group_id", "serial", "image_url", "image_count", "product_url")
-    able = items.filter(Q.priceable())
-    hits = match.family_join(able, codes, wanted.select("wanted_id", "group_id", "serial")).join(able.select("item_id", C.normalize_serial("serial_code").alias("primary_serial"), "created_at"), "item_id")
-    exact = match.exact_preference(hits.join(wanted, "wanted_id"))
-    target = dedupe.first_per_key(exact, ["wanted_id", "primary_serial"], ["created_at", "item_id"])
-    chosen = match.one_candidate_per_item(target).select("item_id", "image_url", "product_url", "wanted_id")
-    n = lambda df, name: df.agg(F.count("*").alias(name))
-    # each of the counters is one row
-    funnel = n(products, "products").crossJoin(n(good, "usable")).crossJoin(n(one, "families")).crossJoin(n(hits, "hits")).crossJoin(n(chosen, "candidates"))
-    return {"candidates": chosen, "funnel": funnel}
+def image_candidates(
+    items: DataFrame, codes: DataFrame, products: DataFrame, imaged: DataFrame | None = None, done: DataFrame | None = None, failed: DataFrame | None = None,
+    allowed: DataFrame | None = None, cross_group: bool = False, replace_existing: bool = False, limit: int | None = None,
+) -> dict[str, DataFrame]:
+    """One image for each priceable item reached by a family of a product, with the 20 counters of the funnel.
+
+    ``products`` may have ``issue`` (null: valid) and ``group_name`` (names without a ``group_id`` are counted); ``imaged`` and
+    ``allowed`` have item_id, ``done`` and ``failed`` (only those are tried again) id and hash.  Families are found in their group, and
+    in all with ``cross_group`` (C15).
+    """
+    has = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    records = products.withColumn("group_name", F.coalesce(has(products, "group_name"), "group_id")).withColumn("valid", has(products, "issue").isNull())
+    records = records.withColumn("imaged", F.col("valid") & ~blank(F.col("image_url")))
+    records = records.withColumn("rejected", F.col("imaged") & F.coalesce(Q.rejected_image("image_url"), F.lit(True)))
+    shown = F.col("imaged") & ~F.col("rejected")
+    records = records.withColumn("homeless", shown & (blank(F.col("group_name")) | (F.coalesce(F.size("families"), F.lit(0)) < 1)))
+    good = records.filter(shown & ~F.col("homeless")).select("product_url", "image_url", "image_count", "group_name", "group_id", F.explode(F.array_distinct("families")).alias("serial"))
+    best = F.min(F.struct((-F.coalesce("image_count", F.lit(0))).alias("order"), "product_url", "image_url")).alias("best")
+    named = good.groupBy("group_name", "group_id", "serial").agg(best, (F.min("image_url") != F.max("image_url")).alias("differ"))
+    wanted = named.filter("group_id IS NOT NULL AND NOT differ").select(F.concat_ws("|", "group_id", "serial").alias("wanted_id"), "group_id", "serial", "best")
+
+    asked = wanted.select("wanted_id", "group_id", "serial")
+    hits = match.family_join(items, codes, asked)
+    if cross_group:
+        hits = hits.unionByName(match.family_join(items, codes, asked.drop("group_id"), None)).distinct()
+    flagged = items.select("item_id", "created_at", has(items, "source_hash").alias("source_hash"), F.nullif(C.normalize_serial("serial_code"), F.lit("")).alias("primary"), F.coalesce(Q.priceable(), F.lit(False)).alias("able"))
+
+    def marked(df, other, column, name):
+        if other is None:
+            return df.withColumn(name, F.lit(False))
+        keys = other.select(F.col(column[1]).alias(column[0])).filter(F.col(column[0]).isNotNull()).distinct().withColumn(name, F.lit(True))
+        return df.join(keys, column[0], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+    flagged = marked(flagged, imaged, ("item_id", "item_id"), "has_image")
+    flagged = marked(flagged, allowed, ("item_id", "item_id"), "listed").withColumn("listed", F.col("listed") | F.lit(allowed is None))
+    for name, other in (("done", done), ("failed", failed)):
+        flagged = marked(marked(flagged, other, ("item_id", "id"), "by_id"), other, ("source_hash", "hash"), "by_hash")
+        flagged = flagged.withColumn(name, F.col("by_id") | F.col("by_hash")).drop("by_id", "by_hash")
+    flagged = flagged.withColumn("tried", F.when(F.col("done"), "done").when(~F.col("failed") & F.lit(failed is not None), "not_failed"))
+
+    # a family that reaches several primaries keeps the exact one: sums are made for all of its items and for the exact ones
+    exact = F.col("primary").eqNullSafe(F.col("serial"))
+    target, able = F.struct("created_at", "item_id", "tried"), F.col("listed") & F.col("able")
+    pool = F.col("has_image") & (F.col("listed") if cross_group else F.lit(True))
+    sums = {"n": (F.count_if, F.lit(True)), "n_listed": (F.count_if, F.col("listed")), "n_able": (F.count_if, able), "target": (F.min, F.when(able, target)), "copy": (F.min, F.when(pool, F.struct("created_at", "item_id")))}
+    both = [f(x if which is None else F.when(which, x)).alias(f"{name}_{k}") for name, (f, x) in sums.items() for k, which in (("all", None), ("exact", exact))]
+    reached = hits.join(asked.select("wanted_id", "serial"), "wanted_id").join(flagged, "item_id").groupBy("wanted_id").agg((F.min("primary") < F.max("primary")).alias("many"), *both)
+    chosen = reached.select("wanted_id", *(F.when(F.col("many"), F.col(f"{n}_exact")).otherwise(F.col(f"{n}_all")).alias(n) for n in sums))
+    step = F.when(F.col("n").isNull(), "no_items").when(F.col("n") == 0, "ambiguous").when(F.col("n_listed") == 0, "not_listed").when(F.col("n_able") == 0, "not_able")
+    step = step.when(F.col("copy").isNotNull() & F.lit(not replace_existing), "has_image").when(F.col("target.tried").isNotNull(), F.col("target.tried")).otherwise("candidate")
+    families = wanted.select("wanted_id", "best").join(chosen, "wanted_id", "left").withColumn("step", step)
+
+    each = families.filter("step = 'candidate'").groupBy(F.col("target.item_id").alias("item_id")).agg(F.min(F.struct("best", "wanted_id")).alias("c"), (F.min("best.image_url") != F.max("best.image_url")).alias("differ"))
+    available = each.filter("NOT differ").select("item_id", F.col("c.best.image_url").alias("image_url"), F.col("c.best.product_url").alias("product_url"), F.col("c.wanted_id").alias("wanted_id"))
+    at = lambda *steps: F.count_if(F.col("step").isin(*steps))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    listed = F.when(F.col("n_listed") > 0, F.col("n_able"))
+    rows = records.agg(
+        F.count("*").alias("records_total"), F.count_if("valid").alias("records_valid"), F.count_if(~F.col("valid") | F.col("homeless")).alias("records_invalid"), F.count_if("imaged").alias("records_with_main_image"),
+        F.count_if(F.col("valid") & ~F.col("imaged")).alias("records_without_main_image"), F.count_if("rejected").alias("records_rejected_placeholder_image"),
+    )
+    names = named.agg(F.count_if(F.col("group_id").isNull()).alias("families_without_group"), F.count_if(F.col("group_id").isNotNull() & F.col("differ")).alias("_images"))
+    found = families.agg(
+        F.count("*").alias("families_available"), at("no_items").alias("families_without_items"), at("ambiguous").alias("_primaries"), total("n").alias("matched_items"), total(listed).alias("priceable_items"),
+        total(F.when(F.col("step") == "not_listed", F.col("n"))).alias("skipped_not_in_media_report"), total(F.when(F.col("n_listed") > 0, F.col("n_listed") - F.col("n_able"))).alias("skipped_not_priceable"),
+        at("has_image").alias("skipped_existing_image"), at("done").alias("skipped_checkpointed"), at("not_failed").alias("skipped_not_failed_checkpoint"),
+        F.count_distinct(F.when(F.col("step") == "has_image", F.col("copy.item_id"))).alias("copy_sources_available"),
+    )
+    last = each.agg(F.count_if("differ").alias("_items"), F.count_if(~F.col("differ")).alias("candidates_available"))
+    # each side is one row
+    funnel = rows.crossJoin(names).crossJoin(found).crossJoin(last).withColumn("families_ambiguous", F.col("_images") + F.col("_primaries") + F.col("_items")).drop("_images", "_primaries", "_items")
+    funnel = funnel.withColumn("candidates_selected", F.least("candidates_available", F.lit(max(1, limit)).cast("long")) if limit is not None else F.col("candidates_available"))
+    return {"candidates": available if limit is None else available.orderBy("wanted_id").limit(max(1, limit)), "funnel": funnel}
 
 
 def convert_legacy(items: DataFrame, source: DataFrame) -> DataFrame:

@@ -120,6 +120,29 @@ def test_candidates_and_ambiguity(spark):
     assert [r.item_id for r in jobs.image_candidates(exact, codes, feed)["candidates"].collect()] == ["i0"]
 
 
+def test_candidate_funnel(spark):
+    fine, bare = (1.0, 5.0, None, None, None, None), (None, None, None, None, None, None)
+    have = items(spark, ("A1", "M", *fine), ("B1", "M", *bare), ("C1", "M", *fine), ("D1", "M", *fine), ("E1", "M", *fine))
+    none = spark.createDataFrame([], "item_id string, code string")
+    schema = "product_url string, image_url string, image_count int, group_id string, group_name string, families array<string>, issue string"
+    url = "https://x/{}.jpg".format
+    feed = [("u1", url(1), 1, "g", "G", ["A1"], None), ("u2", url(2), 1, "g", "G", ["B1"], None), ("u3", url(3), 2, "g", "G", ["C1", "A1"], None), ("u4", url(4), 1, "g", "G", ["D1"], None), ("u5", url(5), 1, "g", "G", ["E1"], None)]
+    feed += [("u6", url(6), 1, "g", "G", ["ZZ"], None), ("u7", url(7), 1, None, "H", ["A1"], None), ("u8", " ", 1, "g", "G", ["A1"], None), ("u9", url(9), 1, "g", "G", [], None), ("u10", url(10), 1, "g", "G", ["A1"], "missing_serial")]
+    parts = lambda *ids: spark.createDataFrame([(i,) for i in ids], "item_id string")
+    done = spark.createDataFrame([("i4", None)], "id string, hash string")
+    got = jobs.image_candidates(have, none, spark.createDataFrame(feed, schema), imaged=parts("i3"), done=done)
+    assert [(r.item_id, r.product_url) for r in got["candidates"].collect()] == [("i2", "u3")]
+    assert got["funnel"].first().asDict() == {
+        "records_total": 10, "records_valid": 9, "records_invalid": 2, "records_with_main_image": 8, "records_without_main_image": 1, "records_rejected_placeholder_image": 0,
+        "families_available": 5, "families_ambiguous": 1, "families_without_group": 1, "families_without_items": 1, "matched_items": 4, "priceable_items": 3,
+        "skipped_not_in_media_report": 0, "skipped_checkpointed": 1, "skipped_not_failed_checkpoint": 0, "skipped_not_priceable": 1, "skipped_existing_image": 1,
+        "copy_sources_available": 1, "candidates_available": 1, "candidates_selected": 1,
+    }
+    listed = jobs.image_candidates(have, none, spark.createDataFrame(feed, schema), allowed=parts("i3"), replace_existing=True, cross_group=True, limit=1)
+    assert [r.item_id for r in listed["candidates"].collect()] == ["i3"]
+    assert listed["funnel"].first().skipped_not_in_media_report == 3
+
+
 def test_unit_repair(spark):
     have = items(spark, ("S1", "M", 0.52, 2.157, None, None, None, None), ("S1", "M", 0.52, 2157.0, None, None, None, None), ("S2", "M", 1.0, 3.0, None, None, None, None))
     got = {r.row_no: r for r in enrich.repaired_units(have, F.col("pt_ppm") < 100).collect()}
