@@ -787,11 +787,28 @@ def h18_j8_audit(t: Tables) -> DataFrame:
     return jobs.audit(t.items, products)["unmatched"].select("group_id", "serial")
 
 
-@query("")
+@query(f"""WITH p AS (SELECT p_partkey AS k, CASE WHEN p_size % 9 = 0 THEN '' ELSE concat('https://x/i', CAST(p_partkey % 5 AS VARCHAR)) END AS image, concat('https://x/', CAST(p_partkey AS VARCHAR)) AS url, p_size, concat('g', CAST(p_partkey % 25 AS VARCHAR)) AS group_id, p_size % 10 <> 7 AS valid FROM part),
+good AS (SELECT image, url, p_size, group_id, unnest([concat('KT', CAST(k AS VARCHAR)), concat('ALT', CAST(k % 60 AS VARCHAR))]) AS s FROM p WHERE valid AND image <> ''),
+named AS (SELECT group_id, s, min(image) <> max(image) AS differ, arg_min(struct_pack(i := image, u := url), struct_pack(n := -p_size, u := url)) AS best FROM good GROUP BY ALL),
+f AS (SELECT * FROM named WHERE NOT differ),
+k AS (SELECT item_id, group_id, {ns('serial_code')} AS s FROM items UNION SELECT c.item_id, i.group_id, {ns('c.code')} FROM codes c JOIN items i ON i.item_id = c.item_id),
+h AS (SELECT f.group_id, f.s, i.item_id, struct_pack(c := i.created_at, i := i.item_id) AS t, nullif({ns('i.serial_code')}, '') AS p, {PRICEABLE} AS able, i.item_id IN (SELECT item_id FROM media WHERE flag = 'R') AS img FROM f JOIN k ON k.group_id = f.group_id AND k.s = f.s JOIN items i ON i.item_id = k.item_id),
+m AS (SELECT group_id, s, min(p) < max(p) AS many FROM h GROUP BY ALL),
+u AS (SELECT h.* FROM h JOIN m ON h.group_id = m.group_id AND h.s = m.s WHERE NOT coalesce(many, false) OR p = h.s),
+a AS (SELECT group_id, s, count(*) AS n, count(CASE WHEN able THEN 1 END) AS n_able, min(CASE WHEN able THEN t END) AS target, min(CASE WHEN img THEN t END) AS copy FROM u GROUP BY ALL),
+e AS (SELECT target.i AS item_id, min(best.i) <> max(best.i) AS differ FROM a JOIN f ON f.group_id = a.group_id AND f.s = a.s WHERE n_able > 0 AND copy IS NULL GROUP BY ALL)
+SELECT (SELECT count(*) FROM p) AS records_total, (SELECT count(*) FROM p WHERE valid) AS records_valid, (SELECT count(*) FROM p WHERE NOT valid) AS records_invalid, (SELECT count(*) FROM p WHERE valid AND image <> '') AS records_with_main_image, (SELECT count(*) FROM p WHERE valid AND image = '') AS records_without_main_image, CAST(0 AS BIGINT) AS records_rejected_placeholder_image,
+(SELECT count(*) FROM f) AS families_available, (SELECT count(*) FROM named WHERE differ) + (SELECT count(*) FROM m) - (SELECT count(*) FROM a) + (SELECT count(*) FROM e WHERE differ) AS families_ambiguous, CAST(0 AS BIGINT) AS families_without_group, (SELECT count(*) FROM f) - (SELECT count(*) FROM m) AS families_without_items,
+(SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM a) AS matched_items, (SELECT CAST(coalesce(sum(n_able), 0) AS BIGINT) FROM a) AS priceable_items, CAST(0 AS BIGINT) AS skipped_not_in_media_report, CAST(0 AS BIGINT) AS skipped_checkpointed, CAST(0 AS BIGINT) AS skipped_not_failed_checkpoint, (SELECT CAST(coalesce(sum(n - n_able), 0) AS BIGINT) FROM a) AS skipped_not_priceable,
+(SELECT count(*) FROM a WHERE n_able > 0 AND copy IS NOT NULL) AS skipped_existing_image, (SELECT count(DISTINCT copy.i) FROM a WHERE n_able > 0) AS copy_sources_available, (SELECT count(*) FROM e WHERE NOT differ) AS candidates_available, (SELECT count(*) FROM e WHERE NOT differ) AS candidates_selected""", "items", "codes", "media")
 def d17_j9_image_candidates(t: Tables) -> DataFrame:
-    """Funnel of image candidates; its parts have SQL of their own above, the job is tested by its counters."""
-    products = t.part.select(F.concat(F.lit("https://x/"), F.col("p_partkey").cast("string")).alias("product_url"), F.concat(F.lit("https://x/i"), (F.col("p_partkey") % 5).cast("string")).alias("image_url"), F.col("p_size").alias("image_count"), F.concat(F.lit("g"), (F.col("p_partkey") % 25).cast("string")).alias("group_id"), F.array(F.concat(F.lit("KT"), F.col("p_partkey").cast("string"))).alias("families"))
-    return jobs.image_candidates(t.items, t.codes, products)["funnel"]
+    key = F.col("p_partkey")
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    products = t.part.select(
+        text("https://x/", key).alias("product_url"), F.when(F.col("p_size") % 9 == 0, "").otherwise(text("https://x/i", key % 5)).alias("image_url"), F.col("p_size").alias("image_count"),
+        text("g", key % 25).alias("group_id"), F.array(text("KT", key), text("ALT", key % 60)).alias("families"), F.when(F.col("p_size") % 10 == 7, "missing_serial").alias("issue"),
+    )
+    return jobs.image_candidates(t.items, t.codes, products, imaged=t.media.filter("flag = 'R'"))["funnel"]
 
 
 def _feed(t: Tables) -> DataFrame:
