@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-ITEM = "l_orderkey * 10 + l_linenumber"
+#: A line's place, which several lines share, and a number that no two lines share (tests hold that on all scales).
+SLOT = "l_orderkey * 10 + l_linenumber"
+ITEM = f"({SLOT}) * 1000000000 + (l_partkey % 100000) * 10000 + (l_suppkey % 100) * 100 + CAST(l_quantity AS BIGINT)"
 
 PROXIES: dict[str, tuple[str, dict[str, str]]] = {
     "items": ("lineitem", {
         "row_no": ITEM,
-        "tie": "l_partkey * 1000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT)",
+        "slot": SLOT,
         "item_id": f"concat('i', CAST({ITEM} AS STRING))",
         "group_id": "concat('g', CAST(l_suppkey % 25 AS STRING))",
         "serial_code": "CASE WHEN l_partkey % 23 = 0 THEN 'Kontrolinis 7' WHEN l_partkey % 29 = 0 THEN '?..' WHEN l_partkey % 31 = 0 THEN NULL WHEN l_partkey % 37 = 0 THEN 'n/a' ELSE concat(CASE l_linenumber % 4 WHEN 0 THEN 'kt-' WHEN 1 THEN 'KT ' WHEN 2 THEN ' kt./' ELSE 'KT' END, CAST(l_partkey AS STRING)) END",
@@ -28,7 +30,7 @@ PROXIES: dict[str, tuple[str, dict[str, str]]] = {
     "groups": ("nation", {"id": "concat('g', CAST(n_nationkey AS STRING))", "name": "n_name", "sheet_name": "concat(' new  ', lower(n_name))", "region": "CAST(n_regionkey AS STRING)"}),
     "users": ("customer", {"user_id": "c_custkey", "is_active": "c_acctbal > 0", "lang": "CASE c_nationkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'ar' ELSE 'hu' END", "preferred_language": "CASE c_nationkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'ar' ELSE 'hu' END", "segment": "c_mktsegment"}),
     "roles": ("customer", {"user_id": "c_custkey", "role": "CASE c_custkey % 5 WHEN 0 THEN 'admin' WHEN 1 THEN 'editor' ELSE 'app_user' END", "k": "c_custkey % 7"}),
-    "saved": ("orders", {"user_id": "o_custkey", "item_id": "concat('i', CAST(o_orderkey * 10 + 1 AS STRING))", "day": "CAST(o_orderdate AS DATE)"}),
+    "saved": ("lineitem", {"user_id": "l_partkey", "item_id": f"concat('i', CAST({ITEM} AS STRING))", "day": "CAST(l_shipdate AS DATE)"}),
     "quotes": ("events", {"event_id": "event_id", "at": "ts", "key": "CASE event_type WHEN 'view' THEN 'pt' WHEN 'click' THEN 'pd' WHEN 'purchase' THEN 'rh' ELSE event_type END", "price_oz": "round(value, 2)", "user_id": "user_id", "snap": "CAST(floor(event_id / 7) AS BIGINT)", "props": "props"}),
 }
 

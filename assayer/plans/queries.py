@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import quality as Q
-from ..operators import dedupe, enrich, match, price, report, search
+from ..operators import dedupe, enrich, match, price, rank, report, search
 from ..sources import io
 from . import jobs
 from .proxies import Tables, with_sql
@@ -183,14 +183,10 @@ def h31_h32_rates(t: Tables) -> DataFrame:
 
 @query("SELECT item_id, CAST(row_number() OVER (ORDER BY created_at DESC, item_id) AS BIGINT) - 1 AS position, printf('Pt %.2f%%, Pd %.2f%%, Rh %.2f%%', pt_ppm, pd_ppm, rh_ppm) AS body FROM items WHERE pt_ppm IS NOT NULL AND pd_ppm IS NOT NULL AND rh_ppm IS NOT NULL", "items")
 def e13_h33_newest_notes(t: Tables) -> DataFrame:
-    """Positions over the whole table: the rows of newer days, then the place within the day."""
-    some = t.items.filter("pt_ppm IS NOT NULL AND pd_ppm IS NOT NULL AND rh_ppm IS NOT NULL")
-    days = some.groupBy("created_at").agg(F.count("*").alias("n"))  # one row a day
-    newer = days.select(F.col("created_at").alias("_day"), (F.sum("n").over(Window.orderBy(F.desc("created_at"))) - F.col("n")).alias("newer"))
-    within = F.row_number().over(Window.partitionBy("created_at").orderBy("item_id")) - 1
-    placed = some.withColumn("within", within).join(F.broadcast(newer), F.col("created_at").eqNullSafe(F.col("_day")))
-    return placed.select("item_id", (F.col("newer") + F.col("within")).alias("position"), C.change_text("pt_ppm", "pd_ppm", "rh_ppm").alias("body"))
-
+    """Positions over the whole table, newest first."""
+    some = t.items.filter("pt_ppm IS NOT NULL AND pd_ppm IS NOT NULL AND rh_ppm IS NOT NULL").select("created_at", "item_id", "pt_ppm", "pd_ppm", "rh_ppm")
+    placed = rank.ranked(some, [("created_at", True), ("item_id", False)])
+    return placed.select("item_id", "position", C.change_text("pt_ppm", "pd_ppm", "rh_ppm").alias("body"))
 
 
 ISSUE = f"CASE WHEN trim(coalesce(serial_code, '')) = '' THEN 'missing_serial_code' WHEN contains(upper(serial_code), 'KONTROLINIS') THEN 'control_row' WHEN NOT {USABLE} THEN 'invalid_serial_code' WHEN trim(coalesce(model, '')) = '' THEN 'missing_model' WHEN coalesce(weight_kg, 0) <= 0 THEN 'missing_or_invalid_weight' WHEN NOT {METAL} THEN 'missing_assay_values' END"
@@ -290,14 +286,14 @@ def c7_collisions(t: Tables) -> DataFrame:
     return dedupe.collisions(t.items.withColumn("new_fingerprint", fp), t.items.withColumn("assay_fingerprint", fp)).select("row_no", "collides")
 
 
-@query(f"""WITH f AS (SELECT row_no, item_id, source, {FP} AS h FROM items), l AS (SELECT row_no, item_id AS url, h FROM f WHERE source IS NULL), r AS (SELECT concat('i', CAST(row_no + (row_no % 2) AS VARCHAR)) AS url, h, item_id AS id FROM f WHERE source IS NOT NULL),
+@query(f"""WITH f AS (SELECT row_no, item_id, slot, source, {FP} AS h FROM items), l AS (SELECT row_no, slot AS url, h FROM f WHERE source IS NULL), r AS (SELECT slot + slot % 2 AS url, h, item_id AS id FROM f WHERE source IS NOT NULL),
 m AS (SELECT row_no, 0 AS tier, id FROM l JOIN r USING (url) UNION ALL SELECT l.row_no, 1, id FROM l JOIN r ON l.h = r.h),
 b AS (SELECT row_no, id FROM m QUALIFY tier = min(tier) OVER (PARTITION BY row_no))
 SELECT l.row_no, count(DISTINCT id) AS n, CASE WHEN count(DISTINCT id) = 1 THEN min(id) END AS id FROM l LEFT JOIN b ON b.row_no = l.row_no GROUP BY l.row_no""", "items")
 def c8_c9_c13_tiered_lookup(t: Tables) -> DataFrame:
     hashed = t.items.withColumn("h", C.fingerprint("group_id", "serial_code", *FIGURES))
-    left = hashed.filter("source IS NULL").select("row_no", F.col("item_id").alias("url"), "h")
-    right = hashed.filter("source IS NOT NULL").select(F.concat(F.lit("i"), (F.col("row_no") + F.col("row_no") % 2).cast("string")).alias("url"), "h", F.col("item_id").alias("id"))
+    left = hashed.filter("source IS NULL").select("row_no", F.col("slot").alias("url"), "h")
+    right = hashed.filter("source IS NOT NULL").select((F.col("slot") + F.col("slot") % 2).alias("url"), "h", F.col("item_id").alias("id"))
     return match.tiered(left, right, "row_no", [("url", "url"), ("h", "h")], "id")
 
 
@@ -592,7 +588,7 @@ def j1_import_cells(t: Tables) -> DataFrame:
 def d1_d2_j3_enrich(t: Tables) -> DataFrame:
     """The ten counters of each file of rows without a source, against the items of source A; tests hold them against the parts of the job."""
     rows = t.items.filter("source IS NULL").withColumn("file", F.col("model"))
-    return jobs.enrich_items(t.items.filter("source = 'A'"), rows, ["row_no", "tie"])["report"]
+    return jobs.enrich_items(t.items.filter("source = 'A'"), rows, ["row_no"])["report"]
 
 
 @query(f"SELECT count(*) AS n, round(count(*) * 0.039, 6) AS cost, round(count(*) * 0.041, 6) AS cost_verified, count(*) * 0.041 > 100 AS \"over\" FROM items WHERE {PRICEABLE}", "items")
@@ -649,19 +645,19 @@ def g3_g4_header_overlap(t: Tables) -> DataFrame:
     return report.has_headers(_cells(t), ["model", "serialcode", "piecekg", "pt"]).select("sheet", "row", "overlap", "fits")
 
 
-FILL_KEYS = f"SELECT source, group_id, {ns('serial_code')} AS serial, row_no, tie, weight_kg AS w, pt_ppm AS p, shape_code AS s FROM items WHERE {ns('serial_code')} LIKE 'KT%'"
+FILL_KEYS = f"SELECT source, group_id, {ns('serial_code')} AS serial, row_no, weight_kg AS w, pt_ppm AS p, shape_code AS s FROM items WHERE {ns('serial_code')} LIKE 'KT%'"
 
 
 @query(f"""WITH a AS ({FILL_KEYS}), x AS (SELECT *, 0 AS kind FROM a WHERE source = 'A' UNION ALL SELECT *, 1 FROM a WHERE source IS DISTINCT FROM 'A'), n AS (SELECT group_id, serial, count(*) AS items FROM x WHERE kind = 0 GROUP BY ALL),
 f AS (SELECT *, row_number() OVER o AS rn, first_value(w IGNORE NULLS) OVER u AS fw, first_value(CASE WHEN w > 0 AND w <= 50 THEN w END IGNORE NULLS) OVER u AS gw, first_value(p IGNORE NULLS) OVER u AS fp, first_value(s IGNORE NULLS) OVER u AS fs,
  first_value(w IGNORE NULLS) OVER b AS bw, first_value(CASE WHEN w > 0 AND w <= 50 THEN w END IGNORE NULLS) OVER b AS bgw, first_value(p IGNORE NULLS) OVER b AS bp, first_value(s IGNORE NULLS) OVER b AS bs
- FROM x WINDOW o AS (PARTITION BY group_id, serial ORDER BY kind, row_no, tie), u AS (PARTITION BY group_id, serial ORDER BY kind, row_no, tie ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY group_id, serial ORDER BY kind, row_no, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT f.group_id, f.serial, row_no, tie, CASE WHEN items > 1 THEN 'ambiguous' WHEN rn = 1 THEN 'created' WHEN CASE WHEN fw > 50 THEN coalesce(gw, fw) ELSE fw END IS DISTINCT FROM CASE WHEN bw > 50 THEN coalesce(bgw, bw) ELSE bw END OR fp IS DISTINCT FROM bp OR fs IS DISTINCT FROM bs THEN 'updated' ELSE 'noop' END AS outcome,
+ FROM x WINDOW o AS (PARTITION BY group_id, serial ORDER BY kind, row_no), u AS (PARTITION BY group_id, serial ORDER BY kind, row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY group_id, serial ORDER BY kind, row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT f.group_id, f.serial, row_no, CASE WHEN items > 1 THEN 'ambiguous' WHEN rn = 1 THEN 'created' WHEN CASE WHEN fw > 50 THEN coalesce(gw, fw) ELSE fw END IS DISTINCT FROM CASE WHEN bw > 50 THEN coalesce(bgw, bw) ELSE bw END OR fp IS DISTINCT FROM bp OR fs IS DISTINCT FROM bs THEN 'updated' ELSE 'noop' END AS outcome,
  CASE WHEN items > 1 THEN NULL WHEN fw > 50 THEN coalesce(gw, fw) ELSE fw END AS after_weight_kg, CASE WHEN items > 1 THEN NULL ELSE fp END AS after_pt_ppm, CASE WHEN items > 1 THEN NULL ELSE fs END AS after_shape_code FROM f LEFT JOIN n USING (group_id, serial) WHERE kind = 1""", "items")
 def e10_j3_progressive_fill(t: Tables) -> DataFrame:
     some = t.items.withColumn("serial", C.normalize_serial("serial_code")).filter(F.col("serial").startswith("KT"))
     old = F.coalesce(F.col("source") == "A", F.lit(False))
-    return enrich.progressive_fill(some.filter(old), some.filter(~old), ["group_id", "serial"], ["row_no", "tie"], ["weight_kg", "pt_ppm", "shape_code"])
+    return enrich.progressive_fill(some.filter(old), some.filter(~old), ["group_id", "serial"], ["row_no"], ["weight_kg", "pt_ppm", "shape_code"])
 
 
 @query("WITH e AS (SELECT CAST(max(\"at\") AS DATE) AS e FROM quotes), s AS (SELECT DISTINCT key, e - CAST(i AS INTEGER) AS day FROM quotes, e, range(14) r(i)), d AS (SELECT key, CAST(\"at\" AS DATE) AS day, arg_max(price_oz, \"at\") AS price_oz FROM quotes GROUP BY ALL) SELECT key, CAST(s.day AS VARCHAR) AS day, price_oz FROM s LEFT JOIN d USING (key, day)", "quotes")
@@ -674,6 +670,24 @@ def f1_f2_page(t: Tables) -> DataFrame:
     return search.page(t.items.filter("group_id = 'g2'").select("item_id", "model"), 3, 20, ["model", "item_id"])
 
 
+DEEP = [("created_at", True), ("group_id", False), ("row_no", False)]
+
+
+@query("SELECT row_no, group_id, position FROM (SELECT row_no, group_id, row_number() OVER (ORDER BY created_at DESC NULLS LAST, group_id, row_no) - 1 AS position FROM items) WHERE position >= 99 * 50 AND position < 100 * 50", "items")
+def f1_deep_page(t: Tables) -> DataFrame:
+    """Page 100 of 50 rows, from the ranges that hold it."""
+    return rank.page_at(rank.ranges(t.items.select("created_at", "group_id", "row_no"), DEEP), 100, 50).select("row_no", "group_id", "position")
+
+
+@query("SELECT row_no, model FROM items ORDER BY model DESC NULLS LAST, pd_ppm NULLS FIRST, row_no LIMIT 30 OFFSET 60", "items")
+def f1_next_pages(t: Tables) -> DataFrame:
+    """The third page, reached by cursors."""
+    order, cursor = [("model", True), ("pd_ppm", False), ("row_no", False)], None
+    for _ in range(2):
+        cursor = rank.cursor_of(rank.page_after(t.items, order, 30, cursor), order)
+    return rank.page_after(t.items, order, 30, cursor).select("row_no", "model")
+
+
 @query("SELECT item_id, group_id, CAST(rank AS BIGINT) AS rank FROM (SELECT item_id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY pt_ppm DESC NULLS LAST, item_id) AS rank FROM items) WHERE rank <= 5", "items")
 def f4_similar(t: Tables) -> DataFrame:
     return search.similar(t.items, 5).select("item_id", "group_id", "rank")
@@ -774,9 +788,17 @@ def a5_report_media(t: Tables) -> DataFrame:
     return io.report_media(raw)
 
 
-@query("SELECT DISTINCT item_id FROM media WHERE media_id IN (SELECT user_id * 3 FROM quotes)", "quotes", "media")
+@query("SELECT DISTINCT item_id FROM media WHERE media_id IN (SELECT row_no * 3 FROM items WHERE model = 'Model 2')", "items", "media")
 def a6_report_items(t: Tables) -> DataFrame:
-    raw = t.quotes.select((F.col("user_id") * 3).cast("string").alias("media_id"), F.lit("  ").alias("model_id"))
+    """A report without model ids: its items come from its media."""
+    raw = t.items.filter("model = 'Model 2'").select((F.col("row_no") * 3).cast("string").alias("media_id"), F.lit("  ").alias("model_id"))
+    return io.report_items(raw, t.media)
+
+
+@query("SELECT DISTINCT item_id FROM items WHERE model = 'Model 2' AND source IS NOT NULL", "items")
+def a6_report_model_ids(t: Tables) -> DataFrame:
+    """A report some of whose rows have a model id: only these count, and its media are not looked up."""
+    raw = t.items.filter("model = 'Model 2'").select((F.col("row_no") * 3).cast("string").alias("media_id"), F.when(F.col("source").isNotNull(), F.concat(F.lit(" "), "item_id")).otherwise(" ").alias("model_id"))
     return io.report_items(raw, t.media)
 
 
