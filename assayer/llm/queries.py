@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, hmm, langid, licenses, quality, repeats, secrets, simhash, toxicity
+from . import bpe, decontaminate, hmm, infill, langid, licenses, mixing, periods, quality, repeats, secrets, simhash, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_simhash": simhash.query,
         "op9_secrets": secrets.query,
         "op10_langid": langid.query,
+        "op11_infill": infill.query,
+        "op12_periods": periods.query,
+        "op13_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.SQL, "op3_licenses": licenses.SQL, "op4_repeats": repeats.SQL}
+    return {"op1_decontaminate": decontaminate.SQL, "op3_licenses": licenses.SQL, "op4_repeats": repeats.SQL, "op11_infill": infill.SQL}
