@@ -63,13 +63,19 @@ def family_join(items: DataFrame, codes: DataFrame, wanted: DataFrame, group: st
 
 
 def best_category(items: DataFrame, categories: DataFrame) -> DataFrame:
-    """(item_id, group_id): the category with the best score; different groups at the best score mean none."""
-    exact = items.join(categories, items["brand_key"] == categories["key"]).select("item_id", "group_id", F.lit(3).alias("score"))
-    parts = categories.select("group_id", F.explode("tokens").alias("_t"))
-    loose = items.select("item_id", F.explode("tokens").alias("_t")).join(parts, "_t").select("item_id", "group_id", F.lit(1).alias("score")).distinct()
-    every = exact.unionByName(loose)
-    top = every.withColumn("_best", F.max("score").over(Window.partitionBy("item_id"))).filter("score = _best")
-    return top.groupBy("item_id").agg(F.count_distinct("group_id").alias("_n"), F.min("group_id").alias("group_id")).filter("_n = 1").drop("_n")
+    """(item_id, group_id): the category with the best score; different groups at the best score mean none.
+
+    Only the lowest and the highest group of a key or token matter, so an item meets one row for each of its
+    tokens, however many categories share it.
+    """
+    ends = [F.min("group_id").alias("low"), F.max("group_id").alias("high")]
+    keys = categories.filter("key IS NOT NULL").groupBy("key").agg(*ends)
+    tokens = categories.select("group_id", F.explode("tokens").alias("key")).filter("key IS NOT NULL").groupBy("key").agg(*ends)
+    exact = items.select("item_id", F.col("brand_key").alias("key"), F.lit(3).alias("score")).join(keys, "key")
+    loose = items.select("item_id", F.explode(F.array_distinct("tokens")).alias("key"), F.lit(1).alias("score")).join(tokens, "key")
+    each = exact.unionByName(loose).groupBy("item_id", "score").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    best = each.groupBy("item_id").agg(F.max_by(F.struct("low", "high"), "score").alias("b"))
+    return best.filter("b.low = b.high").select("item_id", F.col("b.low").alias("group_id"))
 
 
 def repair_candidates(rows: DataFrame, items: DataFrame, fields: list[str]) -> DataFrame:
@@ -168,23 +174,6 @@ def unprocessed(records: DataFrame, done: DataFrame, allowed: DataFrame | None =
     return out.join(done.select("hash").filter("hash IS NOT NULL").distinct(), "hash", "left_anti")
 
 
-def nearest_hash(images: DataFrame, references: DataFrame, block: int = 10_000) -> DataFrame:
-    """``distance``: least number of differing bits to a reference hash.
-
-    References are searched in blocks of about ``block`` hashes, each sent to all rows as one array.
-    """
-    hashes = references.select("phash").filter("phash IS NOT NULL").distinct()
-    n = hashes.count()
-    blocks = -(-2 * n // block) if n > block else 1
-    each = hashes.groupBy(F.pmod(F.xxhash64("phash"), F.lit(blocks)).alias("_k")).agg(F.collect_list("phash").alias("_hashes"))
-    out = images.withColumn("distance", F.lit(None).cast("int"))
-    for k in range(blocks):
-        # a block is one row, of bounded size
-        out = out.join(F.broadcast(each.filter(F.col("_k") == k).select("_hashes")), F.lit(True), "left")
-        out = out.withColumn("distance", F.least("distance", F.array_min(F.transform("_hashes", lambda h: F.bit_count(h.bitwiseXOR(F.col("phash"))))))).drop("_hashes")
-    return out
-
-
 def assay_sources(items: DataFrame, source: DataFrame) -> DataFrame:
     """Items whose raw analysis the source holds, with the flag of a collision after conversion."""
     raw = source.select("raw_fp").distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import quality as Q
-from ..operators import dedupe, enrich, match, report, search
+from ..operators import dedupe, enrich, hamming, match, report, search
 from ..sources.io import upserted
 
 FIGURES = ["weight_kg", "pt_ppm", "pd_ppm", "rh_ppm"]
@@ -243,7 +243,7 @@ def resolve_reviews(items: DataFrame, reviews: DataFrame) -> DataFrame:
 
 def media_audit(features: DataFrame, references: DataFrame) -> DataFrame:
     """Verdict and score of each image, those with a verdict only, highest score first."""
-    near = match.nearest_hash(features, references)
+    near = hamming.nearest_hash(features, references)
     out = near.withColumn("v", Q.image_verdict("distance", "face_count", "colorfulness", "mean_saturation", "match_score"))
     return out.select("media_id", "v.*").filter("verdict IS NOT NULL").orderBy(F.desc("score"), "media_id")
 

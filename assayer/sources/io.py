@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..operators.search import file_order
+from .arrays import array_records
 
 _TEXTS = ["product_url", "brand_page_url", "brand_slug", "brand", "serial_code", "product_name", "thumbnail_url", "main_image_url", "card_price", "details", "detail", "description"]
 FEED = T.StructType([*(T.StructField(n, T.StringType()) for n in _TEXTS), *(T.StructField(n, T.ArrayType(T.StringType())) for n in ("image_urls", "card_texts"))])
@@ -15,8 +16,8 @@ CELLS = "file string, sheet_idx int, sheet string, row int, col int, raw string"
 
 
 def feed(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Feed records of a JSON array, or one record a line, which Spark can split; a bad record is an error (A1)."""
-    return spark.read.schema(FEED).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
+    """Feed records of JSON arrays, or one record a line; both are read in parallel, and a bad record is an error (A1)."""
+    return spark.read.schema(FEED).option("mode", "FAILFAST").json(path) if lines else array_records(spark, path, FEED)
 
 
 def as_lines(df: DataFrame, path: str) -> None:
