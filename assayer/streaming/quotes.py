@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import columns as C
 from ..operators.price import METALS
+from ..sources.versions import Versions, read
 
 BODY = "metal string, currency string, fetched_at timestamp, body string"
 
@@ -43,27 +45,36 @@ def snapshots(quotes: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def latest_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: keeps the latest snapshot of each currency in a table of numbered versions.
+    """For ``foreachBatch``: keeps the latest snapshot of each currency as a table in versions.
 
-    A batch that is tried again writes the same version again.
+    Data are written aside, then a manifest names them: a reader sees one whole version at any time.  A batch that is tried again, by
+    its query and number, changes nothing.  The version before stays for readers that began with it; older ones are removed.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{path}/version={number - 1}") if number else None
-        except Exception as e:  # the first version may have another number after a new start
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
-        both = batch.unionByName(old) if old is not None else batch
+        token = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}:{number}"
+        table = Versions(spark, path)
+        now = table.current()
+        if now and token in now["tokens"]:
+            return
+        both = batch.unionByName(read(spark, path)) if now else batch
         rest = [c for c in batch.columns if c not in ("currency", "at")]
         best = both.groupBy("currency").agg(F.max(F.struct("at", *rest)).alias("r")).select("currency", "r.*")
-        best.write.mode("overwrite").parquet(f"{path}/version={number}")
+        folder = f"data/{uuid.uuid4().hex}"
+        best.write.parquet(f"{table.path}/{folder}")
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in best.schema)
+        table.commit({"files": {"all": table.files(folder)}, "schema": kinds}, now, token)
+        table.vacuum()
 
     return write
 
 
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``latest_sink`` keeps."""
+    return read(spark, path)
+
+
 def with_fallback(quotes: DataFrame, ttl_seconds: int = 86_400) -> DataFrame:
     """Stream form of the last-known rule: one row for each poll, failed ones (null price) served from state."""
 
