@@ -20,15 +20,18 @@ neighbour to neighbour compares only with those not yet reached, so that a dense
 group costs about as much as it has members, and gives one edge for each member
 instead of all pairs.  A group of more than ``most_group`` members is never held: its members are
 dealt anew by a codeword index of one of the two other segments as well.  At most
-one of these holds two of the three errors, so linked members still meet.  The edges
+one of these holds two of the three errors, so linked members still meet.  What is too large even so is cut into
+blocks, and every two blocks meet in a task of their own.  The edges
 of all groups join to components by alternating large-star and small-star steps over
 Spark joins, with a written table after each.  No link between different fingerprints is
 lost.
 
-``near_groups`` finds texts whose 5-word shingles have a similarity of 0.8 or more.  A few
+``near_groups`` finds texts whose sets of 5-word shingles have a similarity of 0.8 or more.  A few
 changed words change a share of the shingles five times as large, so candidates come from
-``spaces`` independent fingerprints of the set of words, linked as above; each link
-is then verified by a second signature, the 256-bit SimHash of the set of 5-word shingles.
+``spaces`` independent fingerprints of the set of words, linked as above; a search goes on only over members whose
+second signatures, 256-bit SimHashes of the set of shingles, are near too (three deviations beyond the similarity, so that hardly a
+link is missed).  Within the components of these loose links the sets of shingles themselves are compared: a
+search over a component finds its groups exactly.  So no text joins a group without a text in it that is similar.
 
 Null, empty and blank texts have fingerprint zero, linked like any other.  Null ids
 are left out of the smallest id of a component; a component without any id has a
@@ -151,8 +154,11 @@ def differing(a: np.ndarray, b) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def edges_of(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For a group of fingerprints: positions of each member that a search reaches, and of the member it is reached from."""
+def edges_of(fps: np.ndarray, most: int, more: np.ndarray | None = None, more_bits: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """For a group of fingerprints: positions of each member that a search reaches, and of the member it is reached from.
+
+    ``more`` (columns by members) are second signatures, which must not differ in over ``more_bits`` bits either.
+    """
     left = np.argsort(fps, kind="stable")
     member, source = [], []
     while len(left) > 1:
@@ -160,6 +166,10 @@ def edges_of(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         while queue and len(left):
             at = queue.pop()
             near = differing(fps[left], fps[at]) <= most
+            if more is not None:
+                close = np.flatnonzero(near)
+                far = sum(differing(c[left[close]], c[at]).astype(np.int64) for c in more) > more_bits
+                near[close[far]] = False
             if near.any():
                 new = left[near]
                 queue.extend(new.tolist())
@@ -170,107 +180,138 @@ def edges_of(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *member]), np.concatenate([none, *source])
 
 
-_MET = "key long, fp long, a long, b long"
-
+def _meet(most: int, most_group: int | None, extra: int = 0, more_bits: int = 0):
+    """Groups of rows (key, fp, node, second signatures), sorted by key: edges between nodes; members of too large groups come back with their key."""
+    names = ["key", "fp", "a", "b", *_second(extra)]
 
-def _meet(most: int, most_group: int | None):
-    """Groups of rows (key, fp, node), sorted by key: edges between nodes; members of too large groups come back with their key."""
+    def told(key, fp, a, b, *more):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), pa.array(a), pa.array(b), *map(pa.array, more)], names)
 
-    def told(key, fp, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), pa.array(a), pa.array(b)], ["key", "fp", "a", "b"])
+    def large(rows):
+        return told(rows[0], rows[1], rows[2], pa.nulls(len(rows[0]), pa.int64()), *rows[3:])
 
-    def linked(key, fp, node):
+    def linked(key, fp, node, *more):
         starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
         sizes = np.diff(np.append(starts, len(key)))
         two = starts[sizes == 2]
-        near = two[differing(fp[two], fp[two + 1]) <= most]
-        member, source = [node[near]], [node[near + 1]]
+        near = differing(fp[two], fp[two + 1]) <= most
+        if extra:
+            near &= sum(differing(c[two], c[two + 1]).astype(np.int64) for c in more) <= more_bits
+        two = two[near]
+        member, source = [node[two]], [node[two + 1]]
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            m, r = edges_of(fp[s : s + n], most)
+            m, r = edges_of(fp[s : s + n], most, np.stack([c[s : s + n] for c in more]) if extra else None, more_bits)
             member.append(node[s + m])
             source.append(node[s + r])
         m, r = np.concatenate(member), np.concatenate(source)
         each = np.unique(np.stack([np.maximum(m, r), np.minimum(m, r)], 1)[m != r], axis=0)
         none = pa.nulls(len(each), pa.int64())
-        return told(none, none, each[:, 0], each[:, 1])
+        return told(none, none, each[:, 0], each[:, 1], *[none] * extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 3
-        large = None  # the key whose members go on
+        rest = [np.zeros(0, np.int64)] * (3 + extra)
+        over = None  # the key whose members go on
         for batch in batches:
             rows = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns)]
             if not len(rows[0]):
                 continue
-            if large is not None:
-                n = int(np.searchsorted(rows[0], large, "right"))
+            if over is not None:
+                n = int(np.searchsorted(rows[0], over, "right"))
                 if n:
-                    yield told(rows[0][:n], rows[1][:n], rows[2][:n], pa.nulls(n, pa.int64()))
+                    yield large([r[:n] for r in rows])
                     rows = [r[n:] for r in rows]
                 if not len(rows[0]):
                     rest = rows
                     continue
-                large = None
+                over = None
             last = int(np.searchsorted(rows[0], rows[0][-1]))
             if last:
                 yield from whole(*(r[:last] for r in rows))
             rest = [r[last:] for r in rows]
             if most_group and len(rest[0]) > most_group:
-                large = rest[0][0]
-                yield told(rest[0], rest[1], rest[2], pa.nulls(len(rest[0]), pa.int64()))
+                over = rest[0][0]
+                yield large(rest)
                 rest = [r[:0] for r in rest]
         if len(rest[0]):
             yield from whole(*rest)
 
-    def whole(key, fp, node):
+    def whole(*rows):
         if most_group:
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
-            sizes = np.diff(np.append(starts, len(key)))
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(rows[0])) + 1])
+            sizes = np.diff(np.append(starts, len(rows[0])))
             over = np.repeat(sizes > most_group, sizes)
             if over.any():
-                yield told(key[over], fp[over], node[over], pa.nulls(int(over.sum()), pa.int64()))
-                key, fp, node = key[~over], fp[~over], node[~over]
-        if len(key):
-            yield linked(key, fp, node)
+                yield large([r[over] for r in rows])
+                rows = [r[~over] for r in rows]
+        if len(rows[0]):
+            yield linked(*rows)
 
     return run
 
 
-def links(distinct: DataFrame, most: int = 3, most_group: int = 4096) -> DataFrame:
+def _second(extra: int) -> list[str]:
+    return [f"v{k}" for k in range(extra)]
+
+
+def _columns(extra: int, *names: str) -> str:
+    return ", ".join(f"{c} long" for c in [*names, *_second(extra)])
+
+
+def links(distinct: DataFrame, most: int = 3, most_group: int = 4096, extra: int = 0, more_bits: int = 0) -> DataFrame:
     """Edges (a, b), a > b, that join the nodes of distinct fingerprints as all links of a space do.
 
     ``distinct`` has fp, and may have space (a small number; fingerprints of different spaces
-    are never linked) and node (the fingerprint itself if it is missing).
+    are never linked), node (the fingerprint itself if it is missing) and ``extra`` second signatures v0, v1, ..., in
+    which linked nodes may differ in ``more_bits`` bits.
     """
     if not 0 <= most <= 3:
         raise ValueError("segments and code allow at most three differing bits")
     space = F.col("space").cast("long") if "space" in distinct.columns else F.lit(0).cast("long")
     node = F.col("node") if "node" in distinct.columns else F.col("fp")
-    rows = distinct.select(space.alias("space"), F.col("fp").alias("fp"), node.alias("node"))
+    more = _second(extra)
+    rows = distinct.select(space.alias("space"), F.col("fp").alias("fp"), node.alias("node"), *more)
+    names = ["key", "fp", "node", *more]
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                s, f, n = (c.to_numpy() for c in batch.slice(at, 4096).columns)
-                key, of = keyed(f, s)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(f[of]), pa.array(n[of])], ["key", "fp", "node"])
+    def dealt(keys_of):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    first, *rest = (c.to_numpy() for c in batch.slice(at, 4096).columns)
+                    key, of = keys_of(first, rest[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[of]) for c in rest)], names)
 
-    def respread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                k, f, n = (c.to_numpy() for c in batch.slice(at, 4096).columns)
-                key, of = rekeyed(k, f)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(f[of]), pa.array(n[of])], ["key", "fp", "node"])
+        return run
 
+    def met(keys: DataFrame, size: int | None) -> DataFrame:
+        dealt_keys = keys.repartition(n, "key").sortWithinPartitions("key")
+        return saved(dealt_keys.mapInArrow(_meet(most, size, extra, more_bits), _columns(extra, "key", "fp", "a", "b")).distinct())
+
+    again = lambda df: df.filter("key IS NOT NULL").select("key", "fp", F.col("a").alias("node"), *more)
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = lambda keys, size: keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(most, size), _MET)
-    first = saved(met(rows.mapInArrow(spread, "key long, fp long, node long"), most_group).distinct())
-    edges, large = first.filter("key IS NULL").select("a", "b"), first.filter("key IS NOT NULL")
-    if not large.isEmpty():
-        finer = large.select("key", "fp", F.col("a").alias("node")).mapInArrow(respread, "key long, fp long, node long")
-        edges = edges.unionByName(met(finer, None).select("a", "b"))
+    keys = _columns(extra, "key", "fp", "node")
+    first = met(rows.mapInArrow(dealt(lambda s, f: keyed(f, s)), keys), most_group)
+    edges = first.filter("key IS NULL").select("a", "b")
+    if not (large := again(first)).isEmpty():
+        second = met(large.mapInArrow(dealt(lambda k, f: rekeyed(k, f)), keys), most_group)
+        edges = edges.unionByName(second.filter("key IS NULL").select("a", "b"))
+        if not (large := again(second)).isEmpty():
+            third = met(_blocks(large, "key", F.lit(1), most_group // 2), None)
+            edges = edges.unionByName(third.select("a", "b"))
     return edges.distinct()
 
 
+def _blocks(rows: DataFrame, key: str, weight, most: int) -> DataFrame:
+    """The rows with a new key: groups of a greater weight than ``most`` are cut into blocks, and each two blocks are a group.
+
+    Within a group, rows are dealt to blocks by a hash of their node.
+    """
+    sizes = rows.groupBy(F.col(key).alias("_group")).agg(F.ceil(F.sum(weight) / most).cast("int").alias("_n"))
+    own = F.pmod(F.xxhash64("node"), F.col("_n")).cast("int")
+    both = rows.join(sizes, rows[key] == F.col("_group")).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    pair = F.when(F.col("_n") == 1, F.col("_group")).otherwise(F.xxhash64("_group", F.least("_own", "_other"), F.greatest("_own", "_other")))
+    return both.select(*(pair.alias(key) if c == key else F.col(c) for c in rows.columns))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of the component of every node with an edge.
 
@@ -313,6 +354,17 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
 
 
+def shingles_of(h: np.ndarray, words: int) -> np.ndarray:
+    """The set of hashes of ``words`` consecutive word hashes, of all if there are fewer."""
+    k = min(words, len(h))
+    n = len(h) - k + 1
+    out = np.zeros(n, np.uint64)
+    for i in range(k):
+        out = (out ^ h[i : i + n]) * _MIX
+        out ^= out >> np.uint64(32)
+    return np.unique(out)
+
+
 class Signer:
     """Signatures of texts: SimHashes of the set of words and of the set of shingles; words are hashed once and remembered."""
 
@@ -342,46 +394,114 @@ class Signer:
             if x not in known:
                 known[x] = xxhash.xxh64_intdigest(x, 42)
         h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
-        k = min(self.words, len(w))
-        n = len(w) - k + 1
-        shingles = np.zeros(n, np.uint64)
-        for i in range(k):
-            shingles = (shingles ^ h[i : i + n]) * _MIX
-            shingles ^= shingles >> np.uint64(32)
-        return np.concatenate([self.sums(np.unique(h), self.spaces), self.sums(np.unique(shingles), self.more)])
+        return np.concatenate([self.sums(np.unique(h), self.spaces), self.sums(shingles_of(h, self.words), self.more)])
 
 
-def most_bits(similarity: float, bits: int) -> int:
-    """Differing bits that sets of this Jaccard similarity have at most, in nine cases of ten."""
+def most_bits(similarity: float, bits: int, slack: float = 3.0) -> int:
+    """Differing bits that sets of this Jaccard similarity have at most, but for ``slack`` standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * p + 1.3 * math.sqrt(bits * p * (1 - p)))
+    return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+
+
+def similar_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """For sets of numbers: positions of each set that a search over similar ones reaches, and of the set it is reached from."""
+    sizes = np.array([len(x) for x in sets])
+    _, values = np.unique(np.concatenate(sets), return_inverse=True)
+    left, flag = np.argsort(sizes, kind="stable"), np.zeros(int(values.max(initial=-1)) + 1, np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    member, source = [], []
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            some = left[(sizes[left] * similarity <= sizes[at]) & (sizes[at] * similarity <= sizes[left])]
+            if not len(some):
+                continue
+            own = values[starts[at] : starts[at + 1]]
+            flag[own] = 1
+            places = np.repeat(starts[some] - np.concatenate([[0], np.cumsum(sizes[some])[:-1]]), sizes[some]) + np.arange(sizes[some].sum())
+            common = np.add.reduceat(flag[values[places]], np.concatenate([[0], np.cumsum(sizes[some])[:-1]]))
+            flag[own] = 0
+            new = some[common >= similarity * (sizes[at] + sizes[some] - common)]
+            if len(new):
+                queue.extend(new.tolist())
+                member.append(new)
+                source.append(np.full(len(new), at))
+                left = left[~np.isin(left, new)]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *member]), np.concatenate([none, *source])
+
+
+def _exact(similarity: float):
+    """Groups of rows (root, node, shingles), sorted by root: edges between nodes whose sets are similar."""
+
+    def edges(nodes, sets):
+        m, r = similar_sets([np.frombuffer(x, np.uint64) for x in sets], similarity)
+        node = np.array(nodes, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(node[m], node[r])), pa.array(np.minimum(node[m], node[r]))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, nodes, sets = None, [], []
+        for batch in batches:
+            for k, node, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != root:
+                    if len(nodes) > 1:
+                        yield edges(nodes, sets)
+                    root, nodes, sets = k, [], []
+                nodes.append(node)
+                sets.append(x)
+        if len(nodes) > 1:
+            yield edges(nodes, sets)
+
+    return run
+
+
+def verified(docs: DataFrame, members: DataFrame, words: int, similarity: float, most_shingles: int = 1 << 22) -> DataFrame:
+    """Edges (a, b), a > b, between nodes of one root whose texts' sets of shingles are similar, enough to join what all such pairs join.
+
+    ``docs`` has doc_id and text, ``members`` root, node and one text of it by ``least`` and ``text_key``.  Roots with over
+    ``most_shingles`` shingles in all are compared in blocks, every two blocks in a task.
+    """
+    keyed_docs = docs.select(F.col("doc_id").alias("_id"), "text", F.xxhash64("text").alias("_key"))
+    texts = keyed_docs.join(members, (F.col("_key") == F.col("text_key")) & F.col("_id").eqNullSafe(F.col("least"))).select("root", "node", "text").dropDuplicates(["node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, some in slices(batches):
+            sets = []
+            for t in some:
+                w = t.translate(_LOWER).split() if t else []
+                known = {x: xxhash.xxh64_intdigest(x, 42) for x in set(w)}
+                sets.append(shingles_of(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)), words) if w else np.zeros(0, np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64())], ["root", "node", "shingles", "n"])
+
+    sets = saved(texts.mapInArrow(run, "root long, node long, shingles binary, n long"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _blocks(sets, "root", F.col("n"), most_shingles).select("root", "node", "shingles").repartition(n, "root").sortWithinPartitions("root")
+    return dealt.mapInArrow(_exact(similarity), "a long, b long").distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, spaces: int = 6, more: int = 4) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, spaces: int = 8, more: int = 4) -> DataFrame:
     """(least, component_id), one row for each signature that occurs: the smallest id that has it, and that of its group."""
     df = two_columns(docs, id_col, text_col)
     kind = df.schema["doc_id"].dataType.simpleString()
-    fps, rest = [f"w{k}" for k in range(spaces)], [f"v{k}" for k in range(more)]
+    fps, rest = [f"w{k}" for k in range(spaces)], _second(more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(words, spaces, more)
         for batch, texts in slices(batches):
             each = np.array([signer.sign(t) for t in texts], np.int64).reshape(-1, spaces + more)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in each.T)], ["doc_id", *fps, *rest])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(c)) for c in each.T)], ["doc_id", "text_key", *fps, *rest])
 
-    signed = df.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in [*fps, *rest]))
-    nodes = saved(signed.groupBy(*fps, *rest).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    signed = df.withColumn("text_key", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, text_key long, " + ", ".join(f"{c} long" for c in [*fps, *rest]))
+    # of the texts with one signature, that of the smallest id is compared
+    one = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))), F.min(F.struct("doc_id", "text_key")))
+    nodes = saved(signed.groupBy(*fps, *rest).agg(one.alias("_one")).select(*fps, *rest, F.col("_one.doc_id").alias("least"), F.col("_one.text_key").alias("text_key"), F.monotonically_increasing_id().alias("node")))
     spread = F.explode(F.array(*(F.struct(F.lit(k).alias("space"), F.col(c).alias("fp")) for k, c in enumerate(fps)))).alias("s")
-    spaced = nodes.select("node", spread).select("s.space", "s.fp", "node")
-    first = saved(spaced.groupBy("space", "fp").agg(F.min("node").alias("node"), F.max("node").alias("_last")))
-    # nodes with an equal fingerprint are candidates of the first of them
-    shared = first.filter("node < _last").select("space", "fp", F.col("node").alias("b"))
-    equal = spaced.join(shared, ["space", "fp"]).filter("node > b").select(F.col("node").alias("a"), "b")
-    candidates = links(first.select("space", "fp", "node")).unionByName(equal).distinct()
-    sides = [nodes.select(F.col("node").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in rest)) for s in ("a", "b")]
-    bits = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in rest), F.lit(0))
-    edges = candidates.join(sides[0], "a").join(sides[1], "b").filter(bits <= most_bits(similarity, 64 * more)).select("a", "b")
-    stars = saved(components(edges))
+    spaced = nodes.select("node", spread, *rest).select("s.space", "s.fp", "node", *rest)
+    loose = saved(components(links(spaced, extra=more, more_bits=most_bits(similarity, 64 * more))))
+    members = loose.select("node", "root").unionByName(loose.select(F.col("root").alias("node"), "root").distinct())
+    members = members.join(nodes.select("node", "least", "text_key"), "node")
+    stars = saved(components(verified(df, members, words, similarity)))
     named = nodes.select("node", "least").join(stars, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     return named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("least", "component_id")
 
