@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -122,8 +122,11 @@ def _scanner(shipped, key: tuple[int, int]) -> Scanner:
     return held(("scanner", *key), lambda: Scanner(shipped.value, key[1]))
 
 
-def _scan(df: DataFrame, items: list[tuple[str, str | None]], window: int) -> DataFrame:
-    shipped = df.sparkSession.sparkContext.broadcast(items)
+def _ship(df: DataFrame, items: list[tuple[str, str | None]]):
+    return df.sparkSession.sparkContext.broadcast(items)
+
+
+def _scan(df: DataFrame, shipped, window: int) -> DataFrame:
     key = (shipped._jbroadcast.id(), window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,14 +139,16 @@ def _scan(df: DataFrame, items: list[tuple[str, str | None]], window: int) -> Da
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_words long, hit_spans array<struct<start:long,end:long>>, item_ids array<string>")
 
 
-def _blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in blocks whose texts have at most about ``block_bytes``; one block if all fit."""
+def _cut(items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """The items as item and text, and the number of blocks whose texts have about ``block_bytes`` at most; one if all fit."""
     wanted = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(item_text).cast("string").alias("text"))
     size = wanted.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 32)).first()[0] or 0
-    blocks = -(-2 * size // block_bytes) if size > block_bytes else 1
-    for k in range(blocks):
-        part = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        yield [(r[0], r[1]) for r in part.collect()]
+    return wanted, -(-2 * size // block_bytes) if size > block_bytes else 1
+
+
+def _block(wanted: DataFrame, blocks: int, k: int) -> list[tuple[str, str | None]]:
+    part = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
+    return [(r[0], r[1]) for r in part.collect()]  # no more than a block
 
 
 def _unite(df: DataFrame) -> DataFrame:
@@ -166,16 +171,18 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     item, if that is longer).
     """
     df = two_columns(docs, id_col, text_col)
-    blocks = _blocks(items, item_id, item_text, block_bytes)
-    first, second = next(blocks), next(blocks, None)
-    if second is None:
-        return _scan(df, first, window)
+    wanted, blocks = _cut(items, item_id, item_text, block_bytes)
+    if blocks == 1:
+        return _scan(df, _ship(df, _block(wanted, 1, 0)), window)
     # ids may be null or repeat, so blocks meet by a number of the row that is written once
     numbered = saved(df.withColumn("_row", F.monotonically_increasing_id()))
     texts = numbered.select(F.col("_row").alias("doc_id"), "text")
-    union = _scan(texts, first, window)
-    for block in chain([second], blocks):
-        union = union.unionByName(_scan(texts, block, window))
+    parts = []
+    for k in range(blocks):  # one block at a time is held by the driver and the workers
+        shipped = _ship(df, _block(wanted, blocks, k))
+        parts.append(saved(_scan(texts, shipped, window)))
+        shipped.destroy()
+    union = reduce(DataFrame.unionByName, parts)
     united_rows = _unite(union).withColumnRenamed("doc_id", "_row")
     return numbered.select("_row", "doc_id").join(united_rows, "_row").drop("_row")
 
@@ -192,9 +199,9 @@ def clean(docs: DataFrame, items: DataFrame, percent: int = 5, id_col: str = "do
     With one block of items the rows are filtered where they are; with more, they are written
     once with a row number, by which the hits of the blocks are united.
     """
-    blocks = list(_blocks(items, item_id, item_text, block_bytes))
-    if len(blocks) == 1:
-        shipped = docs.sparkSession.sparkContext.broadcast(blocks[0])
+    wanted, blocks = _cut(items, item_id, item_text, block_bytes)
+    if blocks == 1:
+        shipped = _ship(docs, _block(wanted, 1, 0))
         key = (shipped._jbroadcast.id(), window)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
