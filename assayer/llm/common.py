@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task holds as Python objects at one time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 #: The bytes 0x09-0x0D and 0x20 separate words; ``bytes.split()`` splits on just these.
 SPACES = b"\t\n\x0b\x0c\r "
@@ -85,6 +85,11 @@ def crc_mod(id_col: str, modulus: int):
 _held: dict = {}
 
 
+def unheld() -> None:
+    """Frees the worker's large object, for tasks that need none themselves."""
+    _held.clear()
+
+
 def held(key, make):
     """One large object for each worker process: another key's object goes first, so that
     workers that serve several operators do not add up their tables."""

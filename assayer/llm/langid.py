@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, held, saved, slices, table
+from .common import crc_mod, held, saved, slices, table, unheld
 
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTH = 0.1
@@ -56,6 +56,7 @@ def fit(docs: DataFrame, sample_rows: int = 20_000, lang_col: str = "lang", id_c
         rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * sample_rows / total))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unheld()
         seen: Counter = Counter()
         for batch, texts in slices(batches):
             for t, lang in zip(texts, batch.column(batch.schema.get_field_index("lang")).to_pylist()):
@@ -70,6 +71,7 @@ def fit(docs: DataFrame, sample_rows: int = 20_000, lang_col: str = "lang", id_c
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1].decode() for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "gram", "c"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unheld()
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
                 out: Counter = Counter()

@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices, table, two_columns
+from .common import saved, slices, table, two_columns, unheld
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -487,6 +487,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fps, rest = [f"w{k}" for k in range(spaces)], _second(more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unheld()
         signer = Signer(words, spaces, more)
         for batch, texts in slices(batches):
             each = np.array([signer.sign(t) for t in texts], np.int64).reshape(-1, spaces + more)
