@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -85,15 +87,26 @@ def crc_mod(id_col: str, modulus: int):
 _held: dict = {}
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of the session get at most ``rows`` rows, as whole texts are large; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def unheld() -> None:
-    """Frees the worker's large object, for tasks that need none themselves."""
-    _held.clear()
+    """Frees the worker's large object, for tasks that need none themselves, and gives its memory back to the system."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
 
 
 def held(key, make):
     """One large object for each worker process: another key's object goes first, so that
     workers that serve several operators do not add up their tables."""
     if key not in _held:
-        _held.clear()
+        unheld()
         _held[key] = make()
     return _held[key]

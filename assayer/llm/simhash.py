@@ -29,7 +29,7 @@ lost.
 ``near_groups`` finds texts whose sets of 5-word shingles have a similarity of 0.8 or more.  A few
 changed words change a share of the shingles five times as large, so candidates come from
 ``spaces`` independent fingerprints of the set of words, linked as above; a search goes on only over members whose
-second signatures, 256-bit SimHashes of the set of shingles, are near too (three deviations beyond the similarity, so that hardly a
+second signatures, 128-bit SimHashes of the set of shingles, are near too (three deviations beyond the similarity, so that hardly a
 link is missed).  Within the components of these loose links the sets of shingles themselves are compared: a
 search over a component finds its groups exactly.  So no text joins a group without a text in it that is similar.
 
@@ -480,7 +480,7 @@ def verified(docs: DataFrame, members: DataFrame, words: int, similarity: float,
     return dealt.mapInArrow(_exact(similarity), "a long, b long").distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, spaces: int = 8, more: int = 4) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, spaces: int = 6, more: int = 2) -> DataFrame:
     """(least, component_id), one row for each signature that occurs: the smallest id that has it, and that of its group."""
     df = two_columns(docs, id_col, text_col)
     kind = df.schema["doc_id"].dataType.simpleString()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, langid, secrets, simhash
-from .common import table
+from .common import small_batches, table
 
 #: A text is rejected if its best language has less than this share of the posterior.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -14,6 +14,7 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a language (null, no letter) or with an unsure one; repeated rows are judged alike."""
+    small_batches(spark)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     fitted = langid.fit(docs.filter(~held_out))
     return langid.kept(docs, fitted, LEAST_LANGUAGE_SCORE)
@@ -24,6 +25,7 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are one group.  Rows with a null id stay, and so do all rows of a kept id.
     """
+    small_batches(spark)
     first = simhash.near_groups(docs).filter("least = component_id").select(F.col("least").alias("doc_id")).distinct()
     return docs.join(first, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
 
@@ -33,6 +35,7 @@ def contamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no words and stay; each of repeated rows is judged for itself.
     """
+    small_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -41,6 +44,7 @@ def secret(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts stay as they are; repeated rows change alike; all rows are kept.
     """
+    small_batches(spark)
     scanned = secrets.saved(secrets.scan(docs))
     out = secrets.redacted(secrets.found(scanned, secrets.threshold(scanned)))
     new = {"n_chars": F.when(F.size("_secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
@@ -52,4 +56,5 @@ def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text counts as empty; repeated rows stay; other columns are dropped.
     """
+    small_batches(spark)
     return bpe.round_trip(docs, bpe.default_vocabulary()).select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
