@@ -48,7 +48,7 @@ def ranked(df: DataFrame, order: Order, name: str = "position") -> DataFrame:
     """The rows with their position in the whole order, from 0."""
     rows, before = ranges(df, order)
     # a row for each range: shuffle partitions bound it
-    return rows.join(F.broadcast(before.select("_range", "_before")), "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before", "_n")
+    return rows.join(F.broadcast(before.select("_range", "_before")), "_range").select(*df.columns, (F.col("_before") + F.col("_place")).alias(name))
 
 
 def page_at(table: Ranges, number: int, size: int) -> DataFrame:

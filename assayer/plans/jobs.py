@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..functions import quality as Q
 from ..operators import dedupe, enrich, hamming, match, report, search
 from ..sources.io import upserted
+from ..sources.versions import counted
 
 FIGURES = ["weight_kg", "pt_ppm", "pd_ppm", "rh_ppm"]
 
@@ -31,8 +32,19 @@ def rows_of_cells(cells: DataFrame, groups: DataFrame) -> DataFrame:
     """Typed rows of free-layout sheets: skipped sheets left out, layout inferred, units repaired, group by sheet name."""
     kept = cells.join(Q.skipped_sheets(cells), ["file", "sheet"], "left_anti")
     layout = report.layouts(kept)
-    rows = report.pivoted_rows(kept, layout).filter(Q.has_data("serial", "weight", "pt", "pd", "rh", "extra_codes", "details", "shape_code"))
-    rows = rows.join(report.gram_sheets(kept, layout), ["file", "sheet"])
+    return _typed(report.pivoted_rows(kept, layout).join(report.gram_sheets(kept, layout), ["file", "sheet"]), groups)
+
+
+def rows_for_enrichment(cells: DataFrame, groups: DataFrame) -> DataFrame:
+    """Typed rows of enrichment sheets: the metals' columns go by their exact headers (H12), and assays are taken as they stand."""
+    kept = cells.join(Q.skipped_sheets(cells), ["file", "sheet"], "left_anti")
+    exact = report.exact_metal_columns(kept.filter("row <= 3 AND col <= 25")).select("file", "sheet", *(F.col(m).alias(f"_{m}") for m in ("pt", "pd", "rh")))
+    layout = report.layouts(kept).join(exact, ["file", "sheet"], "left").withColumns({m: F.coalesce(f"_{m}", m) for m in ("pt", "pd", "rh")}).drop("_pt", "_pd", "_rh")
+    return _typed(report.pivoted_rows(kept, layout).withColumn("multiplier", F.lit(1.0)), groups)
+
+
+def _typed(pivoted: DataFrame, groups: DataFrame) -> DataFrame:
+    rows = pivoted.filter(Q.has_data("serial", "weight", "pt", "pd", "rh", "extra_codes", "details", "shape_code"))
     weight = C.sanitize(C.weight_in_kg(C.number_cell("weight")), 8, 3)
     metals = [C.sanitize(C.number_cell(m) * F.col("multiplier"), 10, 4).alias(f"{m}_ppm") for m in ("pt", "pd", "rh")]
     named = match.group_of_name(rows, groups)
@@ -49,14 +61,14 @@ def import_cells(cells: DataFrame, items: DataFrame, groups: DataFrame) -> dict[
     codes = new.select("file", "sheet", "row", F.explode("codes").alias("code"))
     payload = F.to_json(F.struct("serial_code", "model", *FIGURES)).alias("payload")
     issues = done.filter("issue IS NOT NULL").select("file", "sheet", "row", "issue", payload)
-    return {"items": new, "codes": codes, "issues": issues, "report": report.outcome_counts(done, ["inserted", "skipped", "invalid", "flagged"], "file")}
+    return {"rows": done, "items": new, "codes": codes, "issues": issues, "report": report.outcome_counts(done, ["inserted", "skipped", "invalid", "flagged"], "file")}
 
 
 def import_fixed(rows: DataFrame, items: DataFrame, groups: DataFrame) -> dict[str, DataFrame]:
     """Rows of the fixed layout; the group comes from the manufacturer's name in the row."""
     named = match.group_of_name(rows, groups, "manufacturer")
     done = classified(named.withColumn("model", F.coalesce("model", "manufacturer")), items, ["row"])
-    return {"items": done.filter("outcome = 'inserted'"), "report": report.outcome_counts(done, ["inserted", "skipped", "invalid"], "file")}
+    return {"rows": done, "items": done.filter("outcome = 'inserted'"), "report": report.outcome_counts(done, ["inserted", "skipped", "invalid"], "file")}
 
 
 def enrich_items(items: DataFrame, rows: DataFrame, order: list[str], fields: list[str] | None = None) -> dict[str, DataFrame]:
@@ -69,8 +81,9 @@ def enrich_items(items: DataFrame, rows: DataFrame, order: list[str], fields: li
     # the order goes by file first; items stand before all rows
     done = enrich.progressive_fill(key(items), marked.filter("_valid AND NOT repeat"), ["group_id", "serial"], ["file", *order], fields)
     left = marked.filter("NOT _valid OR repeat").select("file", "group_id", F.when(F.col("_valid"), "duplicate_in_file").otherwise("invalid").alias("outcome"))
-    by_file = report.enrichment_counts(done.select("file", "group_id", "outcome").unionByName(left), items)
-    return {"rows": done, "report": by_file, "totals": report.totals(by_file)}
+    every = done.select("file", "group_id", "outcome").unionByName(left)
+    by_file = report.enrichment_counts(every, items)
+    return {"rows": done, "outcomes": every, "report": by_file, "totals": report.totals(by_file)}
 
 
 def repair_items(items: DataFrame, rows: DataFrame, fields: list[str]) -> dict[str, DataFrame]:
@@ -82,8 +95,8 @@ def repair_items(items: DataFrame, rows: DataFrame, fields: list[str]) -> dict[s
     done = dedupe.collisions(new, held)
     state = F.when(F.col("collides"), "existing_assay").when(F.col("_serial").eqNullSafe(F.col("serial_code")), "noop").otherwise("updated")
     kinds = hits.select(F.when(F.col("n") == 0, "not_found").when(F.col("n") > 1, "ambiguous").alias("outcome")).filter("outcome IS NOT NULL")
-    out = done.select(state.alias("outcome"))
-    return {"items": done.withColumn("outcome", state), "report": report.outcome_counts(kinds.unionByName(out), ["updated", "noop", "existing_assay", "ambiguous", "not_found"])}
+    every = kinds.unionByName(done.select(state.alias("outcome")))
+    return {"items": done.withColumn("outcome", state), "outcomes": every, "report": report.outcome_counts(every, ["updated", "noop", "existing_assay", "ambiguous", "not_found"])}
 
 
 def normalized_feed(records: DataFrame, markers: tuple[str, ...] = ()) -> DataFrame:
@@ -108,7 +121,7 @@ def import_feed(records: DataFrame, items: DataFrame, groups: DataFrame) -> dict
     outcome = F.when(F.col("n") > 1, "ambiguous").when(F.col("n") == 1, "updated").otherwise("inserted")
     done = named.withColumn("outcome", outcome)
     every = done.select("outcome").unionByName(feed.filter("issue IS NOT NULL").select(F.lit("invalid").alias("outcome")))
-    return {"rows": done, "groups": new_groups, "report": report.outcome_counts(every, ["inserted", "updated", "ambiguous", "invalid"])}
+    return {"rows": done, "outcomes": every, "groups": new_groups, "report": report.outcome_counts(every, ["inserted", "updated", "ambiguous", "invalid"])}
 
 
 def repair_from_feed(records: DataFrame, items: DataFrame) -> DataFrame:
@@ -241,6 +254,18 @@ def resolve_reviews(items: DataFrame, reviews: DataFrame) -> DataFrame:
     return match.resolved_reviews(items, reviews)
 
 
+#: The outcomes that each job counts.
+OUTCOMES = {
+    "import_cells": ["inserted", "skipped", "invalid", "flagged"], "import_fixed": ["inserted", "skipped", "invalid"], "enrich_items": list(report.ENRICHMENT.values()),
+    "repair_items": ["updated", "noop", "existing_assay", "ambiguous", "not_found"], "import_feed": ["inserted", "updated", "ambiguous", "invalid"], "repair_from_feed": ["updated", "noop", "not_found", "ambiguous"],
+}
+
+
+def settled(job: str, rows: DataFrame, sink=None) -> dict[str, int]:
+    """The counters of a job's rows with an outcome, taken in the pass that hands them to ``sink``; without one it is a dry run (A10)."""
+    return counted(rows, {o: F.count_if(F.col("outcome") == o) for o in OUTCOMES[job]}, sink)
+
+
 def media_audit(features: DataFrame, references: DataFrame) -> DataFrame:
     """Verdict and score of each image, those with a verdict only, highest score first."""
     near = hamming.nearest_hash(features, references)

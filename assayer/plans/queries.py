@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import quality as Q
-from ..operators import dedupe, enrich, match, price, rank, report, search
-from ..sources import io
+from ..operators import dedupe, enrich, hamming, match, neighbours, price, rank, report, search, textindex
+from ..sources import arrays, io, versions
+from ..sources.shared import shared_folder
 from . import jobs
 from .proxies import Tables, with_sql
 
@@ -273,9 +274,12 @@ def c5_known_assays(t: Tables) -> DataFrame:
     return dedupe.without_known_assays(t.items.filter("source IS NULL"), t.items.filter("source IS NOT NULL")).select("row_no")
 
 
-@query("""WITH r AS (SELECT * FROM items WHERE source IS NULL), p AS (SELECT r.row_no, i.row_no AS item_no, CASE WHEN r.details IS NULL OR coalesce(r.details = i.details, false) THEN 0 ELSE 1 END AS tier FROM r JOIN items i ON r.group_id = i.group_id AND upper(trim(coalesce(r.model, ''))) = upper(coalesce(i.model, '')) AND i.source = 'A' WHERE (r.weight_kg IS NULL OR r.weight_kg = i.weight_kg) AND (r.pt_ppm IS NULL OR r.pt_ppm = i.pt_ppm) AND (trim(coalesce(r.shape_code, '')) = '' OR upper(trim(r.shape_code)) = upper(coalesce(i.shape_code, '')))),
-b AS (SELECT row_no, item_no FROM p QUALIFY tier = min(tier) OVER (PARTITION BY row_no))
-SELECT r.row_no, count(DISTINCT item_no) AS n, CASE WHEN count(DISTINCT item_no) = 1 THEN min(item_no) END AS item_no FROM r LEFT JOIN b ON b.row_no = r.row_no GROUP BY r.row_no""", "items")
+CANDIDATES = """r AS (SELECT * FROM items WHERE source IS NULL), p AS (SELECT r.row_no, i.row_no AS item_no, CASE WHEN r.details IS NULL OR coalesce(r.details = i.details, false) THEN 0 ELSE 1 END AS tier FROM r JOIN items i ON r.group_id = i.group_id AND upper(trim(coalesce(r.model, ''))) = upper(coalesce(i.model, '')) AND i.source = 'A' WHERE (r.weight_kg IS NULL OR r.weight_kg = i.weight_kg) AND (r.pt_ppm IS NULL OR r.pt_ppm = i.pt_ppm) AND (trim(coalesce(r.shape_code, '')) = '' OR upper(trim(r.shape_code)) = upper(coalesce(i.shape_code, '')))),
+b AS (SELECT row_no, item_no FROM p QUALIFY tier = min(tier) OVER (PARTITION BY row_no)),
+h AS (SELECT r.row_no, count(DISTINCT item_no) AS n, CASE WHEN count(DISTINCT item_no) = 1 THEN min(item_no) END AS item_no FROM r LEFT JOIN b ON b.row_no = r.row_no GROUP BY r.row_no)"""
+
+
+@query(f"WITH {CANDIDATES} SELECT * FROM h", "items")
 def c6_repair_candidates(t: Tables) -> DataFrame:
     return match.repair_candidates(t.items.filter("source IS NULL"), t.items.filter("source = 'A'"), ["weight_kg", "pt_ppm", "shape_code"])
 
@@ -384,14 +388,24 @@ def _phash(column: str = "embedding"):
     return F.aggregate(F.transform(column, lambda x, k: F.when((x > 0) & (k < 63), F.expr("1L").bitwiseOR(0) * F.pow(F.lit(2.0), k).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a + b)
 
 
-@query("""WITH h AS (SELECT vec_id, label, list_sum(list_transform(embedding[1:63], lambda x, i: CASE WHEN x > 0 THEN CAST(pow(2, i - 1) AS HUGEINT) ELSE 0::HUGEINT END))::BIGINT AS phash FROM embeddings),
-d AS (SELECT h.vec_id, h.label, (SELECT min(bit_count(xor(h.phash, r.phash))) FROM h r WHERE r.vec_id < 8) AS distance FROM h)
-SELECT vec_id, CAST(distance AS BIGINT) AS distance, CASE WHEN distance <= 4 THEN 'spam_hash' WHEN label % 3 > 0 AND 20 + label >= 23 THEN 'spam_face' WHEN 20 + label >= 20 THEN 'wrong_mark' END AS verdict FROM d""")
-def b25_c28_j15_image_hashes(t: Tables) -> DataFrame:
+PHASH = "h AS (SELECT vec_id, label, embedding, list_sum(list_transform(embedding[1:63], lambda x, i: CASE WHEN x > 0 THEN CAST(pow(2, i - 1) AS HUGEINT) ELSE 0::HUGEINT END))::BIGINT AS phash FROM embeddings)"
+
+
+@query(f"WITH {PHASH}, r AS (SELECT DISTINCT phash FROM h WHERE label % 5 = 0) SELECT vec_id, CAST((SELECT min(bit_count(xor(h.phash, r.phash))) FROM r) AS BIGINT) AS distance FROM h")
+def c28_nearest_references(t: Tables) -> DataFrame:
+    """Every image against the images of two labels, near and far."""
     h = t.embeddings.select("vec_id", "label", _phash().alias("phash"))
-    near = match.nearest_hash(h, h.filter("vec_id < 8"))
-    v = Q.image_verdict("distance", F.col("label") % 3, 32 + F.when(20 + F.col("label") >= 23, 3).otherwise(0), F.lit(18.0), F.lit(0.5))
-    return near.select("vec_id", "distance", v["verdict"].alias("verdict"))
+    return hamming.nearest_hash(h, h.filter("label % 5 = 0")).select("vec_id", "distance")
+
+
+@query(f"""WITH {PHASH}, d AS (SELECT vec_id, label % 3 AS f, 20 + 3 * label AS c, 10 + 2 * label AS s, CAST(abs(embedding[1]) AS DOUBLE) AS m, (SELECT min(bit_count(xor(h.phash, r.phash))) FROM h r WHERE r.label = 7) AS d FROM h),
+v AS (SELECT *, CASE WHEN d <= 4 THEN 'spam_hash' WHEN f > 0 AND c >= 35 AND s >= 18 THEN 'spam_face' WHEN m >= 0.15 AND c >= 20 THEN 'wrong_mark' END AS verdict FROM d)
+SELECT vec_id AS media_id, verdict, CASE verdict WHEN 'spam_hash' THEN round(1 - d / 64, 4) WHEN 'spam_face' THEN round(least(1.0, 0.4 + 0.1 * f + c / 100), 4) ELSE round(m, 4) END AS score FROM v WHERE verdict IS NOT NULL""")
+def b25_c28_j15_media_audit(t: Tables) -> DataFrame:
+    """The audit over features of all images; those of one label are known spam."""
+    label = F.col("label")
+    f = t.embeddings.select(F.col("vec_id").alias("media_id"), "label", _phash().alias("phash"), (label % 3).alias("face_count"), (20 + 3 * label).cast("double").alias("colorfulness"), (10 + 2 * label).cast("double").alias("mean_saturation"), F.abs(F.col("embedding")[0]).cast("double").alias("match_score"))
+    return jobs.media_audit(f, f.filter("label = 7"))
 
 
 @query("SELECT vec_id, s[1] >= 0.82 OR (s[1] >= 0.67 AND s[2] >= 0.62) AS marked FROM (SELECT vec_id, list_reverse_sort(list_transform(embedding, lambda x: CAST(abs(x) * 2 AS DOUBLE))) AS s FROM embeddings)")
@@ -460,11 +474,12 @@ def e4_j12_unique_fingerprints(t: Tables) -> DataFrame:
     return jobs.backfill_fingerprints(t.items)["items"].select("item_id", "assay_fingerprint")
 
 
-@query("SELECT (SELECT count(*) FROM items) AS items, (SELECT count(*) FROM users WHERE is_active) AS users, (SELECT count(*) FROM saved) AS saved, (SELECT arg_max(price_oz, struct_pack(a := \"at\", e := event_id)) FROM quotes WHERE key = 'pt') AS latest_pt", "items", "users", "saved", "quotes")
+@query("SELECT (SELECT count(*) FROM items) AS items, (SELECT count(*) FROM users WHERE is_active) AS users, (SELECT count(*) FROM saved) AS saved, (SELECT count(*) FROM supplier WHERE s_acctbal >= 0) AS sent_campaigns, (SELECT arg_max(price_oz, struct_pack(a := \"at\", e := event_id)) FROM quotes WHERE key = 'pt') AS latest_pt", "items", "users", "saved", "quotes")
 def d13_kpis(t: Tables) -> DataFrame:
     n = lambda df, name: df.agg(F.count("*").alias(name))
+    campaigns = t.supplier.select("s_suppkey", F.when(F.col("s_acctbal") >= 0, "sent").otherwise("draft").alias("status"))
     pt = price.latest(t.quotes.filter("key = 'pt'"), "at", "event_id", "price_oz").select(F.col("price_oz").alias("latest_pt"))
-    return n(t.items, "items").crossJoin(n(t.users.filter("is_active"), "users")).crossJoin(n(t.saved, "saved")).crossJoin(pt)
+    return n(t.items, "items").crossJoin(n(t.users.filter("is_active"), "users")).crossJoin(n(t.saved, "saved")).crossJoin(n(campaigns.filter("status = 'sent'"), "sent_campaigns")).crossJoin(pt)
 
 
 @query("SELECT DISTINCT region FROM groups WHERE region <> '' ORDER BY region", "groups")
@@ -562,12 +577,24 @@ def h16_brand_slug(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", C.brand_slug(url, F.lit("12"), F.when(k == 1, F.col("p_name"))).alias("h16"))
 
 
-@query("SELECT concat('sheet ', replace(p_brand, 'Brand#', '')) AS sheet, 4 AS pt, 6 AS pd, 8 AS rh FROM part GROUP BY 1")
+BRAND = "CAST(replace(p_brand, 'Brand#', '') AS INTEGER)"
+SHEET_PT = f"CAST(CASE WHEN {BRAND} % 4 = 1 THEN p_size ELSE 1000 + p_size + 0.5 END AS DOUBLE)"
+
+
+@query(f"SELECT concat('sheet ', {BRAND}) AS sheet, CASE WHEN {BRAND} % 4 = 2 THEN 10 ELSE 4 END AS pt, 6 AS pd, 8 AS rh FROM part GROUP BY ALL")
 def h12_metal_columns(t: Tables) -> DataFrame:
+    """Some sheets have totals, and a second exact header further on, which wins."""
     heads = report.exact_metal_columns(_cells(t).filter("row <= 3"))
     return heads.select("sheet", "pt", "pd", "rh")
 
 
+@query(f"SELECT concat('sheet ', {BRAND}) AS sheet, concat('KT ', CAST(p_partkey AS VARCHAR)) AS serial_code, CASE {BRAND} % 4 WHEN 1 THEN p_size / 1000 WHEN 2 THEN p_size + 7 ELSE 1000 + p_size + 0.5 END AS pt_ppm FROM part")
+def h12_j3_enrichment_rows(t: Tables) -> DataFrame:
+    """Rows of enrichment sheets: metals come from their exact columns, and grams stay as they are."""
+    groups = t.groups.withColumn("sheet_name", F.concat(F.lit("SHEET "), F.substring("id", 2, 9)))
+    return jobs.rows_for_enrichment(_cells(t), groups).select("sheet", "serial_code", "pt_ppm")
+
+
 @query(f"""WITH r AS (SELECT row_no, n_name, {ISSUE.replace("model", "coalesce(model, n_name)")} AS issue, concat_ws('|', concat('g', CAST(n_nationkey AS VARCHAR)), {ns('serial_code')}, {ASSAY}) AS sig FROM items JOIN nation ON concat('g', CAST(n_nationkey AS VARCHAR)) = group_id WHERE source IS NULL),
 n AS (SELECT *, row_number() OVER (PARTITION BY n_name, sig, issue IS NULL ORDER BY row_no) AS n FROM r)
 SELECT n_name AS file, count(CASE WHEN issue IS NULL AND n = 1 AND sig NOT IN (SELECT {SIG} FROM items WHERE source IS NOT NULL) THEN 1 END) AS inserted, count(CASE WHEN issue IS NULL AND (n > 1 OR sig IN (SELECT {SIG} FROM items WHERE source IS NOT NULL)) THEN 1 END) AS skipped, count(issue) AS invalid FROM n GROUP BY n_name""", "items")
@@ -577,18 +604,54 @@ def j2_import_fixed(t: Tables) -> DataFrame:
     return jobs.import_fixed(rows, t.items.filter("source IS NOT NULL"), t.groups)["report"]
 
 
-@query("""SELECT concat('sheet ', replace(p_brand, 'Brand#', '')) AS sheet, concat('KT ', CAST(p_partkey AS VARCHAR)) AS serial_code, p_size / 10 AS weight_kg, 1000 + p_size + 0.5 AS pt_ppm FROM part WHERE p_size > 0 AND concat('KT', CAST(p_partkey AS VARCHAR)) IS NOT NULL""")
+@query(f"SELECT concat('sheet ', {BRAND}) AS sheet, concat('KT ', CAST(p_partkey AS VARCHAR)) AS serial_code, p_size / 10 AS weight_kg, {SHEET_PT} AS pt_ppm FROM part WHERE p_size > 0 AND p_partkey % 3 <> 0")
 def j1_import_cells(t: Tables) -> DataFrame:
-    """New items of the free-layout sheets; the table holds none of them yet."""
+    """New items of the free-layout sheets; the table holds the analyses of a third of the rows."""
     groups = t.groups.withColumn("sheet_name", F.concat(F.lit("SHEET "), F.substring("id", 2, 9)))
-    return jobs.import_cells(_cells(t), t.items.limit(0), groups)["items"].select("sheet", "serial_code", "weight_kg", "pt_ppm")
+    return jobs.import_cells(_cells(t), _known_cells(t), groups)["items"].select("sheet", "serial_code", "weight_kg", "pt_ppm")
+
+
+def _known_cells(t: Tables) -> DataFrame:
+    b = F.regexp_replace("p_brand", "Brand#", "").cast("int")
+    pt = F.when(b % 4 == 1, F.col("p_size").cast("double")).otherwise(1000 + F.col("p_size") + 0.5)
+    return t.part.filter("p_partkey % 3 = 0").select(F.when(b < 25, F.concat(F.lit("g"), b.cast("string"))).alias("group_id"), F.concat(F.lit("kt-"), F.col("p_partkey").cast("string")).alias("serial_code"), (F.col("p_size") / 10).alias("weight_kg"), pt.alias("pt_ppm"), F.lit(None).cast("double").alias("pd_ppm"), F.lit(None).cast("double").alias("rh_ppm"))
+
+
+ENRICHED = ["weight_kg", "pt_ppm", "pd_ppm", "rh_ppm", "shape_code"]
+
 
+def _enriched_sql() -> str:
+    """Rows of all files with their outcome, as common table expressions."""
+    at = {"u": "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", "b": "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"}
+    first = [f"first_value({c} IGNORE NULLS) OVER {w} AS {w}_{c}" for w in at for c in ENRICHED] + [f"first_value(CASE WHEN weight_kg > 0 AND weight_kg <= 50 THEN weight_kg END IGNORE NULLS) OVER {w} AS {w}_sound" for w in at]
+    state = lambda w, c: f"CASE WHEN {w}_{c} > 50 THEN coalesce({w}_sound, {w}_{c}) ELSE {w}_{c} END" if c == "weight_kg" else f"{w}_{c}"
+    differs = " OR ".join(f"({state('u', c)}) IS DISTINCT FROM ({state('b', c)})" for c in ENRICHED)
+    order = "PARTITION BY group_id, serial ORDER BY kind, file, row_no"
+    return f"""r AS (SELECT *, model AS file, {ns('serial_code')} AS serial, {USABLE} AND trim(coalesce(model, '')) <> '' AND ({' OR '.join(f'{c} IS NOT NULL' for c in ENRICHED)}) AS valid, concat_ws('|', {SIG}, coalesce(upper(shape_code), '')) AS sig FROM items WHERE source IS NULL),
+m AS (SELECT *, row_number() OVER (PARTITION BY file, valid, sig ORDER BY row_no) AS again FROM r),
+x AS (SELECT group_id, {ns('serial_code')} AS serial, 0 AS kind, NULL AS file, NULL AS row_no, {', '.join(ENRICHED)} FROM items WHERE source = 'A' UNION ALL SELECT group_id, serial, 1, file, row_no, {', '.join(ENRICHED)} FROM m WHERE valid AND again = 1),
+n AS (SELECT group_id, serial, count(*) AS n FROM x WHERE kind = 0 GROUP BY ALL),
+f AS (SELECT *, row_number() OVER ({order}) AS rn, {', '.join(first)} FROM x WINDOW {', '.join(f'{w} AS ({order} {rows})' for w, rows in at.items())}),
+o AS (SELECT file, group_id, CASE WHEN n > 1 THEN 'ambiguous' WHEN rn = 1 THEN 'created' WHEN {differs} THEN 'updated' ELSE 'noop' END AS outcome FROM f LEFT JOIN n USING (group_id, serial) WHERE kind = 1
+ UNION ALL SELECT file, group_id, CASE WHEN valid THEN 'duplicate_in_file' ELSE 'invalid' END FROM m WHERE NOT valid OR again > 1),
+c AS (SELECT group_id, min(file) AS file FROM o WHERE outcome = 'created' AND group_id NOT IN (SELECT group_id FROM items WHERE source = 'A') GROUP BY group_id),
+d AS (SELECT file, count(*) AS rows_scanned, {', '.join(f"count(CASE WHEN outcome = '{o}' THEN 1 END) AS {n}" for n, o in report.ENRICHMENT.items())}, (SELECT count(*) FROM c WHERE c.file = o.file) AS groups_created FROM o GROUP BY file)"""
 
-@query("")
-def d1_d2_j3_enrich(t: Tables) -> DataFrame:
-    """The ten counters of each file of rows without a source, against the items of source A; tests hold them against the parts of the job."""
-    rows = t.items.filter("source IS NULL").withColumn("file", F.col("model"))
-    return jobs.enrich_items(t.items.filter("source = 'A'"), rows, ["row_no"])["report"]
+
+def _enriched(t: Tables) -> dict[str, DataFrame]:
+    return jobs.enrich_items(t.items.filter("source = 'A'"), t.items.filter("source IS NULL").withColumn("file", F.col("model")), ["row_no"])
+
+
+@query(f"WITH {_enriched_sql()} SELECT * FROM d", "items")
+def d1_j3_enrich(t: Tables) -> DataFrame:
+    """The ten counters of each file of rows without a source, against the items of source A."""
+    return _enriched(t)["report"]
+
+
+@query(f"WITH {_enriched_sql()} SELECT {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ['rows_scanned', *report.ENRICHMENT, 'groups_created'])} FROM d", "items")
+def d2_j3_totals(t: Tables) -> DataFrame:
+    """Their sums over all files."""
+    return _enriched(t)["totals"]
 
 
 @query(f"SELECT count(*) AS n, round(count(*) * 0.039, 6) AS cost, round(count(*) * 0.041, 6) AS cost_verified, count(*) * 0.041 > 100 AS \"over\" FROM items WHERE {PRICEABLE}", "items")
@@ -621,26 +684,36 @@ def e12_exact_preference(t: Tables) -> DataFrame:
 
 
 def _cells(t: Tables) -> DataFrame:
-    """A long cell table from part: one sheet for each brand, three header rows, then data."""
-    p = t.part.select(F.regexp_replace("p_brand", "Brand#", "").alias("b"), "p_partkey", "p_name", "p_size")
+    """A long cell table from part: one sheet for each brand, three header rows, then data.
+
+    By the brand's number modulo 4: 0 names in the second row, 1 grams, 2 totals and a second exact Pt column, 3 a Pt header beside the names.
+    """
+    p = t.part.select(F.regexp_replace("p_brand", "Brand#", "").cast("int").alias("b"), "p_partkey", "p_name", "p_size")
     sheets = p.select("b").distinct()
     head = lambda row, col, text: F.struct(F.lit(row).alias("row"), F.lit(col).alias("col"), F.lit(text).alias("raw"))
-    heads = [head(1, 1, "Model"), head(1, 2, "Serial Code"), head(1, 3, "Piece kg"), head(1, 11, "Extra Codes"), head(1, 13, "Details"), head(2, 4, "Pt"), head(2, 6, "Pd"), head(2, 8, "Rh"), head(3, 4, "ppm")]
-    top = sheets.select("b", F.explode(F.array(*heads)).alias("c")).select("b", "c.*")
+    names = lambda row: [head(row, 1, "Model"), head(row, 2, "Serial Code"), head(row, 3, "Piece kg"), head(row, 11, "Extra Codes"), head(row, 13, "Details")]
+    metals = lambda row: [head(row, 4, "Pt"), head(row, 6, "Pd"), head(row, 8, "Rh")]
+    kind = lambda k: F.col("b") % 4 == k
+    grams = [*names(1), *metals(2), head(1, 4, "=SUM(Kitko!A1)"), *(head(3, c, "ppm") for c in (4, 6, 8)), head(3, 10, "Price US$ Piece")]
+    heads = F.when(kind(0), F.array(*names(2), *metals(1), head(3, 4, "ppm"))).when(kind(1), F.array(*grams)).when(kind(2), F.array(*names(1), *metals(2), head(2, 5, "Pt total"), head(2, 10, "Pt"), head(3, 4, "ppm"))).otherwise(F.array(*names(1), head(1, 4, "Pt"), *metals(2), head(3, 4, "ppm")))
+    top = sheets.select("b", F.explode(heads).alias("c")).select("b", "c.*")
     cell = lambda col, value: F.struct(F.lit(col).alias("col"), value.alias("raw"))
-    data = p.select("b", (F.col("p_partkey") + 4).cast("int").alias("row"), F.explode(F.array(cell(1, F.lit("M")), cell(2, F.concat(F.lit("KT "), F.col("p_partkey").cast("string"))), cell(3, (F.col("p_size") / 10).cast("string")), cell(4, F.concat(F.lit("1 "), F.lpad(F.col("p_size").cast("string"), 3, "0"), F.lit(",5"))), cell(11, F.col("p_name")))).alias("c")).select("b", "row", "c.*")
+    size = F.lpad(F.col("p_size").cast("string"), 3, "0")
+    pt = F.when(kind(1), F.concat(F.lit("0,"), size)).otherwise(F.concat(F.lit("1 "), size, F.lit(",5")))
+    cells = [cell(1, F.lit("M")), cell(2, F.concat(F.lit("KT "), F.col("p_partkey").cast("string"))), cell(3, (F.col("p_size") / 10).cast("string")), cell(4, pt), cell(10, F.when(kind(2), (F.col("p_size") + 7).cast("string"))), cell(11, F.col("p_name")), cell(30, F.lit("outside"))]
+    data = p.select("b", (F.col("p_partkey") + 4).cast("int").alias("row"), F.explode(F.array(*cells)).alias("c")).select("b", "row", "c.*")
     both = top.unionByName(data)
-    return both.select(F.lit("f").alias("file"), F.col("b").cast("int").alias("sheet_idx"), F.concat(F.lit("sheet "), "b").alias("sheet"), "row", "col", "raw")
+    return both.select(F.lit("f").alias("file"), F.col("b").alias("sheet_idx"), F.concat(F.lit("sheet "), F.col("b").cast("string")).alias("sheet"), "row", "col", "raw")
 
 
-@query("SELECT concat('sheet ', replace(p_brand, 'Brand#', '')) AS sheet, concat('KT ', CAST(p_partkey AS VARCHAR)) AS serial_code, p_size / 10 AS weight_kg, 1000 + p_size + 0.5 AS pt_ppm, len(list_distinct(list_transform(list_filter(list_transform(string_split(p_name, ','), lambda x: trim(x)), lambda x: x <> ''), lambda x: lower(x)))) AS n_codes FROM part")
-def a3_b14_e8_e9_h12_h27_j1_cells(t: Tables) -> DataFrame:
+@query(f"SELECT concat('sheet ', {BRAND}) AS sheet, concat('KT ', CAST(p_partkey AS VARCHAR)) AS serial_code, p_size / 10 AS weight_kg, {SHEET_PT} AS pt_ppm, len(list_distinct(list_transform(list_filter(list_transform(string_split(p_name, ','), lambda x: trim(x)), lambda x: x <> ''), lambda x: lower(x)))) AS n_codes FROM part")
+def a3_b14_e8_e9_h27_j1_cells(t: Tables) -> DataFrame:
     groups = t.groups.withColumn("sheet_name", F.concat(F.lit("SHEET "), F.substring("id", 2, 9)))
-    rows = jobs.rows_of_cells(_cells(t), groups)
+    rows = jobs.rows_of_cells(io.window(_cells(t), 1, None, 25), groups)
     return rows.select("sheet", "serial_code", "weight_kg", "pt_ppm", F.size("codes").alias("n_codes"))
 
 
-@query("SELECT concat('sheet ', replace(p_brand, 'Brand#', '')) AS sheet, 1 AS row, 3 AS overlap, false AS fits FROM part GROUP BY 1")
+@query(f"SELECT concat('sheet ', {BRAND}) AS sheet, CASE WHEN {BRAND} % 4 = 0 THEN 2 ELSE 1 END AS row, CASE WHEN {BRAND} % 4 = 3 THEN 4 ELSE 3 END AS overlap, {BRAND} % 4 = 3 AS fits FROM part GROUP BY ALL")
 def g3_g4_header_overlap(t: Tables) -> DataFrame:
     return report.has_headers(_cells(t), ["model", "serialcode", "piecekg", "pt"]).select("sheet", "row", "overlap", "fits")
 
@@ -670,6 +743,24 @@ def f1_f2_page(t: Tables) -> DataFrame:
     return search.page(t.items.filter("group_id = 'g2'").select("item_id", "model"), 3, 20, ["model", "item_id"])
 
 
+@query("""WITH p AS (SELECT item_id, group_id, pt_ppm AS v, row_number() OVER (PARTITION BY group_id ORDER BY pt_ppm, item_id) AS pos FROM items WHERE pt_ppm IS NOT NULL),
+j AS (SELECT a.item_id, b.item_id AS other, row_number() OVER (PARTITION BY a.item_id ORDER BY abs(b.v - a.v), abs(b.pos - a.pos), b.pos) AS rank FROM (SELECT p.*, pos + d AS q FROM p, (SELECT unnest(generate_series(-4, 4)) AS d) WHERE d <> 0) a JOIN p b ON b.group_id = a.group_id AND b.pos = a.q)
+SELECT item_id, other, rank FROM j WHERE rank <= 4""", "items")
+def f4_similar_items(t: Tables) -> DataFrame:
+    """Four similar items of the group for every item."""
+    return neighbours.similar_items(t.items, 4).select("item_id", "other", "rank")
+
+
+@query(f"""WITH s AS (SELECT s_suppkey AS search_id, concat('T-', CAST(s_suppkey * 7 AS VARCHAR)) AS p, concat('T', CAST(s_suppkey * 7 AS VARCHAR)) AS n FROM supplier),
+o AS (SELECT 'p' AS kind, lower(serial_code) AS text, item_id FROM items UNION SELECT 'p', lower(model), item_id FROM items UNION SELECT 'n', {ns('serial_code')}, item_id FROM items UNION SELECT 'p', lower(code), item_id FROM codes UNION SELECT 'n', {ns('code')}, item_id FROM codes),
+x AS (SELECT DISTINCT kind, text FROM o), h AS (SELECT search_id, kind, text FROM s JOIN x ON (kind = 'p' AND contains(text, lower(p))) OR (kind = 'n' AND contains(text, n)))
+SELECT search_id, count(DISTINCT item_id) AS items, min(item_id) AS first_item FROM h JOIN o USING (kind, text) GROUP BY search_id""", "items", "codes")
+def b3_c17_f5_many_searches(t: Tables) -> DataFrame:
+    """A search for each supplier over the index of letter groups."""
+    asked = t.supplier.select(F.col("s_suppkey").alias("search_id"), F.concat(F.lit(" T-"), (F.col("s_suppkey") * 7).cast("string")).alias("text"))
+    return textindex.searched(textindex.text_index(t.items, t.codes), asked).groupBy("search_id").agg(F.count("*").alias("items"), F.min("item_id").alias("first_item"))
+
+
 DEEP = [("created_at", True), ("group_id", False), ("row_no", False)]
 
 
@@ -770,11 +861,16 @@ def p10_repaired_weights(t: Tables) -> DataFrame:
     return enrich.repaired_weights(t.items).select("row_no", "assay_fingerprint")
 
 
-@query("SELECT coalesce(i.id, c.id) AS id, coalesce(c.value, i.value) AS value FROM (SELECT row_no AS id, model AS value FROM items WHERE row_no % 2 = 1) i FULL JOIN (SELECT row_no AS id, shape_code AS value FROM items WHERE row_no % 3 = 0) c ON c.id = i.id", "items")
+@query("SELECT coalesce(i.id, c.id) AS id, coalesce(c.value, i.value) AS value FROM (SELECT row_no AS id, model AS value FROM items WHERE source IS NOT NULL) i FULL JOIN (SELECT row_no AS id, shape_code AS value FROM items WHERE source IS DISTINCT FROM 'A') c ON c.id = i.id", "items")
 def a9_a10_upsert(t: Tables) -> DataFrame:
-    table = t.items.filter("row_no % 2 = 1").select(F.col("row_no").alias("id"), F.col("model").alias("value"))
-    changes = t.items.filter("row_no % 3 = 0").select(F.col("row_no").alias("id"), F.col("shape_code").alias("value"))
-    return jobs.upsert_items(table, changes)
+    """A table in versions: items with a source, then changes to those of source R and all without a source."""
+    path = shared_folder(t.spark)
+    row = lambda df, value: df.select(F.col("row_no").alias("id"), F.col(value).alias("value"))
+    changes = row(t.items.filter("NOT source <=> 'A'"), "shape_code")
+    versions.upsert(t.spark, path, row(t.items.filter("source IS NOT NULL"), "model"), "id", "first", buckets=8)
+    versions.upsert(t.spark, path, changes, "id", "second")
+    versions.upsert(t.spark, path, changes, "id", "second")  # tried again: changes nothing
+    return versions.read(t.spark, path)
 
 
 @query("SELECT k AS key, arg_max(v, event_id) AS url FROM (SELECT event_id, 'k' AS k, json_extract_string(props, '$.k') AS v FROM quotes) WHERE v IS NOT NULL AND trim(v) <> '' GROUP BY k", "quotes")
@@ -840,12 +936,33 @@ def _feed(t: Tables) -> DataFrame:
     return t.part.select(F.concat(F.lit("https://x/product/"), key).alias("product_url"), F.when(k % 9 != 0, F.concat(F.lit("https://x/carbrand/brand-"), (k % 6).cast("string"))).alias("brand_page_url"), null.alias("brand_slug"), null.alias("brand"), F.when(k % 11 != 0, F.concat(F.lit("kt "), key)).alias("serial_code"), F.col("p_name").alias("product_name"), null.alias("details"), null.alias("detail"), null.alias("description"), F.array(F.col("p_type")).alias("card_texts"))
 
 
-@query("""WITH i AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN concat('https://x/product/', CAST(p_partkey AS VARCHAR)) END AS u FROM part)
-SELECT count(CASE WHEN p_partkey % 9 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 4 <> 0 THEN 1 END) AS inserted, count(CASE WHEN p_partkey % 9 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 4 = 0 THEN 1 END) AS updated, 0 AS ambiguous, count(CASE WHEN p_partkey % 9 = 0 OR p_partkey % 11 = 0 THEN 1 END) AS invalid FROM part""")
-def a1_h14_j5_import_feed(t: Tables) -> DataFrame:
-    items = t.part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("https://x/product/"), F.col("p_partkey").cast("string"))).alias("source_url"), F.lit(None).cast("string").alias("source_hash"))
-    groups = t.groups.select(C.slug("name").alias("slug"))
-    return jobs.import_feed(_feed(t), items, groups)["report"]
+FEED_SQL = """p AS (SELECT p_partkey AS k, concat('https://x/product/', CAST(p_partkey AS VARCHAR)) AS url, concat('brand-', CAST(p_partkey % 6 AS VARCHAR)) AS slug, sha1(concat('brand-', CAST(p_partkey % 6 AS VARCHAR), '|KT ', CAST(p_partkey AS VARCHAR), '|https://x/product/', CAST(p_partkey AS VARCHAR))) AS hash, p_partkey % 9 <> 0 AND p_partkey % 11 <> 0 AS valid FROM part),
+i AS (SELECT k AS id, url, NULL AS hash FROM p WHERE k % 4 = 0 UNION ALL SELECT k + 1000000000, url, NULL FROM p WHERE k % 20 = 0 UNION ALL SELECT k + 2000000000, NULL, hash FROM p WHERE k % 5 = 1)"""
+
+
+@query(f"""WITH {FEED_SQL}, m AS (SELECT p.k, 0 AS tier, id FROM p JOIN i ON i.url = p.url UNION ALL SELECT p.k, 1, id FROM p JOIN i ON i.hash = p.hash),
+b AS (SELECT k, id FROM m QUALIFY tier = min(tier) OVER (PARTITION BY k)), n AS (SELECT valid, count(DISTINCT id) AS n FROM p LEFT JOIN b ON b.k = p.k GROUP BY p.k, valid)
+SELECT count(CASE WHEN valid AND n = 0 THEN 1 END) AS inserted, count(CASE WHEN valid AND n = 1 THEN 1 END) AS updated, count(CASE WHEN valid AND n > 1 THEN 1 END) AS ambiguous, count(CASE WHEN NOT valid THEN 1 END) AS invalid FROM n""")
+def a1_j5_import_feed(t: Tables) -> DataFrame:
+    """The feed is written as JSON arrays, scanned in many tasks, and matched by address, else by hash; some addresses stand twice."""
+    path = shared_folder(t.spark)
+    arrays.write_arrays(_feed(t), path)
+    return jobs.import_feed(io.feed(t.spark, path), _feed_items(t), t.groups.select(C.slug("name").alias("slug")))["report"]
+
+
+@query(f"WITH {FEED_SQL} SELECT DISTINCT slug, concat('Brand ', slug[7:]) AS name FROM p WHERE valid AND slug NOT IN (SELECT concat('brand-', CAST(n_nationkey * 2 AS VARCHAR)) FROM nation)")
+def h14_j5_new_groups(t: Tables) -> DataFrame:
+    """Groups that a feed adds, named by their slugs."""
+    known = t.nation.select(F.concat(F.lit("brand-"), (F.col("n_nationkey") * 2).cast("string")).alias("slug"))
+    return jobs.import_feed(_feed(t), _feed_items(t), known)["groups"].select("slug", "name")
+
+
+def _feed_items(t: Tables) -> DataFrame:
+    k, url = F.col("p_partkey"), F.concat(F.lit("https://x/product/"), F.col("p_partkey").cast("string"))
+    none = F.lit(None).cast("string")
+    item = lambda cond, id_, url_, hash_: t.part.filter(cond).select(id_.alias("id"), url_.alias("source_url"), hash_.alias("source_hash"), F.when(k % 8 == 0, F.col("p_type")).alias("details"))
+    hashed = C.feed_hash(F.concat(F.lit("brand-"), (k % 6).cast("string")), F.concat(F.lit("kt "), k.cast("string")), url)
+    return item(k % 4 == 0, k, url, none).unionByName(item(k % 20 == 0, k + 1_000_000_000, url, none)).unionByName(item(k % 5 == 1, k + 2_000_000_000, none, hashed))
 
 
 @query("SELECT concat('https://x/product/', CAST(p_partkey AS VARCHAR)) AS product_url, CASE WHEN p_partkey % 4 <> 0 THEN 'not_found' WHEN p_partkey % 8 = 0 THEN 'noop' ELSE 'updated' END AS outcome FROM part WHERE p_partkey % 9 <> 0 AND p_partkey % 11 <> 0")
@@ -855,9 +972,13 @@ def j6_repair_from_feed(t: Tables) -> DataFrame:
     return jobs.repair_from_feed(_feed(t), items).select("product_url", "outcome")
 
 
-@query("")
+@query(f"""WITH {CANDIDATES}, u AS (SELECT item_no, serial_code AS s FROM h JOIN r ON r.row_no = h.row_no WHERE n = 1),
+x AS (SELECT row_no AS item_no, old, serial_code AS s, {FP} AS nf FROM (SELECT i.* REPLACE (u.s AS serial_code), i.serial_code AS old FROM u JOIN items i ON i.row_no = u.item_no)),
+g AS (SELECT fp, min(row_no) AS low, max(row_no) AS high FROM (SELECT row_no, {FP} AS fp FROM items WHERE source = 'A') WHERE fp IS NOT NULL GROUP BY fp),
+o AS (SELECT CASE WHEN coalesce(low <> item_no OR high <> item_no, false) THEN 'existing_assay' WHEN s IS NOT DISTINCT FROM old THEN 'noop' ELSE 'updated' END AS outcome FROM x LEFT JOIN g ON g.fp = x.nf UNION ALL SELECT CASE WHEN n = 0 THEN 'not_found' ELSE 'ambiguous' END FROM h WHERE n <> 1)
+SELECT {', '.join(f"count(CASE WHEN outcome = '{o}' THEN 1 END) AS {o}" for o in jobs.OUTCOMES['repair_items'])} FROM o""", "items")
 def j4_repair_items(t: Tables) -> DataFrame:
-    """Counters of repairs; the candidates and collisions have SQL of their own above."""
+    """Counters of repairs of the items of source A by rows without a source."""
     return jobs.repair_items(t.items.filter("source = 'A'"), t.items.filter("source IS NULL"), ["weight_kg", "pt_ppm", "shape_code"])["report"]
 
 

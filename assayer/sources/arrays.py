@@ -92,7 +92,8 @@ def array_texts(spark: SparkSession, path: str) -> DataFrame:
     outside = (F.col("_inside") + F.col("_before") + F.col("_odd")) % 2 == 0
     kept = F.when((F.col("_depth") == -1) & ~end, wrong("unexpected text").cast("boolean")).when((F.col("_depth") < -1) | ((F.col("_depth") == 0) & outside), wrong("unexpected bracket").cast("boolean")).otherwise(F.col("_depth") != -1)
     inside = at.filter(kept)
-    whole = inside.filter("_alone").select("_file", "_opens", F.concat("value", F.lit("}")).alias("value"))
+    # readers' filters may be moved before this one, so other pieces have no text that they could fail on
+    whole = inside.filter("_alone").select("_file", "_opens", F.when(F.col("_alone"), F.concat("value", F.lit("}"))).alias("value"))
 
     parts = inside.filter("NOT _alone").select(*_BLOCK, "_at", "_opens", "_own", "_last", "_border", F.concat("value", F.lit("}")).alias("value"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]), "").alias("value")
@@ -106,7 +107,7 @@ def array_texts(spark: SparkSession, path: str) -> DataFrame:
 
     records = whole.unionByName(started).unionByName(across)
     body = F.when(F.col("_opens"), F.regexp_extract("value", r"^\s*\[\s*(\{[\s\S]*)$", 1)).otherwise(F.regexp_extract("value", r"^\s*,\s*(\{[\s\S]*)$", 1))
-    return records.select(F.when(body == "", wrong("something else than a record")).otherwise(body).alias("value"))
+    return records.select(F.when(F.col("value").isNotNull(), F.when(body == "", wrong("something else than a record")).otherwise(body)).alias("value"))
 
 
 def array_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -64,3 +64,11 @@ def test_feed_reads_arrays(spark, tmp_path):
     (tmp_path / "feed.json").write_text(json.dumps([{"product_url": "u", "card_texts": ["a", "}"]}]))
     r = io.feed(spark, str(tmp_path / "feed.json")).first()
     assert (r.product_url, r.card_texts, r.brand) == ("u", ["a", "}"], None)
+
+
+def test_filters_of_readers(spark, tmp_path):
+    """A filter on what is read may be moved before the choice of pieces; it must not meet the last bracket."""
+    (tmp_path / "a.json").write_text("[" + ",\n".join(json.dumps({"id": k, "t": "x"}) for k in range(50)) + "\n]\n")
+    read = arrays.array_records(spark, str(tmp_path), SCHEMA)
+    assert read.filter("id IS NOT NULL AND coalesce(t, '') = 'x'").select("t").count() == 50
+    assert read.filter("id IS NULL").count() == 0
