@@ -14,7 +14,7 @@ from ..functions import columns as C
 from ..functions import quality as Q
 from ..operators import dedupe, enrich, hamming, match, neighbours, price, rank, report, search, textindex
 from ..sources import arrays, io, versions
-from ..sources.shared import shared_folder
+from ..sources.shared import saved, shared_folder
 from . import jobs
 from .proxies import Tables, with_sql
 
@@ -947,7 +947,7 @@ def a1_j5_import_feed(t: Tables) -> DataFrame:
     """The feed is written as JSON arrays, scanned in many tasks, and matched by address, else by hash; some addresses stand twice."""
     path = shared_folder(t.spark)
     arrays.write_arrays(_feed(t), path)
-    return jobs.import_feed(io.feed(t.spark, path), _feed_items(t), t.groups.select(C.slug("name").alias("slug")))["report"]
+    return jobs.import_feed(saved(io.feed(t.spark, path)), _feed_items(t), t.groups.select(C.slug("name").alias("slug")))["report"]
 
 
 @query(f"WITH {FEED_SQL} SELECT DISTINCT slug, concat('Brand ', slug[7:]) AS name FROM p WHERE valid AND slug NOT IN (SELECT concat('brand-', CAST(n_nationkey * 2 AS VARCHAR)) FROM nation)")
