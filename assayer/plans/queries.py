@@ -236,7 +236,7 @@ def b16_b17_c27_recipients(t: Tables) -> DataFrame:
 
 
 @query("SELECT media_id FROM (SELECT media_id, item_id, CASE WHEN media_id % 2 = 0 THEN 'original' ELSE 'thumb' END AS variant, concat('x+pixel_', CASE WHEN media_id % 3 = 0 THEN 'mask' ELSE 'none' END) AS method, CAST((media_id % 50) / 100 AS DOUBLE) AS score FROM media) WHERE variant = 'original' AND contains(method, 'pixel_mask') AND score >= 0.12 AND item_id IN (SELECT item_id FROM items WHERE " + PRICEABLE + ")", "items", "media")
-def b18_b22_image_issues(t: Tables) -> DataFrame:
+def b18_image_issues(t: Tables) -> DataFrame:
     m = t.media.select("media_id", "item_id", F.when(F.col("media_id") % 2 == 0, "original").otherwise("thumb").alias("variant"), F.concat(F.lit("x+pixel_"), F.when(F.col("media_id") % 3 == 0, "mask").otherwise("none")).alias("method"), ((F.col("media_id") % 50) / 100).cast("string").alias("score"))
     return m.filter(Q.image_issue("variant", "method", "score")).join(t.items.filter(Q.priceable()).select("item_id"), "item_id", "left_semi").select("media_id")
 
