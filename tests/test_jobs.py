@@ -204,15 +204,55 @@ def test_streams(spark, tmp_path):
     assert [r.pt_oz for r in stream.latest(spark, str(tmp_path / "latest")).collect()] == [101.0]
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def test_stream_fallback_equals_batch(spark, tmp_path):
     from assayer.operators.price import last_known
 
     t0 = datetime(2024, 1, 1)
-    rows = [("USD", t0 + timedelta(seconds=s), v) for s, v in ((0, None), (10, 5.0), (50, None), (200, None), (210, 6.0))]
-    df = spark.createDataFrame(rows, "currency string, at timestamp, value double")
-    df.coalesce(1).write.json(str(tmp_path / "in"))
-    live = stream.with_fallback(spark.readStream.schema(df.schema).json(str(tmp_path / "in")), 60)
-    q = live.writeStream.format("memory").queryName("live").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    batch = {(r["at"], r.state, r.shown) for r in last_known(df, "at", "value", "currency", 60).collect()}
-    assert {(r["at"], r.state, r.shown) for r in spark.table("live").collect()} == batch
+    good = {10: 5.0, 75: 7.0, 210: 6.0, 400: 8.0, 402: 9.0}
+    files = [  # seconds in the order of arrival; each file is a batch
+        [50, 10, 0],
+        [75, 60, 45, 75],  # two polls at one time, one of them failed
+        [200, 140, 136, 210],
+        [155, 205],  # late, within the delay
+        [402, 401, 400],
+        [30, 100],  # behind the watermark: dropped
+        [2000],  # closes all before it
+        [3000],
+    ]
+    kind = "currency string, at timestamp, value double"
+    rows = []
+    for n, batch in enumerate(files):
+        part = []
+        for s in batch:
+            value = None if s in [int((r[1] - t0).total_seconds()) for r in part] else good.get(s)
+            part += [(c, t0 + timedelta(seconds=s), None if value is None else value * k) for c, k in (("USD", 1), ("EUR", 2))]
+        spark.createDataFrame(part, kind).coalesce(1).write.json(str(tmp_path / f"in{n}"))
+        rows += part if n != 5 else []
+    before = {k: spark.conf.get(k) for k in (PROVIDER, "spark.sql.shuffle.partitions")}
+    spark.conf.set(PROVIDER, ROCKS)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    (tmp_path / "in").mkdir()
+    served = []
+    try:
+        for n in range(len(files)):  # the query is stopped and taken up again after each file
+            for f in (tmp_path / f"in{n}").glob("*.json"):
+                f.rename(tmp_path / "in" / f"{n}.json")
+            live = stream.with_fallback(spark.readStream.schema(kind).json(str(tmp_path / "in")), 60, "100 seconds")
+            q = live.writeStream.foreachBatch(lambda b, _: served.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+            q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    df = spark.createDataFrame(rows, kind)
+    key = lambda r: (r.currency, r["at"], r.state, r.shown or 0.0)
+    batch = last_known(df.withColumn("good", F.col("value").isNotNull()), "at", "value", "currency", 60, tie="good").collect()
+    closed = t0 + timedelta(seconds=2900)
+    assert sorted(map(key, served)) == sorted(key(r) for r in batch if r["at"] <= closed)
+    states = {r.state for r in served}
+    assert states == {"fresh", "stale", "unavailable"}
+    usd = {int((r["at"] - t0).total_seconds()): r.shown for r in served if r.currency == "USD" and r.state == "stale"}
+    assert usd[45] == 5.0 and usd[401] == 8.0  # 45 came after 75 and after its good quote, 401 after 402
