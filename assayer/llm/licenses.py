@@ -9,6 +9,8 @@ on a line without a full stop around them.  The identifiers found, in order, are
 against the licence rules in their order: a rule is a sequence of identifiers that must
 follow each other, with no other known sentence between; sentences that a rule has
 used are not used again.  So a family's long rules stand before its short ones.
+Whole licence files are known by their title, opening and closing sentences.  A line with the tag
+``SPDX-License-Identifier:`` is cut at OR and AND; each name is a sentence of its own.
 
 Null and empty texts have no sentences.  Each row is judged alone, repeated rows alike; extra
 columns stay behind.  A text of any length is one row in memory.
@@ -60,9 +62,69 @@ _SHORT = {
     "cc-by-nd-short": ["cc by nd 4 0", "creative commons attribution noderivatives 4 0 international license"],
 }
 
+#: Names in SPDX tags, in normal form, by licence and class.
+_SPDX = {
+    ("Apache-2.0", "permissive"): ["apache 2 0"],
+    ("MIT", "permissive"): ["mit"],
+    ("BSD-2-Clause", "permissive"): ["bsd 2 clause"],
+    ("BSD-3-Clause", "permissive"): ["bsd 3 clause"],
+    ("BSD-4-Clause", "permissive"): ["bsd 4 clause"],
+    ("ISC", "permissive"): ["isc"],
+    ("0BSD", "permissive"): ["0bsd"],
+    ("Zlib", "permissive"): ["zlib"],
+    ("BSL-1.0", "permissive"): ["bsl 1 0"],
+    ("Unlicense", "permissive"): ["unlicense"],
+    ("WTFPL", "permissive"): ["wtfpl"],
+    ("CC0-1.0", "permissive"): ["cc0 1 0"],
+    ("MPL-2.0", "copyleft"): ["mpl 2 0", "mpl 2 0 no copyleft exception"],
+    ("EPL-2.0", "copyleft"): ["epl 2 0"],
+    ("GPL-2.0", "copyleft"): ["gpl 2 0", "gpl 2 0 only", "gpl 2 0 or later"],
+    ("GPL-3.0", "copyleft"): ["gpl 3 0", "gpl 3 0 only", "gpl 3 0 or later"],
+    ("LGPL-2.1", "copyleft"): ["lgpl 2 1", "lgpl 2 1 only", "lgpl 2 1 or later"],
+    ("LGPL-3.0", "copyleft"): ["lgpl 3 0", "lgpl 3 0 only", "lgpl 3 0 or later"],
+    ("AGPL-3.0", "copyleft"): ["agpl 3 0", "agpl 3 0 only", "agpl 3 0 or later"],
+    ("CC-BY-SA-4.0", "copyleft"): ["cc by sa 4 0"],
+    ("CC-BY-4.0", "permissive"): ["cc by 4 0"],
+    ("CC-BY-NC-4.0", "restricted"): ["cc by nc 4 0"],
+    ("CC-BY-ND-4.0", "restricted"): ["cc by nd 4 0"],
+    ("CC-BY-NC-SA-4.0", "restricted"): ["cc by nc sa 4 0"],
+    ("CC-BY-NC-ND-4.0", "restricted"): ["cc by nc nd 4 0"],
+}
+
+#: Titles, opening and closing sentences of whole licence files, in normal form, by identifier.
+_FILES = {
+    "apache-title": ["apache license version 2 0 january 2004 http www apache org licenses", "apache license version 2 0 january 2004 https www apache org licenses", "apache license version 2 0 january 2004"],
+    "apache-terms": ["terms and conditions for use reproduction and distribution"],
+    "apache-definition": ["license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document"],
+    "apache-closing": ["however in accepting such obligations you may act only on your own behalf and on your sole responsibility not on behalf of any other contributor and only if you agree to indemnify defend and hold each contributor harmless for any liability incurred by or claims asserted against such contributor by reason of your accepting any such warranty or additional liability"],
+    "gpl2-title": ["gnu general public license version 2 june 1991"],
+    "gpl2-closing": ["in no event unless required by applicable law or agreed to in writing will any copyright holder or any other party who may modify and or redistribute the program as permitted above be liable to you for damages including any general special incidental or consequential damages arising out of the use or inability to use the program including but not limited to loss of data or data being rendered inaccurate or losses sustained by you or third parties or a failure of the program to operate with any other programs even if such holder or other party has been advised of the possibility of such damages"],
+    "gnu-preamble": ["the licenses for most software are designed to take away your freedom to share and change it"],
+    "gpl3-title": ["gnu general public license version 3 29 june 2007"],
+    "gpl3-preamble": ["the gnu general public license is a free copyleft license for software and other kinds of works"],
+    "lgpl21-title": ["gnu lesser general public license version 2 1 february 1999"],
+    "lgpl3-title": ["gnu lesser general public license version 3 29 june 2007"],
+    "lgpl3-opening": ["this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below"],
+    "agpl3-title": ["gnu affero general public license version 3 19 november 2007"],
+    "agpl3-preamble": ["the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software"],
+    "mpl2-title": ["mozilla public license version 2 0"],
+    "mpl2-definition": ["contributor means each individual or legal entity that creates contributes to the creation of or owns covered software"],
+    "epl2-title": ["eclipse public license v 2 0"],
+    "epl-terms": ["the accompanying program is provided under the terms of this eclipse public license agreement"],
+    "cc0-title": ["cc0 1 0 universal"],
+    "cc-by-title": ["creative commons attribution 4 0 international public license"],
+    "cc-by-sa-title": ["creative commons attribution sharealike 4 0 international public license"],
+    "cc-by-nc-title": ["creative commons attribution noncommercial 4 0 international public license"],
+    "cc-by-nd-title": ["creative commons attribution noderivatives 4 0 international public license"],
+    "cc-by-nc-sa-title": ["creative commons attribution noncommercial sharealike 4 0 international public license"],
+    "cc-by-nc-nd-title": ["creative commons attribution noncommercial noderivatives 4 0 international public license"],
+}
+
 #: Known sentences in normal form, by identifier.
 SENTENCES = {
     **{name: [f"licensed under the {form}" for form in forms] for name, forms in _SHORT.items()},
+    **{"spdx-" + name.lower(): [f"spdx license identifier {form}" for form in forms] for (name, _), forms in _SPDX.items()},
+    **_FILES,
     "apache-notice": ["licensed under the apache license version 2 0 the license"],
     "apache-compliance": ["you may not use this file except in compliance with the license"],
     "apache-copy": ["you may obtain a copy of the license at", "you may obtain a copy of the license at http www apache org licenses license 2 0", "you may obtain a copy of the license at https www apache org licenses license 2 0"],
@@ -111,6 +173,17 @@ SENTENCES = {
 
 #: Rules in order: licence, class, sequence of identifiers.
 RULES = [
+    ("Apache-2.0", "permissive", ["apache-title", "apache-terms", "apache-definition", "apache-closing"]),
+    ("Apache-2.0", "permissive", ["apache-title", "apache-terms", "apache-definition"]),
+    ("Apache-2.0", "permissive", ["apache-title", "apache-terms"]),
+    ("GPL-2.0", "copyleft", ["gpl2-title", "gnu-preamble", "gpl2-closing"]),
+    ("GPL-2.0", "copyleft", ["gpl2-title", "gnu-preamble"]),
+    ("GPL-3.0", "copyleft", ["gpl3-title", "gpl3-preamble"]),
+    ("LGPL-2.1", "copyleft", ["lgpl21-title", "gnu-preamble"]),
+    ("LGPL-3.0", "copyleft", ["lgpl3-title", "lgpl3-opening"]),
+    ("AGPL-3.0", "copyleft", ["agpl3-title", "agpl3-preamble"]),
+    ("MPL-2.0", "copyleft", ["mpl2-title", "mpl2-definition"]),
+    ("EPL-2.0", "copyleft", ["epl2-title", "epl-terms"]),
     ("Apache-2.0", "permissive", ["apache-notice", "apache-compliance", "apache-copy", "apache-as-is", "apache-see"]),
     ("Apache-2.0", "permissive", ["apache-notice", "apache-compliance", "apache-copy"]),
     ("Apache-2.0", "permissive", ["apache-notice", "apache-compliance"]),
@@ -143,6 +216,28 @@ RULES = [
     ("EPL-2.0", "copyleft", ["epl2-notice"]),
     ("WTFPL", "permissive", ["wtfpl"]),
     ("CC0-1.0", "permissive", ["cc0"]),
+    *((name, kind, ["spdx-" + name.lower()]) for name, kind in _SPDX),
+    ("Apache-2.0", "permissive", ["apache-title"]),
+    ("Apache-2.0", "permissive", ["apache-closing"]),
+    ("GPL-2.0", "copyleft", ["gpl2-title"]),
+    ("GPL-2.0", "copyleft", ["gpl2-closing"]),
+    ("GPL-3.0", "copyleft", ["gpl3-title"]),
+    ("GPL-3.0", "copyleft", ["gpl3-preamble"]),
+    ("LGPL-2.1", "copyleft", ["lgpl21-title"]),
+    ("LGPL-3.0", "copyleft", ["lgpl3-title"]),
+    ("LGPL-3.0", "copyleft", ["lgpl3-opening"]),
+    ("AGPL-3.0", "copyleft", ["agpl3-title"]),
+    ("AGPL-3.0", "copyleft", ["agpl3-preamble"]),
+    ("MPL-2.0", "copyleft", ["mpl2-title"]),
+    ("MPL-2.0", "copyleft", ["mpl2-definition"]),
+    ("EPL-2.0", "copyleft", ["epl2-title"]),
+    ("CC0-1.0", "permissive", ["cc0-title"]),
+    ("CC-BY-4.0", "permissive", ["cc-by-title"]),
+    ("CC-BY-SA-4.0", "copyleft", ["cc-by-sa-title"]),
+    ("CC-BY-NC-4.0", "restricted", ["cc-by-nc-title"]),
+    ("CC-BY-ND-4.0", "restricted", ["cc-by-nd-title"]),
+    ("CC-BY-NC-SA-4.0", "restricted", ["cc-by-nc-sa-title"]),
+    ("CC-BY-NC-ND-4.0", "restricted", ["cc-by-nc-nd-title"]),
     ("Apache-2.0", "permissive", ["apache-short"]),
     ("Apache-2.0", "permissive", ["apache-notice"]),
     ("MIT", "permissive", ["mit-short"]),
@@ -171,6 +266,9 @@ _STOP = "\x01"
 _MARKS = r"(^|\n)[ \t]*(?:(?://+|/\*+|\*+/?|#+|;+|--+|<!--|%+|>+)[ \t]*)*(?:(?:[-*]|\(?[0-9]{1,2}[.)]|\(?[a-z]\))[ \t]+)?"
 _BLANK = r"\n[ \t]*\n[ \t\n]*"
 _END = r"([.!?;:])[ \t\n]+"
+_TAG = "SPDX-License-Identifier:"
+_JOINT = r"[ \t]+(?:OR|AND)[ \t]+"
+_NAME = r"SPDX-License-Identifier:[ \t(]*([A-Za-z0-9.+-]+)"
 
 
 def _plain(s: Column) -> Column:
@@ -188,6 +286,9 @@ def sentences(text: Column) -> Column:
     """Array of (whole, parts): each sentence in normal form, and its lines if there are several; empty ones left out."""
     clean = F.when(text.contains("\r") | text.contains(_STOP), F.translate(text, "\r" + _STOP, "  ")).otherwise(F.coalesce(text, F.lit("")))
     lines = F.regexp_replace(clean, _MARKS, "$1")
+    tags = lambda x: F.regexp_replace(F.regexp_replace(x, _JOINT, f"{_STOP}{_TAG} "), _NAME, f"{_STOP}SPDX-License-Identifier $1{_STOP}")
+    each_line = F.transform(F.split(lines, "\n"), lambda x: F.when(x.contains(_TAG), tags(x)).otherwise(x))
+    lines = F.when(clean.contains(_TAG), F.array_join(each_line, "\n")).otherwise(lines)
     cut = F.split(F.regexp_replace(F.regexp_replace(lines, _BLANK, _STOP), _END, "$1" + _STOP), _STOP)
     none = F.array().cast("array<string>")
     each = F.transform(cut, lambda s: F.struct(_plain(s).alias("whole"), F.when(s.contains("\n"), F.transform(F.split(s, "\n"), _plain)).otherwise(none).alias("parts")))
@@ -222,8 +323,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     )
 
 
-def query(spark, sf_dir: str) -> DataFrame:
-    rows = scan(table(spark, sf_dir, "documents"))
+def digest(rows: DataFrame) -> DataFrame:
+    """Rows of ``scan`` with the arrays as comma-joined strings."""
     return rows.select(
         "doc_id",
         "n_sentences",
@@ -235,6 +336,10 @@ def query(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def query(spark, sf_dir: str) -> DataFrame:
+    return digest(scan(table(spark, sf_dir, "documents")))
+
+
 def _sql() -> str:
     known = ", ".join(f"('{form}', '{name}')" for name, forms in SENTENCES.items() for form in forms)
     rest, steps = "rest0", []
@@ -243,13 +348,15 @@ def _sql() -> str:
         steps.append(f"r{n} AS (SELECT *, contains(rest{n}, '{form}') AS h{n}, replace(rest{n}, '{form}', '#') AS rest{n + 1} FROM {'base' if not n else f'r{n - 1}'})")
     pick = lambda k: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN h{n} THEN '{r[k]}' END" for n, r in enumerate(RULES)) + "], lambda x: x IS NOT NULL))), ',')"
     plain = lambda x: f"trim(lower(regexp_replace({x}, '[^A-Za-z0-9]+', ' ', 'g')))"
+    tags = rf"regexp_replace(regexp_replace(x, '{_JOINT}', chr(1) || '{_TAG} ', 'g'), '{_NAME}', chr(1) || 'SPDX-License-Identifier \1' || chr(1), 'g')"
     canonical = "v"
     for pattern, form in PLACEHOLDERS:
         canonical = f"regexp_replace({canonical}, '{pattern}', '{form}')"
     return rf"""
 WITH known(v, k) AS (VALUES {known}),
 l AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), chr(13) || chr(1), '  '), '{_MARKS}', '\1', 'g') AS t FROM documents),
-d AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(t, '{_BLANK}', chr(1), 'g'), '{_END}', '\1' || chr(1), 'g'), chr(1)), lambda s: {plain("s")} <> '') AS s FROM l),
+g AS (SELECT doc_id, CASE WHEN contains(t, '{_TAG}') THEN array_to_string(list_transform(string_split(t, chr(10)), lambda x: CASE WHEN contains(x, '{_TAG}') THEN {tags} ELSE x END), chr(10)) ELSE t END AS t FROM l),
+d AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(t, '{_BLANK}', chr(1), 'g'), '{_END}', '\1' || chr(1), 'g'), chr(1)), lambda s: {plain("s")} <> '') AS s FROM g),
 e AS (SELECT doc_id, p, s, {plain("s")} AS v FROM (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS p FROM d)),
 w AS (SELECT doc_id, p, s, k FROM (SELECT doc_id, p, s, {canonical} AS v FROM e) LEFT JOIN known USING (v)),
 q AS (SELECT doc_id, p, j, {canonical} AS v FROM (SELECT doc_id, p, j, {plain("x")} AS v FROM (SELECT doc_id, p, unnest(string_split(s, chr(10))) AS x, generate_subscripts(string_split(s, chr(10)), 1) AS j FROM w WHERE k IS NULL AND contains(s, chr(10))))),

@@ -185,6 +185,137 @@ def test_licenses_of_whole_texts(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+FILES = {
+    "Apache-2.0": """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+""",
+    "GPL-2.0": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 2, June 1991
+
+ Copyright (C) 1989, 1991 Free Software Foundation, Inc.,
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The licenses for most software are designed to take away your
+freedom to share and change it.  By contrast, the GNU General Public
+License is intended to guarantee your freedom to share and change free
+software--to make sure the software is free for all its users.
+""",
+    "GPL-3.0": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+""",
+    "LGPL-2.1": """                  GNU LESSER GENERAL PUBLIC LICENSE
+                       Version 2.1, February 1999
+
+                            Preamble
+
+  The licenses for most software are designed to take away your
+freedom to share and change it.
+""",
+    "LGPL-3.0": """                   GNU LESSER GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+  This version of the GNU Lesser General Public License incorporates
+the terms and conditions of version 3 of the GNU General Public
+License, supplemented by the additional permissions listed below.
+""",
+    "AGPL-3.0": """                    GNU AFFERO GENERAL PUBLIC LICENSE
+                       Version 3, 19 November 2007
+
+  The GNU Affero General Public License is a free, copyleft license for
+software and other kinds of works, specifically designed to ensure
+cooperation with the community in the case of network server software.
+""",
+    "MPL-2.0": """Mozilla Public License Version 2.0
+==================================
+
+1. Definitions
+--------------
+
+1.1. "Contributor"
+    means each individual or legal entity that creates, contributes to
+    the creation of, or owns Covered Software.
+""",
+    "EPL-2.0": """Eclipse Public License - v 2.0
+
+    THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE
+    PUBLIC LICENSE ("AGREEMENT"). ANY USE, REPRODUCTION OR DISTRIBUTION
+    OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT.
+""",
+    "CC0-1.0": "Creative Commons Legal Code\n\nCC0 1.0 Universal\n\n    CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM",
+    "CC-BY-NC-SA-4.0": "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International Public\nLicense\n\nBy exercising",
+}
+CLOSING = """      However, in accepting such obligations, You may act only
+      on Your own behalf and on Your sole responsibility, not on behalf
+      of any other Contributor, and only if You agree to indemnify,
+      defend, and hold each Contributor harmless for any liability
+      incurred by, or claims asserted against, such Contributor by reason
+      of your accepting any such warranty or additional liability.
+
+   END OF TERMS AND CONDITIONS
+"""
+
+
+def test_licenses_of_license_files(spark):
+    names = list(FILES)
+    forms = (str, lambda t: "\n".join(f" * {x}".rstrip() for x in t.split("\n")), lambda t: t + "\n\n" + "Terms go on here. " * 5000 + "\n\n" + CLOSING)
+    texts = [form(FILES[n]) for n in names for form in forms]
+    got = rows(licenses.scan(frame(spark, [*texts, CLOSING])))
+    for k in range(len(texts)):
+        expected = {names[k // 3]} | ({"Apache-2.0"} if k % 3 == 2 else set())
+        assert set(got[k].licenses) == expected, (names[k // 3], k % 3, got[k].sentence_ids)
+    assert got[len(texts)].licenses == ["Apache-2.0"]
+    assert "apache-closing" in got[2].sentence_ids and got[2].licenses == ["Apache-2.0"]
+
+
+def test_licenses_of_spdx_tags(spark):
+    cases = [
+        ("// SPDX-License-Identifier: MIT\n// Copyright 2020 X\nint x;", ["MIT"]),
+        ("/* SPDX-License-Identifier: GPL-2.0-or-later */\n#include <x.h>", ["GPL-2.0"]),
+        ("# SPDX-License-Identifier: GPL-2.0+\nimport x", ["GPL-2.0"]),
+        ("<!-- SPDX-License-Identifier: CC-BY-NC-ND-4.0 -->", ["CC-BY-NC-ND-4.0"]),
+        ("# SPDX-License-Identifier: (MIT OR Apache-2.0)\r\nx = 1", ["Apache-2.0", "MIT"]),
+        ("SPDX-License-Identifier: ((MIT OR ISC) AND (GPL-2.0-only WITH Classpath-exception-2.0 OR MPL-2.0) AND 0BSD)", ["0BSD", "GPL-2.0", "ISC", "MIT", "MPL-2.0"]),
+        ("SPDX-License-Identifier: Unknown-1.0\nMIT", []),
+        ("SPDX-License-Identifier:", []),
+        ("SPDX-License-Identifier:\nMIT", []),
+        ("MIT\n\nmit\nUnlicense", []),
+        ("say SPDX-License-Identifier: MIT.\n\nSPDX-License-Identifier: ISC and so on", ["ISC", "MIT"]),
+    ]
+    got = rows(licenses.scan(frame(spark, [t for t, _ in cases])))
+    for k, (text, expected) in enumerate(cases):
+        assert got[k].licenses == expected, (text, got[k])
+
+
+def test_licenses_equal_the_sql(spark):
+    import duckdb
+
+    texts = [None, "", MIT, APACHE, *FILES.values(), CLOSING, "// SPDX-License-Identifier: MIT OR (ISC AND Zlib)\r\n// and SPDX-License-Identifier: X OR WTFPL y OR z\n\x01 b", "a OR b\nSPDX-License-Identifier: MIT. c; d"]
+    df = frame(spark, texts)
+    documents = df.toPandas()  # noqa: F841
+    got = sorted(map(str, (tuple(r) for r in licenses.digest(licenses.scan(df)).collect())))
+    assert got == sorted(map(str, duckdb.sql(licenses.SQL).fetchall()))
+
+
 def test_suffix_array():
     r = random.Random(3)
     for _ in range(3000):
