@@ -93,6 +93,13 @@ def ambiguous(pairs: DataFrame, key: str, target: str) -> DataFrame:
     return pairs.groupBy(key).agg(F.size(s).alias("n"), F.array_join(F.array_sort(s), "|").alias("targets")).filter("n > 1")
 
 
+def ambiguous_links(pairs: DataFrame, key: str, target: str) -> DataFrame:
+    """The same keys with one row for each target, however many a key has."""
+    links = pairs.select(key, target).distinct()
+    several = links.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
+    return links.join(several.select(key), key, "left_semi")
+
+
 def copies(families_: DataFrame, n: str = "n") -> DataFrame:
     """Items with a source, and copies to siblings."""
     return families_.agg(F.sum(n).alias("items"), F.sum(F.greatest(F.col(n) - 1, F.lit(0))).alias("copies"))

@@ -139,13 +139,21 @@ def link_categories(items: DataFrame, categories: DataFrame, fallback: str) -> D
     return match.linked_or_fallback(items.drop("group_id"), found, fallback)
 
 
-def audit(items: DataFrame, products: DataFrame) -> dict[str, DataFrame]:
-    """Coverage of item families by feed keys, ambiguity, and counters."""
+def audit(items: DataFrame, products: DataFrame, codes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Coverage of item families by feed keys, ambiguity, and counters.
+
+    With ``codes`` (item_id, code), also the extra codes that stand in several families, one row for each (code, family).
+    """
     fam = report.analyses(items.filter(C.usable_serial("serial_code"))).withColumn("family", F.concat_ws("|", "group_id", "serial"))
     keys = products.select(F.explode("families").alias("key"), "product_url").distinct()
     covered = match.covered_families(fam.select("family", F.array("serial").alias("keys")), keys)
     unmatched = fam.join(covered.select("family").distinct(), "family", "left_anti")
-    return {"unmatched": unmatched, "ambiguous_feed": report.ambiguous(keys, "key", "product_url"), "counts": report.families(items)}
+    out = {"unmatched": unmatched, "ambiguous_feed": report.ambiguous(keys, "key", "product_url"), "counts": report.families(items)}
+    if codes is not None:
+        named = items.filter(C.usable_serial("serial_code")).select("item_id", F.concat_ws("|", "group_id", C.normalize_serial("serial_code")).alias("family"))
+        own = codes.select("item_id", C.normalize_serial("code").alias("key")).filter("key <> ''").join(named, "item_id")
+        out["ambiguous_codes"] = report.ambiguous_links(own, "key", "family")
+    return out
 
 
 def image_candidates(

@@ -898,6 +898,46 @@ def a6_report_model_ids(t: Tables) -> DataFrame:
     return io.report_items(raw, t.media)
 
 
+AUDIT_SQL = f"""WITH f AS (SELECT group_id, {ns('serial_code')} AS s FROM items WHERE {USABLE} GROUP BY ALL),
+k AS (SELECT concat('KT', CAST(p_partkey AS VARCHAR)) AS key, concat('p', CAST(p_partkey AS VARCHAR)) AS url FROM part UNION SELECT concat('KT', CAST(p_partkey + 1 AS VARCHAR)), concat('p', CAST(p_partkey AS VARCHAR)) FROM part WHERE p_size > 40),
+c AS (SELECT s FROM f WHERE s IN (SELECT key FROM k) GROUP BY s HAVING count(*) = 1),
+l AS (SELECT DISTINCT {ns('code')} AS key, concat(group_id, '|', {ns('serial_code')}) AS family FROM codes JOIN items USING (item_id) WHERE {USABLE} AND {ns('code')} <> ''),
+a AS (SELECT 'unmatched' AS file, concat(group_id, '|', s) AS key, '' AS targets FROM f WHERE s NOT IN (SELECT s FROM c) UNION ALL
+ SELECT 'ambiguous_feed', key, array_to_string(list_sort(list(url)), '|') FROM k GROUP BY key HAVING count(*) > 1 UNION ALL
+ SELECT 'ambiguous_codes', key, family FROM l WHERE key IN (SELECT key FROM l GROUP BY key HAVING count(*) > 1))"""
+
+
+def _audit(t: Tables) -> dict[str, DataFrame]:
+    """The audit against a feed of one product for each part; larger ones name the next part's serial too."""
+    key = lambda n: F.concat(F.lit("KT"), n.cast("string"))
+    both = F.array_compact(F.array(key(F.col("p_partkey")), F.when(F.col("p_size") > 40, key(F.col("p_partkey") + 1))))
+    return jobs.audit(t.items, t.part.select(both.alias("families"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("product_url")), t.codes)
+
+
+def _audit_files(t: Tables) -> DataFrame:
+    """(file, key, targets) of the three audit files, read back as they were written."""
+    done, folder = _audit(t), shared_folder(t.spark)
+    io.write_audit(folder, unmatched=done["unmatched"].select("family"), ambiguous_feed=done["ambiguous_feed"].select("key", "targets"), ambiguous_codes=done["ambiguous_codes"])
+    back = {name: io.read_report(t.spark, f"{folder}/{name}") for name in ("unmatched", "ambiguous_feed", "ambiguous_codes")}
+    lone = back["unmatched"].select(F.lit("unmatched").alias("file"), F.col("family").alias("key"), F.lit("").alias("targets"))
+    feed = back["ambiguous_feed"].select(F.lit("ambiguous_feed").alias("file"), "key", "targets")
+    return lone.unionByName(feed).unionByName(back["ambiguous_codes"].select(F.lit("ambiguous_codes").alias("file"), "key", F.col("family").alias("targets")))
+
+
+@query(AUDIT_SQL + " SELECT * FROM a", "items", "codes")
+def a7_j8_audit_files(t: Tables) -> DataFrame:
+    """The audit written as three CSV files and read again."""
+    return _audit_files(t)
+
+
+@query(AUDIT_SQL + " SELECT file, count(*) AS n, count(DISTINCT key) AS keys FROM a GROUP BY file", "items", "codes")
+def a8_j8_audit_summary(t: Tables) -> DataFrame:
+    """The counters of the audit's files, written as JSON and read again."""
+    path = shared_folder(t.spark)
+    io.write_summary(_audit_files(t).groupBy("file").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys")), path)
+    return t.spark.read.schema("file string, n long, keys long").json(path)
+
+
 @query(f"""WITH f AS (SELECT group_id, {ns('serial_code')} AS s FROM items WHERE {USABLE} GROUP BY ALL), k AS (SELECT DISTINCT concat('KT', CAST(p_partkey AS VARCHAR)) AS key FROM part WHERE p_size > 10), c AS (SELECT min(group_id) AS group_id, s FROM f WHERE s IN (SELECT key FROM k) GROUP BY s HAVING count(*) = 1)
 SELECT f.group_id, f.s AS serial FROM f ANTI JOIN c ON c.group_id = f.group_id AND c.s = f.s""", "items")
 def h18_j8_audit(t: Tables) -> DataFrame:
