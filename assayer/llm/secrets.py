@@ -4,8 +4,9 @@ Base patterns (leftmost non-overlapping matches of each, failing ones dropped):
 assign (a key word, a sign, a value of 6 or more characters), access (AKIA and capitals
 or digits, 20 or more) and hex (24 or more digits in lower case).
 
-The battery looks at every other run of ``LEAST`` or more base-64 characters, that is every
-maximal run that no base span touches.  Its encoding is the smallest alphabet that holds it.
+The battery looks at every other run of ``LEAST`` or more base-64 characters: base spans are
+cut out of the maximal runs, and what is left on either side of them is a run of its own.
+Its encoding is the smallest alphabet that holds it.
 
 Randomness: over that alphabet a chi-squared test of uniform use, a runs test around the middle of
 the alphabet and a serial-correlation test at lag one are made, and p = min(1, 3 * least p).
@@ -14,7 +15,11 @@ words with a pattern.
 
 False discoveries: the null of a run is that it is ordinary text (a word, a name, a path, a
 number), whose characters repeat more often than random ones.  For each encoding ``COLLIDE`` has
-the probability that two characters of ordinary strings are equal.  The chi-squared
+the probability that two characters of ordinary strings are equal, as stated; ``measured`` scales it by
+what the texts show.  The scale of an encoding is the median, over the runs of all other encodings,
+of the share of equal pairs relative to ``COLLIDE``: secrets of one encoding cannot move
+their own null, and fewer than half of all runs move no median far.  ``TRUST`` runs are added
+that are as stated, so that few runs change little.  The chi-squared
 statistic of ordinary text of n characters then has a mean that lies (n - 1) (k c - 1) above that of
 random strings, so that q, the probability of a statistic as small as the one found, falls with
 the length: a short run cannot be told from a word, a long one can.  The q of all runs
@@ -22,7 +27,7 @@ of all lengths and encodings are pooled, and the Benjamini-Hochberg rule sets th
 which at most ``fdr`` of the reported runs are expected to be ordinary text.  It works on
 a histogram of q with a fixed number of cells over all rows, and takes the upper end of a cell
 for all in it.  Classes with few runs need no rule of their own, since the null is not estimated
-from them.
+from them.  ``false_share`` tells which share of the reported runs the null expects to be ordinary.
 
 Offsets count code points, ends are exclusive.  Null and empty texts have no spans.  Rows are
 handled one by one but for the histogram, repeated rows too; extra columns are kept as they are, names
@@ -69,6 +74,8 @@ TRIPLES = 1.3
 REJECTED = 0.01
 #: Cells of the histogram of q: tenths of a power of ten.
 CELLS = 150
+#: Runs as stated that are added to those found when the null is measured, and cells for a factor of one.
+TRUST, FACTOR_CELLS = 100, 64
 _OPEN, _CLOSE, _PLAIN = "", "", ""
 _STEP = 256
 
@@ -127,12 +134,27 @@ def encoding(value: Column) -> Column:
     return out
 
 
+def _by_encoding(name: Column, values: dict) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), name)
+
+
+def ordinary(squares: Column, n: Column, k: Column, c: Column) -> Column:
+    """The probability that ordinary text of ``n`` characters, two of which are equal with probability ``c``, is as even as ``squares`` tells."""
+    # mean and variance of the number of equal pairs, scaled as chi-squared is
+    above = (n - 1) * (k * c - 1)
+    spread = k / n * F.sqrt(4 * n * (n - 1) * (n - 2) * (TRIPLES - 1) * c * c + 2 * n * (n - 1) * (c - c * c))
+    return _upper_tail((k - 1 + above - (squares * k / n - n)) / spread)
+
+
 def battery(value: Column) -> Column:
-    """(encoding, n, p, q) of a string of base-64 characters: p that it is random, q that it is ordinary text."""
+    """(encoding, n, p, q, squares) of a string of base-64 characters: p that it is random, q that it is ordinary text.
+
+    ``squares`` is the sum of the squares of the numbers of each character.
+    """
     body = F.translate(F.rtrim(F.translate(value, "=", " ")), "-_", "+/")
     name = encoding(body)
-    alphabet = F.element_at(F.create_map(*(F.lit(x) for k, (letters, _) in ALPHABETS.items() for x in (k, letters))), name)
-    collide = F.element_at(F.create_map(*(F.lit(x) for kv in COLLIDE.items() for x in kv)), name)
+    alphabet = _by_encoding(name, {k: letters for k, (letters, _) in ALPHABETS.items()})
+    collide = _by_encoding(name, COLLIDE)
 
     def tested(s):
         n, k, codes = s["n"].cast("double"), s["k"], s["codes"]
@@ -151,12 +173,8 @@ def battery(value: Column) -> Column:
         v = F.aggregate(codes, F.lit(0.0), lambda a, c: a + (c - m) * (c - m))
         lagged = F.aggregate(steps, F.lit(0.0), lambda a, t: a + (t["a"] - m) * (t["b"] - m))
         p_serial = F.when(v > 0, 2 * _upper_tail(F.abs((lagged / v) + 1 / n) * F.sqrt(n))).otherwise(F.lit(0.0))
-        # ordinary text: mean and variance of the number of equal pairs, scaled as chi-squared is
-        c = s["collide"]
-        above = (n - 1) * (k * c - 1)
-        spread = k / n * F.sqrt(4 * n * (n - 1) * (n - 2) * (TRIPLES - 1) * c * c + 2 * n * (n - 1) * (c - c * c))
-        q = _upper_tail((k - 1 + above - chi) / spread)
-        return F.struct(s["name"].alias("encoding"), s["n"].alias("n"), F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)).alias("p"), q.alias("q"))
+        q = ordinary(squares, n, k, s["collide"])
+        return F.struct(s["name"].alias("encoding"), s["n"].alias("n"), F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)).alias("p"), q.alias("q"), squares.alias("squares"))
 
     def coded(s):
         codes = F.transform(F.sequence(F.lit(1), F.length(s["body"])), lambda k: F.instr(s["alphabet"], F.substring(s["body"], k, F.lit(1))) - 1)
@@ -172,25 +190,89 @@ def cell(test: Column) -> Column:
     return F.when(test["p"] < REJECTED, 0).otherwise(F.least(F.greatest(power, F.lit(0)), F.lit(CELLS - 1))).cast("int")
 
 
+def _rests(token: Column, base: Column) -> Column:
+    """The stretches of ``LEAST`` or more characters of ``token`` outside the base spans, which are in order of their start."""
+    touching = F.filter(base, lambda b: (b["start"] < token["end"]) & (token["start"] < b["end"]))
+    start = F.struct(token["start"].alias("pos"), F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>").alias("out"))
+
+    def rest(pos, end):
+        return F.when(end - pos >= LEAST, F.array(F.struct(pos.alias("start"), end.alias("end")))).otherwise(F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>"))
+
+    def cut(acc, b):
+        return F.struct(F.greatest(acc["pos"], b["end"]).alias("pos"), F.concat(acc["out"], rest(acc["pos"], b["start"])).alias("out"))
+
+    left = F.aggregate(touching, start, cut, lambda acc: F.concat(acc["out"], rest(acc["pos"], token["end"])))
+    part = lambda s: F.struct(s["start"].alias("start"), token["rank"].alias("rank"), s["end"].alias("end"), token["kind"].alias("kind"), F.substring(token["value"], s["start"] - token["start"] + 1, s["end"] - s["start"]).alias("value"))
+    return F.transform(left, part)
+
+
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with _secret_base (spans of the patterns) and _secret_tested (candidates of the battery)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = F.concat(spans(text, "assign", SEARCHED["assign"], 6), spans(text, "access", SEARCHED["access"]), spans(text, "hex", SEARCHED["hex"]))
     tokens = F.when(text.rlike(TOKEN), spans(text, "random", TOKEN))
     df = docs.withColumn("_secret_base", F.array_sort(base)).withColumn("_secret_tokens", F.coalesce(tokens, F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")))
-    other = F.filter("_secret_tokens", lambda t: ~F.exists("_secret_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    other = F.when(F.size("_secret_base") == 0, F.col("_secret_tokens")).otherwise(F.flatten(F.transform("_secret_tokens", lambda t: _rests(t, F.col("_secret_base")))))
     tested = F.transform(other, lambda t: F.struct(t["start"].alias("start"), t["rank"].alias("rank"), t["end"].alias("end"), t["kind"].alias("kind"), battery(t["value"]).alias("test")))
     bare = F.transform("_secret_base", lambda t: F.struct(t["start"].alias("start"), t["rank"].alias("rank"), t["end"].alias("end"), t["kind"].alias("kind")))
     return df.withColumn("_secret_tested", tested).withColumn("_secret_base", bare).drop("_secret_tokens")
 
 
-def threshold(scanned: DataFrame, fdr: float = 0.1) -> int | None:
-    """The first cell to report, by Benjamini and Hochberg over the runs of all rows; none if nothing can be reported."""
+def levels(scanned: DataFrame) -> dict[str, float]:
+    """For each encoding, how often characters of ordinary runs are equal, relative to ``COLLIDE``; from the runs of all other encodings."""
+    test = F.col("c.test")
+    share = (test["squares"] - test["n"]) / (test["n"] * (test["n"] - 1.0)) / _by_encoding(test["encoding"], COLLIDE)
+    at = F.least(F.floor(share * FACTOR_CELLS), F.lit(4 * FACTOR_CELLS)).cast("int")
+    counts = scanned.select(F.explode("_secret_tested").alias("c")).select(test["encoding"].alias("encoding"), at.alias("cell")).groupBy("encoding", "cell").count().collect()  # as many rows as encodings and cells at most
+    out = {}
+    for name in COLLIDE:
+        bins = [0] * (4 * FACTOR_CELLS + 1)
+        for r in counts:
+            bins[r["cell"]] += r["count"] * (r["encoding"] != name)
+        n, below = sum(bins), 0
+        median = 1.0
+        for k, size in enumerate(bins):
+            if 2 * (below + size) >= n and size:
+                median = (k + (n / 2 - below) / size) / FACTOR_CELLS
+                break
+            below += size
+        out[name] = (TRUST + n * median) / (TRUST + n)
+    return out
+
+
+def measured(scanned: DataFrame) -> DataFrame:
+    """``scanned`` with the q of every run by the null that the texts themselves show (see ``levels``)."""
+    scale = levels(scanned)
+    collide = {name: max(c * scale[name], 1 / len(ALPHABETS[name][0])) for name, c in COLLIDE.items()}  # ordinary text is never more even than random strings
+
+    def again(t):
+        test, n = t["test"], t["test"]["n"].cast("double")
+        size = _by_encoding(test["encoding"], {name: len(letters) for name, (letters, _) in ALPHABETS.items()})
+        return t.withField("test", test.withField("q", ordinary(test["squares"], n, size, _by_encoding(test["encoding"], collide))))
+
+    return scanned.withColumn("_secret_tested", F.transform("_secret_tested", again))
+
+
+def _cells(scanned: DataFrame) -> list[int]:
+    """The number of runs in each cell."""
     at = cell(F.col("c.test"))
     counts = scanned.select(F.explode("_secret_tested").alias("c")).select(at.alias("cell")).groupBy("cell").count().collect()  # CELLS rows at most
     bins = [0] * CELLS
     for r in counts:
         bins[r["cell"]] += r["count"]
+    return bins
+
+
+def false_share(scanned: DataFrame, first: int | None) -> float | None:
+    """The share of the runs from cell ``first`` on that the null expects to be ordinary text; none if none is reported."""
+    bins = _cells(scanned)
+    reported = sum(bins[first:]) if first is not None else 0
+    return min(1.0, sum(bins) * 10 ** (-first / 10) / reported) if reported else None
+
+
+def threshold(scanned: DataFrame, fdr: float = 0.1) -> int | None:
+    """The first cell to report, by Benjamini and Hochberg over the runs of all rows; none if nothing can be reported."""
+    bins = _cells(scanned)
     total, above, first = sum(bins), 0, None
     for k in range(CELLS - 1, 0, -1):
         above += bins[k]
@@ -232,7 +314,7 @@ def _listed(column: str) -> Column:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    scanned = saved(scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    scanned = measured(saved(scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")))
     rows = found(scanned, threshold(scanned))
     n = lambda kind: F.size(F.filter("_secret_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return rows.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(_listed("_secret_base").cast("binary"), 256).alias("base_sha256"), _listed("_secrets").alias("spans"))

@@ -45,7 +45,7 @@ def secret(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay as they are; repeated rows change alike; all rows are kept.
     """
     small_batches(spark)
-    scanned = secrets.saved(secrets.scan(docs))
+    scanned = secrets.measured(secrets.saved(secrets.scan(docs)))
     out = secrets.redacted(secrets.found(scanned, secrets.threshold(scanned)))
     new = {"n_chars": F.when(F.size("_secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
     return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))

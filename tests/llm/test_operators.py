@@ -724,3 +724,52 @@ def test_secret_battery(spark):
     assert sum(reported[: len(keys)]) >= 0.85 * len(keys) and sum(reported[len(keys) :]) <= 0.1 * sum(reported)
     inside = rows(secrets.scan(frame(spark, ["token = " + keys[0], None, ""])))
     assert not any(inside[k]["_secret_tested"] for k in range(3)) and secrets.threshold(secrets.scan(frame(spark, []))) is None
+
+
+def test_secret_rests(spark):
+    """What is left of runs beside base spans, against plain Python."""
+    rng = random.Random(5)
+    b62, hexa = secrets.ALPHABETS["base62"][0], "0123456789abcdef"
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [pick(b62, rng.randrange(30)) + "Z" + pick(hexa, rng.randrange(20, 40)) + "Y" + pick(b62, rng.randrange(30)) + rng.choice(["", " ", "é", "=="]) + pick(b62, 20) + "X" + pick(hexa, 30) for _ in range(60)]
+    texts += [pick(b62, 18) + "AKIA" + pick("ABC123", 18) + "é" + pick(b62, 17), "x" * 20 + "token=abcdefghi" + "-" * 3, None, ""]
+    got = rows(secrets.scan(frame(spark, texts)))
+    several = 0
+    for k, text in enumerate(texts):
+        covered = {i for b in got[k]["_secret_base"] for i in range(b.start, b.end)}
+        expected = []
+        for m in re.finditer(secrets.TOKEN, text or ""):
+            at = m.start()
+            for i in range(m.start(), m.end() + 1):
+                if i == m.end() or i in covered:
+                    if i - at >= secrets.LEAST:
+                        expected.append((at, i))
+                    at = i + 1
+        assert [(t.start, t.end) for t in got[k]["_secret_tested"]] == expected, k
+        several += bool(expected and covered)
+    assert several > 30
+
+
+def test_secret_null_measured(spark):
+    """The scale of each encoding against plain Python; random strings of one encoding do not move their own null."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("etaoinshrdlucmfw", [12, 9, 8, 8, 7, 7, 6, 6, 6, 4, 4, 3, 3, 2, 2, 2], k=20)) for _ in range(300)]
+    numbers = ["".join(rng.choices("0123456789", [9, 3, 2, 1, 1, 1, 1, 1, 1, 1], k=18)) for _ in range(100)]
+    keys = ["".join(rng.choices(secrets.ALPHABETS["base62"][0], k=40)) for _ in range(90)]
+    scanned = secrets.scan(frame(spark, words + numbers + keys)).cache()
+    tests = [t.test for r in rows(scanned).values() for t in r["_secret_tested"]]
+    got = secrets.levels(scanned)
+    for name, level in got.items():
+        shares = sorted((t.squares - t.n) / (t.n * (t.n - 1)) / secrets.COLLIDE[t.encoding] for t in tests if t.encoding != name)
+        median = (shares[(len(shares) - 1) // 2] + shares[len(shares) // 2]) / 2
+        assert abs(level - (secrets.TRUST + len(shares) * median) / (secrets.TRUST + len(shares))) < 1.5 / secrets.FACTOR_CELLS, name
+    fewer = secrets.levels(secrets.scan(frame(spark, words + numbers)))
+    assert abs(fewer["base62"] - got["base62"]) < 1e-9
+    again = secrets.measured(scanned)
+    first = secrets.threshold(again)
+    found = [r for _, r in sorted(rows(secrets.found(again, first)).items())]
+    reported = [any(s.kind == "random" for s in r["_secrets"]) for r in found]
+    assert sum(reported[400:]) > 80 and not any(reported[:400])
+    assert secrets.false_share(again, first) <= 0.1 and secrets.false_share(again, None) is None
+    empty = secrets.scan(frame(spark, [])).cache()
+    assert set(secrets.levels(empty).values()) == {1.0} and not rows(secrets.measured(empty))
