@@ -123,6 +123,19 @@ def header_rows(cells: DataFrame, rows: int = 3, columns: int = 25) -> DataFrame
     return scored.withColumn("_n", F.row_number().over(w)).filter("_n = 1 AND score > 0").drop("_n")
 
 
+#: So many rows of sheets are sent to every task; beyond that both sides are sorted.
+FEW_SHEETS = 10_000
+
+
+def with_sheets(cells: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Cells or rows with the row of their sheet in ``sheets``, best a written table.
+
+    Sizes of exploded and grouped tables are guesses, by which the cells could be sent through the driver to all tasks, so the
+    sheets are counted and it is said which side may be sent.
+    """
+    return cells.join(sheets.hint("broadcast" if sheets.count() <= FEW_SHEETS else "merge"), ["file", "sheet"])
+
+
 #: Columns of a sheet without a usable header, and its first row of data.
 FALLBACK = {"model": 1, "serial": 2, "weight": 3, "pt": 4, "pd": 6, "rh": 8, "extra_codes": 11, "details": 13, "shape_code": 17}
 FALLBACK_START = 4
@@ -131,10 +144,12 @@ FALLBACK_START = 4
 def layouts(cells: DataFrame) -> DataFrame:
     """(file, sheet, start_row, a column for each role): first column of the role, else its usual place."""
     heads = header_rows(cells)
-    roles = cells.join(heads.select("file", "sheet", "row"), ["file", "sheet", "row"]).withColumn("role", C.header_role("raw")).filter("role IS NOT NULL AND col <= 25")
+    # of a sheet only its three header rows meet
+    top = cells.filter("row <= 3 AND col <= 25").withColumn("role", C.header_role("raw")).filter("role IS NOT NULL")
+    roles = top.join(heads.select("file", "sheet", "row").hint("merge"), ["file", "sheet", "row"])
     found = roles.groupBy("file", "sheet").agg(F.max("row").alias("_row"), *(F.min(F.when(F.col("role") == r, F.col("col"))).alias(r) for r in FALLBACK))
     sheets = cells.select("file", "sheet").distinct()
-    out = sheets.join(found, ["file", "sheet"], "left")
+    out = sheets.join(found.hint("merge"), ["file", "sheet"], "left")
     start = F.greatest(F.coalesce(F.col("_row") + 1, F.lit(FALLBACK_START)), F.lit(FALLBACK_START))
     return out.select("file", "sheet", start.alias("start_row"), *(F.coalesce(F.col(r), F.lit(p)).alias(r) for r, p in FALLBACK.items()))
 
@@ -148,7 +163,7 @@ def exact_metal_columns(cells: DataFrame) -> DataFrame:
 
 def pivoted_rows(cells: DataFrame, layout: DataFrame) -> DataFrame:
     """One row per sheet row from its first row of data, a column for each role (raw text)."""
-    at = cells.join(layout, ["file", "sheet"]).filter("row >= start_row AND col <= 25")
+    at = with_sheets(cells.filter("col <= 25"), layout).filter("row >= start_row")
     return at.groupBy("file", "sheet_idx", "sheet", "row").agg(*(F.max(F.when(F.col("col") == F.col(r), F.col("raw"))).alias(r) for r in FALLBACK))
 
 
@@ -166,8 +181,8 @@ def gram_sheets(cells: DataFrame, layout: DataFrame) -> DataFrame:
 
     The header rows are the formula row above the metals, their names and the unit.
     """
-    near = cells.join(layout.select("file", "sheet", "start_row", "weight", "pt", "pd", "rh"), ["file", "sheet"])
     head = F.col("start_row") - 3
+    near = with_sheets(cells, layout.select("file", "sheet", "start_row", "weight", "pt", "pd", "rh")).filter(F.col("row").between(head, head + 2))
     key = C.header_key("raw")
     is_at = lambda c, d: (F.col("col") == F.col(c)) & (F.col("row") == head + d)
     tests = {"weight": is_at("weight", 0) & (key == "piecekg"), "formula": is_at("pt", 0) & F.lower(C.trim("raw")).startswith("=sum(kitko!"), "price": (F.col("col") == F.col("rh") + 2) & (F.col("row") == head + 2) & (key == "priceuspiece")}
@@ -178,4 +193,4 @@ def gram_sheets(cells: DataFrame, layout: DataFrame) -> DataFrame:
     all_ok = F.lit(True)
     for n in tests:
         all_ok = all_ok & (F.col(f"_{n}") == 1)
-    return flags.select("file", "sheet", F.when(all_ok, 1000.0).otherwise(1.0).alias("multiplier"))
+    return layout.select("file", "sheet").join(flags.hint("merge"), ["file", "sheet"], "left").select("file", "sheet", F.when(all_ok, 1000.0).otherwise(1.0).alias("multiplier"))
