@@ -43,7 +43,8 @@ def candidates(hashes: DataFrame, keys: DataFrame, width: int, rings: list[int])
     """(phash, _reference) that have a segment whose values differ in as many bits as a ring says."""
     masks = F.lit([m for m in range(1 << width) if m.bit_count() in rings])
     asked = hashes.select("phash", F.explode(_segments("phash", width)).alias("_segment")).select("phash", F.explode(F.transform(masks, lambda m: F.col("_segment").bitwiseXOR(m.cast("long")))).alias("key"))
-    return asked.join(keys, "key").select("phash", "_reference")
+    # both sides are exploded, so their sizes are not known beforehand; neither may be sent through the driver
+    return asked.join(keys.hint("merge"), "key").select("phash", "_reference")
 
 
 def nearest_hash(images: DataFrame, references: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def nearest_hash(images: DataFrame, references: DataFrame) -> DataFrame:
             indexes[width] = saved(index(known, width))
         bits = F.bit_count(F.col("phash").bitwiseXOR(F.col("_reference")))
         found = candidates(left, indexes[width], width, rings).groupBy("phash").agg(F.min(bits).alias("_d"))
-        at = saved(left.join(found, "phash", "left").select("phash", F.least("distance", "_d").alias("distance")))
+        at = saved(left.join(found.hint("merge"), "phash", "left").select("phash", F.least("distance", "_d").alias("distance")))
         settled = F.coalesce(F.col("distance") <= proved, F.lit(False))
         done.append(at.filter(settled))
         left = at.filter(~settled)
@@ -71,4 +72,4 @@ def nearest_hash(images: DataFrame, references: DataFrame) -> DataFrame:
     every = done[0]
     for more in done[1:]:
         every = every.unionByName(more)
-    return images.join(every, "phash", "left").select(*images.columns, "distance")
+    return images.join(every.hint("merge"), "phash", "left").select(*images.columns, "distance")

@@ -7,7 +7,8 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from assayer.plans import jobs, queries  # noqa: E402
+from assayer.operators import hamming  # noqa: E402
+from assayer.plans import queries  # noqa: E402
 
 
 def sent(df) -> list[str]:
@@ -20,3 +21,10 @@ def test_cells_are_not_sent(spark, sf_dir, name):
     joins = sent(queries.QUERIES[name](spark, sf_dir))
     assert joins and not [j for j in joins if "BuildLeft" in j]
     assert not [j for j in joins if "_sig" in j]
+
+
+def test_looked_up_hashes_are_not_sent(spark):
+    known = spark.range(50).withColumnRenamed("id", "_reference")
+    found = hamming.candidates(spark.range(50).withColumnRenamed("id", "phash"), hamming.index(known, 8), 8, [0, 1])
+    assert not sent(found)
+    assert found.filter("phash = _reference").select("phash").distinct().count() == 50
