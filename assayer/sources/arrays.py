@@ -83,7 +83,9 @@ def array_texts(spark: SparkSession, path: str) -> DataFrame:
     at = at.withColumn("_depth", depth).withColumn("_border", (F.col("_depth") == 1) & ((F.col("_inside") + F.col("_before") + F.col("_odd")) % 2 == 0))
     at = at.withColumn("_opens", (F.col("_block") == 0) & F.lag("_at").over(w).isNull())  # the first piece of its file
     own = F.coalesce(F.max("_border").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)) | ((F.col("_base") == 1) & (F.col("_inside") == 0)) | (F.col("_block") == 0)
-    at = at.withColumns({"_own": own, "_last": F.min(F.when(F.col("_border"), F.col("_at"))).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    # backwards, since Spark goes over all rows of a frame that ends unbounded again for every row
+    back = Window.partitionBy(*_BLOCK).orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
+    at = at.withColumns({"_own": own, "_last": F.last(F.when(F.col("_border"), F.col("_at")), ignorenulls=True).over(back)})
     alone = F.coalesce(F.lag("_border").over(w), (F.col("_block") == 0) | ((F.col("_base") == 1) & (F.col("_inside") == 0)))
     at = at.withColumn("_alone", F.col("_border") & alone)
     wrong = lambda what: F.raise_error(F.concat(F.lit(f"{what} in the JSON array "), F.col("_file")))

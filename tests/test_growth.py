@@ -7,8 +7,9 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from assayer.operators import hamming  # noqa: E402
+from assayer.operators import hamming, match  # noqa: E402
 from assayer.plans import queries  # noqa: E402
+from assayer.sources import arrays  # noqa: E402
 
 
 def sent(df) -> list[str]:
@@ -28,3 +29,16 @@ def test_looked_up_hashes_are_not_sent(spark):
     found = hamming.candidates(spark.range(50).withColumnRenamed("id", "phash"), hamming.index(known, 8), 8, [0, 1])
     assert not sent(found)
     assert found.filter("phash = _reference").select("phash").distinct().count() == 50
+
+
+def test_no_frame_of_the_feed_scan_ends_unbounded(spark, tmp_path):
+    arrays.write_arrays(spark.range(5), str(tmp_path / "a"))
+    texts = arrays.array_texts(spark, str(tmp_path / "a"))
+    assert "unboundedfollowing" not in texts._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted(r.value for r in texts.collect()) == [f'{{"id":{k}}}' for k in range(5)]
+
+
+def test_sides_of_tiers_are_not_sent(spark):
+    left, right = spark.range(3).selectExpr("id AS k", "id AS a"), spark.range(3).selectExpr("id AS t", "id AS b")
+    tiers = match.tiered(left, right, "k", [("a", "b")], "t")
+    assert not [j for j in sent(tiers) if "_k" in j]
