@@ -42,3 +42,13 @@ def test_sides_of_tiers_are_not_sent(spark):
     left, right = spark.range(3).selectExpr("id AS k", "id AS a"), spark.range(3).selectExpr("id AS t", "id AS b")
     tiers = match.tiered(left, right, "k", [("a", "b")], "t")
     assert not [j for j in sent(tiers) if "_k" in j]
+
+
+@pytest.mark.parametrize("group", ["group_id", None])
+def test_family_counts_equal_the_join(spark, group):
+    items = spark.createDataFrame([("a", "g", "k1"), ("b", "g", "k-2"), ("c", "h", "K1"), ("d", "h", None)], "item_id string, group_id string, serial_code string")
+    codes = spark.createDataFrame([("a", "k2"), ("a", "k 1"), ("d", "k2"), ("c", "")], "item_id string, code string")
+    wanted = spark.createDataFrame([("one", "g", "K1"), ("two", "g", "K1"), ("two", "g", "K2"), ("two", "g", "K2"), ("none", "h", "K9"), ("other", "h", "K2")], "wanted_id string, group_id string, serial string")
+    wanted = wanted if group else wanted.drop("group_id")
+    want = match.family_join(items, codes, wanted, group).groupBy("wanted_id").count()
+    assert sorted(match.family_counts(items, codes, wanted, group).collect()) == sorted(want.collect())
