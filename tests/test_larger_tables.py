@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions import columns as C
-from assayer.operators import match
+from assayer.operators import dedupe, match
 
 
 def planned(df) -> str:
@@ -34,3 +34,26 @@ def test_media_by_codes_equal_propagate(spark, seed):
     keys = keys.filter("key <> ''").distinct()
     want = match.propagate(media.join(keys, "item_id"), keys).collect()
     assert want and sorted(match.propagate_by_codes(items, codes, media).collect()) == sorted(want)
+
+
+def test_fingerprints_are_computed_once(spark):
+    rows = spark.createDataFrame([(k, f"g{k % 2}", f"k{k % 3}" if k % 4 else None, 1.0, 2.0, 3.0, 4.0) for k in range(24)], "row_no long, group_id string, serial_code string, weight_kg double, pt_ppm double, pd_ppm double, rh_ppm double")
+    fp = C.fingerprint("group_id", "serial_code", "weight_kg", "pt_ppm", "pd_ppm", "rh_ppm")
+    found = dedupe.collisions(rows.select("row_no", fp.alias("new_fingerprint")), rows.select("row_no", fp.alias("assay_fingerprint")))
+    assert planned(found).count("sha2(") == 2
+    held = [(r.row_no, r.f) for r in rows.select("row_no", fp.alias("f")).collect()]
+    assert {r.row_no: r.collides for r in found.collect()} == {n: f is not None and any(f == g and n != m for m, g in held) for n, f in held}
+
+
+def test_empty_fingerprints_do_not_collide(spark):
+    rows = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a"), (5, "b")], "row_no long, f string")
+    out = dedupe.collisions(rows.withColumnRenamed("f", "new_fingerprint"), rows.withColumnRenamed("f", "assay_fingerprint"))
+    assert {r.row_no: r.collides for r in out.collect()} == {1: False, 2: False, 3: True, 4: True, 5: False}
+
+
+def test_items_without_analysis_are_spread(spark):
+    items = spark.createDataFrame([(1, "a", "b"), (2, "b", None), (3, None, None), (4, None, "a"), (5, "c", "c")], "item_id long, fp string, new_fp string")
+    out = match.assay_sources(items, spark.createDataFrame([("a",), ("c",), ("c",), (None,)], "raw_fp string"))
+    assert {r.item_id: (r.verified, r.collides) for r in out.collect()} == {1: (True, True), 2: (False, False), 3: (False, False), 4: (False, True), 5: (True, False)}
+    joins = [line for line in planned(out).splitlines() if line.strip(" :+-").startswith("Join ")]
+    assert len(joins) == 2 and not [j for j in joins if "(fp#" in j]
