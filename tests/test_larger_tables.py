@@ -57,3 +57,16 @@ def test_items_without_analysis_are_spread(spark):
     assert {r.item_id: (r.verified, r.collides) for r in out.collect()} == {1: (True, True), 2: (False, False), 3: (False, False), 4: (False, True), 5: (True, False)}
     joins = [line for line in planned(out).splitlines() if line.strip(" :+-").startswith("Join ")]
     assert len(joins) == 2 and not [j for j in joins if "(fp#" in j]
+
+
+def test_repair_counts_items_once(spark):
+    """Numbers of items that stand once are counted, not listed; those that stand twice name one item."""
+    schema = "row_no long, group_id string, model string, weight_kg double, shape_code string, details string"
+    make = lambda *rows: spark.createDataFrame(list(rows), schema)
+    rows = make((1, "g", "m", 1.0, "s", None), (2, "g", "M", None, None, "d"), (3, "h", "m", 1.0, None, None))
+    items = make((10, "g", "M", 1.0, "S", "d"), (11, "g", "m", 1.0, "t", "e"), (12, "g", "m", 2.0, "s", None))
+    out = match.repair_candidates(rows, items, ["weight_kg", "shape_code"])
+    assert "distinct" not in planned(out)
+    assert {tuple(r) for r in out.collect()} == {(1, 1, 10), (2, 1, 10), (3, 0, None)}
+    twice = items.unionByName(make((10, "g", "M", 1.0, "s", "e")))
+    assert {tuple(r) for r in match.repair_candidates(rows, twice, ["weight_kg", "shape_code"]).collect()} == {(1, 1, 10), (2, 1, 10), (3, 0, None)}
