@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import columns as C
 from assayer.operators import dedupe, match
+from assayer.plans import jobs
 
 
 def planned(df) -> str:
@@ -70,3 +71,11 @@ def test_repair_counts_items_once(spark):
     assert {tuple(r) for r in out.collect()} == {(1, 1, 10), (2, 1, 10), (3, 0, None)}
     twice = items.unionByName(make((10, "g", "M", 1.0, "s", "e")))
     assert {tuple(r) for r in match.repair_candidates(rows, twice, ["weight_kg", "shape_code"]).collect()} == {(1, 1, 10), (2, 1, 10), (3, 0, None)}
+
+
+def test_repairs_look_candidates_up_once(spark):
+    row = lambda n, serial: (n, "g", "m", serial, 1.0, 2.0, 3.0, 4.0, "d")
+    schema = "row_no long, group_id string, model string, serial_code string, weight_kg double, pt_ppm double, pd_ppm double, rh_ppm double, details string"
+    report = jobs.repair_items(spark.createDataFrame([row(10, "k1")], schema), spark.createDataFrame([row(1, "k2")], schema), ["weight_kg"])["report"]
+    assert "_row_mask" not in planned(report)
+    assert report.first().updated == 1
