@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions import columns as C
-from assayer.operators import dedupe, match
+from assayer.operators import dedupe, match, search, textindex
 from assayer.plans import jobs
+from assayer.sources import shared
 
 
 def planned(df) -> str:
@@ -79,3 +80,37 @@ def test_repairs_look_candidates_up_once(spark):
     report = jobs.repair_items(spark.createDataFrame([row(10, "k1")], schema), spark.createDataFrame([row(1, "k2")], schema), ["weight_kg"])["report"]
     assert "_row_mask" not in planned(report)
     assert report.first().updated == 1
+
+
+@pytest.mark.parametrize("heads,window,frequent", [(0, 2, 1), (100, 1, 50), (100_000, 32, 1000)])
+def test_searches_beyond_the_bounds_equal_the_scan(spark, monkeypatch, heads, window, frequent):
+    """Many beginnings, searches longer than a window, and few or all texts counted as frequent."""
+    for name, n in (("HEADS", heads), ("WINDOW", window), ("FREQUENT", frequent)):
+        monkeypatch.setattr(textindex, name, n, raising=False)
+    r = random.Random(heads)
+    text = lambda n: r.choice([None, "", "".join(r.choice("aB1-. é") for _ in range(r.randrange(0, n)))])
+    items = spark.createDataFrame([(f"i{k}", text(9), r.choice(["a", "1-b", text(6)])) for k in range(60)], "item_id string, serial_code string, model string")
+    codes = spark.createDataFrame([(f"i{r.randrange(60)}", r.choice(["a.b", text(8)])) for _ in range(80)], "item_id string, code string")
+    asked = ["", "-", "a", "A.B", "1-b", "zz", "a.b", *("".join(r.choice("aB1-") for _ in range(r.randrange(1, 5))) for _ in range(12))]
+    got = textindex.searched(textindex.text_index(items, codes), spark.createDataFrame(list(enumerate(asked)), "search_id long, text string")).collect()
+    assert len(got) == len(set(got))
+    want = {(k, x.item_id) for k, t in enumerate(asked) for x in search.text_search(items, codes, t).collect()}
+    assert want and {tuple(x) for x in got} == want
+
+
+def test_searches_write_texts_and_matches_only(spark, monkeypatch):
+    """Items are not written, nor lists of letter groups: 40 texts that 1,000 items share make 40 rows, besides the matches."""
+    rows = []
+
+    def counting(df, *by):
+        out = shared.saved(df, *by)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(textindex, "saved", counting)
+    items = spark.range(1000).selectExpr("concat('i', id) AS item_id", "concat('KT-', 1000 + id % 20) AS serial_code", "concat('Model ', id % 10) AS model")
+    codes = items.select("item_id", F.expr("concat('ALT ', substring(item_id, 2) % 10)").alias("code"))
+    asked = spark.createDataFrame([(1, "t-1007"), (2, "lt 3"), (3, "no")], "search_id long, text string")
+    got = textindex.searched(textindex.text_index(items, codes), asked).groupBy("search_id").count().collect()
+    assert {tuple(x) for x in got} == {(1, 50), (2, 100)}
+    assert sum(rows) <= 40 + 2 + 40
