@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.shared import saved
+
+#: Keys that are sent to all tasks at most.
+FEW = 100_000
 
 
 def outcome_counts(rows: DataFrame, outcomes: list[str], by: str | None = None, outcome: str = "outcome") -> DataFrame:
@@ -94,10 +98,11 @@ def ambiguous(pairs: DataFrame, key: str, target: str) -> DataFrame:
 
 
 def ambiguous_links(pairs: DataFrame, key: str, target: str) -> DataFrame:
-    """The same keys with one row for each target, however many a key has."""
-    links = pairs.select(key, target).distinct()
-    several = links.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
-    return links.join(several.select(key), key, "left_semi")
+    """The same keys with one row for each target, however many a key has; the links are written once for both passes."""
+    links = saved(pairs.select(key, target).distinct())
+    several = saved(links.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key))
+    # a few frequent keys would bring all links to a few tasks
+    return links.join(F.broadcast(several) if several.count() <= FEW else several.hint("merge"), key, "left_semi")
 
 
 def copies(families_: DataFrame, n: str = "n") -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions import columns as C
-from assayer.operators import dedupe, match, search, textindex
+from assayer.operators import dedupe, match, report, search, textindex
 from assayer.plans import jobs
 from assayer.sources import shared
 
@@ -114,3 +114,36 @@ def test_searches_write_texts_and_matches_only(spark, monkeypatch):
     got = textindex.searched(textindex.text_index(items, codes), asked).groupBy("search_id").count().collect()
     assert {tuple(x) for x in got} == {(1, 50), (2, 100)}
     assert sum(rows) <= 40 + 2 + 40
+
+
+def test_white_space_and_signs_are_those_of_the_patterns(spark):
+    """Every code point but surrogates, around a letter and alone."""
+    points = spark.range(1, 0x110000).filter("id NOT BETWEEN 55296 AND 57343").withColumn("c", F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')"))
+    both = points.select("c", F.explode(F.array("c", F.concat("c", F.lit("a b"), "c", "c"))).alias("t"))
+    assert both.filter(C.trim("t") != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).count() == 0
+    signs = points.select(F.explode(F.array("c", F.concat(F.lit("?"), "c", F.lit("/")))).alias("t"))
+    bare = F.regexp_replace(F.upper("t"), r"(?U)^\s+|\s+$", "")
+    assert signs.filter(C.usable_serial("t") != ((bare != "") & ~bare.rlike(r"^[?./_\\\-\s]+$"))).count() == 0
+    assert "regexp" not in planned(points.filter(C.usable_serial("c"))).lower() and "rlike" not in planned(points.filter(C.usable_serial("c"))).lower()
+
+
+def test_audit_makes_families_once(spark):
+    r = random.Random(4)
+    rows = [(f"i{k}", r.choice(["g", "h", None]), r.choice(["k1", "K-1", "k2", "k3", "k4", "n/a", None, "a|b"]), 1.0, 2.0, 3.0, 4.0) for k in range(14)]
+    items = spark.createDataFrame(rows, "item_id string, group_id string, serial_code string, weight_kg double, pt_ppm double, pd_ppm double, rh_ppm double")
+    products = spark.createDataFrame([(["K1", "K2"], "p"), (["K3", "K3"], "q"), (["K9"], "q")], "families array<string>, product_url string")
+    out = jobs.audit(items, products)["unmatched"]
+    fam = {(g, s.upper().replace("-", "")) for _, g, s, *_ in rows if s and s != "n/a"}
+    want = {(g, s) for g, s in fam if s not in ("K1", "K2", "K3", "K9") or len([x for x in fam if x[1] == s]) > 1}
+    got = [(x.group_id, x.serial) for x in out.collect()]
+    assert want and want != fam and len(got) == len(set(got)) and set(got) == want
+    assert planned(out).count("LogicalRDD") == 2
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_links_are_made_once(spark, monkeypatch, few):
+    monkeypatch.setattr(report, "FEW", few, raising=False)
+    pairs = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("b", 2), ("b", 2), (None, 1), (None, 2), ("c", 3)], "key string, target long")
+    out = report.ambiguous_links(pairs, "key", "target")
+    assert sorted(tuple(x) for x in out.collect()) == [("b", 1), ("b", 2)]
+    assert "LogicalRDD" not in planned(out)
