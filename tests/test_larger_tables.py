@@ -147,3 +147,28 @@ def test_links_are_made_once(spark, monkeypatch, few):
     out = report.ambiguous_links(pairs, "key", "target")
     assert sorted(tuple(x) for x in out.collect()) == [("b", 1), ("b", 2)]
     assert "LogicalRDD" not in planned(out)
+
+
+@pytest.mark.parametrize("cross", [False, True])
+def test_image_candidates_read_items_once(spark, cross):
+    """Items with several codes, repeated ones, their own serial among them and codes of unknown items."""
+    r = random.Random(9)
+    code = lambda: r.choice([None, " - ", "k1", "K-1", "k 2", "k3", "k4"])
+    own = {f"i{k}": (r.choice(["g", "h", None]), code()) for k in range(24)}
+    more = [(f"i{r.randrange(28)}", code()) for _ in range(40)]
+    schema = "item_id string, group_id string, serial_code string, weight_kg double, pt_ppm double, pd_ppm double, rh_ppm double, created_at int"
+    items = spark.createDataFrame([(i, g, s, 1.0, 2.0, None, None, 1) for i, (g, s) in own.items()], schema)
+    codes = spark.createDataFrame(more, "item_id string, code string")
+    imaged = spark.createDataFrame([("i3",), ("i3",), ("i5",)], "item_id string")
+    products = [(f"u{n}", f"https://x/{n}.jpg", 1, g, [s]) for n, (g, s) in enumerate([("g", "K1"), ("h", "K1"), ("g", "K2"), ("h", "K3"), ("h", "K9")])]
+    out = jobs.image_candidates(items, codes, spark.createDataFrame(products, "product_url string, image_url string, image_count int, group_id string, families array<string>"), imaged=imaged, cross_group=cross)
+    form = lambda s: (s or "").upper().replace("-", "").replace(" ", "")
+    keys = {i: {form(s)} | {form(c) for j, c in more if j == i} - {""} for i, (_, s) in own.items()}
+    n = without = 0
+    for *_, g, (s,) in products:
+        hit = [form(own[i][1]) for i in own if s in keys[i] and (cross or own[i][0] == g)]
+        n += hit.count(s) if len(set(hit) - {""}) > 1 else len(hit)
+        without += not hit
+    funnel = out["funnel"].first()
+    assert n > 5 and (funnel.matched_items, funnel.families_without_items) == (n, without)
+    assert planned(out["candidates"]).count("LogicalRDD") == 3
