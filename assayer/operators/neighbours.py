@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import ranked
+from .rank import parts, ranked
 
 #: Items that a task compares at a time, besides k from the blocks on either side.
 BLOCK = 4096
@@ -24,7 +24,10 @@ def similar_items(items: DataFrame, k: int, value: str = "pt_ppm", group: str =
     placed = ranked(some, [("_group", False), ("_value", False), ("_item", False)], "_place")
     own, inside = F.floor(F.col("_place") / BLOCK), F.col("_place") % BLOCK
     blocks = F.array_compact(F.array(own, F.when((inside < k) & (own > 0), own - 1), F.when(inside >= BLOCK - k, own + 1)))
+    # as many tasks as ranges, since a task sorts what it is dealt; few rows are left to Spark
+    n = parts(placed.agg(F.max("_place")).first()[0] or 0)
     dealt = placed.withColumn("_own", own).withColumn("_block", F.explode(blocks))
+    dealt = dealt.repartition(n, "_block") if n > 1 else dealt
     around = Window.partitionBy("_block").orderBy("_place").rowsBetween(-k, k)
     near = dealt.withColumn("_near", F.collect_list(F.struct("_group", "_place", "_value", "_item")).over(around)).filter("_block = _own")
     far = lambda x: F.struct(F.abs(x["_value"] - F.col("_value")).alias("value"), F.abs(x["_place"] - F.col("_place")).alias("places"), x["_place"].alias("place"), x["_item"].alias("item"))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import saved
 
+#: Rows of a range, about: a task sorts so many however large the table is.
+RANGE = 500_000
 _PLACE_BITS = 33  # of monotonically_increasing_id; the range's number stands above
 
 #: Columns of an order; True: descending.  Nulls come first, or last if descending.
@@ -24,6 +26,11 @@ def columns(order: Order) -> list[Column]:
     return [F.desc(c) if down else F.asc(c) for c, down in order]
 
 
+def parts(rows: int) -> int:
+    """How many ranges or tasks rows are dealt over."""
+    return max(1, -(-rows // RANGE))
+
+
 class Ranges(NamedTuple):
     """A table in order: ``rows`` with ``_range`` and ``_place``, and ``before``: ``_range``, the rows before it and its own."""
 
@@ -35,7 +42,10 @@ def ranges(df: DataFrame, order: Order) -> Ranges:
     """Deals rows by ranges of the order, writes them once, and counts each range."""
     by = columns(order)
     at = F.monotonically_increasing_id()
-    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", at)
+    # without a number, ranges are put together by their compressed bytes, which may be many times larger in memory
+    n = parts(df.count())
+    dealt = df.repartitionByRange(n, *by) if n > 1 else df.repartitionByRange(*by)  # few rows are left to Spark
+    dealt = dealt.sortWithinPartitions(*by).withColumn("_at", at)
     # the borders are sampled, so they hold for what was written and no second time
     rows = saved(dealt.withColumns({"_range": F.shiftright("_at", _PLACE_BITS).cast("int"), "_place": F.col("_at").bitwiseAND((1 << _PLACE_BITS) - 1)}).drop("_at"), "_range")
     each = rows.groupBy("_range").agg(F.count("*").alias("_n"))
@@ -47,7 +57,7 @@ def ranges(df: DataFrame, order: Order) -> Ranges:
 def ranked(df: DataFrame, order: Order, name: str = "position") -> DataFrame:
     """The rows with their position in the whole order, from 0."""
     rows, before = ranges(df, order)
-    # a row for each range: shuffle partitions bound it
+    # a row for each range
     return rows.join(F.broadcast(before.select("_range", "_before")), "_range").select(*df.columns, (F.col("_before") + F.col("_place")).alias(name))
 
 

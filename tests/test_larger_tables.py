@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions import columns as C
-from assayer.operators import dedupe, match, report, search, textindex
+from assayer.operators import dedupe, match, neighbours, rank, report, search, textindex
 from assayer.plans import jobs
 from assayer.sources import shared
 
@@ -172,3 +172,14 @@ def test_image_candidates_read_items_once(spark, cross):
     funnel = out["funnel"].first()
     assert n > 5 and (funnel.matched_items, funnel.families_without_items) == (n, without)
     assert planned(out["candidates"]).count("LogicalRDD") == 3
+
+
+def test_ranges_have_a_bounded_number_of_rows(spark, monkeypatch):
+    """However small their bytes are, ranges and dealt blocks aren't put together beyond the bound."""
+    monkeypatch.setattr(rank, "RANGE", 20, raising=False)
+    monkeypatch.setattr(neighbours, "BLOCK", 8)
+    rows = spark.range(260).selectExpr("concat('i', id) AS item_id", "'g' AS group_id", "CAST(id * 7919 % 260 AS double) AS pt_ppm").repartition(3)
+    table = rank.ranges(rows, [("pt_ppm", False), ("item_id", False)])
+    assert table.before.count() > 8 and table.before.agg(F.max("_n")).first()[0] <= 60
+    near = neighbours.similar_items(rows, 2)
+    assert near.count() == 520 and near.select(F.spark_partition_id()).distinct().count() > 5
