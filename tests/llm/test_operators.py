@@ -347,6 +347,35 @@ def test_repeats_brute_force(spark):
     assert repeats.remove(df.limit(0)).count() == 0
 
 
+def dense_pairs(n, seed=11):
+    """Texts of random letters, each followed by one with every 45th letter changed, so that most minimizers stand in both with other strings."""
+    letters = np.random.default_rng(seed).integers(97, 123, (n, 4096)).astype(np.uint8)
+    changed = letters.copy()
+    changed[:, ::45] = ord("-")
+    return [row.tobytes().decode() for pair in zip(letters, changed) for row in pair]
+
+
+def test_repeats_send_no_lists_of_minimizers(spark, monkeypatch):
+    """What goes through the driver has a bounded size, however many minimizers there are; what passes the full sieve by chance changes nothing."""
+    monkeypatch.setattr(repeats, "SIEVE_BITS", 16, raising=False)
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: (sent.append(value.nbytes), send(self, value))[1])
+    texts = dense_pairs(60)
+    texts[1] += texts[0][100:200]
+    got = rows(repeats.remove(frame(spark, texts)))
+    assert len(sent) == 2 and max(sent) <= 1 << 13
+    assert {k: [(s.start, s.end) for s in v.removed] for k, v in got.items() if v.removed} == {1: [(4096, 4196)]}
+
+
+def test_repeats_many_copies_take_no_part(spark, monkeypatch):
+    """Copies too many to be sent to all tasks are left out too, where they are a large part of the texts."""
+    seen, plain = [], repeats._live
+    monkeypatch.setattr(repeats, "_live", lambda docs, *a: (seen.append(docs.count()), plain(docs, *a))[1])
+    texts = [f"{k % 5} " * 40 for k in range(50)]
+    got = rows(repeats.remove(frame(spark, texts), most_rows=0))
+    assert seen == [5] and [k for k in got if got[k].kept] == [0, 1, 2, 3, 4]
+
+
 def test_hmm(spark):
     texts = [None, "", *(f"{a} {b} {a} the cat {b} SAT\n" * 3 for a in ("red", "blue", "green") for b in ("fish", "dog", "bird")), "zzz unseen words"] * 3
     got = rows(hmm.score(frame(spark, texts), hmm.crc_mod("doc_id", 7) == 2, frequent=5, states=3, rounds=3))
