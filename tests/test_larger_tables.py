@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import columns as C
 from assayer.operators import dedupe, match, neighbours, rank, report, search, textindex
-from assayer.plans import jobs
+from assayer.plans import jobs, queries
 from assayer.sources import shared
 
 
@@ -61,6 +61,16 @@ def test_items_without_analysis_are_spread(spark):
     assert len(joins) == 2 and not [j for j in joins if "(fp#" in j]
 
 
+def test_collisions_after_conversion_decide(spark, tmp_path):
+    """An analysis in grams collides once another item holds it in ppm; without that item it is updated."""
+    line = "id AS l_orderkey, CAST(1 AS INT) AS l_linenumber, p AS l_partkey, 4L AS l_suppkey, CAST(q AS DOUBLE) AS l_quantity, 0.05D AS l_discount, 0.02D AS l_tax, f AS l_returnflag, TIMESTAMP '1995-01-01' AS l_shipdate"
+    # slots are 10 * id + 1, so ids 2 and 5 hold ppm; 1 and 3 are one analysis, that of 2 in grams, and 7 stands nowhere in the source
+    rows = [(1, 7, 3, "A"), (2, 7, 3, "N"), (3, 7, 3, "N"), (4, 8, 3, "R"), (5, 9, 3, "A"), (6, 7, 4, "A"), (7, 9, 5, "N")]
+    for at, ids, want in (("all", range(8), (7, 4, 3, 2, 2)), ("less", (1, 3, 4, 5, 6, 7), (6, 4, 2, 0, 4))):
+        spark.createDataFrame([r for r in rows if r[0] in ids], "id long, p long, q int, f string").selectExpr(*line.split(", ")).write.parquet(str(tmp_path / at / "lineitem.parquet"))
+        assert tuple(queries.QUERIES["c29_d22_j10_legacy"](spark, str(tmp_path / at)).select("matched", "verified", "unverified", "collision", "updated").first()) == want
+
+
 def test_repair_counts_items_once(spark):
     """Numbers of items that stand once are counted, not listed; those that stand twice name one item."""
     schema = "row_no long, group_id string, model string, weight_kg double, shape_code string, details string"
